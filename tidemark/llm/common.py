@@ -63,6 +63,17 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+class WordIndex(dict):
+    """Numbers words in order of first sight: one dict access a word, and a Python call only for new ones."""
+
+    def __missing__(self, word):
+        self[word] = n = len(self)
+        return n
+
+    def of(self, words: list) -> list[int]:
+        return list(map(self.__getitem__, words))
+
+
 # ---- word and shingle hashes -------------------------------------------------------------------------------------
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
