@@ -120,12 +120,17 @@ def slices(texts: list[bytes]):
         yield start, len(texts)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of all texts, A-Z lower-cased, and each text's first index (one more at the end)."""
+#: ASCII characters other than letters and digits.
+_IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
+
+
+def word_hashes(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts, A-Z lower-cased, and each text's first index (one more at the end).
+    With marks, ASCII punctuation parts words too."""
     buf = np.frombuffer(b" ".join(texts), np.uint8)
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    inside = ~_IS_SPACE[buf]
+    inside = ~(_IS_MARK if marks else _IS_SPACE)[buf]
     edge = np.diff(np.concatenate(([0], inside.view(np.int8), [0])))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     up, down = _powers_to(len(buf))
