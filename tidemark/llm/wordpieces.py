@@ -7,11 +7,21 @@ That equals the library's ids of the whole text because its pattern drops white
 from __future__ import annotations
 
 import os
+import re
+from array import array
+from itertools import islice
 
 import numpy as np
 import public_tokenizers
 
-LIMIT = 400_000
+from . import common
+
+LIMIT = 1_000_000
+
+_PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+").fullmatch
+# The vocabulary's split pattern for such words, and byte-level BPE's stand-ins for the bytes that do not print.
+_PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+").findall
+_BYTE_LEVEL = {b: 256 + n for n, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
 
 
 class WordMemo:
@@ -21,7 +31,8 @@ class WordMemo:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit, self.known = Tokenizer.from_file(public_tokenizers.path(vocabulary)), limit, {}
+        self.tokenizer, self.limit = Tokenizer.from_file(public_tokenizers.path(vocabulary)), limit
+        self.index, self.ids = common.WordIndex(), []
 
     @classmethod
     def shared(cls, vocabulary: str) -> "WordMemo":
@@ -29,9 +40,24 @@ class WordMemo:
             cls._own[vocabulary] = cls(vocabulary)
         return cls._own[vocabulary]
 
-    def _learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)
-        self.known.update((w, np.array(e.ids, np.uint32).tobytes()) for w, e in zip(words, found))
+    def _learn(self, words: list[bytes]) -> list[bytes]:
+        """Each word's ids, as the whole tokenizer gives them. Words of printable ASCII and Latin-1 letters need none of
+        its normaliser's Unicode steps, so they are lower-cased and split here and go to its model; the others go through it all."""
+        out: list = [None] * len(words)
+        rest, model = [], self.tokenizer.model
+        for i, w in enumerate(words):
+            text = w.decode("utf-8", "replace")
+            if "<|" in text or not _PLAIN(text):
+                rest.append((i, text))
+                continue
+            ids: list[int] = []
+            for piece in _PIECES(text.lower()):
+                ids += [t.id for t in model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_LEVEL))]
+            out[i] = array("I", ids).tobytes()
+        found = self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False) if rest else []
+        for (i, _), e in zip(rest, found):
+            out[i] = np.array(e.ids, np.uint32).tobytes()
+        return out
 
     def encode(self, texts: list[bytes]):
         """Each text's ids as uint32."""
@@ -45,13 +71,12 @@ class WordMemo:
         yield from self._encode(run)
 
     def _encode(self, texts: list[bytes]):
-        split = [t.split() for t in texts]
-        known = self.known
-        new = {w for words in split for w in words if w not in known}
-        if len(known) + len(new) > self.limit:
-            known.clear()
-            new = {w for words in split for w in words}
-        if new:
-            self._learn(list(new))
-        for words in split:
-            yield np.frombuffer(b"".join([known[w] for w in words]), np.uint32)
+        if len(self.index) > self.limit:
+            self.index, self.ids = common.WordIndex(), []
+        index, known = self.index, len(self.ids)
+        numbered = [index.of(t.split()) for t in texts]
+        if len(index) > known:
+            self.ids += self._learn(list(islice(reversed(index), len(index) - known))[::-1])
+        ids = self.ids
+        for at in numbered:
+            yield np.frombuffer(b"".join([ids[i] for i in at]), np.uint32)
