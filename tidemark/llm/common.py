@@ -63,6 +63,18 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
+def kept_rows(docs: DataFrame, decider) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text decider() accepts; it is made once a task and maps texts to flags."""
+
+    def run(batches):
+        decide = decider()
+        for batch in batches:
+            flags = decide(texts_of(batch.column(batch.schema.get_field_index("text"))))
+            yield batch.filter(pa.array(np.asarray(flags, bool)))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 class WordIndex(dict):
     """Numbers words in order of first sight: one dict access a word, and a Python call only for new ones."""
 

@@ -130,6 +130,30 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, fold: int = 0) -> Tre
     return Trees(langs, {k: (g["gram"].to_numpy(), g["n"].to_numpy()) for k, g in grams.groupby("lang")})
 
 
+def _posterior(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Share of the best language, code lengths counted as those of EVIDENCE_BYTES bytes where a text has more."""
+    excess = (bits - bits.min(1, keepdims=True)) * np.minimum(1, EVIDENCE_BYTES / size)[:, None]
+    return 1 / np.exp2(-excess).sum(1)
+
+
+def keep_known(docs: DataFrame, trees: Trees | None, least: float) -> DataFrame:
+    """The rows of docs that identify would name with a score of at least this."""
+    if trees is None:
+        return docs.limit(0)
+    frozen = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def decider():
+        t = frozen.value
+
+        def decide(texts):
+            lettered = np.array([any(map(str.isalpha, x.decode("utf-8", "replace"))) for x in texts], bool)
+            return lettered & (_posterior(t.code_lengths(texts), np.maximum([len(x) for x in texts], 1)) >= least)
+
+        return decide
+
+    return common.kept_rows(docs, decider)
+
+
 def identify(docs: DataFrame, trees: Trees | None, fold: int = 0) -> DataFrame:
     """doc_id, held_out, lang_pred, score, bits_per_byte of each row of docs."""
     rows = docs.select(
@@ -147,9 +171,7 @@ def identify(docs: DataFrame, trees: Trees | None, fold: int = 0) -> DataFrame:
             texts = common.texts_of(batch.column(3))
             bits = t.code_lengths(texts)
             size = np.maximum([len(x) for x in texts], 1)
-            best = bits.argmin(1)
-            excess = (bits - bits.min(1, keepdims=True)) * np.minimum(1, EVIDENCE_BYTES / size)[:, None]
-            score = 1 / np.exp2(-excess).sum(1)
+            best, score = bits.argmin(1), _posterior(bits, size)
             fine = np.array(batch.column(2).to_pylist(), bool)
             pred = [t.langs[b] if ok else "und" for b, ok in zip(best, fine)]
             yield pa.RecordBatch.from_arrays(

@@ -319,6 +319,19 @@ def score(docs: DataFrame, net: Network | None, fold: int = 0) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def keep_clean(docs: DataFrame, net: Network | None) -> DataFrame:
+    """The rows of docs that score would predict 0."""
+    if net is None:
+        return docs
+    frozen = docs.sparkSession.sparkContext.broadcast(net)
+
+    def decider():
+        scorer = Scorer(frozen.value)
+        return lambda texts: scorer.logits(texts) < 0
+
+    return common.kept_rows(docs, decider)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.read(spark, sf_dir, "documents")
     return score(docs, train(docs, common.read(spark, sf_dir, "labels")))
