@@ -1,0 +1,111 @@
+"""Command line: forecast, compare, simulate, models, mappings. Errors go to stderr with exit code 2."""
+
+from __future__ import annotations
+
+import argparse
+import sys
+
+from pyspark.sql import DataFrame, SparkSession
+
+from ..functions.errors import EngineError
+from ..operators import finance, forecaster, panel as P
+from ..sources import mappings, readers
+from . import tools
+from .engine import Engine
+
+
+def coerce(text: str):
+    for kind in (int, float):
+        try:
+            return kind(text)
+        except ValueError:
+            pass
+    return text
+
+
+def params(pairs: list[str]) -> dict:
+    out = {}
+    for p in pairs or []:
+        k, eq, v = p.partition("=")
+        if not eq:
+            raise ValueError(f"parameters are KEY=VALUE, not {p!r}")
+        out[k] = coerce(v)
+    return out
+
+
+def prepared(spark: SparkSession, a) -> DataFrame:
+    raw = readers.CSVSource(spark, a.csv).fetch()
+    if a.mapping:
+        return mappings.apply_mapping(raw, a.mapping, **({"freq": a.freq} if a.freq else {}))
+    raw = raw.withColumnsRenamed({a.id_col: "unique_id", a.time_col: "ds", a.target_col: "y"})
+    if a.agg:
+        raw = P.collapse(raw, a.agg)
+    if a.freq:
+        raw = P.densify(raw.withColumn("ds", raw["ds"].cast("timestamp_ntz")), a.freq, 0.0 if a.fill == "zero" else None)
+    return raw
+
+
+def emit(df: DataFrame, output: str | None) -> None:
+    if output:
+        df.coalesce(1).write.mode("overwrite").option("header", True).csv(output)
+    else:
+        df.show(1000, truncate=False)
+
+
+def parser() -> argparse.ArgumentParser:
+    top = argparse.ArgumentParser(prog="tidemark")
+    sub = top.add_subparsers(dest="command", required=True)
+    for name in ("forecast", "compare"):
+        p = sub.add_parser(name)
+        p.add_argument("csv")
+        p.add_argument("--model", "--models", dest="models", nargs="+", default=["auto_ets"] if name == "forecast" else ["naive", "ses", "theta"])
+        p.add_argument("--h", type=int, default=12)
+        p.add_argument("--level", type=float, nargs="*")
+        p.add_argument("--mapping")
+        p.add_argument("--freq")
+        p.add_argument("--agg", choices=P.AGGREGATES)
+        p.add_argument("--fill", choices=("zero", "null"), default="zero")
+        p.add_argument("--param", action="append")
+        for col, to in (("id", "unique_id"), ("time", "ds"), ("target", "y")):
+            p.add_argument(f"--{col}-col", default=to)
+        p.add_argument("--output")
+    sub.choices["compare"].add_argument("--windows", type=int, default=3)
+    sub.choices["compare"].add_argument("--metrics", nargs="+", default=["mae", "rmse", "smape"])
+    s = sub.add_parser("simulate")
+    for k, d in (("s0", 100.0), ("mu", 0.0), ("sigma", 0.01)):
+        s.add_argument(f"--{k}", type=float, default=d)
+    for k, d in (("steps", 252), ("paths", 1000), ("seed", 0)):
+        s.add_argument(f"--{k}", type=int, default=d)
+    s.add_argument("--output")
+    for name in ("models", "mappings"):
+        sub.add_parser(name).add_argument("--output")
+    return top
+
+
+def main(argv=None, spark: SparkSession | None = None) -> int:
+    a = parser().parse_args(argv)
+    spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
+    try:
+        if a.command == "forecast":
+            models = [(m, params(a.param)) for m in a.models]
+            emit(Engine(models, a.level).forecast(prepared(spark, a), a.h).orderBy("unique_id", "model", "step"), a.output)
+        elif a.command == "compare":
+            board, failed = Engine(a.models, a.level).compare(prepared(spark, a), a.h, a.windows, a.metrics)
+            emit(board, a.output)
+            for r in failed.collect():  # one row a failed model
+                print(f"{r['model']}: {r['error']}", file=sys.stderr)
+        elif a.command == "simulate":
+            emit(finance.simulation_summary(finance.simulate(spark, a.s0, a.mu, a.sigma, a.steps, a.paths, a.seed)).orderBy("step"), a.output)
+        else:
+            emit(forecaster.list_models(spark) if a.command == "models" else mappings.list_mappings(spark), a.output)
+    except (EngineError, ValueError) as e:
+        print(f"error: {e}", file=sys.stderr)
+        return 2
+    return 0
+
+
+__all__ = ["main", "tools"]
+
+
+if __name__ == "__main__":
+    sys.exit(main())
