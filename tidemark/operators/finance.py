@@ -33,6 +33,7 @@ def risk_metrics(df: DataFrame, c: str = TARGET, periods: int = 252, rf: float =
     """One row a series: annualised return and volatility, Sharpe, Sortino, drawdown, Calmar, hit rate, VaR and CVaR."""
     r, root = F.col(c), F.lit(float(periods) ** 0.5)
     n, tail = F.count("*"), 1 - level
+    df = df.withColumn(c, F.when(~F.isnan(c), F.col(c)))
     path = equity(df, c)
     excess = r - rf / periods
     growth = F.product(1 + r)

@@ -115,7 +115,7 @@ def _run_all(models, h: int, features: list[str]):
                 mean, sigma, _ = model.run(y, h, x if takes else None, xf if takes else None)
                 parts.append(pd.DataFrame({"model": name, "step": np.arange(1, h + 1, dtype=np.int32), "yhat": mean.astype(float), "sigma": sigma.astype(float), "error": None}))
             except Exception as e:  # noqa: BLE001  a failure is a row of the result
-                parts.append(pd.DataFrame({"model": [name], "step": np.array([0], np.int32), "yhat": [np.nan], "sigma": [np.nan], "error": [f"{type(e).__name__}: {e}"[:200]]}))
+                parts.append(pd.DataFrame({"model": [name], "step": np.array([1], np.int32), "yhat": [np.nan], "sigma": [np.nan], "error": [f"{type(e).__name__}: {e}"[:200]]}))
         return pd.concat(parts, ignore_index=True)
 
     return run

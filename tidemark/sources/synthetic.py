@@ -19,7 +19,7 @@ PASSENGERS = """112 118 132 129 121 135 148 148 136 119 104 118 115 126 141 135
 
 
 def _frame(spark: SparkSession, pdf: pd.DataFrame) -> DataFrame:
-    out = spark.createDataFrame(pdf)
+    out = spark.createDataFrame(pdf).withColumn(TARGET, F.when(~F.isnan(TARGET), F.col(TARGET)))
     return out.withColumn(TIME, F.col(TIME).cast("timestamp_ntz")) if dict(out.dtypes)[TIME].startswith("timestamp") else out
 
 
