@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import glob
 import hashlib
+import os
 import shutil
 import tempfile
 import uuid
@@ -14,10 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
+BATCH_ROWS = 2000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    """The table. Arrow batches to Python are kept to BATCH_ROWS rows, as texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -43,7 +51,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_quietly_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged_at = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing will read again."""
+    for t in tables:
+        remove(t.sparkSession, t._staged_at)
 
 
 def _quietly_remove(spark: SparkSession, path: str) -> None:
@@ -53,6 +69,17 @@ def _quietly_remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def one_blas_thread() -> None:
+    """Small matrix products gain nothing from threads, which then fight with other tasks' for the cores."""
+    for lib in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        for name in ("scipy_openblas_set_num_threads64_", "openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads"):
+            try:
+                getattr(ctypes.CDLL(lib), name)(1)
+                break
+            except (AttributeError, OSError):
+                continue
+
+
 def held_out(fold: int) -> F.Column:
     """crc32 of the id as text, modulo 5, equals fold; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == fold

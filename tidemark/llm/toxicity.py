@@ -192,6 +192,7 @@ class Scorer:
 def fit(texts: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 48, rate: float = 0.01, seed: int = 5) -> Network | None:
     if not 0 < labels.sum() < len(labels):
         return None
+    common.one_blas_thread()
     split = [words_of(t) for t in texts]
     often: dict[bytes, list[int]] = {}
     for words, y in zip(split, labels.tolist()):
@@ -311,6 +312,7 @@ def score(docs: DataFrame, net: Network | None, fold: int = 0) -> DataFrame:
     frozen = docs.sparkSession.sparkContext.broadcast(net)
 
     def run(batches):
+        common.one_blas_thread()
         scorer = Scorer(frozen.value)
         for batch in batches:
             s = 1 / (1 + np.exp(-scorer.logits(common.texts_of(batch.column(2))).astype(np.float64)))
@@ -326,6 +328,7 @@ def keep_clean(docs: DataFrame, net: Network | None) -> DataFrame:
     frozen = docs.sparkSession.sparkContext.broadcast(net)
 
     def decider():
+        common.one_blas_thread()
         scorer = Scorer(frozen.value)
         return lambda texts: scorer.logits(texts) < 0
 
