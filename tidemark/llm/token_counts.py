@@ -69,6 +69,7 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = "piece_bpe_
     found = texts.join(wanted, texts["of"].eqNullSafe(wanted["of"]))
     same = F.unhex(F.sha2("text", 256)) == F.col("want")
     counted = found.filter(same).select("want", "text").mapInArrow(_counter(vocabulary), "digest binary, n_tokens long")
+    counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a row that is repeated with its id comes once
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     full = read_cache(spark, cache_path, version)
     return digests.join(full, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
