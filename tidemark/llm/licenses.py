@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import math
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,23 +51,24 @@ def signatures(bigrams: list[str], least: float) -> list[str]:
     return sorted(bigrams, key=lambda b: (-min(map(len, b.split())), -len(b), b))[: t - shared + 1]
 
 
-def _bigrams(part: Column) -> Column:
-    w = F.array_remove(F.split(part, " "), "")
-    pairs = lambda x: F.transform(F.sequence(F.lit(0), F.size(x) - 2), lambda i: F.concat_ws(" ", F.get(x, i), F.get(x, i + 1)))
-    return F.when(F.size(w) >= 2, F.array_distinct(pairs(w))).otherwise(F.array().cast("array<string>"))
+def _bigrams(w: Column) -> Column:
+    """Distinct bigrams of a column of words (a column of its own, or every pair would split the part again)."""
+    pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
+    return F.when(F.size(w) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """doc_id, license, dice, n_parts."""
     by_name = {k: b for k, v in sorted(templates.items()) if (b := template_bigrams(v))}
     marks = sorted({s for b in by_name.values() for s in signatures(b, least)})
-    signed = "|".join(rf"\b{m}\b" for m in marks)
-    plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("plain"))
-    found = plain.filter(F.translate("plain", "\n", " ").rlike(signed))
+    # substring search in text made of single-spaced words; a pattern of all signatures costs far more
+    signed = lambda c: F.exists(F.array(c), lambda t: reduce(or_, [t.contains(m) for m in marks]))
+    hinted = docs.filter(signed(F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}]+", " ")))
+    plain = hinted.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("plain"))
     flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     parts = F.concat(F.split("plain", "\n"), F.split("plain", r"\n\s*\n"), F.array("plain"))
-    units = found.select("doc_id", F.explode(F.array_distinct(F.transform(parts, flat))).alias("part")).filter(F.col("part").rlike(signed))
-    units = units.select("doc_id", _bigrams(F.col("part")).alias("own"))
+    units = plain.select("doc_id", F.explode(F.array_distinct(F.transform(parts, flat))).alias("part")).filter(signed(F.col("part")))
+    units = units.select("doc_id", F.split("part", " ").alias("w")).select("doc_id", _bigrams(F.col("w")).alias("own"))
     known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, b)).alias("bigrams")) for k, b in by_name.items()])
     u = F.size("own")
     fits = lambda t: (u >= F.size(t["bigrams"]) * (least / (2 - least)) - 1e-9) & (u <= F.size(t["bigrams"]) * ((2 - least) / least) + 1e-9)
