@@ -66,7 +66,7 @@ def test_list_pairs_lose_nothing():
         pos = np.concatenate([np.sort(r.integers(0, 5, (n == v).sum())) for v in np.unique(n)])
         leaders, tied = r.integers(0, 12, m), np.zeros(m, np.int64)
         tied[:] = np.bincount(leaders, minlength=12)[leaders] > 1
-        got = {(int(a), int(b)) for p in jaccard_join.list_pairs(leaders, n, pos, tied, 9, 10) for a, b in zip(p[0], p[1])}
+        got = {(int(a), int(b)) for p in jaccard_join.list_pairs(leaders, n, pos, tied, np.zeros(m, np.int64), 9, 10) for a, b in zip(p[0], p[1])}
         for i in range(m):
             for j in range(i):
                 x, y = int(n[j]), int(n[i])
