@@ -25,14 +25,11 @@ from .wordpieces import WordMemo
 
 VOCABULARY, IDS = "word_bpe_49k.json", 49408
 END, START = IDS, IDS + 1
-WINDOW, STRIDE, DIM = 32, 24, 16
-ALONE, GROUPS = 64, 64
-SAMPLE_DOCS, TOP, FOLD = 2500, 300_000, 1
+WINDOW, STRIDE, DIM = 32, 27, 16
+ALONE, GROUPS = 56, 56
+SAMPLE_DOCS, TOP, MEMO, FOLD = 2500, 200_000, 400_000, 1
 HEAD = WINDOW - STRIDE
-
-
-def _log_sum(logits: np.ndarray) -> np.ndarray:
-    return np.log(np.exp(logits).sum(1))
+BATCH = 96
 
 
 class Model:
@@ -52,7 +49,7 @@ class Model:
         x = p["e"].take(grid, axis=0) + p["at"]
         q, k, v = (x.reshape(-1, DIM) @ p["qkv"]).reshape(n, WINDOW, 3, DIM).transpose(2, 0, 1, 3)
         a = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
-        np.minimum(a, 30, out=a)
+        np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
         a *= self.mask
         z = a.sum(2, keepdims=True)
@@ -74,14 +71,18 @@ class Model:
         starts = np.concatenate([np.arange(w) * STRIDE for w in windows])
         first, left = starts + np.repeat(begins, windows), np.repeat(sizes, windows) - starts
         values = np.empty(len(flat))
-        for i in range(0, len(first), 512):
-            place = first[i : i + 512, None] + np.arange(WINDOW)
-            grid = inputs.take(np.minimum(place, len(flat) - 1))
-            wanted = (np.arange(WINDOW) < left[i : i + 512, None]) & ((np.arange(WINDOW) >= HEAD) | (starts[i : i + 512, None] == 0))
-            h, at = self.hidden(grid)[wanted], place[wanted]
-            logits = h @ self.p["out"] + self.p["b"]
+        ones, span = np.ones(len(self.p["b"]), np.float32), np.arange(WINDOW)
+        for i in range(0, len(first), BATCH):  # small enough for the processor's cache
+            part = slice(i, i + BATCH)
+            place = first[part, None] + span
+            wanted = (span < left[part, None]) & ((span >= HEAD) | (starts[part, None] == 0))
+            h, at = self.hidden(inputs.take(np.minimum(place, len(flat) - 1)))[wanted], place[wanted]
+            logits = h @ self.p["out"]
+            logits += self.p["b"]
             ids = flat[at]
-            values[at] = logits[np.arange(len(at)), self.classes[ids]] - _log_sum(logits) + self.share[ids]
+            found = logits[np.arange(len(at)), self.classes[ids]]
+            np.exp(logits, out=logits)
+            values[at] = found - np.log(logits @ ones) + self.share[ids]
         return np.add.reduceat(values, begins) / np.log(10)
 
     def gradients(self, grid: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
@@ -150,7 +151,8 @@ def classes_of(flat: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]
     return classes, np.log(smoothed / mass[classes])
 
 
-def fit(texts: list[np.ndarray], steps: int = 4500, batch: int = 64, rate: float = 0.01, seed: int = 9) -> Model:
+def fit(texts: list[np.ndarray], steps: int = 4000, batch: int = 64, rate: float = 0.01, seed: int = 9) -> Model:
+    common.one_blas_thread()
     flat = np.concatenate([np.append(t, END) for t in texts] or [np.array([END])]).astype(np.int64)
     model = Model(*classes_of(flat))
     counts = np.bincount(model.classes[flat], minlength=len(model.p["b"]))
@@ -177,6 +179,7 @@ def fit(texts: list[np.ndarray], steps: int = 4500, batch: int = 64, rate: float
             m += 0.1 * (x - m)
             v += 0.02 * (x * x - v)
             p[k] -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
+    p["out"], p["b"] = np.clip(p["out"], -4, 4), np.clip(p["b"], -20, 20)  # states lie in [-1, 1], so no exponent overflows
     return model
 
 
@@ -247,31 +250,35 @@ def score(docs: DataFrame, fold: int = FOLD, sample_docs: int = SAMPLE_DOCS) ->
     frozen = docs.sparkSession.sparkContext.broadcast((model, [w for w, _ in often], base_of([c for _, c in often]), float(base_of(n_train)), n_train > 0))
 
     def run(batches):
+        common.one_blas_thread()
         net, words, terms, end_term, end_known = frozen.value
-        at, memo, n_often = common.WordIndex(zip(words, range(len(words)))), WordMemo.shared(VOCABULARY), len(words)
+        often, memo = dict(zip(words, terms.tolist())), WordMemo(VOCABULARY, MEMO)
+        term_of = np.zeros(0)
+        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+
+        def table(n, **cols):
+            return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
+
         for batch in batches:
-            rids, ids, held = (batch.column(i).to_pylist() for i in range(3))
             texts = [t.lower() for t in common.texts_of(batch.column(3))]
             for a, b in common.slices(texts):
-                part = texts[a:b]
-                encoded = list(memo.encode(part))
-                values = net.scores([np.append(x, np.uint32(END)) for x in encoded])
-                numbered = [np.array(at.of(t.split()), np.int64) for t in part]
-                late = list(at)[n_often:]
-                cols: list[list] = [[] for _ in range(9)]
-                for k, x in enumerate(numbered):
-                    near = x[x < n_often]
-                    row = (rids[a + k], ids[a + k], held[a + k], len(x) + 1, len(near) + end_known, float(terms[near].sum()) + end_term, float(values[k]), None, 0)
-                    for c, y in zip(cols, row):
-                        c.append(y)
-                    u, tf = np.unique(x[x >= n_often], return_counts=True)
-                    for w, t in zip(u.tolist(), tf.tolist()):
-                        for c, y in zip(cols, (rids[a + k], None, None, 0, 0, 0.0, 0.0, late[w - n_often], t)):
-                            c.append(y)
-                for w in late:
-                    del at[w]
-                kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[x.split()[0] for x in SCHEMA.split(", ")])
+                places = memo.numbered(texts[a:b])
+                if len(term_of) > len(memo.words):  # the memo started anew
+                    term_of = np.zeros(0)
+                term_of = np.concatenate((term_of, [often.get(w, np.nan) for w in memo.words[len(term_of) :]]))
+                sizes = np.array([len(x) for x in places])
+                owner, flat = np.repeat(np.arange(b - a), sizes), np.fromiter((i for x in places for i in x), np.int64, sizes.sum())
+                value = term_of[flat]
+                rare = np.isnan(value)
+                base = np.bincount(owner[~rare], weights=value[~rare], minlength=b - a) + end_term
+                near = np.bincount(owner[~rare], minlength=b - a) + int(end_known)
+                scores = net.scores([np.append(memo.ids_of(x), np.uint32(END)) for x in places])
+                head = {c: batch.column(i).slice(a, b - a) for i, c in enumerate(("rid", "doc_id", "held_out"))}
+                yield table(b - a, **head, n_tokens=pa.array(sizes + 1), n_known=pa.array(near), base=pa.array(base), score=pa.array(scores))
+                pairs, tf = np.unique(owner[rare] * len(memo.words) + flat[rare], return_counts=True)
+                rids = head["rid"].to_numpy(zero_copy_only=False)[pairs // len(memo.words)] if len(pairs) else np.zeros(0, np.int64)
+                yield table(len(pairs), rid=pa.array(rids), word=pa.array([memo.words[w] for w in (pairs % max(1, len(memo.words))).tolist()], pa.binary()), tf=pa.array(tf))
 
     rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), common.held_out(fold).alias("held_out"), "text")
     mixed = common.staged(rows.mapInArrow(run, SCHEMA), "scored")

@@ -32,7 +32,10 @@ class WordMemo:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(public_tokenizers.path(vocabulary)), limit
-        self.index, self.ids = common.WordIndex(), []
+        self._clear()
+
+    def _clear(self) -> None:
+        self.index, self.ids, self.words = common.WordIndex(), [], []
 
     @classmethod
     def shared(cls, vocabulary: str) -> "WordMemo":
@@ -61,22 +64,22 @@ class WordMemo:
 
     def encode(self, texts: list[bytes]):
         """Each text's ids as uint32."""
-        size, run = 0, []
-        for t in texts:
-            run.append(t)
-            size += len(t)
-            if size > 1 << 20:
-                yield from self._encode(run)
-                size, run = 0, []
-        yield from self._encode(run)
-
-    def _encode(self, texts: list[bytes]):
+        for first, last in common.slices(texts):
+            for at in self.numbered(texts[first:last]):
+                yield self.ids_of(at)
+
+    def numbered(self, texts: list[bytes]) -> list[list[int]]:
+        """The words of each text as places in `words` and `ids`, which hold until the next call (a full memo starts anew)."""
         if len(self.index) > self.limit:
-            self.index, self.ids = common.WordIndex(), []
+            self._clear()
         index, known = self.index, len(self.ids)
-        numbered = [index.of(t.split()) for t in texts]
+        out = [index.of(t.split()) for t in texts]
         if len(index) > known:
-            self.ids += self._learn(list(islice(reversed(index), len(index) - known))[::-1])
+            new = list(islice(reversed(index), len(index) - known))[::-1]
+            self.words += new
+            self.ids += self._learn(new)
+        return out
+
+    def ids_of(self, places: list[int]) -> np.ndarray:
         ids = self.ids
-        for at in numbered:
-            yield np.frombuffer(b"".join([ids[i] for i in at]), np.uint32)
+        return np.frombuffer(b"".join([ids[i] for i in places]), np.uint32)
