@@ -25,9 +25,9 @@ from .wordpieces import WordMemo
 
 VOCABULARY, IDS = "word_bpe_49k.json", 49408
 END, START = IDS, IDS + 1
-WINDOW, STRIDE, DIM = 32, 27, 16
-ALONE, GROUPS = 56, 56
-SAMPLE_DOCS, TOP, MEMO, FOLD = 2500, 200_000, 400_000, 1
+WINDOW, STRIDE, DIM = 32, 28, 16
+ALONE, GROUPS = 48, 48
+SAMPLE_DOCS, TOP, MEMO, FOLD = 2500, 300_000, 400_000, 1
 HEAD = WINDOW - STRIDE
 BATCH = 96
 
