@@ -390,6 +390,16 @@ def _(s, d):
     return N.tsb(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
 
+@query("croston_users")
+def _(s, d):
+    return N.croston(V.panel_d_user(s, d), 1).select(ID, *rnd("yhat", n=6))
+
+
+@query("tsb_users")
+def _(s, d):
+    return N.tsb(V.panel_d_user(s, d), 1).select(ID, *rnd("yhat", n=6))
+
+
 @query("garch_path", _recursive("returns_d", "ms as v, y as last", "0.0001::double + 0.1::double * x.last * x.last + 0.8::double * x.v, r.y", "select unique_id, round(v, 10) as sigma2 from x where p = n"))
 def _(s, d):
     return N.garch_path(V.returns_d(s, d), 1e-4, 0.1, 0.8).select(ID, *rnd("sigma2", n=10))
@@ -787,7 +797,7 @@ def _model_query(name: str, view: str, h: int, **params):
 for _name, _view, _params in (
     ("ses", "panel_m", {}), ("holt", "panel_m", {}), ("holt_winters", "panel_m", {"season_length": 12}), ("auto_ets", "panel_m", {"season_length": 12}), ("theta", "panel_m", {"season_length": 12}),
     ("arima", "panel_m", {}), ("auto_arima", "panel_m", {"max_p": 2, "max_q": 2}), ("sarima", "panel_m", {}), ("auto_sarima", "panel_m", {"max_p": 1, "max_q": 1}), ("mstl", "panel_m", {"periods": 12}),
-    ("kalman", "panel_m", {}), ("ridge_lag", "panel_m", {"lags": 6}), ("croston", "panel_u", {}), ("tsb", "panel_u", {}), ("garch", "returns_d", {}),
+    ("kalman", "panel_m", {}), ("ridge_lag", "panel_m", {"lags": 6}), ("croston", "panel_d_user", {}), ("tsb", "panel_d_user", {}), ("garch", "returns_d", {}),
 ):
     _model_query(_name, _view, 6, **_params)
 

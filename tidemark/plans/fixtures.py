@@ -30,6 +30,13 @@ def panel_u(s, d) -> DataFrame:
     return to_panel(e, ["event_type", "user_id"], "ts", None, "D", span="panel")
 
 
+def panel_d_user(s, d) -> DataFrame:
+    """Daily counts of each event type of every user: intermittent demand, zero filled."""
+    from ..operators.panel import to_panel
+
+    return to_panel(table(s, d, "events"), ["event_type", "user_id"], "ts", None, "D", span="panel")
+
+
 def returns_d(s, d) -> DataFrame:
     p = panel_d(s, d)
     return p.withColumn(TARGET, F.col(TARGET) / F.lag(TARGET).over(by_time()) - 1).filter(F.col(TARGET).isNotNull())
