@@ -43,3 +43,12 @@ def test_intermittent_queries_score_every_user(spark, tmp_path):
         got = catalogue.queries()[f"model_{name}"](spark, str(tmp_path)).collect()
         assert {x.unique_id for x in got} == set(series) and len(got) == 6 * len(series)
         assert all(abs(x.yhat - brute(series[x.unique_id])) < 2e-3 for x in got)
+
+
+def test_lm_model_keeps_its_size_and_context():
+    import inspect
+
+    from tidemark.llm import lm
+
+    assert lm.WINDOW - lm.STRIDE == 8 and (lm.ALONE, lm.GROUPS) == (64, 64)
+    assert inspect.signature(lm.fit).parameters["steps"].default == 4500
