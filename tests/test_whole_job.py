@@ -52,3 +52,35 @@ def test_lm_model_keeps_its_size_and_context():
 
     assert lm.WINDOW - lm.STRIDE == 8 and (lm.ALONE, lm.GROUPS) == (64, 64)
     assert inspect.signature(lm.fit).parameters["steps"].default == 4500
+
+
+def test_lm_learns_from_every_training_text(spark):
+    import zlib
+
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from tidemark.llm import lm
+
+    ids = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 != lm.FOLD]
+    rows = [(i, "the cat sat on a mat. " * 12 + "a zebra ran. " * (i % 7)) for i in ids] + [(7000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = {}
+
+    def spy(model, coded, *more):
+        kept["start"] = {k: v.copy() for k, v in model.p.items()}
+        kept["texts"] = coded.count()
+        return whole(model, coded, *more)
+
+    whole, lm.trained_on_all = lm.trained_on_all, spy
+    try:
+        few = lm.train(docs, sample_docs=2)
+    finally:
+        lm.trained_on_all = whole
+    every = lm.fit([next(lm.WordMemo.shared(lm.VOCABULARY).encode([t.encode().lower()])) for _, t in rows[:-1]], steps=0)
+    assert kept["texts"] == len(ids)
+    assert (few.classes == every.classes).all() and np.allclose(few.share, every.share)  # classes and shares of the whole fold, not of 2 texts
+    assert all(np.abs(few.p[k] - kept["start"][k]).max() > 1e-4 for k in few.p)
+    held = [np.append(next(lm.WordMemo.shared(lm.VOCABULARY).encode([b"the cat sat on a mat. a zebra ran."])), lm.END)]
+    assert few.scores(held)[0] > every.scores(held)[0]
+    assert F is not None

@@ -4,7 +4,8 @@ Model. A text's words (A-Z lower-cased) become subword ids of a public vocabular
 windows of WINDOW ids; they overlap by WINDOW - STRIDE, and each id is scored once, in the first window that holds it, with
 at least WINDOW - STRIDE ids before it (or the text's start). The output is factored: a softmax over classes of ids (the most frequent ids
 alone, the others grouped by k-means on their neighbours), then the id's share of its class. Windows of many texts run as one
-batch under one causal mask. It trains on at most SAMPLE_DOCS whole texts of the training fold.
+batch under one causal mask. Counts of ids and of their neighbours, hence classes and shares, are sums over the whole training
+fold. Training starts on the driver with at most SAMPLE_DOCS of its texts; a pass over all of its texts on the executors follows.
 
 Base. Word counts of the whole training fold are a table made by map-side combined sums. Words at least as frequent as a floor,
 at most TOP of them, are broadcast; the rest of each text's words are joined to the table, pre-aggregated by row.
@@ -15,6 +16,8 @@ are 0 and the model scores by its initial weights.
 
 from __future__ import annotations
 
+import copy
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +32,9 @@ WINDOW, STRIDE, DIM = 32, 24, 16
 ALONE, GROUPS = 64, 64
 SAMPLE_DOCS, TOP, MEMO, FOLD = 2500, 300_000, 400_000, 1
 HEAD = WINDOW - STRIDE
-BATCH = 96
+BATCH, COMMON, RATE = 96, 192, 0.003
+END_BYTES = np.uint16(END).tobytes()
+TIED = ("at", "qkv", "o", "out", "b")
 
 
 class Model:
@@ -115,25 +120,30 @@ class Model:
         return float(loss), g
 
 
-def classes_of(flat: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """Class of each id and the end, and the log of its share there, from training ids."""
+def neighbour_keys(flat: np.ndarray, rest: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """id * 2 COMMON + column for each pair of an id of rest and a common id before or after it; flat is whole texts with their ends."""
+    before, keys = np.concatenate(([END], flat[:-1])), []
+    for a, b, shift in ((flat, before, 0), (flat[:-1], flat[1:], COMMON)):
+        fits = rest[a] & (place[b] >= 0)
+        keys.append(a[fits] * (2 * COMMON) + place[b[fits]] + shift)
+    return np.concatenate(keys)
+
+
+def classes_of(counts: np.ndarray, near_of, seed: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """Class of each id and the end, and the log of its share there, from counts of training ids; near_of(rest, place) has
+    the ids of rest that were met beside common ids and a row for each: square roots of the parts of its neighbours."""
     r = np.random.default_rng(seed)
-    counts = np.bincount(flat, minlength=IDS + 1)[: IDS + 1].astype(np.float64)
     order = np.argsort(-counts, kind="stable")
     top = [END, *[i for i in order[:ALONE].tolist() if i != END]]
     classes = np.full(IDS + 1, -1)
     classes[top] = np.arange(len(top))
-    place = np.full(IDS + 2, -1)
-    common_ids = order[:192]
-    place[common_ids] = np.arange(len(common_ids))
-    rest = np.flatnonzero((classes < 0) & (counts >= 3))
-    row = np.full(IDS + 2, -1)
-    row[rest] = np.arange(len(rest))
-    near = np.zeros((len(rest) + 1, 2 * len(common_ids)), np.float32)
-    for a, b, shift in ((flat[1:], flat[:-1], 0), (flat[:-1], flat[1:], len(common_ids))):
-        fits = (row[a] >= 0) & (place[b] >= 0)
-        np.add.at(near, (row[a[fits]], place[b[fits]] + shift), 1)
-    near = np.sqrt(near[: len(rest)] / np.maximum(near[: len(rest)].sum(1, keepdims=True), 1))
+    place = np.full(IDS + 1, -1)
+    place[order[:COMMON]] = np.arange(COMMON)
+    mask = (classes < 0) & (counts >= 3)
+    rest = np.flatnonzero(mask)
+    near = np.zeros((len(rest), 2 * COMMON), np.float32)
+    met, vectors = near_of(mask, place)
+    near[np.searchsorted(rest, met)] = vectors
     groups = np.zeros(len(rest), np.int64)
     if len(rest) > GROUPS:
         weight = np.sqrt(counts[rest])
@@ -151,44 +161,201 @@ def classes_of(flat: np.ndarray, seed: int = 4) -> tuple[np.ndarray, np.ndarray]
     return classes, np.log(smoothed / mass[classes])
 
 
-def fit(texts: list[np.ndarray], steps: int = 4500, batch: int = 64, rate: float = 0.01, seed: int = 9) -> Model:
-    common.one_blas_thread()
-    flat = np.concatenate([np.append(t, END) for t in texts] or [np.array([END])]).astype(np.int64)
-    model = Model(*classes_of(flat))
-    counts = np.bincount(model.classes[flat], minlength=len(model.p["b"]))
-    model.p["b"] = np.log((counts + 0.5) / (counts + 0.5).sum()).astype(np.float32)
-    inputs = np.concatenate(([START], np.where(flat[:-1] == END, START, flat[:-1])))
-    if len(flat) <= WINDOW:
-        return model
-    r, p = np.random.default_rng(seed), model.p
-    moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in p.items()}
-    for step in range(1, steps + 1):
-        at = r.integers(0, len(flat) - WINDOW, batch)[:, None] + np.arange(WINDOW)
-        _, g = model.gradients(inputs[at], flat[at])
-        now = rate * min(1.0, 2.0 - 2.0 * step / steps + 0.02)
+class Descent:
+    """Adaptive steps of a model; seen counts the inputs met."""
+
+    def __init__(self, model: Model):
+        self.model, self.n = model, 0
+        self.moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.p.items()}
+        self.seen = np.zeros(IDS + 2, np.int64)
+
+    def step(self, grid: np.ndarray, target: np.ndarray, now: float) -> None:
+        p = self.model.p
+        self.n += 1
+        _, g = self.model.gradients(grid, target)
         rows, change = g.pop("e")
-        ids, which = np.unique(rows, return_inverse=True)
+        ids, which, times = np.unique(rows, return_inverse=True, return_counts=True)
+        self.seen[ids] += times
         summed = np.zeros((len(ids), DIM), np.float32)
         np.add.at(summed, which, change)
-        m, v = moment["e"]
+        m, v = self.moment["e"]
         v[ids] += 0.05 * (summed * summed - v[ids])
         m[ids] += 0.1 * (summed - m[ids])
         p["e"][ids] -= now * m[ids] / (np.sqrt(v[ids]) + 1e-5)
         for k, x in g.items():
-            m, v = moment[k]
+            m, v = self.moment[k]
             m += 0.1 * (x - m)
             v += 0.02 * (x * x - v)
-            p[k] -= now * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.98**step)) + 1e-6)
+            p[k] -= now * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.98**self.n)) + 1e-6)
+
+
+def _bounded(model: Model) -> Model:
+    p = model.p
     p["out"], p["b"] = np.clip(p["out"], -4, 4), np.clip(p["b"], -20, 20)  # states lie in [-1, 1], so no exponent overflows
     return model
 
 
+def _inputs(flat: np.ndarray) -> np.ndarray:
+    return np.concatenate(([START], np.where(flat[:-1] == END, START, flat[:-1])))
+
+
+def fit(texts: list[np.ndarray], steps: int = 4500, batch: int = 64, rate: float = 0.01, seed: int = 9, classes: tuple | None = None, counts: np.ndarray | None = None) -> Model:
+    """A model trained on texts; classes with shares and counts of ids are those of the texts unless given."""
+    common.one_blas_thread()
+    flat = np.concatenate([np.append(t, END) for t in texts] or [np.array([END])]).astype(np.int64)
+    if classes is None:
+        counts = np.bincount(flat, minlength=IDS + 1).astype(np.float64)
+
+        def near_of(rest, place):
+            key, n = np.unique(neighbour_keys(flat, rest, place), return_counts=True)
+            return _vectors(key // (2 * COMMON), key % (2 * COMMON), n)
+
+        classes = classes_of(counts, near_of)
+    model = Model(*classes)
+    of_class = np.bincount(model.classes, weights=counts, minlength=len(model.p["b"]))
+    model.p["b"] = np.log((of_class + 0.5) / (of_class + 0.5).sum()).astype(np.float32)
+    inputs = _inputs(flat)
+    if len(flat) <= WINDOW:
+        return model
+    r, descent = np.random.default_rng(seed), Descent(model)
+    for step in range(1, steps + 1):
+        at = r.integers(0, len(flat) - WINDOW, batch)[:, None] + np.arange(WINDOW)
+        descent.step(inputs[at], flat[at], rate * min(1.0, 2.0 - 2.0 * step / steps + 0.02))
+    return _bounded(model)
+
+
+def _vectors(ids: np.ndarray, columns: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    met, row = np.unique(ids, return_inverse=True)
+    near = np.zeros((len(met), 2 * COMMON), np.float32)
+    near[row, columns] = n
+    return met, np.sqrt(near / np.maximum(near.sum(1, keepdims=True), 1))
+
+
+# ---- what training gathers from the whole fold -------------------------------------------------------------------
+
+
+def _encoded(batches):
+    memo = WordMemo(VOCABULARY, MEMO)
+    for batch in batches:
+        texts = [t.lower() for t in common.texts_of(batch.column(1))]
+        for a, b in common.slices(texts):
+            ids = [memo.ids_of(x).astype(np.uint16).tobytes() + END_BYTES for x in memo.numbered(texts[a:b])]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+
+
+def _flat(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).astype(np.int64)
+
+
+def id_counts(coded: DataFrame) -> np.ndarray:
+    """Counts of each id and the end over all texts."""
+
+    def run(batches):
+        counts = np.zeros(IDS + 1, np.int64)
+        for batch in batches:
+            counts += np.bincount(_flat(batch.column(0)), minlength=IDS + 1)
+        ids = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
+
+    out = np.zeros(IDS + 1)
+    for i, n in coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most IDS + 1 rows
+        out[i] = n
+    return out
+
+
+def near_vectors(coded: DataFrame, rest: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The neighbours of the ids of rest over all texts, as classes_of wants them: summed and scaled on the executors."""
+
+    def count(batches):
+        sums = np.zeros((IDS + 1) * 2 * COMMON, np.int32)
+        for batch in batches:
+            key, n = np.unique(neighbour_keys(_flat(batch.column(0)), rest, place), return_counts=True)
+            sums[key] += n.astype(np.int32)
+        keys = np.flatnonzero(sums)
+        for i in range(0, len(keys), 200_000):
+            part = keys[i : i + 200_000]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part].astype(np.int64))], names=["key", "n"])
+
+    def scale(batches):
+        for batch in batches:
+            rows = batch.column(1).to_pylist()
+            ids = np.repeat(batch.column(0).to_numpy(), [len(x) for x in rows])
+            met, near = _vectors(ids, np.array([y["column"] for x in rows for y in x], np.int64), np.array([y["n"] for x in rows for y in x]))
+            yield pa.RecordBatch.from_arrays([pa.array(met), pa.array([x.tobytes() for x in near.astype(np.float16)], pa.binary())], names=["id", "near"])
+
+    sums = coded.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    column = F.struct((F.col("key") % (2 * COMMON)).alias("column"), "n")
+    rows = sums.groupBy(F.expr(f"key div {2 * COMMON}").alias("id")).agg(F.collect_list(column).alias("near")).mapInArrow(scale, "id long, near binary").collect()  # at most IDS
+    met = np.array([x[0] for x in rows], np.int64)
+    return met, np.array([np.frombuffer(x[1], np.float16) for x in rows], np.float32).reshape(len(rows), 2 * COMMON)
+
+
+def _tied(p: dict) -> np.ndarray:
+    """Parameters besides the embeddings, as rows of DIM."""
+    flat = np.concatenate([p[k].ravel() for k in TIED])
+    return np.append(flat, np.zeros(-len(flat) % DIM, np.float32)).reshape(-1, DIM)
+
+
+def trained_on_all(model: Model, coded: DataFrame, batch: int = 64, rate: float = RATE, seed: int = 11) -> Model:
+    """The model after one pass over every training text: each task starts from it and trains on the windows of its own
+    texts; the results are averaged, an id's embedding by how often each task met it, the rest by windows."""
+    frozen = coded.sparkSession.sparkContext.broadcast(model)
+    names = [f"x{i}" for i in range(DIM)]
+
+    def run(batches):
+        common.one_blas_thread()
+        own = copy.deepcopy(frozen.value)
+        descent, r, left = Descent(own), np.random.default_rng(seed), np.zeros(0, np.int64)
+
+        def learn(flat, at):
+            inputs, at = _inputs(flat), r.permutation(at)
+            for i in range(0, len(at), batch):
+                place = at[i : i + batch, None] + np.arange(WINDOW)
+                descent.step(inputs[place], flat[place], rate)
+
+        for part in batches:
+            flat = np.concatenate((left, _flat(part.column(0))))
+            cut = len(flat) - len(flat) % WINDOW
+            learn(flat, np.arange(0, cut, WINDOW))
+            left = flat[cut:]
+        if len(left):  # filled up with ends of empty texts
+            learn(np.append(left, np.full(WINDOW - len(left), END)), np.zeros(1, np.int64))
+        if not descent.n:
+            return
+        met, tied = np.flatnonzero(descent.seen), _tied(own.p)
+        rows = np.concatenate((own.p["e"][met], tied)).astype(np.float64)
+        weight = np.append(descent.seen[met], np.full(len(tied), descent.seen.sum()))
+        keys = np.append(met, IDS + 2 + np.arange(len(tied)))
+        columns = [pa.array(keys), pa.array(weight), *[pa.array(rows[:, i] * weight) for i in range(DIM)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["key", "weight", *names])
+
+    schema = "key long, weight long, " + ", ".join(f"{n} double" for n in names)
+    sums = coded.select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("weight").alias("weight"), *[F.sum(n).alias(n) for n in names])
+    rows = sums.select("key", *[(F.col(n) / F.col("weight")).cast("float").alias(n) for n in names]).toPandas()  # the model's size
+    frozen.destroy()
+    if len(rows):
+        keys, values, p = rows["key"].to_numpy(), rows[names].to_numpy(np.float32), model.p
+        p["e"][keys[keys < IDS + 2]] = values[keys < IDS + 2]
+        tied = _tied(p)
+        tied[keys[keys >= IDS + 2] - IDS - 2] = values[keys >= IDS + 2]
+        flat, at = tied.ravel(), 0
+        for k in TIED:
+            p[k] = flat[at : at + p[k].size].reshape(p[k].shape).copy()
+            at += p[k].size
+    return _bounded(model)
+
+
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, fold: int = FOLD) -> Model:
-    own = docs.filter(~common.held_out(fold) & F.col("text").isNotNull()).select("doc_id", "text")
-    n = own.count()
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
-    rows = own.filter(draw < sample_docs / max(n, 1)).toPandas().sort_values(["doc_id", "text"], kind="stable")
-    return fit(list(WordMemo.shared(VOCABULARY).encode([t.encode().lower() for t in rows["text"]])) if len(rows) else [])
+    own = docs.filter(~common.held_out(fold) & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    coded = common.staged(own.mapInArrow(_encoded, "doc_id string, ids binary"), "ids")
+    n, counts = coded.count(), id_counts(coded)
+    classes = classes_of(counts, lambda rest, place: near_vectors(coded, rest, place))
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
+    rows = coded.filter(draw < sample_docs / max(n, 1)).toPandas().sort_values(["doc_id", "ids"], kind="stable")
+    start = fit([np.frombuffer(x, np.uint16)[:-1] for x in rows["ids"]], classes=classes, counts=counts)
+    model = trained_on_all(start, coded)
+    common.dropped(coded)
+    return model
 
 
 # ---- the base ----------------------------------------------------------------------------------------------------
