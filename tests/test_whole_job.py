@@ -84,3 +84,35 @@ def test_lm_learns_from_every_training_text(spark):
     held = [np.append(next(lm.WordMemo.shared(lm.VOCABULARY).encode([b"the cat sat on a mat. a zebra ran."])), lm.END)]
     assert few.scores(held)[0] > every.scores(held)[0]
     assert F is not None
+
+
+def test_licenses_inside_lines(spark):
+    from tidemark.llm import licenses
+
+    filler = "some words that have nothing to do with it "
+    texts = {
+        1: "Our code is released under the MIT License.",
+        2: "Copyright 2024 Acme Inc. Licensed under the Apache License, Version 2.0.",
+        3: filler * 5 + licenses.TEMPLATES["ISC"].replace(" any ", "\nsome ") + " " + filler * 40,
+        4: filler * 3 + "Released under the BSD License " + filler,
+        5: "MIT License",
+        6: filler + licenses.TEMPLATES["CC-BY-4.0"] + "\n" + licenses.TEMPLATES["CC-BY-4.0"],
+        7: "a " + licenses.TEMPLATES["Apache-2.0-notice"] + " b " + licenses.TEMPLATES["MIT"],
+    }
+
+    def brute(text):
+        w = licenses.re.sub(r"[^a-z0-9]+", " ", text.lower()).split()
+        found = {}
+        for k, v in licenses.TEMPLATES.items():
+            b, m = set(licenses.template_bigrams(v)), len(licenses.re.findall("[a-z0-9]+", v.lower()))
+            for i in range(len(w) - m + 1):
+                own = set(licenses.template_bigrams(" ".join(w[i : i + m])))
+                found[k] = max(found.get(k, 0), 2 * len(own & b) / (len(own) + len(b)))
+        return {k: d for k, d in found.items() if d >= licenses.LEAST}
+
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {(r.doc_id, r.license): r for r in licenses.scan(frame).collect()}
+    want = {(i, k): d for i, t in texts.items() for k, d in brute(t).items()}
+    assert {(1, "MIT"), (2, "Apache-2.0"), (3, "ISC"), (6, "CC-BY-4.0"), (7, "Apache-2.0"), (7, "Apache-2.0-notice"), (7, "MIT")} <= set(want)
+    assert {k: r.dice for k, r in got.items()} == {k: pytest.approx(d, abs=1e-6) for k, d in want.items()}
+    assert got[1, "MIT"].n_parts == 0 and got[6, "CC-BY-4.0"].n_parts == 1

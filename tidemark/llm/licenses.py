@@ -1,12 +1,13 @@
 """License scans: Dice coefficient over word bigrams between parts of a text and licence templates. DataFrame functions throughout.
 
 Text is lower-cased and everything but letters and digits becomes one space. Compared are each line, each paragraph (between
-blank lines) and the whole text. A part with u distinct bigrams can reach Dice d with a template of t only if
+blank lines) and the whole text, and, for notices that share these with other words, each window of the text with as many words as a
+template. A part with u distinct bigrams can reach Dice d with a template of t only if
 t d / (2 - d) <= u <= t (2 - d) / d; other templates are pruned for it. Such a part also holds at least t d / (2 - d) of the
 template's bigrams, so it holds one of any t - ceil(t d / (2 - d)) + 1 of them: those with the longest words serve as signatures, and
-texts and parts without any are skipped before bigrams are made. Neither bound loses a match.
+texts and parts without any are skipped before bigrams are made, and windows are taken only around them. Neither bound loses a match.
 
-One row per document row and licence found: the best Dice and the number of matching parts. Null and empty texts and one-word
+One row per document row and licence found: the best Dice and the number of matching parts, 0 where only windows match. Null and empty texts and one-word
 parts match nothing. Repeated rows with one id count together. Extra columns are not read.
 """
 
@@ -51,10 +52,27 @@ def signatures(bigrams: list[str], least: float) -> list[str]:
     return sorted(bigrams, key=lambda b: (-min(map(len, b.split())), -len(b), b))[: t - shared + 1]
 
 
-def _bigrams(w: Column) -> Column:
-    """Distinct bigrams of a column of words (a column of its own, or every pair would split the part again)."""
+def template_words(text: str) -> int:
+    return len(re.sub(r"[^a-z0-9]+", " ", text.lower()).split())
+
+
+def _pairs(w: Column) -> Column:
+    """Bigrams of a column of words, in order (a column of its own, or every pair would split the part again)."""
     pairs = F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1)))
-    return F.when(F.size(w) >= 2, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    return F.when(F.size(w) >= 2, pairs).otherwise(F.array().cast("array<string>"))
+
+
+def _best_window(pairs: Column, t: Column) -> Column:
+    """The best Dice of windows of t's number of words that hold a signature of t; null without any."""
+    long = t["words"] - 1  # bigrams of a window
+    spots = F.filter(F.sequence(F.lit(0), F.size(pairs) - 1), lambda i: F.array_contains(t["signatures"], F.get(pairs, i)))
+    starts = F.array_distinct(F.flatten(F.transform(spots, lambda p: F.sequence(F.greatest(F.lit(0), p - long + 1), F.least(p, F.size(pairs) - long)))))
+
+    def dice(i):
+        own = F.array_distinct(F.slice(pairs, i + 1, long))
+        return 2.0 * F.size(F.array_intersect(own, t["bigrams"])) / (F.size(own) + F.size(t["bigrams"]))
+
+    return F.array_max(F.transform(starts, dice))
 
 
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> DataFrame:
@@ -67,14 +85,22 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float =
     plain = hinted.select(F.col("doc_id").cast("long").alias("doc_id"), F.regexp_replace(F.lower("text"), r"[^\p{L}\p{N}\n]+", " ").alias("plain"))
     flat = lambda x: F.trim(F.regexp_replace(x, r"\s+", " "))
     parts = F.concat(F.split("plain", "\n"), F.split("plain", r"\n\s*\n"), F.array("plain"))
-    units = plain.select("doc_id", F.explode(F.array_distinct(F.transform(parts, flat))).alias("part")).filter(signed(F.col("part")))
-    units = units.select("doc_id", F.split("part", " ").alias("w")).select("doc_id", _bigrams(F.col("w")).alias("own"))
-    known = F.array(*[F.struct(F.lit(k).alias("license"), F.array(*map(F.lit, b)).alias("bigrams")) for k, b in by_name.items()])
+    units = F.concat(F.transform(F.array_distinct(F.transform(parts, flat)), lambda x: F.struct(x.alias("part"), F.lit(1).alias("n"))), F.array(F.struct(flat(F.col("plain")).alias("part"), F.lit(0).alias("n"))))
+    units = plain.select("doc_id", F.explode(units).alias("x")).select("doc_id", "x.*").filter(signed(F.col("part")))
+    units = units.select("doc_id", "n", F.split("part", " ").alias("w")).select("doc_id", "n", _pairs(F.col("w")).alias("pairs"))
+    units = units.select("doc_id", "n", "pairs", F.array_distinct("pairs").alias("own"))
+    known = F.array(*[
+        F.struct(F.lit(k).alias("license"), F.lit(template_words(templates[k])).alias("words"), F.array(*map(F.lit, b)).alias("bigrams"), F.array(*map(F.lit, signatures(b, least))).alias("signatures"))
+        for k, b in by_name.items()
+    ])
     u = F.size("own")
     fits = lambda t: (u >= F.size(t["bigrams"]) * (least / (2 - least)) - 1e-9) & (u <= F.size(t["bigrams"]) * ((2 - least) / least) + 1e-9)
-    dice = lambda t: 2.0 * F.size(F.array_intersect("own", t["bigrams"])) / (u + F.size(t["bigrams"]))
-    scored = units.select("doc_id", F.explode(F.transform(F.filter(known, fits), lambda t: F.struct(t["license"].alias("license"), dice(t).alias("dice")))).alias("m"))
-    return scored.select("doc_id", "m.*").filter(F.col("dice") >= least).groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("n_parts"))
+    holds = lambda t: (F.size("pairs") >= t["words"] - 1) & F.arrays_overlap("own", t["signatures"])
+    tried = units.select("doc_id", "n", "pairs", "own", F.explode(F.filter(known, lambda t: F.when(F.col("n") == 1, fits(t)).otherwise(holds(t)))).alias("t"))
+    t = F.col("t")
+    dice = 2.0 * F.size(F.array_intersect("own", t["bigrams"])) / (u + F.size(t["bigrams"]))
+    scored = tried.select("doc_id", "n", t["license"].alias("license"), F.when(F.col("n") == 1, dice).otherwise(_best_window(F.col("pairs"), t)).alias("dice"))
+    return scored.filter(F.col("dice") >= least).groupBy("doc_id", "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.sum("n").alias("n_parts"))
 
 
 def oracle(templates: dict[str, str] = TEMPLATES, least: float = LEAST) -> str:
