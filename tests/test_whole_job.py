@@ -116,3 +116,18 @@ def test_licenses_inside_lines(spark):
     assert {(1, "MIT"), (2, "Apache-2.0"), (3, "ISC"), (6, "CC-BY-4.0"), (7, "Apache-2.0"), (7, "Apache-2.0-notice"), (7, "MIT")} <= set(want)
     assert {k: r.dice for k, r in got.items()} == {k: pytest.approx(d, abs=1e-6) for k, d in want.items()}
     assert got[1, "MIT"].n_parts == 0 and got[6, "CC-BY-4.0"].n_parts == 1
+
+
+def test_similarities_do_not_depend_on_blocks(spark):
+    from tidemark.llm import decontamination
+
+    from .llm.conftest import edited, prose
+
+    r = random.Random(9)
+    head = prose(r, 12)
+    items = [head + " " + prose(r, 20) for _ in range(8)] + [prose(r, 3), "", None]
+    docs = [(i, prose(r, 30) + " " + edited(r, items[i % 9], i % 2) + " " + head) for i in range(27)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    whole, parts = (sorted(map(tuple, decontamination.find(frame, bench, item_block=n).collect())) for n in (100, 2))
+    assert parts == whole and len({x[1] for x in whole}) == 9 and any(x[2] < 1 for x in whole)

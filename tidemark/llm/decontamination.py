@@ -7,8 +7,8 @@ splits fingerprints into four blocks of 16 bits; within RADIUS of an item some b
 of such block values give every item within RADIUS. Each candidate is verified by exact weighted Jaccard similarity of shingle
 multisets, a shingle weighing ln(1 + items / items that hold it) (those unknown to the benchmark as if one did).
 
-The benchmark is the query set; it is taken in blocks of ITEM_BLOCK items, each broadcast with its tables (bounded), and each scans all
-texts whole. One row per document row and item reached: best similarity and its first window. Null and empty texts and items match
+The benchmark is the query set; it is taken in blocks of ITEM_BLOCK items, each broadcast with its tables (bounded) and the
+counts of all items' shingles (16 bytes a distinct shingle of the benchmark), and each scans all texts whole. One row per document row and item reached: best similarity and its first window. Null and empty texts and items match
 nothing. Repeated ids are scanned one by one and joined into one row for each id and item. Extra columns are not read.
 """
 
@@ -35,20 +35,40 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.packbits(sums > 0, axis=1, bitorder="little").view("<u8").ravel()
 
 
+def _shingles(texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Each text's shingles and number of words."""
+    words, bounds = common.word_hashes(texts, marks=True)
+    with np.errstate(over="ignore"):
+        return common.shingle_hashes(words, bounds, K), np.diff(bounds)
+
+
+def holders_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, int]:
+    """The texts' distinct shingles, the number of texts that hold each, and the number of texts with words."""
+    shingles, sizes = _shingles(texts)
+    known, holders = np.unique(np.concatenate([np.unique(x) for x in shingles] or [np.zeros(0, np.uint64)]), return_counts=True)
+    return known, holders, int((sizes > 0).sum())
+
+
+def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, int]:
+    known, at = np.unique(np.concatenate((a[0], b[0])), return_inverse=True)
+    return known, np.bincount(at, weights=np.concatenate((a[1], b[1])), minlength=len(known)).astype(np.int64), a[2] + b[2]
+
+
 class Index:
-    def __init__(self, item_ids: list[int], texts: list[bytes]):
-        words, bounds = common.word_hashes(texts, marks=True)
-        with np.errstate(over="ignore"):
-            shingles = common.shingle_hashes(words, bounds, K)
-        sizes = np.diff(bounds)
+    def __init__(self, item_ids: list[int], texts: list[bytes], benchmark: tuple | None = None):
+        """Items to find; benchmark: holders_of all items, where these are only a block of them."""
+        shingles, sizes = _shingles(texts)
         some = [i for i in range(len(texts)) if sizes[i]]
         self.item_ids = np.array([item_ids[i] for i in some], np.int64)
         self.sizes = sizes[some].astype(np.int64)
         bags = [np.unique(shingles[i], return_counts=True) for i in some]
-        self.known, holders = np.unique(np.concatenate([b[0] for b in bags] or [np.zeros(0, np.uint64)]), return_counts=True)
-        self.unknown = float(np.log1p(len(some)))
-        self.weight = np.log1p(len(some) / holders)
+        self.known, holders, items = benchmark or holders_of(texts)
+        self.unknown = float(np.log1p(items))
+        self.weight = np.log1p(items / holders)
         self.bags = [(np.searchsorted(self.known, u), n) for u, n in bags]
+        self.own = np.zeros(len(self.known) + 1, bool)  # by place; the last is of place -1
+        for at, _ in self.bags:
+            self.own[at] = True
         self.mass = np.array([(self.weight[at] * n).sum() for at, n in self.bags])
         self.coarse = np.zeros(1 << 20, bool)
         self.coarse[self.known & np.uint64((1 << 20) - 1)] = True
@@ -88,17 +108,18 @@ class Index:
         """Weighted Jaccard of the item and a window's shingles, as multisets."""
         inside = places >= 0
         _, other = np.unique(shingles[~inside], return_counts=True)
-        found = np.bincount(places[inside], minlength=len(self.known)) if inside.any() else np.zeros(len(self.known), np.int64)
+        met, found = np.unique(places[inside], return_counts=True)
         at, n = self.bags[item]
-        shared = (self.weight[at] * np.minimum(n, found[at])).sum()
-        whole = (self.weight * found).sum() + self.unknown * other.sum() + self.mass[item] - shared
+        both, i, j = np.intersect1d(at, met, assume_unique=True, return_indices=True)
+        shared = (self.weight[both] * np.minimum(n[i], found[j])).sum()
+        whole = (self.weight[met] * found).sum() + self.unknown * other.sum() + self.mass[item] - shared
         return round(float(shared / whole), 9) if whole > 0 else 0.0
 
     def search(self, words: np.ndarray, shingles: np.ndarray, places: np.ndarray):
         """(item, similarity, start, words) of each item that a text reaches."""
         best: dict[int, tuple] = {}
         n = len(words)
-        hits = np.flatnonzero(places >= 0)
+        hits = np.flatnonzero(self.own[places])
         if len(hits):
             sums, lo = None, max(0, int(hits[0]) - max(self.long, default=K))
             hi = min(len(shingles), int(hits[-1]) + max(self.long, default=K) + 1)
@@ -126,7 +147,7 @@ class Index:
                 sizes = np.array([len(s) for s in per_text])
                 flat = self.places(np.concatenate(per_text)) if len(per_text) else np.zeros(0, np.int64)
                 ends = np.cumsum(sizes)
-                for i in np.unique(np.searchsorted(ends, np.flatnonzero(flat >= 0), side="right")).tolist():
+                for i in np.unique(np.searchsorted(ends, np.flatnonzero(self.own[flat]), side="right")).tolist():
                     at = ends[i] - sizes[i]
                     if bounds[i + 1] - bounds[i] >= K:
                         for item, s, start, n in self.search(words[bounds[i] : bounds[i + 1]], per_text[i], flat[at : ends[i]]).values():
@@ -149,10 +170,15 @@ def find(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) ->
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     blocks = max(1, -(-items.count() // item_block))
-    out = None
+    block = lambda b: items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas().sort_values(["item_id", "text"])
+    out = whole = None
+    if blocks > 1:
+        for b in range(blocks):
+            more = holders_of([t.encode() for t in block(b)["text"]])
+            whole = more if whole is None else _merged(whole, more)
     for b in range(blocks):
-        own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas().sort_values(["item_id", "text"])
-        index = docs.sparkSession.sparkContext.broadcast(Index(own["item_id"].tolist(), [t.encode() for t in own["text"]]))
+        own = block(b)
+        index = docs.sparkSession.sparkContext.broadcast(Index(own["item_id"].tolist(), [t.encode() for t in own["text"]], whole))
 
         def run(batches, index=index):
             for batch in batches:
