@@ -4,35 +4,43 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import gc
 import glob
 import hashlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
 SLICE_BYTES = 1 << 20
 BATCH_ROWS = 2000
+ROWS_A_FILE = 400_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """The table. Arrow batches to Python are kept to BATCH_ROWS rows, as texts may be long."""
+    """The table, for a registered query. Where the session has not set how many rows an Arrow batch to Python holds, it is
+    set to BATCH_ROWS, as texts may be long; operators called with frames of one's own leave the session as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+    if not spark.conf.get(key, ""):
         spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which all executors share; a temporary one only where it is unset (tests)."""
+    """The folder in spark.checkpoint.dir, which all executors share. Only a session that is one process (tests) may leave it
+    unset and gets a temporary one; on a cluster that is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="tidemark-")
         atexit.register(shutil.rmtree, found, ignore_errors=True)
         spark.sparkContext.setCheckpointDir(found)
@@ -45,10 +53,13 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: cuts the lineage and survives lost executors. Removed when the driver ends."""
+def staged(df: DataFrame, name: str, rows: int | None = None, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """df as a table in the shared folder: cuts the lineage and survives lost executors. Removed when the driver ends.
+    rows: where given, about how many there are, so that few rows do not become many files."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(1 + rows // rows_a_file)
     df.write.parquet(path)
     atexit.register(_quietly_remove, spark, path)
     out = spark.read.schema(df.schema).parquet(path)
@@ -62,6 +73,50 @@ def dropped(*tables: DataFrame) -> None:
         remove(t.sparkSession, t._staged_at)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """df on the executors' disks while several jobs read it; what a lost executor held is computed again. For results of a few
+    steps only: longer lineages are cut by tables. Ends with unpersist()."""
+    return df.persist(StorageLevel.DISK_ONLY)
+
+
+def settled(df: DataFrame, name: str, rows_a_file: int = ROWS_A_FILE) -> DataFrame:
+    """df as a staged table of as few files as its rows need, computed by as many tasks as it has before; `rows` of it tells how many."""
+    kept = held(df)
+    n = kept.count()
+    out = staged(kept, name, n, rows_a_file)
+    kept.unpersist()
+    out.rows = n
+    return out
+
+
+def freed() -> None:
+    """Hands memory that a worker no longer needs back to the system, as the worker lives on for other stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def drawn(rows: DataFrame, n: dict, seed: int, by: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
+    """At most n[g] rows of each group g of the column by (None: of all rows), texts of about most_bytes together: those least by
+    a hash of id and text, so the same rows whatever the partitions, and null or repeated ids are no more likely than others.
+    rows: doc_id, text and other columns. Texts over most_bytes / 64 are not drawn."""
+    place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text")
+    group = F.lit(None) if by is None else F.col(by)
+    eligible = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 64).withColumn("_place", place)
+    sizes = eligible.groupBy(group.alias("_group")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).collect()
+    out = eligible.limit(0)
+    for g, count, size in sorted(sizes, key=str):  # a row a group
+        most = n.get(g, 0)
+        share = min(1.0, 1.5 * most / count, most_bytes / max(1, size))
+        own = eligible if by is None else eligible.filter(group.eqNullSafe(F.lit(g)))
+        own = own.filter(F.col("_place") <= F.lit(int((2 * share - 1) * ((1 << 63) - 1)))) if share < 1 else own
+        out = out.unionByName(own.orderBy("_place").limit(most))
+    return out.drop("_place")
+
+
 def _quietly_remove(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)
@@ -121,14 +176,16 @@ _powers: list[np.ndarray] = []
 
 
 def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, SLICE_BYTES + 4096)
-        for base in (_ODD, _INVERSE):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers.append(np.multiply.accumulate(x))
-        del _powers[:-2]
-    return _powers[0], _powers[1]
+    if _powers and len(_powers[0]) >= n:
+        return _powers[0], _powers[1]
+    found = []
+    for base in (_ODD, _INVERSE):
+        x = np.full(max(n, 2 * SLICE_BYTES + 4096), base, np.uint64)
+        x[0] = 1
+        found.append(np.multiply.accumulate(x))
+    if n <= 4 * SLICE_BYTES:  # those of a single huge word are not kept
+        _powers[:] = found
+    return found[0], found[1]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -148,9 +205,12 @@ _IS_SPACE[list(SPACES)] = True
 
 
 def slices(texts: list[bytes]):
-    """Runs of texts of about SLICE_BYTES together: (first, last) pairs."""
+    """Runs of texts of about SLICE_BYTES together: (first, last) pairs. A longer text is a run of its own."""
     start, size = 0, 0
     for i, t in enumerate(texts):
+        if len(t) > SLICE_BYTES and i > start:
+            yield start, i
+            start, size = i, 0
         size += len(t)
         if size >= SLICE_BYTES:
             yield start, i + 1
@@ -165,7 +225,26 @@ _IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 def word_hashes(texts: list[bytes], marks: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words of all texts, A-Z lower-cased, and each text's first index (one more at the end).
-    With marks, ASCII punctuation parts words too."""
+    With marks, ASCII punctuation parts words too. Long texts are hashed in pieces of about SLICE_BYTES, cut between words."""
+    if len(texts) == 1 and len(texts[0]) > 2 * SLICE_BYTES:
+        parts = [_word_hashes([p], marks)[0] for p in _pieces(texts[0], marks)]
+        hashes = np.concatenate(parts)
+        return hashes, np.array([0, len(hashes)])
+    return _word_hashes(texts, marks)
+
+
+def _pieces(text: bytes, marks: bool):
+    """text in order, cut at white space (with marks also at ASCII punctuation) about every SLICE_BYTES; a longer word stays whole."""
+    apart = re.compile(rb"[\x00-/:-@\[-`{-\x7f]" if marks else rb"[ \t\n\x0b\x0c\r]")
+    at = 0
+    while at < len(text):
+        cut = apart.search(text, at + SLICE_BYTES)
+        to = cut.end() if cut else len(text)
+        yield text[at:to]
+        at = to
+
+
+def _word_hashes(texts: list[bytes], marks: bool) -> tuple[np.ndarray, np.ndarray]:
     buf = np.frombuffer(b" ".join(texts), np.uint8)
     if not len(buf):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
@@ -217,27 +296,31 @@ def digest(sorted_set: np.ndarray) -> bytes:
     return hashlib.blake2b(sorted_set.tobytes(), digest_size=16).digest()
 
 
-# ---- a filter of fixed size for ids ------------------------------------------------------------------------------
+# ---- a bounded filter for ids -------------------------------------------------------------------------------------
+
+FILTER_WORDS, MOST_FILTER_WORDS = 1 << 17, 1 << 21
+
 
-FILTER_WORDS = 1 << 17
+def filter_words(n: int) -> int:
+    """64-bit words of a filter for n ids: sixteen bits an id between 1 MB and 16 MB."""
+    return min(MOST_FILTER_WORDS, max(FILTER_WORDS, 1 << max(0, (n // 4)).bit_length()))
 
 
-def id_filter(ids: DataFrame, column: str) -> np.ndarray:
-    """A bitmap of 2**23 bits (1 MB whatever the input) in which the bit of each id is set. Built on the executors by
-    bit_or; at most FILTER_WORDS rows reach the driver. It only thins what a join reads afterwards."""
+def id_filter(ids: DataFrame, column: str, words: int = FILTER_WORDS) -> np.ndarray:
+    """A bitmap in which the bit of each id is set, of at most 16 MB whatever the input. Built on the executors by bit_or; at
+    most `words` rows reach the driver. It only thins what a join reads afterwards."""
     rows = (
-        ids.select(spot_column(column).alias("spot"))
+        ids.select(spot_column(column, words).alias("spot"))
         .select(F.expr("spot div 64").alias("w"), F.expr("shiftleft(1L, cast(spot % 64 as int))").alias("b"))
-        .groupBy("w").agg(F.bit_or("b").alias("b")).collect()
+        .groupBy("w").agg(F.bit_or("b").alias("b")).toArrow()
     )
-    out = np.zeros(FILTER_WORDS, np.int64)
-    for w, b in rows:
-        out[w] = b
+    out = np.zeros(words, np.int64)
+    out[rows.column("w").to_numpy()] = rows.column("b").to_numpy()
     return out.view(np.uint64)
 
 
-def spot_column(column: str) -> F.Column:
-    return F.pmod(F.xxhash64(F.col(column)), F.lit(FILTER_WORDS * 64))
+def spot_column(column: str, words: int = FILTER_WORDS) -> F.Column:
+    return F.pmod(F.xxhash64(F.col(column)), F.lit(words * 64))
 
 
 def in_filter(bits: np.ndarray, spots: np.ndarray) -> np.ndarray:

@@ -1,13 +1,13 @@
 """Harmonic packing of token sequences.
 
 A document's ids are cut into pieces: whole sequences of `capacity` first, then the remainder by its binary digits down
-to SMALL ids, then one tail. A piece of length L belongs to the reciprocal-capacity class k = capacity // L, that is
+to SMALL ids, then one tail. The cutting, which the contract leaves free, is where the low padding comes from. A piece of length L belongs to the reciprocal-capacity class k = capacity // L, that is
 capacity/(k+1) < L <= capacity/k, and a bin of class k takes exactly k pieces. The power-of-two classes fill their bins
 without a gap; a tail class k >= capacity/SMALL leaves less than 1/(k+1) of its bin. Each task fills its bins on its own
 and shares nothing with others, so there is no shuffle; what its classes have left at the end goes, largest first, into
 common bins. A task holds at most k - 1 waiting pieces a class, whatever its input.
 
-Null text counts as empty (the end id alone). Repeated rows and ids are packed one by one. Extra columns are not read.
+Null text counts as empty (the end id alone). Texts of any length are encoded whole, one at a time where they are long. Repeated rows and ids are packed one by one. Extra columns are not read.
 An empty table gives an empty result.
 """
 
@@ -109,6 +109,7 @@ def pack(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", capacity: int =
                     yield _table(bins.take())
         bins.finish()
         yield _table(bins.take())
+        common.freed()
 
     return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, SCHEMA)
 
