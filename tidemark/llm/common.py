@@ -29,7 +29,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     """The table, for a registered query. Where the session has not set how many rows an Arrow batch to Python holds, it is
     set to BATCH_ROWS, as texts may be long; operators called with frames of one's own leave the session as it is."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not spark.conf.get(key, ""):
+    if key not in spark.conf.getAll:
         spark.conf.set(key, BATCH_ROWS)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -61,7 +61,7 @@ def staged(df: DataFrame, name: str, rows: int | None = None, rows_a_file: int =
     if rows is not None:
         df = df.coalesce(1 + rows // rows_a_file)
     df.write.parquet(path)
-    atexit.register(_quietly_remove, spark, path)
+    remove_at_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_at = path
     return out
@@ -117,6 +117,10 @@ def drawn(rows: DataFrame, n: dict, seed: int, by: str | None = None, most_bytes
     return out.drop("_place")
 
 
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    atexit.register(_quietly_remove, spark, path)
+
+
 def _quietly_remove(spark: SparkSession, path: str) -> None:
     try:
         remove(spark, path)

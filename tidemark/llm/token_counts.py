@@ -5,7 +5,10 @@ normalised (null is the empty text; nothing else, as the library counts every ch
 cache; only distinct contents that it lacks are encoded, and their counts are appended. A lost executor repeats its part
 of the append's job; Spark's committer leaves no half-written files, and counts read twice agree, so the cache stays right.
 
-Repeated rows and contents each get their row; empty tables and empty texts (0 tokens) are fine; extra columns are not read.
+Copies of a content are one row a task before the join by digest, so no digest is hot there; the last join, from each row to its
+count, is an outer one whose large partitions Spark splits. Repeated rows and contents and null ids each get their row; empty tables
+and empty texts (0 tokens) are fine; a text of any length is encoded whole; extra columns are not read. The rows' digests stay on
+the executors' disks for the result to read until the session ends or clears its cache.
 """
 
 from __future__ import annotations
@@ -40,15 +43,19 @@ def read_cache(spark: SparkSession, path: str, version: str) -> DataFrame:
 
 
 def _counter(vocabulary: str):
+    """Counts of (digest, text) rows; what repeats within a batch is encoded once."""
+
     def run(batches):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(vocabulary))
         for batch in batches:
-            texts, counts = batch.column(1).to_pylist(), []
-            for at in range(0, len(texts), 256):
-                counts += [len(x) for x in model.encode([t or "" for t in texts[at : at + 256]], num_threads=1)]
-            yield pa.record_batch([batch.column(0).cast(pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+            own = dict(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+            digests, texts, counts = list(own), list(own.values()), []
+            for a, b in common.slices([t.encode() for t in texts]):
+                counts += [len(x) for x in model.encode(texts[a:b], num_threads=1)]
+            yield pa.record_batch([pa.array(digests, pa.binary()), pa.array(counts, pa.int64())], names=["digest", "n_tokens"])
+        common.freed()
 
     return run
 
@@ -57,18 +64,14 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = "piece_bpe_
     """doc_id, n_bytes, n_tokens, over_limit of each row of docs; the counts come from the cache, which grows by what it lacked."""
     spark, version = docs.sparkSession, version_of(vocabulary)
     content = F.coalesce(F.col("text"), F.lit(""))
-    digests = common.staged(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(content).cast("long").alias("n_bytes"), F.unhex(F.sha2(content, 256)).alias("digest")),
-        "digests",
-    )
-    cache = read_cache(spark, cache_path, version)
-    misses = digests.join(cache, "digest", "left_anti").groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
-    # one document of each missing content brings its text; an id that several contents share is told apart by the digest
-    wanted = misses.select(F.col("doc_id").alias("of"), F.col("digest").alias("want"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("of"), content.alias("text"))
-    found = texts.join(wanted, texts["of"].eqNullSafe(wanted["of"]))
-    same = F.unhex(F.sha2("text", 256)) == F.col("want")
-    counted = found.filter(same).select("want", "text").mapInArrow(_counter(vocabulary), "digest binary, n_tokens long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), content.alias("text"), F.unhex(F.sha2(content, 256)).alias("digest"))
+    digests = common.held(rows.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "digest"))
+    # copies meet as one row a task before anything is shuffled by digest, and only one row a digest is
+    distinct = digests.groupBy("digest").agg(F.min("doc_id").alias("of"))
+    wanted = distinct.join(read_cache(spark, cache_path, version), "digest", "left_anti").withColumnRenamed("digest", "want")
+    # one row of each missing content brings its text: id and digest together name it, so null or repeated ids match no more than that
+    found = rows.join(wanted, (F.col("digest") == F.col("want")) & F.col("doc_id").eqNullSafe(F.col("of")))
+    counted = found.select("digest", "text").mapInArrow(_counter(vocabulary), "digest binary, n_tokens long")
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a row that is repeated with its id comes once
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
     full = read_cache(spark, cache_path, version)
@@ -76,6 +79,7 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = "piece_bpe_
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A cache of its own for each call, so that every distinct content is encoded here."""
+    """A cache of its own for each call, so that every distinct content is encoded here; removed when the driver ends."""
     path = f"{common.shared_dir(spark)}/llm/token-cache-{uuid.uuid4().hex}"
+    common.remove_at_exit(spark, path)
     return count_tokens(common.read(spark, sf_dir, "documents"), path)
