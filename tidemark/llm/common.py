@@ -16,7 +16,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 SPACES = b" \t\n\x0b\x0c\r"
@@ -99,22 +99,22 @@ def freed() -> None:
         pass
 
 
-def drawn(rows: DataFrame, n: dict, seed: int, by: str | None = None, most_bytes: int = 64 << 20) -> DataFrame:
-    """At most n[g] rows of each group g of the column by (None: of all rows), texts of about most_bytes together: those least by
-    a hash of id and text, so the same rows whatever the partitions, and null or repeated ids are no more likely than others.
-    rows: doc_id, text and other columns. Texts over most_bytes / 64 are not drawn."""
+def drawn(rows: DataFrame, n: int | dict, seed: int, by: str | None = None, most_bytes: int = 16 << 20) -> DataFrame:
+    """At most n rows (n[g] rows) of each group of the column by (None: of all rows), and about most_bytes of text each: those
+    least by a hash of id and text, so the same rows whatever the partitions, and null or repeated ids are no more likely than others.
+    rows: doc_id, text and other columns. Texts over most_bytes / 64 are not drawn. The number of groups is that of labels."""
+    group = F.lit("") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("\0"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0))
     place = F.xxhash64(F.lit(seed), F.col("doc_id").cast("string"), "text")
-    group = F.lit(None) if by is None else F.col(by)
-    eligible = rows.filter(F.coalesce(F.octet_length("text"), F.lit(0)) <= most_bytes // 64).withColumn("_place", place)
-    sizes = eligible.groupBy(group.alias("_group")).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).collect()
-    out = eligible.limit(0)
-    for g, count, size in sorted(sizes, key=str):  # a row a group
-        most = n.get(g, 0)
-        share = min(1.0, 1.5 * most / count, most_bytes / max(1, size))
-        own = eligible if by is None else eligible.filter(group.eqNullSafe(F.lit(g)))
-        own = own.filter(F.col("_place") <= F.lit(int((2 * share - 1) * ((1 << 63) - 1)))) if share < 1 else own
-        out = out.unionByName(own.orderBy("_place").limit(most))
-    return out.drop("_place")
+    marked = rows.filter(size <= most_bytes // 64).withColumns({"_group": group, "_place": place})
+    most = lambda g: n.get(g, 0) if isinstance(n, dict) else n
+    shares = {r[0]: min(1.0, 1.5 * most(r[0]) / r[1], most_bytes / max(1, r[2])) for r in marked.groupBy("_group").agg(F.count("*"), F.sum(size)).collect()}
+    if not shares:
+        return rows.limit(0)
+    table = lambda of: F.create_map(*[F.lit(x) for g in shares for x in (g, of(g))])[F.col("_group")]
+    few = marked.filter(F.col("_place") / F.lit(2.0**64) + 0.5 <= table(lambda g: float(shares[g])))
+    rank = F.row_number().over(Window.partitionBy("_group").orderBy("_place"))  # of the few alone
+    return few.withColumn("_rank", rank).filter(F.col("_rank") <= table(lambda g: int(most(g)))).drop("_group", "_place", "_rank")
 
 
 def remove_at_exit(spark: SparkSession, path: str) -> None:

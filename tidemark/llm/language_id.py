@@ -115,13 +115,8 @@ def _four_grams(batches):
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, fold: int = 0) -> Trees | None:
     """Trees of the languages in docs' labelled rows outside the held-out fold."""
     labelled = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~common.held_out(fold)).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, sample_docs / n))])
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
     grams = (
-        labelled.filter(draw < share[F.col("lang")]).select("lang", "text").mapInArrow(_four_grams, "lang string, gram long, n long")
+        common.drawn(labelled, sample_docs, 17, "lang").select("lang", "text").mapInArrow(_four_grams, "lang string, gram long, n long")
         .groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas().sort_values(["lang", "gram"])
     )
     langs = sorted(grams["lang"].unique())
@@ -137,9 +132,9 @@ def _posterior(bits: np.ndarray, size: np.ndarray) -> np.ndarray:
 
 
 def keep_known(docs: DataFrame, trees: Trees | None, least: float) -> DataFrame:
-    """The rows of docs that identify would name with a score of at least this."""
+    """The rows of docs that identify would name with a score of at least this; all rows where nothing was learned."""
     if trees is None:
-        return docs.limit(0)
+        return docs
     frozen = docs.sparkSession.sparkContext.broadcast(trees)
 
     def decider():

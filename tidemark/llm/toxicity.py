@@ -7,14 +7,15 @@ all its windows. Every word of a text is in some window.
 
 Training sees the labels alone of a text, so each step scores all windows of its texts and learns from the highest of each
 (the three highest of clean ones). It reads at most SAMPLE[0] toxic and SAMPLE[1] clean labelled texts outside the
-held-out fold, chosen by a hash of the id. Scores read the text alone.
+held-out fold, chosen by a hash of id and text. All weights start at random; no word has a score of its own. Scores read the text alone.
 
 Null and empty texts get the score of an empty window. Without labelled rows of both kinds every score is 0. Repeated
-rows are scored like others; a label table that repeats an id teaches once for each row; extra columns are not read.
+rows are scored like others; a label that is repeated teaches once; extra columns are not read. A text of any length is scored whole.
 """
 
 from __future__ import annotations
 
+from collections import Counter
 from itertools import islice
 
 import numpy as np
@@ -194,15 +195,8 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 4
         return None
     common.one_blas_thread()
     split = [words_of(t) for t in texts]
-    often: dict[bytes, list[int]] = {}
-    for words, y in zip(split, labels.tolist()):
-        for w in {w.strip(EDGES) for w in words}:
-            often.setdefault(w, [0, 0])[y] += 1
-    kept = {w: n for w, n in often.items() if sum(n) >= 8}
-    net = Network({w: i + 1 for i, w in enumerate(sorted(kept))})
-    toxic, clean = labels.sum(), len(labels) - labels.sum()
-    for w, i in net.vocabulary.items():  # a start: how much likelier the word is in toxic texts
-        net.p["word"][i, 0] = 0.4 * np.clip(np.log((kept[w][1] + 1) / (toxic + 2)) - np.log((kept[w][0] + 1) / (clean + 2)), -3, 3)
+    often = Counter(w for words in split for w in {w.strip(EDGES) for w in words})
+    net = Network({w: i + 1 for i, w in enumerate(sorted(w for w, n in often.items() if n >= 8))})
     r, p = np.random.default_rng(seed), net.p
     moment = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in p.items()}
     step = 0
@@ -293,14 +287,13 @@ def _gradients(net: Network, rows: list[list[bytes]], y: np.ndarray, r) -> dict[
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE, fold: int = 0) -> Network | None:
-    marks = labels.filter(F.col("toxic").isNotNull() & ~common.held_out(fold)).select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    sizes = {r["toxic"]: r["n"] for r in marks.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(1_000_000)) / 1e6
-    share = F.when(F.col("toxic") == 1, sample[0] / max(1, sizes.get(1, 0))).otherwise(sample[1] / max(1, sizes.get(0, 0)))
+    marks = labels.filter(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~common.held_out(fold))
+    marks = marks.select(F.col("doc_id").cast("long").alias("doc_id"), (F.col("toxic") > 0).cast("int").alias("toxic")).distinct()
+    most = {"1": sample[0], "0": sample[1]}
     # the drawn labels are bounded by the sample's size, so they are broadcast whatever the table's size
-    drawn = F.broadcast(marks.filter(draw < share))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(drawn, "doc_id").select("doc_id", "toxic", "text").toPandas()
-    rows = rows.sort_values(["doc_id", "toxic"], kind="stable")
+    few = F.broadcast(common.drawn(marks.withColumn("text", F.lit(None).cast("string")), most, 23, "toxic").drop("text"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("doc_id", "toxic", "text")
+    rows = common.drawn(rows, most, 23, "toxic").toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")  # an id may name many documents
     return fit([(t or "").encode() for t in rows["text"]], rows["toxic"].to_numpy(dtype=np.int64))
 
 
