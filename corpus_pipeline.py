@@ -16,7 +16,10 @@ LEAST_SCORE = 0.5
 
 def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     """docs without the rows whose id is in rejected; null ids stay."""
-    return docs.join(rejected.select(F.col("doc_id").alias("gone")).distinct(), F.col("doc_id") == F.col("gone"), "left_anti")
+    name = "gone"
+    while name in map(str.lower, docs.columns):
+        name += "_"
+    return docs.join(rejected.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id") == F.col(name), "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
