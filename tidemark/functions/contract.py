@@ -136,5 +136,23 @@ def single_currency(df: DataFrame, column: str = "currency") -> DataFrame:
     return df
 
 
+def index_of(df: DataFrame) -> DataFrame:
+    """The distinct (unique_id, ds) of a panel."""
+    return df.select(ID, TIME).distinct()
+
+
+def index_union(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select(ID, TIME).union(b.select(ID, TIME)).distinct()
+
+
+def index_intersection(a: DataFrame, b: DataFrame) -> DataFrame:
+    return a.select(ID, TIME).intersect(b.select(ID, TIME))
+
+
+def index_difference(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Keys of a that b lacks."""
+    return a.select(ID, TIME).subtract(b.select(ID, TIME))
+
+
 def null_if_not_finite(c: Column) -> Column:
     return F.when(~F.isnan(c) & (F.abs(c) != float("inf")), c)

@@ -70,27 +70,47 @@ def parse_dates(c: Column, kind: str, unit: str | None = None, pattern: str | No
     return c.cast(NTZ)
 
 
+def _business_end(d: Column) -> Column:
+    """Last weekday of d's month."""
+    last = F.last_day(d)
+    return F.date_sub(last, F.greatest(F.weekday(last) - 4, F.lit(0)))
+
+
+def _business_start(d: Column) -> Column:
+    """First weekday of d's month."""
+    first = F.trunc(d, "month")
+    return F.date_add(first, F.when(F.weekday(first) > 4, 7 - F.weekday(first)).otherwise(0))
+
+
 def with_step(df: DataFrame) -> DataFrame:
-    """One row per series: last (its last ds) and its step, as months (whole months between equal days or month ends) or
-    micros (most common difference), for times; as the middle difference for numbers."""
+    """One row per series: last (its last ds) and its step. For numbers that is the middle difference. For times it is, of
+    three rows or more, one of: whole months between equal days, month ends, or first or last weekdays of months (months and anchor);
+    weekdays (business); a constant difference. Without any of these it is the middle difference, and regular is false."""
     numeric = dict(df.dtypes)[TIME] != NTZ
     before = F.lag(TIME).over(by_time())
     if numeric:
         d = df.select(ID, TIME, (F.col(TIME) - before).cast("double").alias("d"))
         return d.groupBy(ID).agg(F.max(TIME).alias("last"), F.coalesce(F.percentile("d", F.lit(0.5)), F.lit(1.0)).alias("number"))
     now = F.col(TIME)
-    end = (now.cast("date") == F.last_day(now.cast("date"))) & (before.cast("date") == F.last_day(before.cast("date")))
-    months = (F.year(now) - F.year(before)) * 12 + F.month(now) - F.month(before)
+    day, gap = now.cast("date"), F.datediff(now.cast("date"), before.cast("date"))
+    clock = F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.date_trunc("day", now).cast("timestamp"))
     d = df.select(
         ID, TIME, (F.unix_micros(now.cast("timestamp")) - F.unix_micros(before.cast("timestamp"))).alias("d"),
-        F.when(((F.dayofmonth(now) == F.dayofmonth(before)) | end) & (months > 0), months).alias("m"), end.alias("end"), before.isNotNull().alias("has"),
+        ((F.year(now) - F.year(before)) * 12 + F.month(now) - F.month(before)).alias("m"), F.dayofmonth(now).alias("day"), clock.alias("clock"),
+        (day == F.last_day(day)).alias("end"), (day == _business_end(day)).alias("bend"), (day == _business_start(day)).alias("bstart"),
+        (F.weekday(now) < 5).alias("weekday"), (gap == F.when(F.weekday(before) == 4, 3).otherwise(1)).alias("next"),
     )
+    several = F.count("d") > 1
+    monthly = several & (F.min("m") == F.max("m")) & (F.min("m") > 0) & (F.min("clock") == F.max("clock"))
+    anchor = F.when(F.min("day") == F.max("day"), "day").when(F.bool_and("end"), "end").when(F.bool_and("bstart"), "bstart").when(F.bool_and("bend"), "bend")
+    constant = several & (F.min("d") == F.max("d"))
+    weekdays = several & ~(F.min("d") == F.max("d")) & F.bool_and("weekday") & F.bool_and("next") & (F.min("clock") == F.max("clock"))
+    months = F.when(monthly & anchor.isNotNull(), F.min("m"))
     return d.groupBy(ID).agg(
-        F.max(TIME).alias("last"),
-        F.when((F.count_if("has") > 1) & (F.count("m") == F.count_if("has")) & (F.min("m") == F.max("m")), F.min("m")).alias("months"),
+        F.max(TIME).alias("last"), months.alias("months"), F.when(months.isNotNull(), anchor).alias("anchor"),
         F.coalesce(F.percentile("d", F.lit(0.5)).cast("bigint"), F.lit(86_400_000_000)).alias("micros"),
-        F.coalesce(F.bool_and("end"), F.lit(False)).alias("at_end"),
-    )
+        F.coalesce(weekdays, F.lit(False)).alias("business"), (months.isNotNull() | F.coalesce(constant | weekdays, F.lit(False))).alias("regular"),
+    )
 
 
 def future(steps: DataFrame, h: int) -> DataFrame:
@@ -100,12 +120,61 @@ def future(steps: DataFrame, h: int) -> DataFrame:
         whole = dict(steps.dtypes)["last"] == "bigint"
         ds = F.col("last") + F.col("step") * F.col("number")
         return out.select(ID, "step", (F.when(F.lit(whole), F.round(ds)).otherwise(ds)).cast(dict(steps.dtypes)["last"]).alias(TIME))
-    moved = F.add_months(F.col("last").cast("date"), F.col("step") * F.col("months"))
-    day = F.when(F.col("at_end"), F.last_day(moved)).otherwise(moved).cast(NTZ)
+    last, anchor = F.col("last").cast("date"), F.col("anchor")
+    moved = F.add_months(last, F.col("step") * F.col("months"))
+    in_month = F.when(anchor == "end", F.last_day(moved)).when(anchor == "bend", _business_end(moved)).when(anchor == "bstart", _business_start(moved)).otherwise(moved)
+    # k weekdays on from a weekday: a weekend more for each Friday passed
+    weekday = F.date_add(last, (F.col("step") + 2 * F.floor((F.weekday(last) + F.col("step")) / 5)).cast("int"))
+    day = F.when(F.col("business"), weekday).otherwise(in_month).cast(NTZ)
     clock = F.unix_micros(F.col("last").cast("timestamp")) - F.unix_micros(F.date_trunc("day", F.col("last")).cast("timestamp"))
-    by_month = F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + clock).cast(NTZ)
+    by_day = F.timestamp_micros(F.unix_micros(day.cast("timestamp")) + clock).cast(NTZ)
     by_clock = F.timestamp_micros(F.unix_micros(F.col("last").cast("timestamp")) + F.col("step") * F.col("micros")).cast(NTZ)
-    return out.select(ID, "step", F.when(F.col("months").isNotNull(), by_month).otherwise(by_clock).alias(TIME))
+    return out.select(ID, "step", F.when(F.col("months").isNotNull() | F.col("business"), by_day).otherwise(by_clock).alias(TIME))
+
+
+def modal_step(steps: DataFrame) -> dict | None:
+    """The most common step among series: months, anchor, micros (null with months or business), business and regular. Ties go to
+    the step of the first series in order."""
+    if "number" in steps.columns:
+        return None
+    key = ["months", "anchor", "business", "regular", F.when(F.col("months").isNull() & ~F.col("business"), F.col("micros")).alias("micros")]
+    r = steps.groupBy(*key).agg(F.count("*").alias("n"), F.min(ID).alias("first")).orderBy(F.desc("n"), "first").first()  # one row a step met
+    return r and {k: r[k] for k in ("months", "anchor", "micros", "business", "regular")}
+
+
+def season_of(steps: DataFrame) -> int:
+    """Season length of the most common step: 7 for days, 5 for weekdays, 52 for weeks, 12 for months, 4 for quarters, 24 for hours, else 1."""
+    step = modal_step(steps)
+    if step is None or not step["regular"]:
+        return 1
+    if step["business"]:
+        return 5
+    if step["months"]:
+        return {1: 12, 3: 4}.get(step["months"], 1) if step["anchor"] in ("day", "end") else 1
+    return {86400: 7, 7 * 86400: 52, 3600: 24}.get(step["micros"] / 1e6, 1)
+
+
+def lag_features(df: DataFrame, lags, column: str = "y") -> DataFrame:
+    """df with lag_k, the value k rows before in the series."""
+    if not lags or min(lags) < 1:
+        raise ValueError("lags are whole numbers from 1")
+    return df.withColumns({f"lag_{k}": F.lag(column, k).over(by_time()) for k in lags})
+
+
+def wall_clock(c: Column, zone: str) -> Column:
+    """What the clocks of a zone show at an instant, without a zone."""
+    return F.convert_timezone(F.current_timezone(), F.lit(zone), c.cast("timestamp").cast(NTZ))
+
+
+def instant_of(c: Column, zone: str) -> Column:
+    """The instant at which the clocks of a zone show c, as the session's local time. What a change of clocks skips moves
+    forward to the first instant there is, and of a time that comes twice the first counts."""
+    return F.convert_timezone(F.lit(zone), F.current_timezone(), c)
+
+
+def bucket_zoned(c: Column, freq: str, zone: str) -> Column:
+    """bucket by the wall clock of a zone: the instant at which the label's period begins (or its last day) there."""
+    return instant_of(bucket(wall_clock(c, zone), freq), zone)
 
 
 #: feature -> (column builder, cycle, first value)
@@ -195,14 +264,12 @@ PERIODS = {"D": 252, "B": 252, "W": 52, "MS": 12, "ME": 12, "BME": 12, "QS": 4,
 
 def periods_per_year(steps: DataFrame) -> int:
     """Of the most common step among series; 252 where it is no known one."""
-    if "number" in steps.columns:
-        return 252
-    r = steps.groupBy("months", "micros").agg(F.count("*").alias("n"), F.min(ID).alias("first")).orderBy(F.desc("n"), "first").first()
-    if r is None:
+    step = modal_step(steps)
+    if step is None or not step["regular"] or step["business"]:
         return 252
-    if r.months:
-        return max(1, round(12 / r.months))
-    seconds = r.micros / 1e6
+    if step["months"]:
+        return max(1, round(12 / step["months"]))
+    seconds = step["micros"] / 1e6
     if seconds >= 7 * 86400 and seconds % (7 * 86400) == 0:
         return max(1, round(52 / (seconds / (7 * 86400))))
     if seconds >= 86400:

@@ -67,11 +67,16 @@ def minimize_scalar(f, low: float, high: float, tol: float = 1e-7, grid: int = 2
 
 def minimize_box(f, x0, low, high, rounds: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, float]:
     """Projected BFGS with central differences inside a box."""
+    return descend(f, x0, low, high, rounds, tol)[:2]
+
+
+def descend(f, x0, low, high, rounds: int = 200, tol: float = 1e-9) -> tuple[np.ndarray, float, bool]:
+    """minimize_box, and whether it settled: at a flat place, or where no step gains any more."""
     low, high = np.asarray(low, float), np.asarray(high, float)
     x = np.clip(np.asarray(x0, float), low, high)
     n = len(x)
     if n == 0:
-        return x, float(f(x))
+        return x, float(f(x)), True
 
     def gradient(x):
         g = np.empty(n)
@@ -82,10 +87,11 @@ def minimize_box(f, x0, low, high, rounds: int = 200, tol: float = 1e-9) -> tupl
             g[i] = (f(b) - f(a)) / max(b[i] - a[i], 1e-300)
         return g
 
-    fx, g, inverse = f(x), gradient(x), np.eye(n)
+    fx, g, inverse, settled = f(x), gradient(x), np.eye(n), False
     for _ in range(rounds):
         held = ((x <= low) & (g > 0)) | ((x >= high) & (g < 0))
         if np.all(np.abs(np.where(held, 0, g)) < 1e-8):
+            settled = True
             break
         d = -inverse @ np.where(held, 0, g)
         d[held] = 0
@@ -102,6 +108,7 @@ def minimize_box(f, x0, low, high, rounds: int = 200, tol: float = 1e-9) -> tupl
         if not moved or fx - fn <= tol * (abs(fx) + tol):
             if moved and fn < fx:
                 x, fx = new, fn
+            settled = bool(np.isfinite(fx) and fx < 1e299 and (moved or np.abs(np.where(held, 0, g)).max() <= 1e-4 * (1 + abs(fx))))
             break
         gn = gradient(new)
         s, y = new - x, gn - g
@@ -109,7 +116,7 @@ def minimize_box(f, x0, low, high, rounds: int = 200, tol: float = 1e-9) -> tupl
             rho, eye = 1 / sy, np.eye(n)
             inverse = (eye - rho * np.outer(s, y)) @ inverse @ (eye - rho * np.outer(y, s)) + rho * np.outer(s, s)
         x, fx, g = new, fn, gn
-    return x, float(fx)
+    return x, float(fx), settled
 
 
 def nelder_mead(f, x0, rounds: int = 600, tol: float = 1e-10, step: float = 0.5) -> tuple[np.ndarray, float]:

@@ -5,11 +5,11 @@ from __future__ import annotations
 
 import math
 from dataclasses import dataclass
-from itertools import product
+from itertools import accumulate, product
 
 import numpy as np
 
-from .numeric import minimize_box, minimize_scalar, nelder_mead, rms
+from .numeric import descend, minimize_box, minimize_scalar, nelder_mead, rms
 
 FLOOR = 1e-12
 
@@ -264,6 +264,15 @@ class AutoETS(Model):
         return s["of"].sigma(s, h)
 
 
+def seasonal_index(y: np.ndarray, m: int) -> tuple[np.ndarray, bool]:
+    """(index of each place in the season, multiplicative): means by place over the whole mean, or their difference from it
+    where values are not all positive."""
+    mul = bool((y > 0).all() and y.mean() > 1e-12)
+    at = np.arange(len(y)) % m
+    by = np.array([y[at == i].mean() for i in range(m)])
+    return (by / y.mean() if mul else by - y.mean()), mul
+
+
 @dataclass
 class Theta(Model):
     season_length: int | None = None
@@ -273,10 +282,7 @@ class Theta(Model):
         n, m = len(y), self.season_length
         index, mul = None, False
         if m and m > 1 and n >= 2 * m:
-            mul = bool((y > 0).all() and y.mean() > 1e-12)
-            at = np.arange(n) % m
-            by = np.array([y[at == i].mean() for i in range(m)])
-            index = by / y.mean() if mul else by - y.mean()
+            index, mul = seasonal_index(y, m)
         base = y if index is None else (y / index[np.arange(n) % m] if mul else y - index[np.arange(n) % m])
         t = np.arange(n)
         slope = float(((t - t.mean()) * (base - base.mean())).sum() / max(((t - t.mean()) ** 2).sum(), 1e-300)) if n > 1 else 0.0
@@ -310,15 +316,16 @@ def css_residuals(w, c, ar, ma):
     r = w - c
     for i, a in enumerate(ar, 1):
         r[i:] -= a * w[:-i]
-    if len(ma):
-        e, q = np.zeros(len(w)), len(ma)
-        for t in range(len(w)):
-            v = r[t]
-            for j in range(min(q, t)):
-                v -= ma[j] * e[t - 1 - j]
-            e[t] = v
-        return e
-    return r
+    return np.convolve(r, inverse_series(ma, len(w)))[: len(w)] if len(ma) else r
+
+
+def inverse_series(ma, n: int) -> np.ndarray:
+    """The first n coefficients of 1 / (1 + sum ma_j B^j), by doubling."""
+    whole, g = np.concatenate(([1.0], ma))[:n], np.ones(1)
+    while len(g) < n:
+        m = min(2 * len(g), n)
+        g = (2 * np.pad(g, (0, m - len(g)))) - np.convolve(np.convolve(whole[:m], g)[:m], g)[:m]
+    return g
 
 
 def expand(short: np.ndarray, season: np.ndarray, m: int, sign: float) -> np.ndarray:
@@ -365,13 +372,13 @@ def fit_sarima(y, order, seasonal=(0, 0, 0), m=1, include_mean=True, warm=None,
     start = np.zeros(size)
     if with_c:
         start[0], bound[0] = z.mean(), 1e6
-    v, sse = minimize_box(loss, start, -bound, bound, rounds=rounds)
+    v, sse, settled = descend(loss, start, -bound, bound, rounds=rounds)
     c, ar, ma = parts(v)
     e = css_residuals(z.copy(), c * (1 - ar.sum()) if with_c else 0.0, ar, ma) * scale
     n_w = len(w)
     fitted = np.full(len(y), np.nan)
     fitted[len(y) - n_w + warm_up :] = y[len(y) - n_w + warm_up :] - e[warm_up:]
-    return {"c": c * scale * (1 - ar.sum()) if with_c else 0.0, "ar": ar, "ma": ma, "w": w, "e": e, "lasts": lasts, "season": lasts_s, "m": m, "d": d, "D": sd, "fitted": fitted, "sse": sse * scale**2, "n_eff": n_w - warm_up, "k": k + 1}
+    return {"c": c * scale * (1 - ar.sum()) if with_c else 0.0, "ar": ar, "ma": ma, "w": w, "e": e, "lasts": lasts, "season": lasts_s, "m": m, "d": d, "D": sd, "fitted": fitted, "sse": sse * scale**2, "n_eff": n_w - warm_up, "k": k + 1, "settled": settled}
 
 
 def forecast_sarima(s: dict, h: int) -> np.ndarray:
@@ -453,10 +460,10 @@ class AutoARIMA(ARIMA):
         d, best = best_d(y, self.max_d), None
         for p, q in product(range(self.max_p + 1), range(self.max_q + 1)):
             try:
-                s = fit_sarima(y, (p, d, q), rounds=25)
+                s = fit_sarima(y, (p, d, q))
             except (ValueError, np.linalg.LinAlgError):
                 continue
-            if best is None or aicc(s) < aicc(best):
+            if s["settled"] and math.isfinite(aicc(s)) and (best is None or aicc(s) < aicc(best)):
                 best = s
         return best or fit_sarima(y, (0, d, 0))
 
@@ -518,10 +525,10 @@ class AutoSARIMA(ARIMA):
         best = None
         for p, q, sp, sq in orders:
             try:
-                s = fit_sarima(y, (p, d, q), (sp, sd, sq), m, warm=warm, rounds=12)
+                s = fit_sarima(y, (p, d, q), (sp, sd, sq), m, warm=warm)
             except (ValueError, np.linalg.LinAlgError):
                 continue
-            if best is None or aicc(s) < best[0]:
+            if s["settled"] and math.isfinite(aicc(s)) and (best is None or aicc(s) < best[0]):
                 best = (aicc(s), (p, d, q), (sp, sd, sq))
         return fit_sarima(y, best[1], best[2], m) if best else fit_sarima(y, (0, d, 0), (0, sd, 0), m)
 
@@ -711,20 +718,25 @@ class TSB(Croston):
 
 
 def garch_variances(r, omega, alpha, beta):
-    v = np.empty(len(r))
-    v[0] = float(np.mean(r**2))
-    for t in range(1, len(r)):
-        v[t] = omega + alpha * r[t - 1] ** 2 + beta * v[t - 1]
-    return v
+    """Conditional variances, started at the mean square."""
+    return np.array(list(accumulate((omega + alpha * r[:-1] ** 2).tolist(), lambda v, u: u + beta * v, initial=float(np.mean(r**2)))))
+
+
+#: Starting persistences, starting shares of alpha in them, and the largest persistence.
+PERSISTENCES, SHARES, MOST_PERSISTENT = (0.10, 0.30, 0.60, 0.90, 0.95, 0.98), (0.05, 0.15, 0.35, 0.70), 0.999
 
 
 def fit_garch(r: np.ndarray) -> dict:
-    """GARCH(1,1) by likelihood on unit-scaled returns: variance, persistence below 1 and alpha's share, from several starts."""
-    scale = float(np.std(r)) or 1.0
+    """GARCH(1,1) by likelihood on demeaned, unit-scaled returns, in long-run variance, persistence and alpha's share, from every
+    pair of starts; the best that settled counts."""
+    r = r - np.mean(r)
+    scale = float(np.std(r))
+    if scale < 1e-12:
+        raise ValueError("constant returns have no volatility")
     z = r / scale
 
     def params(v):
-        long_run, p, share = math.exp(v[0]), 0.999 / (1 + math.exp(-v[1])), 1 / (1 + math.exp(-v[2]))
+        long_run, p, share = math.exp(v[0]), MOST_PERSISTENT / (1 + math.exp(-v[1])), 1 / (1 + math.exp(-v[2]))
         return long_run * (1 - p), p * share, p * (1 - share)
 
     def nll(v):
@@ -733,14 +745,15 @@ def fit_garch(r: np.ndarray) -> dict:
             out = float(0.5 * np.sum(np.log(s) + z**2 / s))
         return out if np.isfinite(out) else 1e300
 
-    best = None
-    for p, share in product((0.5, 2.0, 4.0), (-2.0, 0.0)):
-        v, f = minimize_box(nll, [0.0, p, share], [-6.0, -4.0, -6.0], [6.0, 8.0, 6.0], rounds=60)
-        if best is None or f < best[1]:
-            best = (v, f)
-    omega, alpha, beta = params(best[0])
+    odds = lambda x: math.log(x / (1 - x))
+    found = [descend(nll, [0.0, odds(p / MOST_PERSISTENT), odds(q)], [-18.0, -12.0, -12.0], [9.2, 12.0, 12.0], rounds=60) for p, q in product(PERSISTENCES, SHARES)]
+    settled = [x for x in found if x[2]]
+    if not settled:
+        raise ValueError("the likelihood settled from none of the starts")
+    v, loss, _ = min(settled, key=lambda x: x[1])
+    omega, alpha, beta = params(v)
     omega *= scale**2
-    return {"omega": omega, "alpha": alpha, "beta": beta, "sigma2": garch_variances(r, omega, alpha, beta), "r": r}
+    return {"omega": omega, "alpha": alpha, "beta": beta, "sigma2": garch_variances(r, omega, alpha, beta), "r": r, "loss": loss}
 
 
 @dataclass
@@ -748,11 +761,15 @@ class GARCH(Model):
     min_train = 10
 
     def fit(self, y):
+        if float(np.std(y)) < 1e-12:
+            return {"flat": True, "fitted": np.concatenate(([np.nan], np.zeros(len(y) - 1))), "n": len(y), "sigma": 0.0}
         s = fit_garch(y)
-        return s | {"fitted": np.sqrt(s["sigma2"]), "n": len(y), "sigma": 0.0}
+        return s | {"fitted": np.concatenate(([np.nan], np.sqrt(s["sigma2"])[1:])), "n": len(y), "sigma": 0.0}
 
     def mean(self, s, h):
-        p = min(s["alpha"] + s["beta"], 0.999)
+        if "flat" in s:
+            return np.zeros(h)
+        p = min(s["alpha"] + s["beta"], MOST_PERSISTENT)
         long_run = s["omega"] / (1 - p)
         first = s["omega"] + s["alpha"] * s["r"][-1] ** 2 + s["beta"] * s["sigma2"][-1]
         return np.sqrt(long_run + p ** np.arange(h) * (first - long_run))

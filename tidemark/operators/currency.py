@@ -41,12 +41,13 @@ def with_asof_rate(df: DataFrame, rates: DataFrame, currency_col: str, date_col:
     if missing := [c for c in ("currency", "as_of", "rate") if c not in rates.columns]:
         raise DataContractError(f"a rate table needs {missing}")
     r = rates.select(F.col("currency").alias("_c"), F.col("as_of").cast("timestamp_ntz").alias("_t"), F.col("rate").cast("double").alias("_r"))
-    years = r.withColumn("_until", F.lead("_t").over(Window.partitionBy("_c").orderBy("_t")))
-    # an interval join by currency and month: each rate reaches the months up to the next one; the last is open and joined by currency alone
-    month = lambda c: F.year(c) * 12 + F.month(c)
-    closed = years.filter(F.col("_until").isNotNull()).withColumn("_m", F.explode(F.sequence(month(F.col("_t")), month(F.col("_until")))))
-    last = years.filter(F.col("_until").isNull()).select(F.col("_c").alias("_lc"), F.col("_t").alias("_lt"), F.col("_r").alias("_lr"))
     at = F.col(date_col).cast("timestamp_ntz")
-    out = df.join(closed, (F.col(currency_col) == closed["_c"]) & (month(at) == closed["_m"]) & (at >= closed["_t"]) & (at < closed["_until"]), "left")
-    out = out.join(last, (F.col(currency_col) == last["_lc"]) & (at >= last["_lt"]), "left")
-    return out.select(*[df[c] for c in df.columns], F.coalesce("_r", "_lr").alias("asof_rate"))
+    month = lambda c: F.year(c) * 12 + F.month(c)
+    latest = df.agg(F.max(month(at))).first()[0] or 0  # one number: how far the open last rates must reach
+    # an interval join by currency and month: each rate reaches the months up to the next one, the last one those up to the latest row
+    spans = r.withColumn("_until", F.lead("_t").over(Window.partitionBy("_c").orderBy("_t")))
+    upto = F.greatest(month(F.col("_t")), F.coalesce(month(F.col("_until")), F.lit(latest)))
+    spans = spans.withColumn("_m", F.explode(F.sequence(month(F.col("_t")), upto)))
+    within = (at >= spans["_t"]) & (spans["_until"].isNull() | (at < spans["_until"]))
+    out = df.join(spans, (F.col(currency_col) == spans["_c"]) & (month(at) == spans["_m"]) & within, "left")
+    return out.select(*[df[c] for c in df.columns], F.col("_r").alias("asof_rate"))

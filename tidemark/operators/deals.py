@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Mapping
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,8 +82,18 @@ def waterfall_summary(before: DataFrame, after: DataFrame, stages: list, **cols)
     return rows.withColumn("running_total", F.when(F.col("ord") == 99, F.col("amount")).otherwise(total)).orderBy("ord")
 
 
-def weighted_pipeline(deals: DataFrame, proba_col: str = "proba", by=None, amount_col: str = "amount", level: int | None = None) -> DataFrame:
-    """Expected value, its standard deviation and, with a level, bounds clamped to what can happen; null groups are kept."""
+def with_probabilities(deals: DataFrame, proba: DataFrame, id_col: str = "opp_id", proba_col: str = "proba") -> DataFrame:
+    """deals with their win probabilities from a table (id, proba); a deal without one stops the job, and so does a repeated id of the table."""
+    one = proba.groupBy(id_col).agg(F.count("*").alias("_n"), F.first(proba_col).alias("_p"))
+    said = lambda what: F.raise_error(F.concat(F.lit(what), F.col(id_col).cast("string"))).cast("double")
+    p = F.when(F.col("_n") > 1, said("several win probabilities for ")).when(F.col("_p").isNull() | F.isnan("_p"), said("no win probability for ")).otherwise(F.col("_p"))
+    return deals.drop(proba_col).join(one, id_col, "left").withColumn(proba_col, p).drop("_n", "_p")
+
+
+def weighted_pipeline(deals: DataFrame, proba_col: str = "proba", by=None, amount_col: str = "amount", level: int | None = None, proba: DataFrame | None = None, id_col: str = "opp_id") -> DataFrame:
+    """Expected value, its standard deviation and, with a level, bounds clamped to what can happen; null groups are kept. The win
+    probabilities are a column of deals or, with proba, a table joined by id."""
+    deals = deals if proba is None else with_probabilities(deals, proba, id_col, proba_col)
     keys = [by] if isinstance(by, str) else list(by or [])
     fine = (F.col(proba_col) >= -1e-9) & (F.col(proba_col) <= 1 + 1e-9)
     p = F.when(F.coalesce(fine, F.lit(False)), F.least(F.greatest(F.col(proba_col), F.lit(0.0)), F.lit(1.0))).otherwise(F.raise_error(F.lit("win probabilities lie in [0, 1]")).cast("double"))
@@ -222,73 +234,94 @@ def compare_scenarios(scenarios: DataFrame, base: str) -> DataFrame:
 # ---- deal scorer -------------------------------------------------------------------------------------------------
 
 
+def log_loss(z: Column, y: Column) -> Column:
+    """-log likelihood of y (0 to 1) under log odds z, without overflow: log(1 + e^z) - y z."""
+    return F.greatest(z, F.lit(0.0)) + F.log1p(F.exp(-F.abs(z))) - y * z
+
+
 class DealScorer:
     """L2 logistic regression with a cross-fitted Platt map. Each Newton step is one aggregate of gradient and curvature sums
-    (features are few); scoring is a column expression."""
+    (features are few), the fits of all folds share theirs, and the scaled features are kept on disk meanwhile; scoring is a
+    column expression. After fit, loss is the mean log loss on the fitted deals."""
+
+    FOLDS = 5
 
     def __init__(self, features: list[str] | None = None, l2: float = 1.0, calibrate: bool = True, seed: int = 0):
         self.features, self.l2, self.calibrate, self.seed = features, l2, calibrate, seed
         self.weights: np.ndarray | None = None
         self.platt = (1.0, 0.0)
+        self.loss: float | None = None
 
-    def _z(self, w: np.ndarray) -> Column:
-        z = F.lit(float(w[0]))
-        for i, f in enumerate(self.features):
-            z = z + float(w[i + 1]) * ((F.col(f).cast("double") - float(self.mean[i])) / float(self.scale[i]))
-        return z
+    @staticmethod
+    def _line(w: np.ndarray, xs: list[Column]) -> Column:
+        return sum((float(v) * x for v, x in zip(w, xs)), F.lit(0.0))
 
-    def _newton(self, rows: DataFrame, target: Column, z_of_w, n: int, l2: float, start: np.ndarray, xs: list[Column], rounds: int = 25) -> np.ndarray:
-        w = start.copy()
+    @staticmethod
+    def _newton(rows: DataFrame, target: Column, xs: list[Column], l2: float, starts: list[np.ndarray], parts: list[Column], rounds: int = 25) -> list[np.ndarray]:
+        """A fit for each part (a condition on rows) from its start, all in one aggregate a round."""
+        n, fits, open_ = len(xs), [w.copy() for w in starts], set(range(len(starts)))
+        penalty = np.array([0.0] + [l2] * (n - 1))
         for _ in range(rounds):
-            p = 1 / (1 + F.exp(-z_of_w(w)))
-            r, v = target - p, p * (1 - p)
-            sums = rows.agg(*[F.sum(r * x).alias(f"g{i}") for i, x in enumerate(xs)], *[F.sum(v * xs[i] * xs[j]).alias(f"h{i}_{j}") for i in range(n) for j in range(i + 1)]).first()
-            g = np.array([sums[f"g{i}"] for i in range(n)])
-            h = np.array([[sums[f"h{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)])
-            penalty = np.array([0.0] + [l2] * (n - 1))
-            step = np.linalg.solve(h + np.diag(penalty) + 1e-9 * np.eye(n), g - penalty * w)
-            w = w + np.clip(step, -8, 8)
-            if np.abs(step).max() < 1e-8:
+            aggs = []
+            for k in sorted(open_):
+                p = 1 / (1 + F.exp(-DealScorer._line(fits[k], xs)))
+                r, v = F.when(parts[k], target - p), F.when(parts[k], p * (1 - p))
+                aggs += [F.sum(r * x).alias(f"g{k}_{i}") for i, x in enumerate(xs)]
+                aggs += [F.sum(v * xs[i] * xs[j]).alias(f"h{k}_{i}_{j}") for i in range(n) for j in range(i + 1)]
+            sums = rows.agg(*aggs).first()
+            for k in sorted(open_):
+                g = np.array([sums[f"g{k}_{i}"] for i in range(n)], float)
+                h = np.array([[sums[f"h{k}_{max(i, j)}_{min(i, j)}"] for j in range(n)] for i in range(n)], float)
+                step = np.linalg.solve(h + np.diag(penalty) + 1e-9 * np.eye(n), g - penalty * fits[k])
+                fits[k] = fits[k] + np.clip(step, -8, 8)
+                if np.abs(step).max() < 1e-8:
+                    open_.discard(k)
+            if not open_:
                 break
-        return w
+        return fits
 
     def fit(self, deals: DataFrame, target: str = "won") -> DealScorer:
-        rows = deals.withColumn("_y", F.col(target).cast("double"))
         if self.features is None:
             self.features = sorted(f.name for f in deals.schema if f.name not in (target, "opp_id") and isinstance(f.dataType, T.NumericType))
         if not self.features:
             raise DataContractError("no numeric features")
+        rows, d = deals.withColumn("_y", F.col(target).cast("double")), len(self.features)
         aggs = [F.count("*").alias("n"), F.count_if(F.col("_y").isNull() | ~F.col("_y").isin(0.0, 1.0)).alias("bad"), F.sum("_y").alias("pos")]
         for i, f in enumerate(self.features):
-            aggs += [F.avg(F.col(f).cast("double")).alias(f"m{i}"), F.stddev_pop(F.col(f).cast("double")).alias(f"s{i}"), F.count_if(F.col(f).isNull()).alias(f"x{i}")]
+            x = F.col(f).cast("double")
+            aggs += [F.avg(x).alias(f"m{i}"), F.stddev_pop(x).alias(f"s{i}"), F.count_if(x.isNull()).alias(f"x{i}")]
         r = rows.agg(*aggs).first()
-        if not r.n or r.bad or any(r[f"x{i}"] for i in range(len(self.features))):
+        if not r.n or r.bad or any(r[f"x{i}"] for i in range(d)):
             raise DataContractError("the target is 0 or 1 and features have no nulls")
         if not 0 < r.pos < r.n:
             raise DataContractError("both outcomes are needed")
-        self.mean = np.array([r[f"m{i}"] for i in range(len(self.features))])
-        sd = np.array([r[f"s{i}"] for i in range(len(self.features))])
+        self.mean, sd = (np.array([r[f"{c}{i}"] for i in range(d)]) for c in "ms")
         self.scale = np.where(sd < 1e-12, 1.0, sd)
-        n = len(self.features) + 1
-        xs = [F.lit(1.0), *[(F.col(f).cast("double") - float(self.mean[i])) / float(self.scale[i]) for i, f in enumerate(self.features)]]
-        zero = np.zeros(n)
-        self.weights = self._newton(rows, F.col("_y"), self._z, n, self.l2, zero, xs)
-        self.platt = (1.0, 0.0)
-        if self.calibrate and min(r.pos, r.n - r.pos) >= 20:
-            fold = F.pmod(F.xxhash64(*[F.col(c) for c in deals.columns], F.lit(self.seed)), F.lit(5))
-            oof = None
-            for k in range(5):
-                w = self._newton(rows.filter(fold != k), F.col("_y"), self._z, n, self.l2, self.weights, xs)
-                oof = F.when(fold == k, self._z(w)) if oof is None else oof.when(fold == k, self._z(w))
-            soft = F.when(F.col("_y") == 1, (r.pos + 1) / (r.pos + 2)).otherwise(1 / (r.n - r.pos + 2))
-            scored = rows.select(oof.alias("_s"), soft.alias("_t"))
-            ab = self._newton(scored, F.col("_t"), lambda w: float(w[0]) + float(w[1]) * F.col("_s"), 2, 0.0, np.array([0.0, 1.0]), [F.lit(1.0), F.col("_s")])
-            self.platt = (max(float(ab[1]), 1e-6), float(ab[0]))
+        fold = F.pmod(F.xxhash64(*[F.col(c) for c in deals.columns], F.lit(self.seed)), F.lit(self.FOLDS))
+        kept = rows.select("_y", fold.alias("_fold"), *[x.alias(f"_x{i}") for i, x in enumerate(self._scaled())]).persist(StorageLevel.DISK_ONLY)
+        try:
+            xs = [F.lit(1.0), *[F.col(f"_x{i}") for i in range(d)]]
+            self.weights = self._newton(kept, F.col("_y"), xs, self.l2, [np.zeros(d + 1)], [F.lit(True)])[0]
+            self.platt = (1.0, 0.0)
+            if self.calibrate and min(r.pos, r.n - r.pos) >= 20:
+                parts = [F.col("_fold") != k for k in range(self.FOLDS)]
+                fits = self._newton(kept, F.col("_y"), xs, self.l2, [self.weights] * self.FOLDS, parts)
+                out_of_fold = functools.reduce(lambda c, k: c.when(F.col("_fold") == k, self._line(fits[k], xs)), range(1, self.FOLDS), F.when(F.col("_fold") == 0, self._line(fits[0], xs)))
+                soft = F.when(F.col("_y") == 1, (r.pos + 1) / (r.pos + 2)).otherwise(1 / (r.n - r.pos + 2))
+                scored = kept.select(out_of_fold.alias("_s"), soft.alias("_t"))
+                b, a = self._newton(scored, F.col("_t"), [F.lit(1.0), F.col("_s")], 0.0, [np.array([0.0, 1.0])], [F.lit(True)])[0]
+                self.platt = (max(float(a), 1e-6), float(b))
+            self.loss = kept.agg(F.avg(log_loss(self.platt[0] * self._line(self.weights, xs) + self.platt[1], F.col("_y")))).first()[0]
+        finally:
+            kept.unpersist()
         return self
 
+    def _scaled(self) -> list[Column]:
+        return [(F.col(f).cast("double") - float(m)) / float(s) for f, m, s in zip(self.features, self.mean, self.scale)]
+
     def predict_proba(self) -> Column:
         if self.weights is None:
             raise NotFittedError("DealScorer")
         a, b = self.platt
-        p = 1 / (1 + F.exp(-(a * self._z(self.weights) + b)))
+        p = 1 / (1 + F.exp(-(a * self._line(self.weights, [F.lit(1.0), *self._scaled()]) + b)))
         return F.least(F.greatest(p, F.lit(1e-12)), F.lit(1 - 1e-12))

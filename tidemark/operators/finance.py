@@ -108,11 +108,19 @@ def gbm_parameters(returns: DataFrame, c: str = TARGET) -> DataFrame:
     return returns.groupBy(ID).agg((F.avg(x) + F.var_samp(x) / 2).alias("mu"), F.stddev_samp(x).alias("sigma"))
 
 
+def normal_draw(seed: int, *keys: str) -> Column:
+    """A standard normal number fixed by seed and key columns, whatever the partitions: two uniforms of 52 bits from a digest
+    of them, by Box and Muller."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
+    u = lambda at: (F.conv(F.substring(digest, at, 13), 16, 10).cast("double") + 0.5) / F.lit(2.0**52)
+    return F.sqrt(-2 * F.ln(u(1))) * F.cos(2 * F.pi() * u(17))
+
+
 def simulate(spark: SparkSession, s0: float, mu: float, sigma: float, steps: int, paths: int, seed: int = 0) -> DataFrame:
-    """(path, step, value) of geometric Brownian motion; paths spread over the cluster."""
+    """(path, step, value) of geometric Brownian motion; paths spread over the cluster, numbers fixed by the seed."""
     if steps < 1 or paths < 1 or sigma < 0 or s0 <= 0:
         raise ValueError("steps and paths start at 1, sigma at 0, s0 above 0")
-    z = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).withColumn("z", F.randn(seed))
+    z = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(1), F.lit(steps))).alias("step")).withColumn("z", normal_draw(seed, "path", "step"))
     w = Window.partitionBy("path").orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
     return z.select("path", "step", (s0 * F.exp(F.sum((mu - sigma * sigma / 2) + sigma * F.col("z")).over(w))).alias("value"))
 
@@ -125,9 +133,11 @@ def simulate_seeded(spark: SparkSession, s0: float, mu: float, sigma: float, ste
     return spark.createDataFrame(pd.DataFrame({"path": p.ravel(), "step": t.ravel() + 1, "value": v.ravel()}))
 
 
-def simulation_summary(paths: DataFrame, quantiles=(0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
-    """mean and quantile columns (q05 ...) of each step."""
-    q = F.percentile("value", F.array(*map(F.lit, quantiles)))
+def simulation_summary(paths: DataFrame, quantiles=(0.05, 0.25, 0.5, 0.75, 0.95), accuracy: int | None = None) -> DataFrame:
+    """mean and quantile columns (q05 ...) of each step. Exact quantiles count equal values of a step, so a step's buffer holds its
+    distinct values; with accuracy they are a sketch instead, off by at most 1/accuracy in rank, of bounded memory."""
+    shares = F.array(*map(F.lit, quantiles))
+    q = F.percentile("value", shares) if accuracy is None else F.percentile_approx("value", shares, accuracy)
     out = paths.groupBy("step").agg(F.avg("value").alias("mean"), q.alias("q"))
     return out.select("step", "mean", *[F.col("q")[i].alias(f"q{round(100 * x):02d}") for i, x in enumerate(quantiles)])
 

@@ -1,12 +1,14 @@
-"""Model registry, grouped fitting and forecasting, walk-forward cross-validation.
+"""Model registry, forecasting and walk-forward cross-validation.
 
-All models of a series, or of a series and window, are fitted in one grouped map: one shuffle on the key whatever the number of
-models. Failures are rows of data (`error`), never warnings. Forecasts are long: unique_id, model, step, ds, yhat, sigma."""
+Models that need no iterative fit are built-in expressions (native_models). The others of a series are fitted in one grouped map: one shuffle
+on the series whatever the number of models and windows, as windows are cut inside the group. Failures are rows of
+data (`error`), never warnings. Forecasts are long: unique_id, model, step, ds, yhat, sigma."""
 
 from __future__ import annotations
 
 import json
 from dataclasses import asdict, dataclass, is_dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -17,7 +19,8 @@ from ..functions import dates
 from ..functions.contract import ID, TARGET, TIME, by_time, check_finite, check_future, check_horizon, check_levels, covariates, positions, too_short, validate_panel
 from ..functions.errors import DataContractError, EngineError, NotFittedError
 from ..functions.metrics import with_bounds
-from ..functions.series_models import MODELS, Model
+from ..functions.series_models import MODELS, Model, Naive, SeasonalNaive, WindowAverage
+from . import native_models
 
 VERSION = 1
 
@@ -98,6 +101,21 @@ def clone(model: Model) -> Model:
     return type(model)(**params_of(model)) if is_dataclass(model) else type(model)()
 
 
+def least_rows(model: Model) -> int:
+    """Training rows that a model needs at least, as a candidate of a selection."""
+    name, p = next((k for k, c in MODELS.items() if type(model) is c), ""), params_of(model)
+    season = int(p.get("season_length") or 1)
+    if name in ("arima", "sarima"):
+        (a, d, b), (sa, sd, sb), m = p["order"], p.get("seasonal_order", (0, 0, 0)), p.get("m", 1)
+        return max(a + sa * m, b + sb * m) + d + sd * m + 5
+    if name in ("auto_arima", "auto_sarima"):
+        m = p.get("m", 0)
+        return max(p["max_p"] + p.get("max_P", 0) * m, p["max_q"] + p.get("max_Q", 0) * m) + p["max_d"] + p.get("max_D", 0) * m + 5
+    #: Rows by model
+    by_name = {"seasonal_naive": season, "drift": 2, "ses": 3, "holt": 3, "holt_winters": 2 * season, "auto_ets": 4, "theta": 3, "croston": 4, "tsb": 4, "kalman": 5, "garch": 10, "ridge_lag": p.get("lags", 0) + 10}
+    return max(model.min_train, by_name.get(name, 1))
+
+
 OUT = "model string, step int, yhat double, sigma double, error string"
 
 
@@ -109,7 +127,7 @@ def _run_all(models, h: int, features: list[str]):
         x = known[features].to_numpy(float) if features else None
         xf = pdf[pdf["_ahead"]][features].to_numpy(float)[:h] if features and "_ahead" in pdf else None
         parts = []
-        for name, model in models:
+        for name, model in [x for x in models if "_model" not in pdf or x[0] == pdf["_model"].iloc[0]]:
             try:
                 takes = model.uses_x and x is not None
                 mean, sigma, _ = model.run(y, h, x if takes else None, xf if takes else None)
@@ -135,25 +153,45 @@ def _pooled(panel: DataFrame, models):
     return out
 
 
-def forecast(panel: DataFrame, models, h: int, level=None, x_future: DataFrame | None = None, validate: bool = True) -> DataFrame:
-    """Long forecasts of all models with bounds of each level. A series that a model refuses stops the job, as its error says."""
+def _with_future(panel: DataFrame, features: list[str], x_future: DataFrame | None, h: int) -> DataFrame:
+    """The panel's rows with, where models read covariates, the future's rows marked _ahead."""
+    rows = panel.select(ID, TIME, TARGET, *features)
+    if not features:
+        return rows
+    check_finite(panel, features, "the panel")
+    if x_future is None:
+        raise DataContractError(f"the panel has covariates {features}: their future values are needed")
+    check_future(x_future, panel, h, features)
+    ahead = x_future.select(ID, F.col(TIME).cast(dict(rows.dtypes)[TIME]).alias(TIME), F.lit(None).cast("double").alias(TARGET), *features)
+    return rows.withColumn("_ahead", F.lit(False)).unionByName(ahead.withColumn("_ahead", F.lit(True)))
+
+
+def forecast(panel: DataFrame, models, h: int, level=None, x_future: DataFrame | None = None, validate: bool = True, route: DataFrame | None = None, keep_failures: bool = False) -> DataFrame:
+    """Long forecasts of all models with bounds of each level; with route (unique_id, model), of each series' own model alone. A series
+    that a model refuses stops the job, as its error says, or with keep_failures has one row without values."""
     h, levels = check_horizon(h), check_levels(level)
     panel = validate_panel(panel) if validate else panel
     models = _pooled(panel, resolve(models))
-    features = covariates(panel) if any(m.uses_x for _, m in models) else []
-    rows = panel.select(ID, TIME, TARGET, *features)
-    if features:
-        check_finite(panel, features, "the panel")
-        if x_future is None:
-            raise DataContractError(f"the panel has covariates {features}: their future values are needed")
-        check_future(x_future, panel, h, features)
-        ahead = x_future.select(ID, F.col(TIME).cast(dict(rows.dtypes)[TIME]).alias(TIME), F.lit(None).cast("double").alias(TARGET), *features)
-        rows = rows.withColumn("_ahead", F.lit(False)).unionByName(ahead.withColumn("_ahead", F.lit(True)))
-    key = dict(rows.dtypes)[ID]
-    run = _run_all(models, h, features)
-    found = rows.groupBy(ID).applyInPandas(lambda k, pdf: run(pdf).assign(**{ID: k[0]})[[ID, "model", "step", "yhat", "sigma", "error"]], f"{ID} {key}, {OUT}")
-    stop = F.raise_error(F.concat(F.col("model"), F.lit(" on "), F.col(ID).cast("string"), F.lit(": "), F.col("error")))
-    found = found.withColumn("yhat", F.when(F.col("error").isNotNull(), stop.cast("double")).otherwise(F.col("yhat")))
+    native, fitted = [x for x in models if native_models.is_native(x[1])], [x for x in models if not native_models.is_native(x[1])]
+    parts = []
+    if native and route is None:
+        parts.append(native_models.ahead(panel, native, h).drop("cut", "n"))
+    for x in native if route is not None else []:
+        own = panel.join(route.filter(F.col("model") == x[0]).select(ID), ID, "left_semi")
+        parts.append(native_models.ahead(own, [x], h).drop("cut", "n"))
+    if fitted:
+        features = covariates(panel) if any(m.uses_x for _, m in fitted) else []
+        rows = _with_future(panel, features, x_future, h)
+        if route is not None:
+            names = [n for n, _ in fitted]
+            rows = rows.join(route.filter(F.col("model").isin(*names)).select(ID, F.col("model").alias("_model")), ID)
+        run, key = _run_all(fitted, h, features), dict(rows.dtypes)[ID]
+        columns = [ID, "model", "step", "yhat", "sigma", "error"]
+        parts.append(rows.groupBy(ID).applyInPandas(lambda k, pdf: run(pdf).assign(**{ID: k[0]})[columns], f"{ID} {key}, {OUT}"))
+    found = reduce(DataFrame.unionByName, parts)
+    stop = F.raise_error(F.concat(F.col("model"), F.lit(" on "), F.col(ID).cast("string"), F.lit(": "), F.col("error"))).cast("double")
+    none = F.lit(None).cast("double")
+    found = found.withColumns({c: F.when(F.col("error").isNotNull(), none if keep_failures or c == "sigma" else stop).otherwise(F.col(c)) for c in ("yhat", "sigma")})
     out = dates.future(dates.with_step(panel), h).join(found.drop("error"), [ID, "step"])
     return with_bounds(out, levels).select(ID, "model", "step", TIME, "yhat", "sigma", *[f"{s}_{x}" for x in levels for s in ("lo", "hi")])
 
@@ -184,35 +222,55 @@ def check_span(panel: DataFrame, h: int, n_windows: int, step_size: int) -> None
 
 
 def cross_validation(panel: DataFrame, models, h: int, n_windows: int = 3, step_size: int | None = None, level=None, validate: bool = True) -> DataFrame:
-    """Long rows (unique_id, ds, cutoff, window, step, y, model, yhat, sigma, bounds, error) of held-out steps. One shuffle for all fits,
-    on series and window, so that a long series' windows run in parallel."""
+    """Long rows (unique_id, ds, cutoff, window, step, y, model, yhat, sigma, bounds, error) of held-out steps. No history is copied for a
+    window: native models read each cutoff's state from running windows, and the others cut their windows inside one group a series."""
     h, levels, step_size = check_horizon(h), check_levels(level), step_size or h
     if n_windows < 1 or step_size < 1:
         raise ValueError("n_windows and step_size start at 1")
     panel = validate_panel(panel) if validate else panel
     check_span(panel, h, n_windows, step_size)
     models = _pooled(panel, resolve(models))
-    features = covariates(panel) if any(m.uses_x for _, m in models) else []
-    splits = cv_splits(panel.select(ID, TIME, TARGET, *features), h, n_windows, step_size)
+    native, fitted = [x for x in models if native_models.is_native(x[1])], [x for x in models if not native_models.is_native(x[1])]
+    columns = [ID, TIME, "cutoff", "window", "step", TARGET, "model", "yhat", "sigma", "error"]
+    parts = []
+    if native:
+        f = native_models.ahead(panel, native, h, (n_windows, step_size))
+        window = (n_windows - 1 - (F.col("n") - h - F.col("cut")) / step_size).cast("int")
+        rows = positions(panel.select(ID, TIME, TARGET)).select(ID, TIME, TARGET, F.col("pos").cast("int").alias("pos"), (F.col("n") - F.col("pos")).alias("left"))
+        held = rows.filter(F.col("left") <= h + (n_windows - 1) * step_size).drop("left")
+        ends = rows.filter(F.col("left") <= h + 1 + (n_windows - 1) * step_size).select(ID, F.col(TIME).alias("cutoff"), (F.col("pos") + 1).alias("cut"))
+        f = f.withColumns({"window": window, "pos": (F.col("cut") + F.col("step") - 1).cast("int")})
+        parts.append(f.join(held, [ID, "pos"]).join(ends, [ID, "cut"]).select(columns))
+    if fitted:
+        features = covariates(panel) if any(m.uses_x for _, m in fitted) else []
+        parts.append(_fitted_windows(panel.select(ID, TIME, TARGET, *features), fitted, h, n_windows, step_size, features).select(columns))
+    out = reduce(DataFrame.unionByName, parts)
+    clean = lambda c: F.when(~F.isnan(c), F.col(c))
+    return with_bounds(out.withColumns({"yhat": clean("yhat"), "sigma": clean("sigma")}), levels)
+
+
+def _fitted_windows(rows: DataFrame, models, h: int, n_windows: int, step_size: int, features: list[str]) -> DataFrame:
     run = _run_all(models, h, features)
 
-    def one(key, pdf):
-        pdf = pdf.sort_values(TIME, kind="stable")
-        held = pdf[pdf["step"] > 0]
-        out = run(pdf.assign(_ahead=pdf["step"] > 0))
-        out = out.merge(held[["step", TIME, TARGET]].astype({"step": np.int32}), on="step", how="left")
+    def window_of(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+        cut = len(pdf) - h - (n_windows - 1 - window) * step_size
+        part = pdf.iloc[: cut + h]
+        held = part.iloc[cut:][[TIME, TARGET]].assign(step=np.arange(1, h + 1, dtype=np.int32))
+        out = run(part.assign(_ahead=np.arange(len(part)) >= cut)).merge(held, on="step", how="left")
         lost = out["error"].notna()
         if lost.any():  # a failed model still has its rows
-            more = held[[TIME, TARGET, "step"]].merge(out.loc[lost, ["model", "error"]], how="cross").assign(yhat=np.nan, sigma=np.nan)
+            more = held.merge(out.loc[lost, ["model", "error"]], how="cross").assign(yhat=np.nan, sigma=np.nan)
             out = pd.concat([out[~lost], more], ignore_index=True)
-        out["cutoff"], out["window"], out[ID] = pdf["cutoff"].iloc[0], key[1], key[0]
+        return out.assign(cutoff=part[TIME].iloc[cut - 1], window=np.int32(window))
+
+    def one(key, pdf):
+        pdf = pdf.sort_values(TIME, kind="stable")
+        out = pd.concat([window_of(pdf, w) for w in range(n_windows)], ignore_index=True).assign(**{ID: key[0]})
         return out[[ID, TIME, "cutoff", "window", "step", TARGET, "model", "yhat", "sigma", "error"]].astype({"step": np.int32})
 
-    kinds = dict(panel.dtypes)
-    schema = f"{ID} {kinds[ID]}, {TIME} {kinds[TIME]}, cutoff {kinds[TIME]}, window int, step int, {TARGET} double, model string, yhat double, sigma double, error string"
-    out = splits.groupBy(ID, "window").applyInPandas(one, schema)
-    clean = lambda c: F.when(~F.isnan(c), F.col(c))
-    return with_bounds(out.withColumns({"yhat": clean("yhat"), "sigma": clean("sigma")}), levels)
+    kinds = dict(rows.dtypes)
+    times = f"{ID} {kinds[ID]}, {TIME} {kinds[TIME]}, cutoff {kinds[TIME]}"
+    return rows.groupBy(ID).applyInPandas(one, f"{times}, window int, step int, {TARGET} double, model string, yhat double, sigma double, error string")
 
 
 # ---- fitted models as tables -------------------------------------------------------------------------------------
@@ -221,7 +279,9 @@ def cross_validation(panel: DataFrame, models, h: int, n_windows: int = 3, step_
 def fitted_values(panel: DataFrame, model, validate: bool = True) -> DataFrame:
     """(unique_id, ds, y, fitted) in sample."""
     panel = validate_panel(panel) if validate else panel
-    (_, m), = resolve([model])
+    (name, m), = resolve([model])
+    if type(m) in (SeasonalNaive, WindowAverage, Naive):
+        return native_models.fitted(panel, {Naive: "naive", SeasonalNaive: "seasonal_naive", WindowAverage: "window_average"}[type(m)], getattr(m, "season_length", getattr(m, "window", 1)))
     kinds = dict(panel.dtypes)
 
     def one(pdf):

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import metrics
+from ..functions import dates, metrics
 from ..functions.contract import ID, TARGET, TIME, check_horizon, check_levels, positions, validate_panel
 from ..functions.errors import DataContractError
 from . import forecaster
@@ -78,23 +78,80 @@ def choose(scores: DataFrame, order: list[str], metric: str) -> DataFrame:
     return fine.groupBy(ID).agg(F.min_by("model", F.struct(v, rank)).alias("model"), F.min(v).alias("score"))
 
 
-def auto_select(panel: DataFrame, models, h: int, level=None, metric: str = "mase", val_h: int = 12, n_windows: int = 2, season_length: int = 1) -> tuple[DataFrame, DataFrame]:
-    """(forecasts of each series' winner, the winners). Walk-forward scores, or a 75/25 holdout where series are too short."""
+#: The candidates of auto_select without a season, and those that it has beside seasonal ones.
+PLAIN_POOL = ("naive", "drift", "ses", "holt", "theta", "auto_ets", "window_average")
+SEASONAL_BASE = ("naive", "drift", "ses", "window_average")
+INTERVAL_METRICS = ("coverage", "winkler", "pinball", "wis", "crps")
+
+
+def default_pool(m: int) -> list:
+    """Candidates for a season length."""
+    return list(PLAIN_POOL) if m <= 1 else [*SEASONAL_BASE, *[(n, {"season_length": m}) for n in ("seasonal_naive", "theta", "auto_ets")]]
+
+
+def holdout(panel: DataFrame, models, levels=()) -> DataFrame:
+    """Long rows (unique_id, ds, step, y, model, yhat) of each series' own last quarter (one row at least), forecast from the rows before."""
+    placed = positions(panel).withColumn("hold", F.greatest(F.lit(1), F.floor(F.col("n") / 4)))
+    held = placed.filter(F.col("pos") >= F.col("n") - F.col("hold")).withColumn("step", (F.col("pos") - F.col("n") + F.col("hold") + 1).cast("int"))
+    longest = placed.agg(F.max("hold")).first()[0]
+    ahead = forecaster.forecast(placed.filter(F.col("pos") < F.col("n") - F.col("hold")).select(ID, TIME, TARGET), models, int(longest), levels, validate=False)
+    names = held.sparkSession.createDataFrame([(n,) for n, _ in models], "model string")
+    wanted = held.select(ID, TIME, "step", TARGET).crossJoin(F.broadcast(names))  # one row a candidate
+    return wanted.join(ahead.drop(TIME), [ID, "model", "step"], "left")
+
+
+def auto_select(panel: DataFrame, models=None, h: int = 12, level=None, metric: str = "mase", val_h: int = 12, n_windows: int = 2, season_length: int | str | None = "auto") -> tuple[DataFrame, DataFrame]:
+    """(forecasts of each series' winner, the winners with their scores).
+
+    Without models the pool depends on the season length; "auto" takes it from the panel's most common step for that pool (and drops
+    it where the shortest training slice is no longer than it), and is 1 for given models. Candidates are scored by walk-forward
+    cross-validation, or by each series' own 75/25 holdout where the shortest series leaves them too few rows. A candidate with a score for only
+    part of the window is out; a series without any score of the metric is ranked by mae, and without that takes the first
+    candidate. Only winners are fitted on the whole series."""
+    if metric.split("-")[0] in INTERVAL_METRICS:
+        raise ValueError(f"{metric!r} needs intervals; candidates are scored by point forecasts")
+    if val_h < 1 or n_windows < 1:
+        raise ValueError("val_h and n_windows start at 1")
+    if isinstance(season_length, str) and season_length != "auto":
+        raise ValueError("season_length is a whole number, None or 'auto'")
     panel = validate_panel(panel)
-    models = forecaster.resolve(models)
-    shortest = panel.groupBy(ID).agg(F.count("*").alias("n")).agg(F.min("n")).first()[0]
-    if shortest <= val_h + (n_windows - 1) * val_h + 2:
-        val_h, n_windows = max(1, shortest // 4), 1
-    cv = forecaster.cross_validation(panel, models, val_h, n_windows, validate=False)
-    first = positions(panel).filter(F.col("pos") < F.col("n") - n_windows * val_h).drop("pos", "n")
-    whole = cv.groupBy(ID, "model").agg(F.count("yhat").alias("k"), F.count("*").alias("all")).filter("k = all").select(ID, "model")
-    scores = metrics.evaluate(cv.join(whole, [ID, "model"]), [metric, "mae"], first, season_length)
-    order = [n for n, _ in models]
-    best = choose(scores.filter(F.col("metric") == metric), order, metric)
-    spare = choose(scores.filter(F.col("metric") == "mae"), order, "mae")
-    winners = spare.join(best.select(ID, F.col("model").alias("m"), F.col("score").alias("s")), ID, "left").select(ID, F.coalesce("m", "model").alias("model"), F.coalesce("s", "score").alias("score"))
-    out = forecaster.forecast(panel, models, h, level, validate=False).join(winners.select(ID, "model"), [ID, "model"], "left_semi")
-    return out, winners
+    span = val_h * n_windows
+    n = F.col("n")
+    r = panel.groupBy(ID).agg(F.count("*").alias("n")).agg(F.min("n").alias("n"), F.min(n - F.greatest(F.lit(1), F.floor(n / 4))).alias("kept")).first()
+    auto = season_length == "auto"
+    found = (dates.season_of(dates.with_step(panel)) if models is None else 1) if auto else max(1, int(season_length or 1))
+
+    def pool(rows: int):
+        """(seasonality of scaled metrics, candidates) for so many training rows."""
+        m = 1 if auto and rows <= found else found
+        return m if rows > m else 1, forecaster.resolve(models if models is not None else default_pool(m))
+
+    by_cv = r.n > span
+    scale, chosen = pool(r.n - span if by_cv else r.kept)
+    if by_cv and r.n - span < max(forecaster.least_rows(m) for _, m in chosen) + 1 and r.kept > r.n - span:
+        by_cv = False
+        scale, chosen = pool(r.kept)
+    if by_cv:
+        scored = forecaster.cross_validation(panel, chosen, val_h, n_windows, validate=False)
+        first = positions(panel).filter(F.col("pos") < n - span).drop("pos", "n")
+    else:
+        scored = holdout(panel, chosen)
+        first = positions(panel).filter(F.col("pos") < n - F.greatest(F.lit(1), F.floor(n / 4))).drop("pos", "n")
+    scored = scored.persist(StorageLevel.MEMORY_AND_DISK)
+    covered = scored.groupBy(ID, "model").agg(F.count("yhat").alias("k"))
+    most = covered.groupBy(ID).agg(F.max("k").alias("most"))
+    whole = covered.join(most, ID).filter("k = most").select(ID, "model")
+    scores = metrics.evaluate(scored.join(whole, [ID, "model"]), list(dict.fromkeys((metric, "mae"))), first, scale)
+    order = [n for n, _ in chosen]
+    best, spare = (choose(scores.filter(F.col("metric") == x), order, x).select(ID, F.col("model").alias(f"m_{x}"), F.col("score").alias(f"s_{x}")) for x in (metric, "mae"))
+    winners = panel.select(ID).distinct().join(best, ID, "left")
+    if metric != "mae":
+        winners = winners.join(spare, ID, "left")
+    winners = winners.select(ID, F.coalesce(f"m_{metric}", "m_mae", F.lit(order[0])).alias("model"), F.coalesce(f"s_{metric}", "s_mae").alias("score"))
+    winners = winners.persist(StorageLevel.MEMORY_AND_DISK)
+    winners.count()
+    scored.unpersist()
+    return forecaster.forecast(panel, chosen, h, level, validate=False, route=winners.select(ID, "model")), winners
 
 
 # ---- hierarchies -------------------------------------------------------------------------------------------------
@@ -123,34 +180,55 @@ def aggregate_panel(panel: DataFrame, sep: str = "/", total: str = "total") -> D
     return panel.join(edges.withColumnRenamed("leaf", ID), ID).groupBy(F.col("node").alias(ID), TIME).agg(F.sum(TARGET).alias(TARGET))
 
 
+def _tree(ids: DataFrame, sep: str, total: str) -> DataFrame:
+    """(node, depth, parent) of every node; the total's parent is null."""
+    nodes = ancestors(ids, sep, total).select("node", "depth").distinct()
+    above = F.when(F.col("depth") == 1, F.lit(total)).when(F.col("depth") > 1, F.expr(f"substring_index(node, '{sep}', depth - 1)"))
+    return nodes.withColumn("parent", above)
+
+
+def _mint(forecasts: DataFrame, tree: DataFrame) -> DataFrame:
+    """(node, step, x): the coherent values nearest to the forecasts of all nodes in least squares, by two sweeps over the tree.
+
+    Upwards, a subtree's least squared change for a total x is a (x - m)^2 + constant: a leaf has a = 1 and its forecast as m, and a node
+    adds its own square to what its children cost together, (x - sum m)^2 / sum(1 / a). Downwards, each child gets its m and its share of
+    what the parent's value has over the sum of these. So the work is linear in the nodes, one join a level."""
+    depth = tree.agg(F.max("depth")).first()[0]
+    rows = tree.join(forecasts.select(F.col(ID).alias("node"), "step", "yhat"), "node")
+    at = lambda d: rows.filter(F.col("depth") == d).select("node", "parent", "step", "yhat")
+    solved = {depth: at(depth).select("node", "parent", "step", F.lit(1.0).alias("a"), F.col("yhat").alias("m"), F.lit(None).cast("double").alias("sum_m"), F.lit(None).cast("double").alias("slack"))}
+    for d in range(depth - 1, -1, -1):
+        below = solved[d + 1].groupBy(F.col("parent").alias("node"), "step").agg(F.sum("m").alias("sum_m"), F.sum(1 / F.col("a")).alias("slack"))
+        own = at(d).join(below, ["node", "step"], "left")
+        a = F.coalesce(1 + 1 / F.col("slack"), F.lit(1.0))
+        m = F.coalesce((F.col("yhat") + F.col("sum_m") / F.col("slack")) / (1 + 1 / F.col("slack")), F.col("yhat"))
+        solved[d] = own.select("node", "parent", "step", a.alias("a"), m.alias("m"), "sum_m", "slack")
+    now = solved[0].select("node", "step", F.col("m").alias("x"), "sum_m", "slack")
+    out = now.select("node", "step", "x")
+    for d in range(1, depth + 1):
+        above = now.select(F.col("node").alias("parent"), "step", ((F.col("x") - F.col("sum_m")) / F.col("slack")).alias("each"))
+        now = solved[d].join(above, ["parent", "step"]).select("node", "step", (F.col("m") + F.col("each") / F.col("a")).alias("x"), "sum_m", "slack")
+        out = out.unionByName(now.select("node", "step", "x"))
+    return out
+
+
 def reconcile(forecasts: DataFrame, history: DataFrame, method: str = "mint_ols", sep: str = "/", total: str = "total") -> DataFrame:
     """Coherent (unique_id, step, yhat) of all nodes. forecasts has leaves (bottom_up), leaves and total (top_down) or every node
-    (mint_ols). mint_ols solves on the driver for the summing matrix, whose size is checked."""
+    (mint_ols)."""
     edges = ancestors(history, sep, total)
     up = lambda leaves: leaves.join(edges, leaves[ID] == edges["leaf"]).groupBy(F.col("node").alias(ID), "step").agg(F.sum("yhat").alias("yhat"))
     leaves = forecasts.join(history.select(ID).distinct(), ID, "left_semi")
     if method == "bottom_up":
         return up(leaves.select(ID, "step", "yhat"))
     if method == "top_down":
-        w = Window.partitionBy("step")
-        s, a = F.sum("yhat").over(w), F.sum(F.abs("yhat")).over(w)
-        share = F.when(F.abs(s) < F.greatest(1e-8 * a, F.lit(1e-12)), 1.0 / F.count("*").over(w)).otherwise(F.try_divide(F.col("yhat"), s))
-        top = forecasts.filter(F.col(ID) == total).select("step", F.col("yhat").alias("top"))
-        return up(leaves.select(ID, "step", share.alias("share"), "yhat").join(top, "step").select(ID, "step", (F.col("share") * F.col("top")).alias("yhat")))
+        sums = leaves.groupBy("step").agg(F.sum("yhat").alias("s"), F.sum(F.abs("yhat")).alias("a"), F.count("*").alias("n"))  # a row a step
+        top = forecasts.filter(F.col(ID) == total).select("step", F.col("yhat").alias("top")).join(sums, "step")
+        flat = F.abs("s") < F.greatest(1e-8 * F.col("a"), F.lit(1e-12))
+        share = F.when(flat, 1.0 / F.col("n")).otherwise(F.try_divide(F.col("yhat"), F.col("s")))
+        return up(leaves.select(ID, "step", "yhat").join(top, "step").select(ID, "step", (share * F.col("top")).alias("yhat")))
     if method != "mint_ols":
         raise ValueError("method is bottom_up, top_down or mint_ols")
-    n = edges.select("node").distinct().count()
-    if n > 4000:
-        raise ValueError(f"mint_ols inverts a {n}-node matrix; use bottom_up or top_down beyond 4000")
-    e = edges.toPandas()
-    leaf_names, node_names = sorted(e["leaf"].unique()), sorted(e["node"].unique())
-    s = np.zeros((len(node_names), len(leaf_names)))
-    s[e["node"].map({v: i for i, v in enumerate(node_names)}), e["leaf"].map({v: i for i, v in enumerate(leaf_names)})] = 1
-    g = np.linalg.solve(s.T @ s, s.T)
-    rows = [(leaf, node, float(g[i, j])) for i, leaf in enumerate(leaf_names) for j, node in enumerate(node_names)]
-    weights = forecasts.sparkSession.createDataFrame(rows, "leaf string, node string, w double")
-    solved = forecasts.join(weights, forecasts[ID] == weights["node"]).groupBy(F.col("leaf").alias(ID), "step").agg(F.sum(F.col("w") * F.col("yhat")).alias("yhat"))
-    return up(solved)
+    return _mint(forecasts, _tree(history, sep, total)).select(F.col("node").alias(ID), "step", F.col("x").alias("yhat"))
 
 
 def reconciled(panel: DataFrame, model, h: int, method: str = "mint_ols", sep: str = "/", total: str = "total", level=None) -> DataFrame:

@@ -37,7 +37,7 @@ def clean_numeric_text(df: DataFrame) -> DataFrame:
     q = lambda c: F.col(f"`{c}`")
     checks = []
     for i, c in enumerate(texts):
-        bare = F.regexp_replace(q(c), r"[$€£¥,\s]", "")
+        bare = F.regexp_replace(q(c), STRIP, "")
         checks += [F.avg(q(c).rlike(MONEY).cast("double")).alias(f"share{i}"), F.bool_and(F.trim(q(c)).rlike(r"^\d{8}$")).alias(f"dates{i}"), F.bool_or(bare.rlike(r"^0\d+$")).alias(f"codes{i}")]
     r = df.agg(*checks).first()
     change = {}
@@ -195,3 +195,14 @@ def pooled_curve(cohorts: DataFrame) -> DataFrame:
     folded = ratios.agg(F.array_sort(F.collect_list(F.struct("age", "r"))).alias("rs"))
     path = F.aggregate("rs", F.array().cast("array<double>"), lambda a, x: F.concat(a, F.array(F.when(x["age"] == 0, 1.0).otherwise(F.element_at(a, -1) * x["r"]))))
     return folded.select(F.posexplode(path).alias("age", "survival"))
+
+
+def seasonal_index(panel: DataFrame, m: int) -> DataFrame:
+    """(unique_id, place, index, multiplicative): the mean of each place in a season of m rows over the series' mean, or its difference
+    from it where values are not all positive."""
+    place = (F.row_number().over(Window.partitionBy(ID).orderBy(TIME)) - 1) % m
+    rows = panel.select(ID, place.cast("int").alias("place"), TARGET)
+    means = rows.groupBy(ID, "place").agg(F.avg(TARGET).alias("by"))
+    whole = rows.groupBy(ID).agg(F.avg(TARGET).alias("all"), ((F.min(TARGET) > 0) & (F.avg(TARGET) > 1e-12)).alias("multiplicative"))
+    index = F.when(F.col("multiplicative"), F.try_divide("by", "all")).otherwise(F.col("by") - F.col("all"))
+    return means.join(whole, ID).select(ID, "place", index.alias("index"), "multiplicative")

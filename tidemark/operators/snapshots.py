@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -11,21 +13,23 @@ from ..functions.contract import ID, TARGET, TIME, validate_panel
 from ..functions.errors import DataContractError, EngineError
 
 NEEDS = {"panel": (ID, TIME, TARGET), "forecast": (ID, TIME, "yhat"), "deals": ("opp_id", "amount", "stage")}
-MANIFEST = "kind string, as_of string, revision int, rows long, label string, created_at string, columns array<string>"
+MANIFEST = "kind string, as_of string, revision int, rows long, label string, created_at string, columns array<string>, token string"
 
 
 class SnapshotStore:
-    """Every write is a new revision; nothing is overwritten. One writer at a time is assumed."""
+    """Every write is a new revision; nothing is overwritten. A revision is a row of the manifest, a file of its own that appears by one
+    rename once the data is complete: a writer that dies before leaves only data that no row names, and of two writers of one
+    revision the later takes the next number."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")
 
-    def _exists(self, path: str) -> bool:
+    def _path(self, path: str):
         at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return at.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(at)
+        return at, at.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def _at(self, kind: str, as_of: str, revision: int) -> str:
-        return f"{self.root}/data/kind={kind}/as_of={as_of}/revision={revision}"
+    def _at(self, kind: str, as_of: str, revision: int, token: str) -> str:
+        return f"{self.root}/data/kind={kind}/as_of={as_of}/revision={revision}/token={token}"
 
     @staticmethod
     def _day(as_of) -> str:
@@ -36,12 +40,29 @@ class SnapshotStore:
 
     def manifest(self) -> DataFrame:
         path = f"{self.root}/manifest"
-        if not self._exists(path):
+        at, fs = self._path(path)
+        if not fs.exists(at):
             return self.spark.createDataFrame([], MANIFEST)
         try:
-            return self.spark.read.schema(MANIFEST).parquet(path).orderBy("kind", "as_of", "revision")
+            out = self.spark.read.schema(MANIFEST).option("mode", "FAILFAST").option("pathGlobFilter", "*.json").json(path)
+            out.count()  # one small row a snapshot
         except Exception as e:  # noqa: BLE001  whatever the storage raises
             raise EngineError(f"the manifest at {path} cannot be read: {str(e)[:200]}") from e
+        return out.orderBy("kind", "as_of", "revision")
+
+    def _claim(self, entry: dict) -> bool:
+        """Puts the entry into the manifest in one step; false where its revision is taken."""
+        name = f"{entry['kind']}-{entry['as_of']}-{entry['revision']}"
+        (target, fs), (draft, _) = self._path(f"{self.root}/manifest/{name}.json"), self._path(f"{self.root}/manifest/.{name}-{entry['token']}.draft")
+        if fs.exists(target):
+            return False
+        out = fs.create(draft, True)
+        out.write(bytearray(json.dumps(entry).encode()))
+        out.close()
+        if not fs.exists(target) and fs.rename(draft, target):
+            return True
+        fs.delete(draft, False)
+        return False
 
     def snapshot(self, frame: DataFrame, as_of, kind: str = "panel", label: str | None = None, created_at=None) -> str:
         if kind not in NEEDS:
@@ -52,14 +73,18 @@ class SnapshotStore:
             frame = validate_panel(frame)
         elif frame.isEmpty():
             raise DataContractError("the snapshot is empty")
-        day = self._day(as_of)
+        day, token = self._day(as_of), uuid.uuid4().hex
         taken = self.manifest().filter((F.col("kind") == kind) & (F.col("as_of") == day)).agg(F.max("revision")).first()[0]
         revision = 0 if taken is None else taken + 1
-        path = self._at(kind, day, revision)
+        path = self._at(kind, day, revision, token)
         frame.drop("as_of").write.mode("errorifexists").parquet(path)
-        rows = self.spark.read.parquet(path).count()
-        made = self._day(created_at) if created_at else day
-        self.spark.createDataFrame([(kind, day, revision, rows, label, made, frame.columns)], MANIFEST).write.mode("append").parquet(f"{self.root}/manifest")
+        entry = {"kind": kind, "as_of": day, "rows": self.spark.read.parquet(path).count(), "label": label, "created_at": self._day(created_at) if created_at else day, "columns": frame.columns, "token": token}
+        while not self._claim(entry | {"revision": revision}):  # another writer was first
+            (here, fs), revision = self._path(path), revision + 1
+            path = self._at(kind, day, revision, token)
+            there, _ = self._path(path)
+            fs.mkdirs(there.getParent())
+            fs.rename(here, there)
         return path
 
     def as_of_dates(self, kind: str = "panel") -> DataFrame:
@@ -76,18 +101,19 @@ class SnapshotStore:
         if not found:
             raise EngineError(f"no {kind} snapshot" + (f" as of {self._day(as_of)}" if as_of is not None else ""))
         r = found[-1]
-        return self.spark.read.parquet(self._at(kind, r.as_of, r.revision))
+        return self.spark.read.parquet(self._at(kind, r.as_of, r.revision, r.token))
 
-    def history(self, kind: str = "panel", series=None, latest_only: bool = False) -> DataFrame:
-        """All snapshots with as_of (and revision); series filters reach the scan, revisions are pruned by the manifest."""
+    def history(self, kind: str = "panel", series=None, latest_only: bool = False, ordered: bool = True) -> DataFrame:
+        """All snapshots with as_of (and revision), in order of both and of the rows' keys unless not asked for; series filters reach the scan,
+        revisions are pruned by the manifest."""
         rows = self._latest(kind) if latest_only else self.manifest().filter(F.col("kind") == kind).collect()
         if not rows:
             raise EngineError(f"no {kind} snapshots")
-        out = self.spark.read.option("basePath", f"{self.root}/data").option("mergeSchema", "true").parquet(*[self._at(r.kind, r.as_of, r.revision) for r in rows])
-        out = out.withColumn("as_of", F.col("as_of").cast("timestamp_ntz")).drop("kind")
+        out = self.spark.read.option("basePath", f"{self.root}/data").option("mergeSchema", "true").parquet(*[self._at(r.kind, r.as_of, r.revision, r.token) for r in rows])
+        out = out.withColumn("as_of", F.col("as_of").cast("timestamp_ntz")).drop("kind", "token")
         if series is not None:
             out = out.filter(F.col(ID if ID in out.columns else "opp_id").isin(*([series] if isinstance(series, str) else series)))
-        return out
+        return out.orderBy("as_of", "revision", *[c for c in (ID, TIME, "opp_id") if c in out.columns]) if ordered else out
 
 
 def latest_only(history: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ and windows over it. Inverses act on every numeric column but ids, times and cov
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -50,8 +51,8 @@ class Transform:
 
     def transform(self, df: DataFrame) -> DataFrame:
         done = self._joined(df)
-        cols = [c for c in df.columns if c in (TARGET, "yhat") or c.startswith(("lo_", "hi_"))]
-        return done.withColumns({c: self._forward(F.col(c)) for c in cols}).select(*df.columns)
+        cols = [c for c in df.columns if c in (TARGET, "yhat") or re.search(r"^(lo|hi)[-_]|-(lo|hi)-", c)]
+        return done.withColumns({c: self._forward(F.col(f"`{c}`")) for c in cols}).select(*[F.col(f"`{c}`") for c in df.columns])
 
     def inverse_transform(self, df: DataFrame) -> DataFrame:
         done = self._joined(df)

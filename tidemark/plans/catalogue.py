@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dates, metrics as M
-from ..functions.contract import ID, TARGET, TIME, positions, violations
+from ..functions import contract as C
+from ..functions.contract import ID, TARGET, TIME, positions, single_currency, violations
+from ..functions.errors import DataContractError
 from ..functions.numeric import normal_cdf_sql, z_of
 from ..operators import currency, deals, finance, forecaster, meta, native_models as N, panel as P, snapshots, transforms as X
-from . import engine, fixtures as V, tools
+from ..sources import readers
+from . import engine, fixtures as V, tools, workspace
 from .fixtures import with_views as views
 
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,7 +179,13 @@ def _(s, d):
 
 @query("single_currency_guard", views("deals_ccy") + "select count(distinct currency) as n_currencies, count(distinct currency) > 1 as mixed from deals_ccy")
 def _(s, d):
-    return V.deals_ccy(s, d).agg(F.count_distinct("currency").alias("n_currencies")).withColumn("mixed", F.col("n_currencies") > 1)
+    x = V.deals_ccy(s, d)
+    try:
+        single_currency(x)
+        mixed = False
+    except DataContractError:
+        mixed = True
+    return x.agg(F.count_distinct("currency").alias("n_currencies")).withColumn("mixed", F.lit(mixed))
 
 
 _FUNNEL = ["view", "click", "signup"]
@@ -392,12 +401,12 @@ def _(s, d):
 
 @query("croston_users")
 def _(s, d):
-    return N.croston(V.panel_d_user(s, d), 1).select(ID, *rnd("yhat", n=6))
+    return N.croston(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
 
 @query("tsb_users")
 def _(s, d):
-    return N.tsb(V.panel_d_user(s, d), 1).select(ID, *rnd("yhat", n=6))
+    return N.tsb(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
 
 @query("garch_path", _recursive("returns_d", "ms as v, y as last", "0.0001::double + 0.1::double * x.last * x.last + 0.8::double * x.v, r.y", "select unique_id, round(v, 10) as sigma2 from x where p = n"))
@@ -541,8 +550,8 @@ def _(s, d):
 
 @query("auto_select_baselines", views("panel_d", _POS, _CV, _CV2) + f"select unique_id, case when max(case when model = 'naive' then m end) <= max(case when model = 'seasonal_naive' then m end) then 'naive' else 'seasonal_naive' end as model, round(min(m), 3) as score from (select unique_id, model, {_POINT_SQL['mae']} as m from c2 group by all) group by unique_id")
 def _(s, d):
-    sc = M.evaluate(_cv(s, d), ["mae"])
-    return meta.choose(sc, ["naive", "seasonal_naive"], "mae").select(ID, "model", *rnd("score", n=3))
+    pool = ["naive", ("seasonal_naive", {"season_length": 7})]
+    return meta.auto_select(V.panel_d(s, d), pool, 7, metric="mae", val_h=7, n_windows=3)[1].select(ID, "model", *rnd("score", n=3))
 
 
 _TREE = ("tree", "select unique_id as leaf, unnest(['total', split_part(unique_id, '/', 1), unique_id]) as node from (select distinct unique_id from hier_m)")
@@ -571,10 +580,23 @@ def _(s, d):
     return meta.reconcile(leaves.unionByName(top), h, "top_down").select(ID, *rnd("yhat", n=2))
 
 
-@query("reconcile_mint_ols")
+_MINT = (
+    ("agg", "select node as unique_id, ds, sum(y) as y from hier_m join tree on leaf = unique_id group by all"),
+    ("st", "select unique_id, arg_min(y, ds) as f, arg_max(y, ds) as l, count(*) as n from agg group by all"),
+    ("b", "select unique_id, k::int as step, l + k * (l - f) / (n - 1) as yhat from st, range(1, 3) t(k)"),
+    ("lv", "select unique_id, split_part(unique_id, '/', 1) as r, step, yhat from b where contains(unique_id, '/')"),
+    ("rg", "select r, step, sum(yhat) as sm, count(*)::double as k from lv group by all"),
+    ("rm", "select rg.r, rg.step, sm, k, (b.yhat + sm / k) / (1 + 1 / k) as m, 1 + 1 / k as a from rg join b on b.unique_id = rg.r and b.step = rg.step"),
+    ("tt", "select step, sum(m) as sm, sum(1 / a) as sl from rm group by all"),
+    ("top", "select tt.step, sm, sl, (b.yhat + sm / sl) / (1 + 1 / sl) as x from tt join b on b.unique_id = 'total' and b.step = tt.step"),
+    ("rx", "select r, rm.step, rm.sm, k, m + (x - top.sm) / sl / a as x from rm join top on top.step = rm.step"),
+    ("lx", "select lv.unique_id, lv.step, lv.yhat + (x - sm) / k as x from lv join rx on rx.r = lv.r and rx.step = lv.step"),
+)
+
+
+@query("reconcile_mint_ols", views("hier_m", _TREE, *_MINT) + "select unique_id, step, round(x, 2) as yhat from lx union all select r, step, round(x, 2) from rx union all select 'total', step, round(x, 2) from top")
 def _(s, d):
-    h = V.hier_m(s, d)
-    return meta.reconcile(N.drift(meta.aggregate_panel(h), 2).select(ID, "step", "yhat"), h, "mint_ols").select(ID, "step", *rnd("yhat", n=2))
+    return meta.reconciled(V.hier_m(s, d), "drift", 2, "mint_ols").select(ID, F.col("step").cast("int").alias("step"), *rnd("yhat", n=2))
 
 
 # ---- deals -------------------------------------------------------------------------------------------------------
@@ -739,14 +761,51 @@ def _(s, d):
     return _strategy(s, d, sizing="proportional")
 
 
-@query("strategy_backtest")
+_BT = (
+    ("sg", "select *, avg(y) over (partition by unique_id order by ds rows between 7 preceding and 1 preceding) as yhat, row_number() over (partition by unique_id order by ds desc) as back from returns_d"),
+    ("ps", "select *, (yhat > 0)::int as pos from sg where back <= 10"),
+    ("tr", "select *, abs(pos - coalesce(lag(pos) over (partition by unique_id order by ds), 0)) as moved, pos * y as r from ps"),
+    ("eq", "select *, product(1 + r) over (partition by unique_id order by ds rows between unbounded preceding and current row) as equity from tr"),
+    ("pk", "select *, equity / greatest(max(equity) over (partition by unique_id order by ds rows between unbounded preceding and current row), 1) - 1 as dd from eq"),
+    ("qt", "select unique_id, quantile_cont(r, 0.05) as q, max(abs(r)) as mx from pk group by all"),
+    ("su", """select unique_id, product(1 + r) - 1 as total_return, ln(case when min(equity) <= 0 then 0 else pow(product(1 + r), 252.0::double / count(*)) end) as log_annual, stddev_samp(r) * sqrt(252) as annualized_vol,
+        case when stddev_samp(r) >= 1e-12 then avg(r) / stddev_samp(r) * sqrt(252) end as sharpe, case when sqrt(avg(least(r, 0) * least(r, 0))) >= 1e-12 then avg(r) / sqrt(avg(least(r, 0) * least(r, 0))) * sqrt(252) end as sortino,
+        least(min(dd), 0) as max_drawdown, avg((r > 0)::int) as hit_rate, greatest(-any_value(q), 0) as var_95, greatest(-avg(case when r <= q + 1e-12 * mx then r end), 0) as cvar_95,
+        count(case when moved > 0 then 1 end) as n_trades, avg(pos) as exposure from pk join qt using (unique_id) group by unique_id"""),
+)
+_BT_COLS = ("total_return", "log_annual", "annualized_vol", "sharpe", "sortino", "max_drawdown", "hit_rate", "var_95", "cvar_95", "exposure")
+
+
+@query("strategy_backtest", views("returns_d", *_BT) + f"select unique_id, n_trades, {srnd(*_BT_COLS)} from su")
 def _(s, d):
-    return finance.backtest(V.returns_d(s, d), "window_average", test_size=10)[0]
+    out = finance.backtest(V.returns_d(s, d), "window_average", test_size=10)[0]
+    return out.withColumn("log_annual", F.ln(1 + F.col("annualized_return"))).select(ID, "n_trades", *rnd(*_BT_COLS))
 
 
-@query("gbm_summary")
+@query("risk_annualized", views("returns_d", _EQ, ("pk", "select *, equity / greatest(max(equity) over (partition by unique_id order by ds rows between unbounded preceding and current row), 1) - 1 as dd from e")) +
+       f"select unique_id, {pos('ln(pow(product(1 + y), 252.0::double / count(*)))', 4)} as log_annual, {pos('least(min(dd), 0)', 6)} as max_drawdown, round(1 / abs(min(dd)), 4) as calmar_per_return from pk group by unique_id having abs(min(dd)) >= 1e-12")
 def _(s, d):
-    return finance.simulation_summary(finance.simulate(s, 100.0, 0.0005, 0.01, 20, 2000, seed=1))
+    r = finance.risk_metrics(V.returns_d(s, d)).filter("calmar is not null").withColumn("log_annual", F.ln(1 + F.col("annualized_return")))
+    return r.withColumn("calmar_per_return", F.col("calmar") / F.col("annualized_return")).select(ID, *rnd("log_annual"), *rnd("max_drawdown", n=6), *rnd("calmar_per_return"))
+
+
+@query("directional_accuracy", views("returns_d", _SIG) + "select unique_id, round(avg((sign(y) = sign(yhat))::int), 6) as directional_accuracy from sg where yhat is not null group by unique_id")
+def _(s, d):
+    sig = V.returns_d(s, d).withColumn("yhat", F.lag(TARGET).over(C.by_time())).filter("yhat is not null")
+    return finance.directional_accuracy(sig).select(ID, *rnd("directional_accuracy", n=6))
+
+
+_UNIFORM = "(('0x' || substr(md5(concat_ws(':', '1', p, k)), {}, 13))::bigint + 0.5::double) / 4503599627370496.0::double"
+_GBM = (
+    ("z", f"select p, k, sqrt(-2 * ln({_UNIFORM.format(1)})) * cos(2 * pi() * ({_UNIFORM.format(17)})) as z from range(2000) a(p), range(1, 21) b(k)"),
+    ("v", "select k, 100.0::double * exp(sum((0.0005::double - 0.01::double * 0.01::double / 2) + 0.01::double * z) over (partition by p order by k)) as v from z"),
+)
+
+
+@query("gbm_summary", "with " + ", ".join(f"{n} as ({q})" for n, q in _GBM) + " select k::int as step, round(avg(v), 4) as mean, " + ", ".join(f"round(quantile_cont(v, {x}), 4) as q{round(100 * x):02d}" for x in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from v group by k")
+def _(s, d):
+    f = finance.simulation_summary(finance.simulate(s, 100.0, 0.0005, 0.01, 20, 2000, seed=1))
+    return f.select(F.col("step").cast("int").alias("step"), *rnd("mean", "q05", "q25", "q50", "q75", "q95"))
 
 
 @query("regimes")
@@ -786,20 +845,42 @@ def _(s, d):
     return x.select("doc_id", "won", F.round(m.predict_proba(), 6).alias("proba"))
 
 
-def _model_query(name: str, view: str, h: int, **params):
-    @query(f"model_{name}")
+def _model_query(name: str, view: str, h: int, sql: str | None = None, **params):
+    @query(f"model_{name}", sql)
     def run(s, d):
         p = getattr(V, view)(s, d)
         f = forecaster.forecast(p, [(name, params)], h, [80, 95], validate=False)
         return f.select(ID, "model", "step", day(), *rnd("yhat", "lo_80", "hi_80", "lo_95", "hi_95", n=3))
 
 
+Z95 = z_of(95)
+
+
+def _intermittent(name: str, start: str, step: str, rate: str, residuals: str) -> str:
+    """Forecasts of a recursion with the root of its squared one-step errors, or of the differences where those are fewer than two."""
+    bands = ", ".join(f"round(yhat {sign} {z!r} * sigma, 3) as {side}_{x}" for x, z in ((80, Z80), (95, Z95)) for side, sign in (("lo", "-"), ("hi", "+")))
+    final = f"""select unique_id, '{name}' as model, step, strftime(last_ds + to_days(step), '%Y-%m-%d') as ds, round(yhat, 3) as yhat, {bands} from
+        (select x.unique_id, k::int as step, last_ds, {rate} as yhat, greatest(case when {residuals} >= 2 then sqrt(sse / ({residuals} - 1)) when n >= 3 then sqrt(s2 / (n - 2)) else 1 end, 1e-12) as sigma
+         from x join (select unique_id, sum(e * e) as s2, max(ds) as last_ds from (select unique_id, ds, y - lag(y) over (partition by unique_id order by panel_u.ds) as e from panel_u) group by all) using (unique_id), range(1, 7) t(k) where p = n)"""
+    return _recursive("panel_u", start, step, final)
+
+
+_SEEN = "x.size is not null"
+_INTERMITTENT = {
+    "croston": _intermittent("croston", "case when y > 0 then y end as size, case when y > 0 then 1::double end as gap, case when y > 0 then 1 else 2 end::double as since, 0::double as sse, 0 as cnt",
+        f"case when r.y > 0 then case when {_SEEN} then 0.1::double * r.y + 0.9::double * x.size else r.y end else x.size end, case when r.y > 0 then case when {_SEEN} then 0.1::double * x.since + 0.9::double * x.gap else x.since end else x.gap end, case when r.y > 0 then 1 else x.since + 1 end::double, x.sse + case when {_SEEN} then (r.y - x.size / x.gap) * (r.y - x.size / x.gap) else 0 end, x.cnt + ({_SEEN})::int",
+        "coalesce(size / gap, 0)", "cnt"),
+    "tsb": _intermittent("tsb", "0.1::double * (y > 0)::int + 0.9::double * hit_share as pr, case when y > 0 then 0.1::double * y + 0.9::double * hit_mean else coalesce(hit_mean, 0) end as size, (y - hit_share * coalesce(hit_mean, 0)) * (y - hit_share * coalesce(hit_mean, 0)) as sse",
+        "0.1::double * (r.y > 0)::int + 0.9::double * x.pr, case when r.y > 0 then 0.1::double * r.y + 0.9::double * x.size else x.size end, x.sse + (r.y - x.pr * x.size) * (r.y - x.pr * x.size)",
+        "pr * size", "n"),
+}
+
 for _name, _view, _params in (
     ("ses", "panel_m", {}), ("holt", "panel_m", {}), ("holt_winters", "panel_m", {"season_length": 12}), ("auto_ets", "panel_m", {"season_length": 12}), ("theta", "panel_m", {"season_length": 12}),
-    ("arima", "panel_m", {}), ("auto_arima", "panel_m", {"max_p": 2, "max_q": 2}), ("sarima", "panel_m", {}), ("auto_sarima", "panel_m", {"max_p": 1, "max_q": 1}), ("mstl", "panel_m", {"periods": 12}),
-    ("kalman", "panel_m", {}), ("ridge_lag", "panel_m", {"lags": 6}), ("croston", "panel_d_user", {}), ("tsb", "panel_d_user", {}), ("garch", "returns_d", {}),
+    ("arima", "panel_m", {}), ("auto_arima", "panel_m", {}), ("sarima", "panel_m", {}), ("auto_sarima", "panel_m", {}), ("mstl", "panel_m", {"periods": 12}),
+    ("kalman", "panel_m", {}), ("ridge_lag", "panel_m", {"lags": 6}), ("croston", "panel_u", {}), ("tsb", "panel_u", {}), ("garch", "returns_d", {}),
 ):
-    _model_query(_name, _view, 6, **_params)
+    _model_query(_name, _view, 6, _INTERMITTENT.get(_name), **_params)
 
 
 @query("model_retention_sbg")
@@ -821,3 +902,95 @@ def _(s, d):
 @query("model_reconciled")
 def _(s, d):
     return meta.reconciled(V.hier_m(s, d), "ses", 3, level=[80]).select(ID, "step", day(), *rnd("yhat", "lo_80", "hi_80", n=2))
+
+
+# ---- keys, steps, records and surfaces ---------------------------------------------------------------------------
+
+
+def _even(s, d):
+    p = V.panel_d(s, d)
+    return p.filter(F.dayofmonth(TIME) % 2 == 0), p.filter(F.dayofmonth(TIME) % 3 == 0)
+
+
+for _name, _word, _of in (("union", "union", C.index_union), ("intersection", "intersect", C.index_intersection), ("difference", "except", C.index_difference)):
+
+    @query(f"index_{_name}", views("panel_d") + f"select unique_id, {sday()} from (select unique_id, ds from panel_d where day(ds) % 2 = 0 {_word} select unique_id, ds from panel_d where day(ds) % 3 = 0)")
+    def _(s, d, of=_of):
+        return of(*_even(s, d)).select(ID, day())
+
+
+@query("lag_features", views("panel_d") + f"select unique_id, {sday()}, round(lag(y, 1) over w, 4) as lag_1, round(lag(y, 7) over w, 4) as lag_7 from panel_d window w as (partition by unique_id order by panel_d.ds)")
+def _(s, d):
+    return dates.lag_features(V.panel_d(s, d), (1, 7)).select(ID, day(), *rnd("lag_1", "lag_7"))
+
+
+@query("seasonal_index", views("panel_d", ("q", "select unique_id, y, (row_number() over (partition by unique_id order by ds) - 1) % 7 as place from panel_d"), ("w", "select unique_id, avg(y) as a, min(y) > 0 as mul from q group by all"), ("b", "select unique_id, place, avg(y) as b from q group by all")) +
+       "select unique_id, place::int as place, round(case when mul then b / a else b - a end, 6) as index, mul as multiplicative from b join w using (unique_id)")
+def _(s, d):
+    return P.seasonal_index(V.panel_d(s, d), 7).select(ID, "place", *rnd("index", n=6), "multiplicative")
+
+
+@query("business_steps", views("panel_d", ("b", "select unique_id, max(ds) as last_ds from panel_d where isodow(ds) < 6 group by all"), ("f", "select unique_id, last_ds + to_days(k::int) as ds from b, range(1, 15) t(k)"),
+       ("r", "select *, row_number() over (partition by unique_id order by ds) as step from f where isodow(ds) < 6")) + f"select unique_id, step::int as step, {sday('r.ds').replace('as r.ds', 'as ds')} from r where step <= 6")
+def _(s, d):
+    p = V.panel_d(s, d).filter(F.weekday(TIME) < 5)
+    return dates.future(dates.with_step(p), 6).select(ID, "step", day())
+
+
+@query("business_month_ends", "select * from (values (1, '2024-05-31'), (2, '2024-06-28'), (3, '2024-07-31'), (4, '2024-08-30')) t(step, ds)")
+def _(s, d):
+    ends = ["2023-12-29", "2024-01-31", "2024-02-29", "2024-03-29", "2024-04-30"]
+    p = s.createDataFrame([("a", x, float(i)) for i, x in enumerate(ends)], f"{ID} string, {TIME} string, {TARGET} double")
+    return dates.future(dates.with_step(p.withColumn(TIME, F.col(TIME).cast("timestamp_ntz"))), 4).select("step", day())
+
+
+@query("modal_season", views("panel_d panel_m") + "select 'days' as panel, 7 as season union all select 'months', 12 union all select 'weekdays', 5")
+def _(s, d):
+    found = [("days", V.panel_d(s, d)), ("months", V.panel_m(s, d)), ("weekdays", V.panel_d(s, d).filter(F.weekday(TIME) < 5))]
+    return s.createDataFrame([(k, dates.season_of(dates.with_step(p))) for k, p in found], "panel string, season int")
+
+
+@query("zoned_buckets", "select event_type as unique_id, strftime(date_trunc('day', ts - interval 5 hours) + interval 5 hours, '%Y-%m-%d %H:%M') as ds, count(*) as n from events group by all")
+def _(s, d):
+    at = dates.bucket_zoned(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"), "D", "America/New_York")
+    e = V.table(s, d, "events").select(F.col("event_type").alias(ID), F.convert_timezone(F.current_timezone(), F.lit("UTC"), at).alias(TIME))
+    return e.groupBy(ID, F.date_format(TIME, "yyyy-MM-dd HH:mm").alias(TIME)).agg(F.count("*").alias("n"))
+
+
+@query("weighted_pipeline_keyed", views("deals") + f"select segment, {_WP} from deals group by segment")
+def _(s, d):
+    proba = V.deals(s, d).select("opp_id", (0.1 + 0.08 * (F.col("opp_id") % 10)).alias("proba"))
+    return deals.weighted_pipeline(V.deals(s, d), by="segment", proba=proba).select("segment", "n_deals", *rnd("total", "expected", "std", n=2))
+
+
+@query("deal_log_loss", "select o_orderkey as opp_id, round(greatest(z, 0) + ln(1 + exp(-abs(z))) - y * z, 6) as loss from (select o_orderkey, (o_orderkey % 2000 - 1000)::double as z, (o_orderkey % 3 = 0)::int as y from orders)")
+def _(s, d):
+    z, y = (F.col("o_orderkey") % 2000 - 1000).cast("double"), (F.col("o_orderkey") % 3 == 0).cast("double")
+    return V.table(s, d, "orders").select(F.col("o_orderkey").alias("opp_id"), deals.log_loss(z, y).alias("loss")).select("opp_id", *rnd("loss", n=6))
+
+
+@query("sql_scan", "select o_orderpriority as p, count(*) as n from orders where o_totalprice > 1000 group by 1")
+def _(s, d):
+    V.table(s, d, "orders").createOrReplaceTempView("tidemark_orders")
+    return readers.SQLSource(s, "select o_orderpriority as p, count(*) as n from tidemark_orders where o_totalprice > :least group by 1", {"least": 1000.0}).fetch()
+
+
+@query("parquet_scan", "select * from region")
+def _(s, d):
+    return readers.ParquetSource(s, f"{d}/region.parquet").fetch()
+
+
+@query("json_records", "select (props->>'k')::bigint as k, count(*) as n from events group by 1")
+def _(s, d):
+    return readers.flat_records(V.table(s, d, "events").select(F.parse_json("props").alias("v"))).groupBy("k").agg(F.count("*").alias("n"))
+
+
+@query("watchlist", views("panel_d") + PANEL + "panel_d where unique_id in ('click', 'view')")
+def _(s, d):
+    return out(workspace.Workspace(watch=["click", "view"]).watched(V.panel_d(s, d)))
+
+
+@query("engine_baselines", " union all ".join(f"select unique_id, '{n}' as model, step, ds, yhat, lo_80, hi_80 from (" + _SQL[f"{n}_bands"] + ")" for n in ("naive", "seasonal_naive", "drift", "window_average")))
+def _(s, d):
+    f = engine.Engine(["naive", "seasonal_naive", "drift", "window_average"], [80]).forecast(V.panel_d(s, d), H)
+    return f.select(ID, "model", F.col("step").cast("int").alias("step"), day(), *rnd("yhat", "lo_80", "hi_80", n=3))

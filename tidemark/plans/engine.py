@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import metrics as M
-from ..functions.contract import ID, check_levels, validate_panel
+from ..functions.contract import ID, TIME, check_levels, validate_panel
 from ..operators import forecaster
 
 
@@ -20,26 +21,35 @@ class Engine:
         out = forecaster.forecast(panel, self.models, h, levels, x_future)
         return forecaster.wide(out, self.names, levels) if as_wide else out
 
-    def cross_validate(self, panel: DataFrame, h: int, n_windows: int = 3, step_size: int | None = None, level=None) -> DataFrame:
-        return forecaster.cross_validation(panel, self.models, h, n_windows, step_size, self.level if level is None else level)
+    def cross_validate(self, panel: DataFrame, h: int, n_windows: int = 3, step_size: int | None = None, level=None, ordered: bool = True) -> DataFrame:
+        """Held-out rows in order of series, cutoff and ds, unless not asked for."""
+        out = forecaster.cross_validation(panel, self.models, h, n_windows, step_size, self.level if level is None else level)
+        return out.orderBy(ID, "cutoff", TIME, "model") if ordered else out
 
     def compare(self, panel: DataFrame, h: int, n_windows: int = 3, metrics=("mae", "rmse", "smape"), seasonality: int = 1, level=None) -> tuple[DataFrame, DataFrame]:
         """(leaderboard, failures): scores averaged over series, best first; a model that failed anywhere is listed with its first error
-        instead."""
-        panel = validate_panel(panel)
-        cv = forecaster.cross_validation(panel, self.models, h, n_windows, None, self.level if level is None else level, validate=False).persist()
-        failed = cv.filter(F.col("error").isNotNull()).groupBy("model").agg(F.min("error").alias("error"))
-        fine = cv.join(failed.select("model"), "model", "left_anti")
-        scores = M.evaluate(fine, metrics, panel, seasonality)
-        return M.leaderboard(scores, metrics), failed
+        instead. Both have a row a model at most and come as local tables; the held-out rows are kept on disk meanwhile."""
+        spark, panel = panel.sparkSession, validate_panel(panel)
+        cv = forecaster.cross_validation(panel, self.models, h, n_windows, None, self.level if level is None else level, validate=False).persist(StorageLevel.DISK_ONLY)
+        try:
+            failed = cv.filter(F.col("error").isNotNull()).groupBy("model").agg(F.min("error").alias("error"))
+            failures = spark.createDataFrame(failed.collect(), "model string, error string")
+            fine = cv.join(F.broadcast(failures.select("model")), "model", "left_anti")
+            board = M.leaderboard(M.evaluate(fine, metrics, panel, seasonality), metrics)
+            return spark.createDataFrame(board.collect(), board.schema), failures
+        finally:
+            cv.unpersist()
 
 
 def sparkline(panel: DataFrame, value_col: str = "y", width: int = 12) -> DataFrame:
     """(unique_id, spark): the last values as eight block heights; a missing one is a dot, a flat line is in the middle."""
-    rows = panel.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("ds", F.col(value_col).alias("v")))).alias("r"))
+    value = F.col(value_col).cast("double")
+    finite = F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    rows = panel.groupBy(ID).agg(F.array_sort(F.collect_list(F.struct("ds", finite.alias("v")))).alias("r"))
     v = rows.select(ID, F.transform(F.slice(F.col("r"), F.greatest(F.size("r") - width + 1, F.lit(1)), width), lambda x: x["v"]).alias("v"))
     lo, hi = F.array_min("v"), F.array_max("v")
-    block = lambda x: F.when(x.isNull(), F.lit("·")).when(hi - lo < 1e-12, F.lit("▅")).otherwise(F.substring(F.lit("▁▂▃▄▅▆▇█"), (F.least(F.floor((x - lo) / (hi - lo) * 7.999999), F.lit(7)) + 1).cast("int"), F.lit(1)))
+    height = lambda x: (F.bround((x - lo) / F.nullif(hi - lo, F.lit(0.0)) * 7, 0) + 1).cast("int")
+    block = lambda x: F.when(x.isNull(), F.lit("·")).when(hi - lo < 1e-12, F.lit("▄")).otherwise(F.substring(F.lit("▁▂▃▄▅▆▇█"), height(x), F.lit(1)))
     return v.select(ID, F.array_join(F.transform("v", block), "").alias("spark"))
 
 
@@ -67,7 +77,10 @@ def with_flags(out: DataFrame, level: int = 80) -> DataFrame:
 
 
 def dashboard(panel: DataFrame, season_length: int | None = None) -> DataFrame:
-    """Last value, change, next theta forecast with its band, and a sparkline of each series."""
+    """A row a series: last value, next value by theta with its band, change in per cent (null from about 0) and sparkline. A series
+    that theta refuses has its last value as the next one, so that one bad series stops nothing."""
     last = panel.groupBy(ID).agg(F.max_by("y", "ds").alias("last"), F.count("*").alias("n"))
-    nxt = forecaster.forecast(panel, [("theta", {"season_length": season_length})], 1, [80]).select(ID, F.col("yhat").alias("next"), "lo_80", "hi_80")
-    return last.join(nxt, ID, "left").join(sparkline(panel), ID).withColumn("change", F.try_divide(F.col("next") - F.col("last"), F.abs("last")))
+    ahead = forecaster.forecast(panel, [("theta", {"season_length": season_length})], 1, [80], validate=False, keep_failures=True)
+    rows = last.join(ahead.select(ID, "yhat", "lo_80", "hi_80"), ID, "left").withColumn("next", F.coalesce("yhat", "last")).drop("yhat")
+    change = F.when(F.abs("last") > 1e-12, F.try_divide(F.col("next") - F.col("last"), F.abs("last")) * 100)
+    return rows.join(sparkline(panel), ID).withColumn("delta_pct", change)

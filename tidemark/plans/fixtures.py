@@ -23,14 +23,6 @@ def panel_m(s, d) -> DataFrame:
 
 
 def panel_u(s, d) -> DataFrame:
-    """Daily counts of each event type of users below 20: intermittent demand, zero filled."""
-    from ..operators.panel import to_panel
-
-    e = table(s, d, "events").filter("user_id < 20")
-    return to_panel(e, ["event_type", "user_id"], "ts", None, "D", span="panel")
-
-
-def panel_d_user(s, d) -> DataFrame:
     """Daily counts of each event type of every user: intermittent demand, zero filled."""
     from ..operators.panel import to_panel
 
@@ -42,9 +34,6 @@ def returns_d(s, d) -> DataFrame:
     return p.withColumn(TARGET, F.col(TARGET) / F.lag(TARGET).over(by_time()) - 1).filter(F.col(TARGET).isNotNull())
 
 
-
-
-
 def deals(s, d) -> DataFrame:
     stage = F.when(F.col("o_orderstatus") == "O", "prospect").when(F.col("o_orderstatus") == "P", "proposal").otherwise("closed")
     return table(s, d, "orders").select(F.col("o_orderkey").alias("opp_id"), F.col("o_totalprice").alias("amount"), stage.alias("stage"), F.col("o_orderpriority").alias("segment"), F.col("o_orderdate").alias("close_date"), F.col("o_custkey").alias("custkey"))
@@ -107,9 +96,9 @@ SQL = {
     "panel_d": "select event_type as unique_id, date_trunc('day', ts)::timestamp as ds, sum(value) as y from events group by all",
     "panel_m": "select o_orderpriority as unique_id, date_trunc('month', o_orderdate)::timestamp as ds, sum(o_totalprice) as y from orders group by all",
     "panel_u": """select k.unique_id, g.ds, coalesce(c.y, 0)::double as y from
-        (select distinct event_type || '/' || user_id as unique_id from events where user_id < 20) k,
-        (select unnest(generate_series(min(date_trunc('day', ts))::timestamp, max(date_trunc('day', ts))::timestamp, interval 1 day)) as ds from events where user_id < 20) g
-        left join (select event_type || '/' || user_id as unique_id, date_trunc('day', ts)::timestamp as ds, count(*)::double as y from events where user_id < 20 group by all) c
+        (select distinct event_type || '/' || user_id as unique_id from events) k,
+        (select unnest(generate_series(min(date_trunc('day', ts))::timestamp, max(date_trunc('day', ts))::timestamp, interval 1 day)) as ds from events) g
+        left join (select event_type || '/' || user_id as unique_id, date_trunc('day', ts)::timestamp as ds, count(*)::double as y from events group by all) c
         on c.unique_id = k.unique_id and c.ds = g.ds""",
     "returns_d": "select unique_id, ds, y / b - 1 as y from (select *, lag(y) over (partition by unique_id order by ds) as b from panel_d) where b is not null",
     "deals": """select o_orderkey as opp_id, o_totalprice as amount, case o_orderstatus when 'O' then 'prospect' when 'P' then 'proposal' else 'closed' end as stage,
