@@ -157,6 +157,8 @@ def kept_rows(docs: DataFrame, decider) -> DataFrame:
         for batch in batches:
             flags = decide(texts_of(batch.column(batch.schema.get_field_index("text"))))
             yield batch.filter(pa.array(np.asarray(flags, bool)))
+        del decide
+        freed()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -186,6 +186,7 @@ def find(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) ->
                 cols = [[ids[f[0]] for f in found], [int(index.value.item_ids[f[1]]) for f in found], [f[2] for f in found], [f[3] for f in found], [f[4] for f in found]]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "similarity", "start", "n_words"])
+            common.freed()
 
         part = texts.mapInArrow(run, SCHEMA)
         out = part if out is None else out.unionByName(part)

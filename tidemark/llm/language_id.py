@@ -173,6 +173,7 @@ def identify(docs: DataFrame, trees: Trees | None, fold: int = 0) -> DataFrame:
                 [batch.column(0), batch.column(1), pa.array(pred, pa.string()), pa.array(np.where(fine, score, 0.0)), pa.array(bits.min(1) / size)],
                 names=["doc_id", "held_out", "lang_pred", "score", "bits_per_byte"],
             )
+        common.freed()
 
     return rows.mapInArrow(run, schema)
 

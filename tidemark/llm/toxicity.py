@@ -28,7 +28,7 @@ from . import common
 WINDOW, STRIDE = 32, 26
 SAMPLE = (1200, 1800)
 HIDDEN, EMBED, TRIGRAMS = 8, 8, 4096
-MEMO = 250_000
+MEMO = 100_000
 EDGES = b".,;:!?\"'()[]{}*#$%&|<>-_+=/\\"
 
 
@@ -146,9 +146,9 @@ class Scorer:
 
     def _windows(self, ids: np.ndarray, mask: np.ndarray | None) -> np.ndarray:
         out = [np.zeros(0, np.float32)]
-        for i in range(0, len(ids), 2048):
-            m = None if mask is None else mask[i : i + 2048]
-            out.append(self.net.pool(self.net.recur(self.rows, ids[i : i + 2048], m), m)[0])
+        for i in range(0, len(ids), 1024):
+            m = None if mask is None else mask[i : i + 1024]
+            out.append(self.net.pool(self.net.recur(self.rows, ids[i : i + 1024], m), m)[0])
         return np.concatenate(out)
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
@@ -310,6 +310,8 @@ def score(docs: DataFrame, net: Network | None, fold: int = 0) -> DataFrame:
         for batch in batches:
             s = 1 / (1 + np.exp(-scorer.logits(common.texts_of(batch.column(2))).astype(np.float64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
+        del scorer
+        common.freed()
 
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
