@@ -106,10 +106,10 @@ def test_language_held_out_accuracy_and_edges(spark, none):
     assert all(0 <= x.score <= 1 for x in got.values())
     assert {x.lang_pred for x in language_id.identify(frame, language_id.train(none)).collect()} == {"und"}
     assert language_id.identify(none, trees).count() == 0
-    # code lengths: every context's probabilities sum to one, and a text's bits equal a plain sum
-    p = 2.0 ** -trees.cost[:, 0].astype(float).reshape(-1, trees.a)
-    known = p[:, 1:].sum(1)
-    assert (known < 1 + 1e-5).all()
+    # after any context the bytes' probabilities sum to one, and a text's bits equal a plain sum
+    for context in (b"the ", b"ofth", b"zzzz", "\u00e8 le".encode()[-4:], b"\0\0\0a"):
+        keys = np.array([int.from_bytes(context + bytes([x]), "big") for x in range(256) if not 65 <= x <= 90], np.int64)
+        assert (np.exp2(-trees.costs(keys, language_id.ORDER).astype(float)).sum(0) <= 1 + 1e-4).all()
     one, two = trees.code_lengths([b"the of"]), trees.code_lengths([b"x", b"", b"the of"])
     assert np.allclose(one[0], two[2]) and (two[1] == 0).all()
 

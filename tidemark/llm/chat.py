@@ -9,8 +9,9 @@ A deterministic parser reads a rendered turn back. Where what it recovers differ
 content is escaped (each control that a text contains, with its leading backslashes, gets one backslash more), and the
 turn is parsed again; the parser takes one backslash off. Plain texts stay as they are.
 
-A conversation's turns stream in order of turn (null first), ties by role and text, so a conversation of any length needs
-the memory of one turn. Null text is empty. Repeated rows are turns of their own. Extra columns are not read.
+A conversation's turns stream in order of turn (null first), ties by role and rendered turn, so a conversation of any length needs
+the memory of one turn. Null text is empty. Rows without conv_id are one conversation. Repeated rows are turns of their own. Extra
+columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import hashlib
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -97,24 +98,24 @@ def render(role: str, text: str) -> str:
 
 def format_turns(turns: DataFrame) -> DataFrame:
     """conv_id, place, rendered, loss_from, loss_to: a rendered turn a row, a conversation's turns adjacent and in order;
-    loss_from and loss_to bound what the loss covers in rendered (null: nothing). The whole conversation is their concatenation."""
-    ordered = (
-        turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-        .repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    )
+    loss_from and loss_to bound what the loss covers in rendered (null: nothing). The whole conversation is their concatenation.
+    Turns are rendered and parsed where they are read, so that of a long conversation only the order is one task's."""
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
 
     def run(batches):
-        last, place = object(), 0
+        kinds = (pa.string(), pa.int64(), pa.int64())
         for batch in batches:
             out = []
-            for conv, role, text in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3))):
-                last, place = (last, place + 1) if conv == last else (conv, 0)
+            for role, text in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 rendered = render(role, text)
                 (_, _, a, b), covered = parse(rendered)[0], role == "assistant"
-                out.append((conv, place, rendered, a if covered else None, b if covered else None))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64()))], names=["conv_id", "place", "rendered", "loss_from", "loss_to"])
+                out.append((rendered, a if covered else None, b if covered else None))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), *columns], names=["conv_id", "turn", "role", "rendered", "loss_from", "loss_to"])
 
-    return ordered.mapInArrow(run, "conv_id long, place long, rendered string, loss_from long, loss_to long")
+    done = rows.mapInArrow(run, "conv_id long, turn long, role string, rendered string, loss_from long, loss_to long")
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "rendered")) - 1
+    return done.withColumn("place", place.cast("long")).select("conv_id", "place", "rendered", "loss_from", "loss_to")
 
 
 def read_back(formatted: DataFrame) -> DataFrame:

@@ -89,6 +89,11 @@ def settled(df: DataFrame, name: str, rows_a_file: int = ROWS_A_FILE) -> DataFra
     return out
 
 
+def small(df: DataFrame, rows: int, most: int = 50_000) -> DataFrame:
+    """df to be broadcast where its counted rows are few; else left to Spark, whose sorted joins split hot keys."""
+    return F.broadcast(df) if rows <= most else df
+
+
 def freed() -> None:
     """Hands memory that a worker no longer needs back to the system, as the worker lives on for other stages."""
     gc.collect()

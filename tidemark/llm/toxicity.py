@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network with attention pooling, trained here in numpy.
 
 A word's input joins two vectors: an embedding of the word (words that training saw often; all others share one) and the
-mean embedding of its hashed character trigrams. Both directions read windows of WINDOW words that overlap by
+mean embedding of its hashed byte trigrams. Both directions read windows of WINDOW words that overlap by
 WINDOW - STRIDE; attention pools the states of a window, a logistic unit scores it, and a text's score is the largest of
 all its windows. Every word of a text is in some window.
 
@@ -37,14 +37,17 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the bare words' byte trigrams (with a mark at either end) and where each word's begin."""
-    buf = np.frombuffer(b"\x02" + b"\x03\x02".join(words) + b"\x03", np.uint8).astype(np.uint32)
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    buf = np.concatenate((buf, [0])).astype(np.uint32)
-    h = (buf[:-1] * np.uint32(2654435761)) ^ (buf[1:] * np.uint32(40503))
-    h[1:] ^= buf[:-2] * np.uint32(2246822519)
+    """Hashes of the byte trigrams of each word between marks (one before, two after it), and where each word's begin. A word's are
+    the same whatever stands beside it."""
+    buf = np.frombuffer(b"\x02" + b"\x03\x03\x02".join(words) + b"\x03\x03", np.uint8).astype(np.uint32)
+    h = (buf[:-2] * np.uint32(2246822519)) ^ (buf[1:-1] * np.uint32(2654435761)) ^ (buf[2:] * np.uint32(40503))
     h ^= h >> np.uint32(15)
-    return ((h * np.uint32(2654435761)) >> np.uint32(20)) % np.uint32(TRIGRAMS), np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    ids = ((h * np.uint32(2654435761)) >> np.uint32(20)) % np.uint32(TRIGRAMS)
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    inside = np.ones(len(ids), bool)
+    ends = np.cumsum(sizes + 2)[:-1]
+    inside[ends - 1] = inside[ends - 2] = False  # those that reach into the next word
+    return ids[inside], np.concatenate(([0], np.cumsum(sizes)[:-1]))
 
 
 def spans(n: int) -> list[int]:
