@@ -149,7 +149,7 @@ def held_out(fold: int) -> F.Column:
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % 5 == fold
 
 
-def texts_of(column: pa.Array) -> list[bytes]:
+def texts_of(column: pa.Array | pa.ChunkedArray) -> list[bytes]:
     """UTF-8 bytes of a string column; null is empty."""
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 

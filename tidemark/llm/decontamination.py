@@ -61,11 +61,11 @@ def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray, int]:
 
 
 class Index:
-    def __init__(self, item_ids: list[int], texts: list[bytes], benchmark: tuple | None = None):
+    def __init__(self, item_ids: list[int | None], texts: list[bytes], benchmark: tuple | None = None):
         """Items to find; benchmark: holders_of all items, where these are only a block of them."""
         shingles, sizes = _shingles(texts)
         some = sorted((i for i in range(len(texts)) if sizes[i]), key=lambda i: (sizes[i], i))
-        self.item_ids = np.array([item_ids[i] for i in some], np.int64)
+        self.item_ids = [item_ids[i] for i in some]
         self.sizes = sizes[some].astype(np.int64)
         bags = [np.unique(shingles[i], return_counts=True) for i in some]
         self.known, holders, items = benchmark or holders_of(texts)
@@ -189,20 +189,21 @@ def find(docs: DataFrame, benchmark: DataFrame, item_block: int = ITEM_BLOCK) ->
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.lower(F.coalesce("text", F.lit(""))).alias("text"))
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lower("text").alias("text"))
     blocks = max(1, -(-items.count() // item_block))
-    block = lambda b: items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toPandas().sort_values(["item_id", "text"])
+    block = lambda b: items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").toArrow()
     out = whole = None
     if blocks > 1:
         for b in range(blocks):
-            more = holders_of([t.encode() for t in block(b)["text"]])
+            more = holders_of(common.texts_of(block(b).column("text")))
             whole = more if whole is None else _merged(whole, more)
     for b in range(blocks):
         own = block(b)
-        index = docs.sparkSession.sparkContext.broadcast(Index(own["item_id"].tolist(), [t.encode() for t in own["text"]], whole))
+        index = docs.sparkSession.sparkContext.broadcast(Index(own.column("item_id").to_pylist(), common.texts_of(own.column("text")), whole))
+        common.freed()
 
         def run(batches, index=index):
             for batch in batches:
                 ids, found = batch.column(0).to_pylist(), list(index.value.scan(common.texts_of(batch.column(1))))
-                cols = [[ids[f[0]] for f in found], [int(index.value.item_ids[f[1]]) for f in found], [f[2] for f in found], [f[3] for f in found], [f[4] for f in found]]
+                cols = [[ids[f[0]] for f in found], [index.value.item_ids[f[1]] for f in found], [f[2] for f in found], [f[3] for f in found], [f[4] for f in found]]
                 kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=["doc_id", "item_id", "similarity", "start", "n_words"])
             common.freed()

@@ -212,7 +212,10 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, fold: int = 0) -> Tre
     lang, gram, n = (found.column(c).to_numpy() for c in ("lang", "gram", "n"))
     own = {x: lang == i for i, x in enumerate(langs)}
     langs = [x for x in langs if own[x].any()]
-    return Trees(langs, {x: (gram[own[x]], n[own[x]].astype(np.float64)) for x in langs}) if langs else None
+    trees = Trees(langs, {x: (gram[own[x]], n[own[x]].astype(np.float64)) for x in langs}) if langs else None
+    del found, lang, gram, n, own
+    common.freed()
+    return trees
 
 
 def _posterior(bits: np.ndarray, size: np.ndarray) -> np.ndarray:

@@ -296,8 +296,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     # the drawn labels are bounded by the sample's size, so they are broadcast whatever the table's size
     few = F.broadcast(common.drawn(marks.withColumn("text", F.lit(None).cast("string")), most, 23, "toxic").drop("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("doc_id", "toxic", "text")
-    rows = common.drawn(rows, most, 23, "toxic").toPandas().sort_values(["doc_id", "toxic", "text"], kind="stable")  # an id may name many documents
-    return fit([(t or "").encode() for t in rows["text"]], rows["toxic"].to_numpy(dtype=np.int64))
+    rows = common.drawn(rows, most, 23, "toxic").orderBy("doc_id", "toxic", "text").toArrow()  # an id may name many documents
+    net = fit(common.texts_of(rows.column("text")), rows.column("toxic").to_numpy().astype(np.int64))
+    del rows
+    common.freed()
+    return net
 
 
 def score(docs: DataFrame, net: Network | None, fold: int = 0) -> DataFrame:
