@@ -1,22 +1,27 @@
 """Language-model scores: a causal self-attention model over subword ids, trained here in numpy, beside a smoothed unigram base.
 
+The texts are read once: a table has their ids, and the words of the training fold counted by each task.
+
 Model. A text's words (A-Z lower-cased) become subword ids of a public vocabulary, then one end id. One attention layer reads
 windows of WINDOW ids; they overlap by WINDOW - STRIDE, and each id is scored once, in the first window that holds it, with
 at least WINDOW - STRIDE ids before it (or the text's start). The output is factored: a softmax over classes of ids (the most frequent ids
 alone, the others grouped by k-means on their neighbours), then the id's share of its class. Windows of many texts run as one
 batch under one causal mask. Counts of ids and of their neighbours, hence classes and shares, are sums over the whole training
-fold. Training starts on the driver with at most SAMPLE_DOCS of its texts; a pass over all of its texts on the executors follows.
+fold. Training starts on the driver with at most SAMPLE_DOCS of its texts, some 16 MB of ids, seen EPOCHS times at most; a pass over all of its texts on the executors
+follows, each task from the same start over its own texts, and their results are averaged. So scores depend slightly on how
+the input is split.
 
 Base. Word counts of the whole training fold are a table made by map-side combined sums. Words at least as frequent as a floor,
 at most TOP of them, are broadcast; the rest of each text's words are joined to the table, pre-aggregated by row.
 
-Null text is empty: one end token. Repeated rows and ids are scored one by one. Extra columns are not read. Without training texts c, N and V
+Null text is empty: one end token. Repeated rows and null ids are scored one by one, texts of any length whole. Extra columns are not read. Without training texts c, N and V
 are 0 and the model scores by its initial weights.
 """
 
 from __future__ import annotations
 
 import copy
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +35,8 @@ VOCABULARY, IDS = "word_bpe_49k.json", 49408
 END, START = IDS, IDS + 1
 WINDOW, STRIDE, DIM = 32, 24, 16
 ALONE, GROUPS = 64, 64
-SAMPLE_DOCS, TOP, MEMO, FOLD = 2500, 300_000, 400_000, 1
+SAMPLE_DOCS, TOP, FOLD = 2500, 200_000, 1
+STEPS, EPOCHS = 4500, 6
 HEAD = WINDOW - STRIDE
 BATCH, COMMON, RATE = 96, 192, 0.003
 END_BYTES = np.uint16(END).tobytes()
@@ -90,34 +96,41 @@ class Model:
             values[at] = found - np.log(logits @ ones) + self.share[ids]
         return np.add.reduceat(values, begins) / np.log(10)
 
-    def gradients(self, grid: np.ndarray, target: np.ndarray) -> tuple[float, dict]:
+    def gradients(self, grid: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, dict]:
+        """(probability of each target, gradients of the mean negative log of them); of the embeddings the inputs with a row each."""
         p, keep = self.p, []
         h = self.hidden(grid, keep)
         x, q, k, v, a, o, _ = keep
         n, flat = len(grid), h.reshape(-1, DIM)
-        logits = flat @ p["out"] + p["b"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        s = e / e.sum(1, keepdims=True)
-        y, m = self.classes[target.ravel()], np.float32(target.size)
-        loss = -np.log(s[np.arange(len(y)), y] + 1e-30).mean()
-        s[np.arange(len(y)), y] -= 1
-        s /= m
+        s = flat @ p["out"]
+        s += p["b"]
+        np.minimum(s, 60, out=s)
+        np.exp(s, out=s)
+        s *= (1 / s.sum(1, keepdims=True)).astype(s.dtype)
+        y = self.classes[target.ravel()]
+        rows = np.arange(len(y))
+        found = s[rows, y]
+        s[rows, y] -= 1
+        s *= s.dtype.type(1 / target.size)
         g = {"out": flat.T @ s, "b": s.sum(0)}
         d = ((s @ p["out"].T) * (1 - flat * flat)).reshape(h.shape)
-        flat_o = o.reshape(-1, DIM)
-        g["o"] = flat_o.T @ d.reshape(-1, DIM)
-        do = (d.reshape(-1, DIM) @ p["o"].T).reshape(o.shape)
-        dv = a.transpose(0, 2, 1) @ do
+        flat_d = d.reshape(-1, DIM)
+        g["o"] = o.reshape(-1, DIM).T @ flat_d
+        do = (flat_d @ p["o"].T).reshape(o.shape)
         da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (a * da).sum(2, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        dqkv = np.stack((dq, dk, dv), 2).reshape(-1, 3 * DIM)
-        g["qkv"] = x.reshape(-1, DIM).T @ dqkv
-        dx = d + (dqkv @ p["qkv"].T).reshape(x.shape)
+        dqkv = np.empty((n, WINDOW, 3, DIM), s.dtype)
+        dqkv[:, :, 2] = a.transpose(0, 2, 1) @ do
+        da -= np.einsum("nij,nij->ni", a, da)[..., None]
+        da *= a
+        da *= s.dtype.type(DIM**-0.5)
+        dqkv[:, :, 0] = da @ k
+        dqkv[:, :, 1] = da.transpose(0, 2, 1) @ q
+        flat_qkv = dqkv.reshape(-1, 3 * DIM)
+        g["qkv"] = x.reshape(-1, DIM).T @ flat_qkv
+        dx = d + (flat_qkv @ p["qkv"].T).reshape(x.shape)
         g["at"] = dx.sum(0)
         g["e"] = (grid.ravel(), dx.reshape(-1, DIM))
-        return float(loss), g
+        return found, g
 
 
 def neighbour_keys(flat: np.ndarray, rest: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -174,14 +187,17 @@ class Descent:
         self.n += 1
         _, g = self.model.gradients(grid, target)
         rows, change = g.pop("e")
-        ids, which, times = np.unique(rows, return_inverse=True, return_counts=True)
-        self.seen[ids] += times
-        summed = np.zeros((len(ids), DIM), np.float32)
-        np.add.at(summed, which, change)
+        order = np.argsort(rows, kind="stable")
+        rows = rows[order]
+        first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
+        ids, summed = rows[first], np.add.reduceat(change[order], first, axis=0)
+        self.seen[ids] += np.diff(np.append(first, len(rows)))
         m, v = self.moment["e"]
-        v[ids] += 0.05 * (summed * summed - v[ids])
-        m[ids] += 0.1 * (summed - m[ids])
-        p["e"][ids] -= now * m[ids] / (np.sqrt(v[ids]) + 1e-5)
+        own_m, own_v = m[ids], v[ids]
+        own_v += 0.05 * (summed * summed - own_v)
+        own_m += 0.1 * (summed - own_m)
+        m[ids], v[ids] = own_m, own_v
+        p["e"][ids] -= now * own_m / (np.sqrt(own_v) + 1e-5)
         for k, x in g.items():
             m, v = self.moment[k]
             m += 0.1 * (x - m)
@@ -199,7 +215,7 @@ def _inputs(flat: np.ndarray) -> np.ndarray:
     return np.concatenate(([START], np.where(flat[:-1] == END, START, flat[:-1])))
 
 
-def fit(texts: list[np.ndarray], steps: int = 4500, batch: int = 64, rate: float = 0.01, seed: int = 9, classes: tuple | None = None, counts: np.ndarray | None = None) -> Model:
+def fit(texts: list[np.ndarray], steps: int = STEPS, batch: int = 64, rate: float = 0.01, seed: int = 9, classes: tuple | None = None, counts: np.ndarray | None = None) -> Model:
     """A model trained on texts; classes with shares and counts of ids are those of the texts unless given."""
     common.one_blas_thread()
     flat = np.concatenate([np.append(t, END) for t in texts] or [np.array([END])]).astype(np.int64)
@@ -234,13 +250,47 @@ def _vectors(ids: np.ndarray, columns: np.ndarray, n: np.ndarray) -> tuple[np.nd
 # ---- what training gathers from the whole fold -------------------------------------------------------------------
 
 
+CODED = "rid long, doc_id long, held_out boolean, text string, ids binary, word binary, c long"
+_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.binary(), pa.int64())
+
+
+def _mixed(n: int, schema: str, kinds, cols: dict) -> pa.RecordBatch:
+    names = [x.split()[0] for x in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
+
+
 def _encoded(batches):
-    memo = WordMemo(VOCABULARY, MEMO)
+    """Rows (rid, doc_id, held_out, text) with their ids, and rows (word, c): the words of training rows with their counts so far."""
+    memo, counts, words = WordMemo.shared(VOCABULARY), np.zeros(0, np.int64), None
+
+    def table():
+        at = np.flatnonzero(counts)
+        for i in range(0, len(at), 100_000):
+            part = at[i : i + 100_000]
+            yield _mixed(len(part), CODED, _KINDS, {"word": pa.array([words[j] for j in part.tolist()], pa.binary()), "c": pa.array(counts[part])})
+
     for batch in batches:
-        texts = [t.lower() for t in common.texts_of(batch.column(1))]
+        texts = [t.lower() for t in common.texts_of(batch.column(3))]
+        held = batch.column(2).to_numpy(zero_copy_only=False)
         for a, b in common.slices(texts):
-            ids = [memo.ids_of(x).astype(np.uint16).tobytes() + END_BYTES for x in memo.numbered(texts[a:b])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            places = memo.numbered(texts[a:b])
+            if words is not memo.words:  # the memo has started anew: what was counted goes out
+                yield from table()
+                counts, words = np.zeros(0, np.int64), memo.words
+            run = [i for place, out in zip(places, held[a:b]) if not out for i in place]
+            more = np.bincount(np.array(run, np.int64), minlength=len(words))
+            more[: len(counts)] += counts
+            counts = more
+            ids = [memo.ids_of(x).astype(np.uint16).tobytes() + END_BYTES for x in places]
+            yield _mixed(b - a, CODED, _KINDS, {c: batch.column(i).slice(a, b - a) for i, c in enumerate(("rid", "doc_id", "held_out", "text"))} | {"ids": pa.array(ids, pa.binary())})
+    yield from table()
+    common.freed()
+
+
+def encoded(docs: DataFrame, fold: int = FOLD) -> DataFrame:
+    """The one reading of the texts, as a table: their ids, and the words of the training fold (pre-aggregated)."""
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), common.held_out(fold).alias("held_out"), "text")
+    return common.staged(rows.mapInArrow(_encoded, CODED), "ids")
 
 
 def _flat(column: pa.Array) -> np.ndarray:
@@ -325,16 +375,18 @@ def trained_on_all(model: Model, coded: DataFrame, batch: int = 64, rate: float
         met, tied = np.flatnonzero(descent.seen), _tied(own.p)
         rows = np.concatenate((own.p["e"][met], tied)).astype(np.float64)
         weight = np.append(descent.seen[met], np.full(len(tied), descent.seen.sum()))
+        del descent, own
         keys = np.append(met, IDS + 2 + np.arange(len(tied)))
         columns = [pa.array(keys), pa.array(weight), *[pa.array(rows[:, i] * weight) for i in range(DIM)]]
         yield pa.RecordBatch.from_arrays(columns, names=["key", "weight", *names])
+        common.freed()
 
     schema = "key long, weight long, " + ", ".join(f"{n} double" for n in names)
     sums = coded.select("ids").mapInArrow(run, schema).groupBy("key").agg(F.sum("weight").alias("weight"), *[F.sum(n).alias(n) for n in names])
-    rows = sums.select("key", *[(F.col(n) / F.col("weight")).cast("float").alias(n) for n in names]).toPandas()  # the model's size
+    rows = sums.select("key", *[(F.col(n) / F.col("weight")).cast("float").alias(n) for n in names]).toArrow()  # the model's size
     frozen.destroy()
-    if len(rows):
-        keys, values, p = rows["key"].to_numpy(), rows[names].to_numpy(np.float32), model.p
+    if rows.num_rows:
+        keys, values, p = rows.column("key").to_numpy(), np.stack([rows.column(n).to_numpy() for n in names], 1), model.p
         p["e"][keys[keys < IDS + 2]] = values[keys < IDS + 2]
         tied = _tied(p)
         tied[keys[keys >= IDS + 2] - IDS - 2] = values[keys >= IDS + 2]
@@ -346,48 +398,35 @@ def trained_on_all(model: Model, coded: DataFrame, batch: int = 64, rate: float
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, fold: int = FOLD) -> Model:
-    own = docs.filter(~common.held_out(fold) & F.col("text").isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    coded = common.staged(own.mapInArrow(_encoded, "doc_id string, ids binary"), "ids")
-    n, counts = coded.count(), id_counts(coded)
-    classes = classes_of(counts, lambda rest, place: near_vectors(coded, rest, place))
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) / 1e6
-    rows = coded.filter(draw < sample_docs / max(n, 1)).toPandas().sort_values(["doc_id", "ids"], kind="stable")
-    start = fit([np.frombuffer(x, np.uint16)[:-1] for x in rows["ids"]], classes=classes, counts=counts)
-    model = trained_on_all(start, coded)
-    common.dropped(coded)
+    mixed = encoded(docs, fold)
+    model = trained(mixed, sample_docs)
+    common.dropped(mixed)
     return model
 
 
-# ---- the base ----------------------------------------------------------------------------------------------------
-
+def trained(mixed: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
+    """The model of the training rows of encoded()."""
+    coded = mixed.filter("ids is not null and text is not null and not held_out").select("doc_id", "ids")
+    counts = id_counts(coded)
+    classes = classes_of(counts, lambda rest, place: near_vectors(coded, rest, place))
+    few = common.drawn(coded.withColumnRenamed("ids", "text"), sample_docs, 29).orderBy("doc_id", "text").toArrow()
+    texts = [np.frombuffer(x, np.uint16)[:-1] for x in few.column("text").to_pylist()]
+    steps = min(STEPS, 1 + EPOCHS * sum(len(x) + 1 for x in texts) // (64 * WINDOW))  # a small sample is not learned by heart
+    start = fit(texts, steps, classes=classes, counts=counts)
+    del few, texts
+    common.freed()
+    return trained_on_all(start, coded)
 
-def _count_words(batches):
-    index, counts, size = common.WordIndex(), np.zeros(0, np.int64), 0
 
-    def table():
-        return pa.RecordBatch.from_arrays([pa.array(list(index), pa.binary()), pa.array(counts)], names=["word", "c"])
-
-    for batch in batches:
-        run: list[bytes] = []
-        texts = common.texts_of(batch.column(0))
-        for a, b in common.slices(texts):
-            run = index.of(b" ".join(texts[a:b]).lower().split())
-            more = np.bincount(np.array(run, np.int64), minlength=len(index))
-            more[: len(counts)] += counts
-            counts, size = more, size + len(run)
-            if len(index) > 600_000:
-                yield table()
-                index, counts = common.WordIndex(), np.zeros(0, np.int64)
-    if len(index):
-        yield table()
+# ---- the base ----------------------------------------------------------------------------------------------------
 
 
-def word_counts(docs: DataFrame, fold: int = FOLD) -> tuple[DataFrame, int, int]:
-    """The training fold's words with their counts (a table), all tokens and distinct tokens, ends included."""
-    own = docs.filter(~common.held_out(fold))
-    counts = common.staged(own.select("text").mapInArrow(_count_words, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c")), "words")
-    texts, (words, distinct) = own.count(), counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    return counts, words + texts, distinct + (texts > 0)
+def word_counts(mixed: DataFrame) -> tuple[DataFrame, int, int, int]:
+    """The training fold's words with their counts (a table), all tokens and distinct tokens, ends included, and its texts."""
+    counts = common.staged(mixed.filter("word is not null").groupBy("word").agg(F.sum("c").alias("c")), "words")
+    texts = mixed.filter("ids is not null and not held_out").count()
+    words, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+    return counts, words + texts, distinct + (texts > 0), texts
 
 
 def frequent_words(counts: DataFrame, top: int = TOP) -> list[tuple[bytes, int]]:
@@ -400,7 +439,10 @@ def frequent_words(counts: DataFrame, top: int = TOP) -> list[tuple[bytes, int]]
         if total > top:
             break
         floor = x["least"]
-    return [] if floor is None else [(bytes(w), c) for w, c in counts.filter(F.col("c") >= floor).toPandas().itertuples(index=False)]
+    if floor is None:
+        return []
+    found = counts.filter(F.col("c") >= floor).toArrow()
+    return list(zip(found.column("word").to_pylist(), found.column("c").to_pylist()))
 
 
 SCHEMA = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, word binary, tf long"
@@ -408,51 +450,49 @@ SCHEMA = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long,
 
 def score(docs: DataFrame, fold: int = FOLD, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs."""
-    model = train(docs, sample_docs, fold)
-    counts, total, distinct = word_counts(docs, fold)
+    mixed = encoded(docs, fold)
+    model = trained(mixed, sample_docs)
+    counts, total, distinct, n_train = word_counts(mixed)
     often = frequent_words(counts)
     mass = total + 0.5 * (distinct + 1)
-    n_train = total - int(counts.agg(F.coalesce(F.sum("c"), F.lit(0))).first()[0])
     base_of = lambda c: np.log10((np.asarray(c, np.float64) + 0.5) / mass)
     frozen = docs.sparkSession.sparkContext.broadcast((model, [w for w, _ in often], base_of([c for _, c in often]), float(base_of(n_train)), n_train > 0))
 
     def run(batches):
         common.one_blas_thread()
         net, words, terms, end_term, end_known = frozen.value
-        often, memo = dict(zip(words, terms.tolist())), WordMemo(VOCABULARY, MEMO)
-        term_of = np.zeros(0)
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64()]
-        names = [x.split()[0] for x in SCHEMA.split(", ")]
-
-        def table(n, **cols):
-            return pa.RecordBatch.from_arrays([cols[c] if c in cols else pa.nulls(n, k) for c, k in zip(names, kinds)], names=names)
-
+        number = common.WordIndex(zip(words, range(len(words))))
+        value_of = np.append(terms, np.nan)
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.int64())
         for batch in batches:
-            texts = [t.lower() for t in common.texts_of(batch.column(3))]
+            texts, ids = [t.lower() for t in common.texts_of(batch.column(3))], batch.column(4).to_pylist()
             for a, b in common.slices(texts):
-                places = memo.numbered(texts[a:b])
-                if len(term_of) > len(memo.words):  # the memo started anew
-                    term_of = np.zeros(0)
-                term_of = np.concatenate((term_of, [often.get(w, np.nan) for w in memo.words[len(term_of) :]]))
+                places = [number.of(t.split()) for t in texts[a:b]]
                 sizes = np.array([len(x) for x in places])
                 owner, flat = np.repeat(np.arange(b - a), sizes), np.fromiter((i for x in places for i in x), np.int64, sizes.sum())
-                value = term_of[flat]
+                value = value_of[np.minimum(flat, len(words))]
                 rare = np.isnan(value)
                 base = np.bincount(owner[~rare], weights=value[~rare], minlength=b - a) + end_term
                 near = np.bincount(owner[~rare], minlength=b - a) + int(end_known)
-                scores = net.scores([np.append(memo.ids_of(x), np.uint32(END)) for x in places])
+                scores = net.scores([np.frombuffer(x, np.uint16) for x in ids[a:b]])
                 head = {c: batch.column(i).slice(a, b - a) for i, c in enumerate(("rid", "doc_id", "held_out"))}
-                yield table(b - a, **head, n_tokens=pa.array(sizes + 1), n_known=pa.array(near), base=pa.array(base), score=pa.array(scores))
-                pairs, tf = np.unique(owner[rare] * len(memo.words) + flat[rare], return_counts=True)
-                rids = head["rid"].to_numpy(zero_copy_only=False)[pairs // len(memo.words)] if len(pairs) else np.zeros(0, np.int64)
-                yield table(len(pairs), rid=pa.array(rids), word=pa.array([memo.words[w] for w in (pairs % max(1, len(memo.words))).tolist()], pa.binary()), tf=pa.array(tf))
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), common.held_out(fold).alias("held_out"), "text")
-    mixed = common.staged(rows.mapInArrow(run, SCHEMA), "scored")
-    rare = mixed.filter("word is not null").select("rid", "word", "tf").join(counts, "word", "left")
+                yield _mixed(b - a, SCHEMA, kinds, head | {"n_tokens": pa.array(sizes + 1), "n_known": pa.array(near), "base": pa.array(base), "score": pa.array(scores)})
+                pairs, tf = np.unique(owner[rare] * len(number) + flat[rare], return_counts=True)
+                rids = head["rid"].to_numpy(zero_copy_only=False)[pairs // max(1, len(number))] if len(pairs) else np.zeros(0, np.int64)
+                more = list(islice(number, len(words), None))
+                spelled = [more[w - len(words)] for w in (pairs % max(1, len(number))).tolist()]
+                yield _mixed(len(pairs), SCHEMA, kinds, {"rid": pa.array(rids), "word": pa.array(spelled, pa.binary()), "tf": pa.array(tf)})
+                for w in more:  # only the frequent words stay
+                    del number[w]
+        common.freed()
+
+    rows = mixed.filter("ids is not null").select("rid", "doc_id", "held_out", "text", "ids")
+    scored = common.staged(rows.mapInArrow(run, SCHEMA), "scored")
+    common.dropped(mixed)
+    rare = scored.filter("word is not null").select("rid", "word", "tf").join(counts, "word", "left")
     term = F.log10((F.coalesce("c", F.lit(0)) + 0.5) / F.lit(float(mass))) * F.col("tf")
     rest = rare.groupBy("rid").agg(F.sum(term).alias("more"), F.sum(F.when(F.col("c") > 0, F.col("tf")).otherwise(0)).alias("known"))
-    out = mixed.filter("word is null").drop("word", "tf").join(rest, "rid", "left")
+    out = scored.filter("word is null").drop("word", "tf").join(rest, "rid", "left")
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0))).alias("base_score"), "score",
