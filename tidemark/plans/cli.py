@@ -1,4 +1,4 @@
-"""Command line: forecast, compare, simulate, models, mappings. Errors go to stderr with exit code 2."""
+"""Command line: forecast, compare, simulate, models, mappings, serve, tools. Errors go to stderr with exit code 2."""
 
 from __future__ import annotations
 
@@ -13,7 +13,7 @@ from ..functions import dates
 from ..functions.errors import EngineError
 from ..operators import finance, forecaster, panel as P
 from ..sources import mappings, readers
-from . import tools
+from . import surface, tools
 from .engine import Engine
 
 
@@ -130,6 +130,10 @@ def parser() -> argparse.ArgumentParser:
     s.add_argument("--output")
     for name in ("models", "mappings"):
         sub.add_parser(name).add_argument("--output")
+    s = sub.add_parser("serve", help="the tools over HTTP")
+    s.add_argument("--host", default="127.0.0.1")
+    s.add_argument("--port", type=int, default=8000)
+    sub.add_parser("tools", help="the tools as JSON-RPC lines on standard input and output")
     return top
 
 
@@ -149,6 +153,11 @@ def main(argv=None, spark: SparkSession | None = None) -> int:
         elif a.command == "simulate":
             mu, sigma = calibrated(spark, a.from_returns) if a.from_returns else (a.mu, a.sigma)
             emit(finance.simulation_summary(finance.simulate(spark, a.s0, mu, sigma, a.steps, a.paths, a.seed)).orderBy("step"), a.output)
+        elif a.command == "serve":
+            with surface.http_server(spark, a.host, a.port) as httpd:
+                httpd.serve_forever()
+        elif a.command == "tools":
+            surface.serve_lines(spark)
         else:
             emit(forecaster.list_models(spark) if a.command == "models" else mappings.list_mappings(spark), a.output)
     except (EngineError, ValueError) as e:

@@ -8,13 +8,16 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.contract import ID, validate_panel
+from ..functions.contract import ID, check_levels, validate_panel
 from ..functions.errors import EngineError
-from ..operators import deals, forecaster, panel as P
+from ..operators import deals, forecaster, meta, panel as P
 from ..sources import mappings, readers
 from .engine import Engine
 
 
+SHOWN = 1000  # series named in a preview
+
+
 def _said(f):
     @functools.wraps(f)
     def run(*a, **b):
@@ -47,7 +50,8 @@ def preview(panel: DataFrame) -> DataFrame:
 @_said
 def preview_panel(spark, **source) -> dict:
     p = build_panel(spark, **source)
-    return {**as_records(preview(p))[0], "head": as_records(p.orderBy(ID, "ds").limit(10))}
+    series = [r[0] for r in p.select(ID).distinct().orderBy(ID).limit(SHOWN).collect()]
+    return {**as_records(preview(p))[0], "series": series, "head": as_records(p.orderBy(ID, "ds").limit(10))}
 
 
 @_said
@@ -56,15 +60,40 @@ def forecast_tool(spark, models=("auto_ets",), h: int = 12, level=None, **source
 
 
 @_said
-def compare_tool(spark, models=("naive", "ses", "theta"), h: int = 12, n_windows: int = 3, metrics=("mae", "rmse", "smape"), seasonality: int = 1, **source) -> dict:
-    board, failed = Engine(models).compare(build_panel(spark, **source), h, n_windows, metrics, seasonality)
+def forecast_one(spark, model: str = "auto_select", params: dict | None = None, h: int = 12, level=None, **source) -> list[dict]:
+    """Forecasts of one model by name, meta models included, with a level of 80 unless others are named."""
+    panel, params, levels = build_panel(spark, **source), dict(params or {}), check_levels([80] if level is None else level)
+    try:
+        if model == "auto_select":
+            out = meta.auto_select(panel, params.pop("candidates", None), h, levels, **params)[0]
+        elif model == "reconciled":
+            out = meta.reconciled(panel, params.pop("model", "auto_ets"), h, level=levels, **params)
+        elif model == "conformal":
+            out = meta.conformal(panel, params.pop("model", "auto_ets"), h, levels, **params)
+        elif model == "ensemble":
+            out = meta.ensemble(Engine(params.pop("models", ["naive", "theta", "auto_ets"]), levels).forecast(panel, h), levels=levels, **params)
+        else:
+            out = Engine([(model, params)], levels).forecast(panel, h)
+        return as_records(out.orderBy(ID, "step"))
+    except TypeError as e:
+        raise ValueError(f"invalid parameters of {model}: {e}") from e
+
+
+@_said
+def compare_tool(spark, models=("naive", "ses", "theta"), h: int = 12, n_windows: int = 3, metrics=("mae", "rmse", "smape"), seasonality: int = 1, level=None, **source) -> dict:
+    if seasonality < 1:
+        raise ValueError("seasonality starts at 1")
+    board, failed = Engine(models, level).compare(build_panel(spark, **source), h, n_windows, metrics, seasonality)
     return {"leaderboard": as_records(board), "failures": as_records(failed)}
 
 
 @_said
 def quota_tool(spark, quota, model="auto_ets", h: int = 12, level: int = 80, **source) -> dict:
-    f = Engine([model], [level]).forecast(build_panel(spark, **source), h)
+    panel = build_panel(spark, **source)
+    f = meta.reconciled(panel, "auto_ets", h, level=[level]) if model == "reconciled" else Engine([model], [level]).forecast(panel, h)
     if isinstance(quota, dict):
+        if not f.filter(F.col(ID).isin(*quota)).limit(1).count():
+            raise ValueError(f"quota keys {sorted(quota)} match no forecast series")
         q = spark.createDataFrame([(k, float(v)) for k, v in quota.items()], f"{ID} string, quota double")
         return {"attainment": as_records(deals.attainment(f.join(q, ID, "left_semi"), q, level)), "unmatched": as_records(deals.unmatched_quotas(q, f))}
     return {"attainment": as_records(deals.attainment(f, quota, level)), "unmatched": []}
