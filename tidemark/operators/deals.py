@@ -96,7 +96,8 @@ def weighted_pipeline(deals: DataFrame, proba_col: str = "proba", by=None, amoun
     deals = deals if proba is None else with_probabilities(deals, proba, id_col, proba_col)
     keys = [by] if isinstance(by, str) else list(by or [])
     fine = (F.col(proba_col) >= -1e-9) & (F.col(proba_col) <= 1 + 1e-9)
-    p = F.when(F.coalesce(fine, F.lit(False)), F.least(F.greatest(F.col(proba_col), F.lit(0.0)), F.lit(1.0))).otherwise(F.raise_error(F.lit("win probabilities lie in [0, 1]")).cast("double"))
+    p = F.when(F.coalesce(fine, F.lit(False)), F.least(F.greatest(F.col(proba_col), F.lit(0.0)), F.lit(1.0))).otherwise(F.raise_error(F.lit("win probabilities lie in [0, "
+        "1]")).cast("double"))
     a = F.col(amount_col).cast("double")
     aggs = [F.count("*").alias("n_deals"), F.coalesce(F.sum(a), F.lit(0.0)).alias("total"), F.coalesce(F.sum(p * a), F.lit(0.0)).alias("expected"), F.sqrt(F.coalesce(F.sum(p * (1 - p) * a * a), F.lit(0.0))).alias("std"),
             F.coalesce(F.sum(F.least(a, F.lit(0.0))), F.lit(0.0)).alias("_min"), F.coalesce(F.sum(F.greatest(a, F.lit(0.0))), F.lit(0.0)).alias("_max")]

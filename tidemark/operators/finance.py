@@ -151,4 +151,5 @@ def regimes(returns: DataFrame, n_states: int = 2, seed: int = 0) -> DataFrame:
         m = fit_hmm(pdf[TARGET].to_numpy(float), n_states, seed=seed)
         return pdf[[ID, TIME, TARGET]].assign(state=m["proba"].argmax(1).astype(np.int32), proba=list(m["proba"]), expected=m["proba"] @ m["means"])
 
-    return returns.select(ID, TIME, TARGET).groupBy(ID).applyInPandas(one, f"{ID} {kinds[ID]}, {TIME} {kinds[TIME]}, {TARGET} double, state int, proba array<double>, expected double")
+    return returns.select(ID, TIME, TARGET).groupBy(ID).applyInPandas(one, f"{ID} {kinds[ID]}, {TIME} {kinds[TIME]}, {TARGET} double, state int, "
+        f"proba array<double>, expected double")

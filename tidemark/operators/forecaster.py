@@ -270,7 +270,8 @@ def _fitted_windows(rows: DataFrame, models, h: int, n_windows: int, step_size:
 
     kinds = dict(rows.dtypes)
     times = f"{ID} {kinds[ID]}, {TIME} {kinds[TIME]}, cutoff {kinds[TIME]}"
-    return rows.groupBy(ID).applyInPandas(one, f"{times}, window int, step int, {TARGET} double, model string, yhat double, sigma double, error string")
+    return rows.groupBy(ID).applyInPandas(one, f"{times}, window int, step int, {TARGET} double, model string, yhat double, sigma double, "
+        f"error string")
 
 
 # ---- fitted models as tables -------------------------------------------------------------------------------------
@@ -313,7 +314,8 @@ class Fitted:
         if self.panel is None:
             raise NotFittedError(self.name)
         self.panel.write.parquet(f"{path}/panel")
-        self.panel.sparkSession.createDataFrame([(VERSION, self.name, json.dumps(params_of(self.model), default=list))], "version int, name string, params string").write.parquet(f"{path}/spec")
+        self.panel.sparkSession.createDataFrame([(VERSION, self.name, json.dumps(params_of(self.model), default=list))], "version int, name string, "
+            "params string").write.parquet(f"{path}/spec")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Fitted:

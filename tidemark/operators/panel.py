@@ -149,7 +149,8 @@ def conversion_rates(panel: DataFrame, stages: list[str], sep: str = "/") -> Dat
     stage, prefix = F.substring_index(ID, sep, -1), F.regexp_replace(ID, r"(?:^|" + re.escape(sep) + r")[^" + re.escape(sep) + r"]*$", "")
     for s in sorted(stages, key=len):  # the longest name that fits wins
         stage = F.when((F.col(ID) == s) | F.endswith(ID, F.lit(sep + s)), F.lit(s)).otherwise(stage)
-        prefix = F.when(F.col(ID) == s, F.lit("")).when(F.endswith(ID, F.lit(sep + s)), F.expr(f"left(unique_id, length(unique_id) - {len(s) + len(sep)})")).otherwise(prefix)
+        prefix = F.when(F.col(ID) == s, F.lit("")).when(F.endswith(ID, F.lit(sep + s)), F.expr(f"left(unique_id, "
+            f"length(unique_id) - {len(s) + len(sep)})")).otherwise(prefix)
     rows = panel.select(prefix.alias("prefix"), stage.alias("stage"), TIME, TARGET).filter(F.col("stage").isin(*stages))
     wide = rows.groupBy("prefix", TIME).pivot("stage", stages).agg(F.sum(TARGET))
     w = Window.partitionBy("prefix")
@@ -181,7 +182,8 @@ def cohort_panel(records: DataFrame, cohort_col: str, period_col: str, retained_
     if n_customers_col:
         y = F.try_divide(y, F.col(n_customers_col).cast("double"))
     fine = (y >= -1e-9) & (y <= 1 + 1e-9)
-    checked = F.when(F.coalesce(fine, F.lit(False)), F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))).otherwise(F.raise_error(F.lit("retention must lie in [0, 1]")))
+    checked = F.when(F.coalesce(fine, F.lit(False)), F.least(F.greatest(y, F.lit(0.0)), F.lit(1.0))).otherwise(F.raise_error(F.lit("retention must lie in [0, "
+        "1]")))
     return records.select(F.col(cohort_col).cast("string").alias(ID), F.col(period_col).cast("bigint").alias(TIME), checked.alias(TARGET))
 
 

@@ -68,7 +68,8 @@ def out(df: DataFrame, *more: str, n: int = 4) -> DataFrame:
 
 # ---- shaping -----------------------------------------------------------------------------------------------------
 
-_LABEL = {"D": "date_trunc('day', ts)", "W": "date_trunc('week', ts) + interval 6 days", "QE": "date_trunc('quarter', ts) + interval 3 months - interval 1 day", "MS": "date_trunc('month', ts)", "ME": "last_day(ts)"}
+_LABEL = {"D": "date_trunc('day', ts)", "W": "date_trunc('week', ts) + interval 6 days", "QE": "date_trunc('quarter', "
+    "ts) + interval 3 months - interval 1 day", "MS": "date_trunc('month', ts)", "ME": "last_day(ts)"}
 
 
 def _shape(name, freq, agg, value):
@@ -113,7 +114,8 @@ def _(s, d):
     return out(P.densify(_sparse(s, d), "D", None))
 
 
-@query("dup_collapse", "select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, round(avg(value), 4) as y from events group by all")
+@query("dup_collapse", "select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, round(avg(value), 4) as y from events "
+    "group by all")
 def _(s, d):
     e = V.table(s, d, "events").select(F.col("event_type").alias(ID), F.date_trunc("day", "ts").cast("timestamp_ntz").alias(TIME), F.col("value").alias(TARGET))
     return out(P.collapse(e, "mean"))
@@ -127,7 +129,10 @@ def _(s, d):
     return violations(p)
 
 
-@query("mapping_filter_rename", f"with p as (select o_orderpriority as unique_id, date_trunc('month', o_orderdate)::timestamp as ds, sum(o_totalprice) as y from orders where o_orderstatus = 'F' group by all), g as (select unique_id, unnest(generate_series(min(ds), max(ds), interval 1 month)) as ds from p group by unique_id) select g.unique_id, {sday('g.ds').replace('as g.ds', 'as ds')}, round(coalesce(y, 0), 4) as y from g left join p using (unique_id, ds)")
+@query("mapping_filter_rename", f"with p as (select o_orderpriority as unique_id, date_trunc('month', o_orderdate)::timestamp as ds, "
+    f"sum(o_totalprice) as y from orders where o_orderstatus = 'F' group by all), g as (select unique_id, unnest(generate_series(min(ds), max(ds), "
+    f"interval 1 month)) as ds from p group by unique_id) select g.unique_id, {sday('g.ds').replace('as g.ds', 'as ds')}, round(coalesce(y, 0), "
+    f"4) as y from g left join p using (unique_id, ds)")
 def _(s, d):
     m = P.SchemaMapping("orders", "", "close_date", ("owner",), "amount", {"o_orderdate": "close_date", "o_totalprice": "amount", "o_orderstatus": "stage", "o_orderpriority": "owner"}, {"stage": ("F",)})
     return out(m.apply(V.table(s, d, "orders")))
@@ -136,26 +141,30 @@ def _(s, d):
 _MONEY = "case o_orderkey % 4 when 0 then '$' || o_orderkey || '.50' when 1 then '(' || o_orderkey || ')' when 2 then '  ' else '' || o_orderkey end"
 
 
-@query("money_text_clean", "select o_orderkey as opp_id, case o_orderkey % 4 when 0 then o_orderkey + 0.5::double when 1 then -o_orderkey::double when 2 then null else o_orderkey::double end as amount from orders")
+@query("money_text_clean", "select o_orderkey as opp_id, case o_orderkey % 4 when 0 then o_orderkey + 0.5::double when 1 then -o_orderkey::double "
+    "when 2 then null else o_orderkey::double end as amount from orders")
 def _(s, d):
     t = V.table(s, d, "orders").withColumn("t", F.expr(_MONEY))
     value, fine = P.money(F.col("t"))
     return t.select(F.col("o_orderkey").alias("opp_id"), F.when(fine, value).alias("amount"))
 
 
-@query("numeric_text_columns", "select o_orderkey::double as a, strftime(o_orderdate, '%Y%m%d') as b, lpad(o_orderkey::varchar, 8, '0') as c, o_totalprice as e from orders")
+@query("numeric_text_columns", "select o_orderkey::double as a, strftime(o_orderdate, '%Y%m%d') as b, lpad(o_orderkey::varchar, 8, '0') as c, "
+    "o_totalprice as e from orders")
 def _(s, d):
     o = V.table(s, d, "orders")
     return P.clean_numeric_text(o.select(F.col("o_orderkey").cast("string").alias("a"), F.date_format("o_orderdate", "yyyyMMdd").alias("b"), F.lpad(F.col("o_orderkey").cast("string"), 8, "0").alias("c"), F.concat(F.lit("$"), F.col("o_totalprice").cast("decimal(18,2)").cast("string")).alias("e")))
 
 
-@query("epoch_dates", f"select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, count(*)::double as y from events group by all")
+@query("epoch_dates", f"select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, count(*)::double as y from events "
+    f"group by all")
 def _(s, d):
     e = V.table(s, d, "events").select("event_type", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     return out(P.to_panel(e, "event_type", "ms", None, "D", date_unit="ms"))
 
 
-@query("yyyymmdd_dates", "select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, count(*)::double as y from events group by all")
+@query("yyyymmdd_dates", "select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, count(*)::double as y from events "
+    "group by all")
 def _(s, d):
     e = V.table(s, d, "events").select("event_type", F.date_format("ts", "yyyyMMdd").cast("int").alias("d"))
     return out(P.to_panel(e, "event_type", "d", None, "D", date_format="%Y%m%d"))
@@ -166,18 +175,21 @@ def _(s, d):
 _RATES = {"AFRICA": 0.5, "AMERICA": 1.0, "ASIA": 0.9, "EUROPE": 1.1, "MIDDLE EAST": 0.7}
 
 
-@query("currency_static", views("deals_ccy") + "select opp_id, currency, round(amount * (1.0::double + r_regionkey * 0.25::double), 4) as amount from deals_ccy join region on r_name = currency")
+@query("currency_static", views("deals_ccy") + "select opp_id, currency, round(amount * (1.0::double + r_regionkey * 0.25::double), 4) as amount "
+    "from deals_ccy join region on r_name = currency")
 def _(s, d):
     names = [(r["r_name"], 1.0 + r["r_regionkey"] * 0.25) for r in V.table(s, d, "region").collect()]  # a fixed dimension of five rows
     return currency.convert(V.deals_ccy(s, d), dict(names), to="none").select("opp_id", "currency", *rnd("amount"))
 
 
-@query("currency_asof", views("deals_ccy rates") + "select d.opp_id, d.currency, round(amount * rate, 4) as amount from deals_ccy d asof join rates r on d.currency = r.currency and d.close_date >= r.as_of")
+@query("currency_asof", views("deals_ccy rates") + "select d.opp_id, d.currency, round(amount * rate, 4) as amount from deals_ccy d asof "
+    "join rates r on d.currency = r.currency and d.close_date >= r.as_of")
 def _(s, d):
     return currency.convert(V.deals_ccy(s, d), V.rates(s, d), to="none", date_col="close_date").select("opp_id", "currency", *rnd("amount"))
 
 
-@query("single_currency_guard", views("deals_ccy") + "select count(distinct currency) as n_currencies, count(distinct currency) > 1 as mixed from deals_ccy")
+@query("single_currency_guard", views("deals_ccy") + "select count(distinct currency) as n_currencies, count(distinct currency) > 1 as mixed "
+    "from deals_ccy")
 def _(s, d):
     x = V.deals_ccy(s, d)
     try:
@@ -191,7 +203,8 @@ def _(s, d):
 _FUNNEL = ["view", "click", "signup"]
 
 
-@query("stage_panel", f"select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, count(*)::double as y from events group by all")
+@query("stage_panel", f"select event_type as unique_id, strftime(date_trunc('day', ts), '%Y-%m-%d') as ds, count(*)::double as y from events "
+    f"group by all")
 def _(s, d):
     return out(P.stage_panel(V.table(s, d, "events"), "event_type", "ts", "D"))
 
@@ -206,7 +219,8 @@ def _(s, d):
     return P.conversion_rates(p, _FUNNEL).select(ID, day(), "from_stage", "to_stage", *rnd("rate", n=6))
 
 
-@query("funnel_propagate", views("panel_d") + f"select unique_id, {sday()}, round(y * 0.5::double, 4) as mql, round(y * 0.5::double * 0.2::double, 4) as sql from panel_d")
+@query("funnel_propagate", views("panel_d") + f"select unique_id, {sday()}, round(y * 0.5::double, 4) as mql, round(y * 0.5::double * 0.2::double, "
+    f"4) as sql from panel_d")
 def _(s, d):
     top = V.panel_d(s, d).withColumnRenamed(TARGET, "yhat")
     return P.propagate(top, {"mql": 0.5, "sql": 0.2}).select(ID, day(), *rnd("mql", "sql"))
@@ -217,8 +231,10 @@ def _(s, d):
     return P.cohort_panel(V.cohort_rows(s, d), "cohort", "age", "retained", "n").select(ID, TIME, *rnd(TARGET, n=6))
 
 
-@query("pooled_retention_curve", views("cohort_rows", ("c", "select cohort, age, retained / n as y, row_number() over w - 1 as pos, lag(retained / n) over w as b from cohort_rows window w as (partition by cohort order by age)"),
-       ("r", "select pos, coalesce(avg(case when b > 1e-12 then least(greatest(y / b, 0), 1) end), 1) as r from c group by pos")) + "select pos::int as age, round(product(case when pos = 0 then 1 else r end) over (order by pos), 6) as survival from r")
+@query("pooled_retention_curve", views("cohort_rows", ("c", "select cohort, age, retained / n as y, row_number() over w - 1 as pos, "
+    "lag(retained / n) over w as b from cohort_rows window w as (partition by cohort order by age)"),
+       ("r", "select pos, coalesce(avg(case when b > 1e-12 then least(greatest(y / b, 0), 1) end), 1) as r from c "
+           "group by pos")) + "select pos::int as age, round(product(case when pos = 0 then 1 else r end) over (order by pos), 6) as survival from r")
 def _(s, d):
     return P.pooled_curve(P.cohort_panel(V.cohort_rows(s, d), "cohort", "age", "retained", "n")).select("age", *rnd("survival", n=6))
 
@@ -232,25 +248,29 @@ def _holes(s, d):
     return V.panel_d(s, d).withColumn(TARGET, F.when(F.dayofmonth(TIME) % 4 != 2, F.col(TARGET)))
 
 
-@query("impute_ffill", views("panel_d", _HOLES) + f"select unique_id, {sday()}, round(last_value(y ignore nulls) over (partition by unique_id order by h.ds), 4) as y from h")
+@query("impute_ffill", views("panel_d", _HOLES) + f"select unique_id, {sday()}, round(last_value(y ignore nulls) over (partition by unique_id "
+    f"order by h.ds), 4) as y from h")
 def _(s, d):
     h = _holes(s, d)
     return out(X.Imputer("ffill").fit_transform(h))
 
 
-@query("impute_mean", views("panel_d", _HOLES) + f"select unique_id, {sday()}, round(coalesce(y, avg(y) over (partition by unique_id)), 4) as y from h")
+@query("impute_mean", views("panel_d", _HOLES) + f"select unique_id, {sday()}, round(coalesce(y, avg(y) over (partition by unique_id)), 4) as y "
+    f"from h")
 def _(s, d):
     return out(X.Imputer("mean").fit_transform(_holes(s, d)))
 
 
 @query("impute_interpolate", views("panel_d", _HOLES, ("q", """select unique_id, ds, y, row_number() over w as p, last_value(y ignore nulls) over w as a, first_value(y ignore nulls) over (partition by unique_id order by ds rows between current row and unbounded following) as b,
     last_value(case when y is not null then n end ignore nulls) over w as pa, first_value(case when y is not null then n end ignore nulls) over (partition by unique_id order by ds rows between current row and unbounded following) as pb
-    from (select *, row_number() over (partition by unique_id order by ds) as n from h) window w as (partition by unique_id order by ds rows between unbounded preceding and current row)""")) + f"select unique_id, {sday()}, round(coalesce(y, a + (b - a) * (p - pa) / nullif(pb - pa, 0), a, b), 4) as y from q")
+    from (select *, row_number() over (partition by unique_id order by ds) as n from h) window w as (partition by unique_id order by ds rows between unbounded preceding and current row)""")) + f"select unique_id, "
+        f"{sday()}, round(coalesce(y, a + (b - a) * (p - pa) / nullif(pb - pa, 0), a, b), 4) as y from q")
 def _(s, d):
     return out(X.Imputer("interpolate").fit_transform(_holes(s, d)))
 
 
-@query("scale", views("panel_d") + f"select unique_id, {sday()}, round((y - avg(y) over w) / greatest(stddev_pop(y) over w, 1e-12), 6) as y from panel_d window w as (partition by unique_id)")
+@query("scale", views("panel_d") + f"select unique_id, {sday()}, round((y - avg(y) over w) / greatest(stddev_pop(y) over w, 1e-12), 6) as y "
+    f"from panel_d window w as (partition by unique_id)")
 def _(s, d):
     return out(X.StandardScaler().fit_transform(V.panel_d(s, d)), n=6)
 
@@ -261,30 +281,35 @@ def _(s, d):
     return out(t.inverse_transform(t.fit_transform(p)))
 
 
-@query("log_transform", views("panel_d") + f"select unique_id, {sday()}, round(ln(y + case when min(y) over w > 0 then 0 else 1 - min(y) over w end), 6) as y from panel_d window w as (partition by unique_id)")
+@query("log_transform", views("panel_d") + f"select unique_id, {sday()}, round(ln(y + case "
+    f"when min(y) over w > 0 then 0 else 1 - min(y) over w end), 6) as y from panel_d window w as (partition by unique_id)")
 def _(s, d):
     return out(X.LogTransform().fit_transform(V.panel_d(s, d)), n=6)
 
 
-@query("logit_transform", views("panel_d", ("u", "select unique_id, ds, y / (max(y) over ()) as y from panel_d")) + f"select unique_id, {sday()}, round(ln(least(greatest(y, 1e-6), 1 - 1e-6) / (1 - least(greatest(y, 1e-6), 1 - 1e-6))), 4) as y from u")
+@query("logit_transform", views("panel_d", ("u", "select unique_id, ds, y / (max(y) over ()) as y from panel_d")) + f"select unique_id, {sday()}, "
+    f"round(ln(least(greatest(y, 1e-6), 1 - 1e-6) / (1 - least(greatest(y, 1e-6), 1 - 1e-6))), 4) as y from u")
 def _(s, d):
     p = V.panel_d(s, d)
     top = p.agg(F.max(TARGET).alias("m"))
     return out(X.LogitTransform().fit_transform(p.crossJoin(F.broadcast(top)).select(ID, TIME, (F.col(TARGET) / F.col("m")).alias(TARGET))))
 
 
-@query("diff1", views("panel_d", ("x", "select unique_id, ds, y - lag(y) over (partition by unique_id order by ds) as y from panel_d")) + PANEL + "x where y is not null")
+@query("diff1", views("panel_d", ("x", "select unique_id, ds, y - lag(y) over (partition by unique_id order by ds) as y "
+    "from panel_d")) + PANEL + "x where y is not null")
 def _(s, d):
     return out(X.Differencer(1).fit_transform(V.panel_d(s, d)))
 
 
-@query("diff2_roundtrip", views("panel_d", ("x", "select *, row_number() over (partition by unique_id order by ds) as n from panel_d")) + PANEL + "x where n > 2")
+@query("diff2_roundtrip", views("panel_d", ("x", "select *, row_number() over (partition by unique_id order by ds) as n "
+    "from panel_d")) + PANEL + "x where n > 2")
 def _(s, d):
     t, p = X.Differencer(2), V.panel_d(s, d)
     return out(t.inverse_transform(t.fit_transform(p)))
 
 
-@query("pipeline_roundtrip", views("panel_d", ("x", "select *, row_number() over (partition by unique_id order by ds) as n from panel_d")) + PANEL + "x where n > 1")
+@query("pipeline_roundtrip", views("panel_d", ("x", "select *, row_number() over (partition by unique_id order by ds) as n "
+    "from panel_d")) + PANEL + "x where n > 1")
 def _(s, d):
     t, p = X.Pipeline([("log", X.LogTransform()), ("scale", X.StandardScaler()), ("diff", X.Differencer(1))]), V.panel_d(s, d)
     return out(t.inverse_transform(t.fit_transform(p)))
@@ -293,17 +318,23 @@ def _(s, d):
 # ---- calendar ----------------------------------------------------------------------------------------------------
 
 
-@query("calendar_raw", views("panel_d") + f"select unique_id, {sday()}, (isodow(panel_d.ds) - 1)::int as dayofweek, month(panel_d.ds)::int as month, dayofyear(panel_d.ds)::int as dayofyear, quarter(panel_d.ds)::int as quarter from panel_d")
+@query("calendar_raw", views("panel_d") + f"select unique_id, {sday()}, (isodow(panel_d.ds) - 1)::int as dayofweek, "
+    f"month(panel_d.ds)::int as month, dayofyear(panel_d.ds)::int as dayofyear, quarter(panel_d.ds)::int as quarter from panel_d")
 def _(s, d):
     return dates.calendar_features(V.panel_d(s, d), ("dayofweek", "month", "dayofyear", "quarter"), False).select(ID, day(), "dayofweek", "month", "dayofyear", "quarter")
 
 
-@query("calendar_cyclical", views("panel_d") + f"select unique_id, {sday()}, round(sin(2 * pi() * (isodow(panel_d.ds) - 1) / 7), 6) as dayofweek_sin, round(cos(2 * pi() * (isodow(panel_d.ds) - 1) / 7), 6) as dayofweek_cos, round(sin(2 * pi() * (month(panel_d.ds) - 1) / 12), 6) as month_sin, round(cos(2 * pi() * (month(panel_d.ds) - 1) / 12), 6) as month_cos from panel_d")
+@query("calendar_cyclical", views("panel_d") + f"select unique_id, {sday()}, round(sin(2 * pi() * (isodow(panel_d.ds) - 1) / 7), "
+    f"6) as dayofweek_sin, round(cos(2 * pi() * (isodow(panel_d.ds) - 1) / 7), 6) as dayofweek_cos, "
+    f"round(sin(2 * pi() * (month(panel_d.ds) - 1) / 12), 6) as month_sin, round(cos(2 * pi() * (month(panel_d.ds) - 1) / 12), 6) as month_cos "
+    f"from panel_d")
 def _(s, d):
     return dates.calendar_features(V.panel_d(s, d), ("dayofweek", "month")).select(ID, day(), *rnd("dayofweek_sin", "dayofweek_cos", "month_sin", "month_cos", n=6))
 
 
-@query("fourier", views("panel_d", ("x", "select *, row_number() over (partition by unique_id order by ds) - 1 as t from panel_d")) + f"select unique_id, {sday()}, {pos('sin(2 * pi() * t / 7)', 6)} as sin_1, round(cos(2 * pi() * t / 7), 6) as cos_1, {pos('sin(4 * pi() * t / 7)', 6)} as sin_2, round(cos(4 * pi() * t / 7), 6) as cos_2 from x")
+@query("fourier", views("panel_d", ("x", "select *, row_number() over (partition by unique_id order by ds) - 1 as t "
+    "from panel_d")) + f"select unique_id, {sday()}, {pos('sin(2 * pi() * t / 7)', 6)} as sin_1, round(cos(2 * pi() * t / 7), 6) as cos_1, "
+    f"{pos('sin(4 * pi() * t / 7)', 6)} as sin_2, round(cos(4 * pi() * t / 7), 6) as cos_2 from x")
 def _(s, d):
     return dates.fourier_features(V.panel_d(s, d), 7, 2).select(ID, day(), *rnd("sin_1", "cos_1", "sin_2", "cos_2", n=6))
 
@@ -331,13 +362,18 @@ def _(s, d):
 
 H = 7
 Z80 = z_of(80)
-_POS = ("q", "select *, row_number() over w as p, lag(y) over w as b, lag(y, 7) over w as b7, first_value(y) over w as y0, count(*) over (partition by unique_id) as n, avg(y) over (partition by unique_id order by ds rows between 7 preceding and 1 preceding) as m7 from panel_d window w as (partition by unique_id order by ds)")
+_POS = ("q", "select *, row_number() over w as p, lag(y) over w as b, lag(y, 7) over w as b7, first_value(y) over w as y0, count(*) "
+    "over (partition by unique_id) as n, avg(y) over (partition by unique_id order by ds rows between 7 preceding and 1 preceding) as m7 "
+    "from panel_d window w as (partition by unique_id order by ds)")
 _BAND = f"round(yhat - {Z80!r} * sigma, 3) as lo_80, round(yhat + {Z80!r} * sigma, 3) as hi_80"
 
 
 def _future(mean: str, sigma: str, residual: str, extra: str = "") -> str:
-    return views("panel_d", _POS, ("s", f"select unique_id, max(ds) as last_ds, sqrt(sum(r * r) / (count(r) - 1)) as s, arg_max(y, ds) as last_y, arg_min(y, ds) as first_y, count(*) as n, avg(case when p > n - 7 then y end) as m from (select *, {residual} as r from q) group by unique_id"),
-                 ("f", f"select s.unique_id, k::int as step, last_ds + to_days(k::int) as ds, {mean} as yhat, {sigma} as sigma from s, range(1, 8) t(k) {extra}")) + f"select unique_id, step, {sday()}, round(yhat, 3) as yhat, {_BAND} from f"
+    return views("panel_d", _POS, ("s", f"select unique_id, max(ds) as last_ds, sqrt(sum(r * r) / (count(r) - 1)) as s, arg_max(y, ds) as last_y, "
+        f"arg_min(y, ds) as first_y, count(*) as n, avg(case when p > n - 7 then y end) as m from (select *, {residual} as r from q) "
+        f"group by unique_id"),
+                 ("f", f"select s.unique_id, k::int as step, last_ds + to_days(k::int) as ds, {mean} as yhat, {sigma} as sigma from s, range(1, "
+                     f"8) t(k) {extra}")) + f"select unique_id, step, {sday()}, round(yhat, 3) as yhat, {_BAND} from f"
 
 
 def _banded(f: DataFrame) -> DataFrame:
@@ -349,12 +385,14 @@ def _(s, d):
     return _banded(N.naive(V.panel_d(s, d), H))
 
 
-@query("seasonal_naive_bands", _future("q.y", "s * sqrt((k - 1) // 7 + 1)", "y - b7", "join q on q.unique_id = s.unique_id and q.p = s.n - 7 + 1 + (k - 1) % 7"))
+@query("seasonal_naive_bands", _future("q.y", "s * sqrt((k - 1) // 7 + 1)", "y - b7", "join q on q.unique_id = s.unique_id "
+    "and q.p = s.n - 7 + 1 + (k - 1) % 7"))
 def _(s, d):
     return _banded(N.seasonal_naive(V.panel_d(s, d), H, 7))
 
 
-@query("drift_bands", _future("last_y + k * (last_y - first_y) / (n - 1)", "s * sqrt(k * (1 + k / (n - 1)))", "case when p >= 3 then y - (b + (b - y0) / (p - 2)) end"))
+@query("drift_bands", _future("last_y + k * (last_y - first_y) / (n - 1)", "s * sqrt(k * (1 + k / (n - 1)))", "case "
+    "when p >= 3 then y - (b + (b - y0) / (p - 2)) end"))
 def _(s, d):
     return _banded(N.drift(V.panel_d(s, d), H))
 
@@ -364,37 +402,54 @@ def _(s, d):
     return _banded(N.window_average(V.panel_d(s, d), H, 7))
 
 
-@query("naive_fitted", views("panel_d") + f"select unique_id, {sday()}, round(y, 4) as y, round(lag(y) over (partition by unique_id order by panel_d.ds), 4) as fitted from panel_d")
+@query("naive_fitted", views("panel_d") + f"select unique_id, {sday()}, round(y, 4) as y, round(lag(y) over (partition by unique_id "
+    f"order by panel_d.ds), 4) as fitted from panel_d")
 def _(s, d):
     return N.fitted(V.panel_d(s, d), "naive").select(ID, day(), *rnd(TARGET, "fitted"))
 
 
 def _recursive(view: str, start: str, step: str, final: str) -> str:
     """A fold over each series' rows in order; x is the state, r the row."""
-    return views(view, ("o", f"select unique_id, y, row_number() over (partition by unique_id order by ds) as p, count(*) over (partition by unique_id) as n, lead(y) over (partition by unique_id order by ds) as y2, avg(case when y > 0 then y end) over (partition by unique_id) as hit_mean, avg((y > 0)::int) over (partition by unique_id) as hit_share, avg(y * y) over (partition by unique_id) as ms from {view}"),
-                 ("x", f"select unique_id, p, n, {start} from o where p = 1 union all select r.unique_id, r.p, r.n, {step} from x join o r on r.unique_id = x.unique_id and r.p = x.p + 1"), recursive=True) + final
+    return views(view, ("o", f"select unique_id, y, row_number() over (partition by unique_id order by ds) as p, count(*) "
+        f"over (partition by unique_id) as n, lead(y) over (partition by unique_id order by ds) as y2, avg(case when y > 0 then y end) "
+        f"over (partition by unique_id) as hit_mean, avg((y > 0)::int) over (partition by unique_id) as hit_share, avg(y * y) "
+        f"over (partition by unique_id) as ms from {view}"),
+                 ("x", f"select unique_id, p, n, {start} from o where p = 1 union all select r.unique_id, r.p, r.n, {step} from x "
+                     f"join o r on r.unique_id = x.unique_id and r.p = x.p + 1"), recursive=True) + final
 
 
-@query("ses_fixed", _recursive("panel_d", "y as level, 0::double as sse", "0.3::double * r.y + 0.7::double * x.level, x.sse + (r.y - x.level) * (r.y - x.level)", "select unique_id, k::int as step, round(level, 3) as yhat, round(sqrt(sse / (n - 2)) * sqrt(1 + (k - 1) * 0.09::double), 3) as sigma from x, range(1, 8) t(k) where p = n"))
+@query("ses_fixed", _recursive("panel_d", "y as level, 0::double as sse", "0.3::double * r.y + 0.7::double * x.level, "
+    "x.sse + (r.y - x.level) * (r.y - x.level)", "select unique_id, k::int as step, round(level, 3) as yhat, "
+    "round(sqrt(sse / (n - 2)) * sqrt(1 + (k - 1) * 0.09::double), 3) as sigma from x, range(1, 8) t(k) where p = n"))
 def _(s, d):
     return N.ses(V.panel_d(s, d), H, 0.3).select(ID, F.col("step").cast("int").alias("step"), *rnd("yhat", "sigma", n=3))
 
 
-@query("holt_fixed", _recursive("panel_d", "y as level, y2 - y as trend, 0::double as sse", "0.3::double * r.y + 0.7::double * (x.level + x.trend), 0.1::double * (0.3::double * r.y + 0.7::double * (x.level + x.trend) - x.level) + 0.9::double * x.trend, x.sse + (r.y - x.level - x.trend) * (r.y - x.level - x.trend)",
-       "select unique_id, k::int as step, round(level + k * trend, 3) as yhat, round(sqrt(sse / (n - 2)) * sqrt(1 + 0.09::double * (select coalesce(sum((1 + j * 0.1::double) * (1 + j * 0.1::double)), 0) from range(1, 8) u(j) where j < k)), 3) as sigma from x, range(1, 8) t(k) where p = n"))
+@query("holt_fixed", _recursive("panel_d", "y as level, y2 - y as trend, 0::double as sse", "0.3::double * r.y + 0.7::double * (x.level + x.trend), "
+    "0.1::double * (0.3::double * r.y + 0.7::double * (x.level + x.trend) - x.level) + 0.9::double * x.trend, "
+    "x.sse + (r.y - x.level - x.trend) * (r.y - x.level - x.trend)",
+       "select unique_id, k::int as step, round(level + k * trend, 3) as yhat, "
+           "round(sqrt(sse / (n - 2)) * sqrt(1 + 0.09::double * (select coalesce(sum((1 + j * 0.1::double) * (1 + j * 0.1::double)), 0) "
+           "from range(1, 8) u(j) where j < k)), 3) as sigma from x, range(1, 8) t(k) where p = n"))
 def _(s, d):
     return N.holt(V.panel_d(s, d), H, 0.3, 0.1).select(ID, F.col("step").cast("int").alias("step"), *rnd("yhat", "sigma", n=3))
 
 
-@query("croston", _recursive("panel_u", "case when y > 0 then y end as size, case when y > 0 then 1::double end as gap, case when y > 0 then 1 else 2 end::double as since",
-       "case when r.y > 0 then case when x.size is null then r.y else 0.1::double * r.y + 0.9::double * x.size end else x.size end, case when r.y > 0 then case when x.size is null then x.since else 0.1::double * x.since + 0.9::double * x.gap end else x.gap end, case when r.y > 0 then 1 else x.since + 1 end::double",
+@query("croston", _recursive("panel_u", "case when y > 0 then y end as size, case when y > 0 then 1::double end as gap, case "
+    "when y > 0 then 1 else 2 end::double as since",
+       "case when r.y > 0 then case when x.size is null then r.y else 0.1::double * r.y + 0.9::double * x.size end else x.size end, case "
+           "when r.y > 0 then case when x.size is null then x.since else 0.1::double * x.since + 0.9::double * x.gap end else x.gap end, case "
+           "when r.y > 0 then 1 else x.since + 1 end::double",
        "select unique_id, round(coalesce(size / gap, 0), 6) as yhat from x where p = n"))
 def _(s, d):
     return N.croston(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
 
-@query("tsb", _recursive("panel_u", "0.1::double * (y > 0)::int + 0.9::double * hit_share as pr, case when y > 0 then 0.1::double * y + 0.9::double * hit_mean else coalesce(hit_mean, 0) end as size",
-       "0.1::double * (r.y > 0)::int + 0.9::double * x.pr, case when r.y > 0 then 0.1::double * r.y + 0.9::double * x.size else x.size end", "select unique_id, round(pr * size, 6) as yhat from x where p = n"))
+@query("tsb", _recursive("panel_u", "0.1::double * (y > 0)::int + 0.9::double * hit_share as pr, case "
+    "when y > 0 then 0.1::double * y + 0.9::double * hit_mean else coalesce(hit_mean, 0) end as size",
+       "0.1::double * (r.y > 0)::int + 0.9::double * x.pr, case "
+           "when r.y > 0 then 0.1::double * r.y + 0.9::double * x.size else x.size end", "select unique_id, round(pr * size, 6) as yhat from x "
+           "where p = n"))
 def _(s, d):
     return N.tsb(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
@@ -409,7 +464,8 @@ def _(s, d):
     return N.tsb(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
 
-@query("garch_path", _recursive("returns_d", "ms as v, y as last", "0.0001::double + 0.1::double * x.last * x.last + 0.8::double * x.v, r.y", "select unique_id, round(v, 10) as sigma2 from x where p = n"))
+@query("garch_path", _recursive("returns_d", "ms as v, y as last", "0.0001::double + 0.1::double * x.last * x.last + 0.8::double * x.v, "
+    "r.y", "select unique_id, round(v, 10) as sigma2 from x where p = n"))
 def _(s, d):
     return N.garch_path(V.returns_d(s, d), 1e-4, 0.1, 0.8).select(ID, *rnd("sigma2", n=10))
 
@@ -436,25 +492,30 @@ def _cv(s, d, models=("naive", ("seasonal_naive", {"season_length": 7}))):
     return forecaster.cross_validation(V.panel_d(s, d), models, 7, 3, level=[80], validate=False)
 
 
-@query("cv_splits", views("panel_d", _POS) + "select unique_id, w::int as \"window\", count(case when p <= n - 7 - (2 - w) * 7 then 1 end) as n_train, count(case when p > n - 7 - (2 - w) * 7 and p <= n - (2 - w) * 7 then 1 end) as n_test, strftime(max(case when p <= n - 7 - (2 - w) * 7 then ds end), '%Y-%m-%d') as cutoff from q, range(3) t(w) group by unique_id, w")
+@query("cv_splits", views("panel_d", _POS) + "select unique_id, w::int as \"window\", count(case "
+    "when p <= n - 7 - (2 - w) * 7 then 1 end) as n_train, count(case when p > n - 7 - (2 - w) * 7 and p <= n - (2 - w) * 7 then 1 end) as n_test, "
+    "strftime(max(case when p <= n - 7 - (2 - w) * 7 then ds end), '%Y-%m-%d') as cutoff from q, range(3) t(w) group by unique_id, w")
 def _(s, d):
     c = forecaster.cv_splits(V.panel_d(s, d), 7, 3)
     return c.groupBy(ID, "window").agg(F.count_if(F.col("step") == 0).alias("n_train"), F.count_if(F.col("step") > 0).alias("n_test"), F.date_format(F.max("cutoff"), "yyyy-MM-dd").alias("cutoff"))
 
 
-@query("cv_naive", views("panel_d", _POS, _CV) + f"select unique_id, {sday()}, strftime(c.cutoff, '%Y-%m-%d') as cutoff, step::int as step, round(y, 3) as y, round(yhat, 3) as yhat, round(yhat - {Z80!r} * sigma, 3) as lo_80, round(yhat + {Z80!r} * sigma, 3) as hi_80 from c")
+@query("cv_naive", views("panel_d", _POS, _CV) + f"select unique_id, {sday()}, strftime(c.cutoff, '%Y-%m-%d') as cutoff, step::int as step, "
+    f"round(y, 3) as y, round(yhat, 3) as yhat, round(yhat - {Z80!r} * sigma, 3) as lo_80, round(yhat + {Z80!r} * sigma, 3) as hi_80 from c")
 def _(s, d):
     return _cv(s, d, ["naive"]).select(ID, day(), day("cutoff"), "step", *rnd(TARGET, "yhat", "lo_80", "hi_80", n=3))
 
 
 _POINT_SQL = {
     "mae": "avg(abs(y - yhat))", "rmse": "sqrt(avg((y - yhat) * (y - yhat)))", "mape": "avg(case when abs(y) > 1e-12 then abs((y - yhat) / y) end)",
-    "smape": "avg(case when abs(y) + abs(yhat) > 2e-12 then abs(y - yhat) / ((abs(y) + abs(yhat)) / 2) else 0 end)", "bias": "avg(yhat - y)", "pct_bias": "sum(yhat - y) / sum(abs(y))", "tracking_signal": "sum(yhat - y) / avg(abs(yhat - y))",
+    "smape": "avg(case "
+        "when abs(y) + abs(yhat) > 2e-12 then abs(y - yhat) / ((abs(y) + abs(yhat)) / 2) else 0 end)", "bias": "avg(yhat - y)", "pct_bias": "sum(yhat - y) / sum(abs(y))", "tracking_signal": "sum(yhat - y) / avg(abs(yhat - y))",
 }
 
 
 def _melted(keys: str, cols: dict[str, str], source: str) -> str:
-    return " union all ".join(f"select {keys}, model, '{k}' as metric, round({v}, 4) as value from {source} group by {keys.replace(' as cutoff', '')}, model" for k, v in cols.items())
+    return " union all ".join(f"select {keys}, model, '{k}' as metric, round({v}, 4) as value from {source} "
+        f"group by {keys.replace(' as cutoff', '')}, model" for k, v in cols.items())
 
 
 def _scores(df):
@@ -467,7 +528,8 @@ def _(s, d):
 
 
 _SCALED = {"mase": "avg(abs(y - yhat)) / any_value(a)", "rmsse": "sqrt(avg((y - yhat) * (y - yhat)) / any_value(b))"}
-_SCALE = ("sc", "select c2.*, a, b from c2 join (select unique_id, avg(abs(y - b7)) as a, avg((y - b7) * (y - b7)) as b from q group by unique_id) using (unique_id)")
+_SCALE = ("sc", "select c2.*, a, b from c2 join (select unique_id, avg(abs(y - b7)) as a, avg((y - b7) * (y - b7)) as b from q "
+    "group by unique_id) using (unique_id)")
 
 
 @query("metrics_scaled", views("panel_d", _POS, _CV, _CV2, _SCALE) + _melted("unique_id", _SCALED, "sc"))
@@ -478,7 +540,8 @@ def _(s, d):
 _A = "(2 / 0.2::double)"
 _W = f"((hi - lo) + case when y < lo then {_A} * (lo - y) when y > hi then {_A} * (y - hi) else 0 end)"
 _INTERVAL = {
-    "coverage-80": "avg((y between lo and hi)::int)", "winkler-80": f"avg({_W})", "pinball-80": "(avg(greatest(0.1::double * (y - lo), -0.9::double * (y - lo))) + avg(greatest(0.9::double * (y - hi), -0.1::double * (y - hi)))) / 2",
+    "coverage-80": "avg((y between lo and hi)::int)", "winkler-80": f"avg({_W})", "pinball-80": "(avg(greatest(0.1::double * (y - lo), "
+        "-0.9::double * (y - lo))) + avg(greatest(0.9::double * (y - hi), -0.1::double * (y - hi)))) / 2",
 }
 
 
@@ -487,25 +550,33 @@ def _(s, d):
     return _scores(M.evaluate(_cv(s, d, ["naive"]), list(_INTERVAL)))
 
 
-@query("metrics_wis", views("panel_d", _POS, _CV, _CV2) + _melted("unique_id", {"wis": f"avg((0.5::double * abs(y - yhat) + 0.1::double * {_W}) / 1.5::double)"}, "(select * from c2 where model = 'naive')"))
+@query("metrics_wis", views("panel_d", _POS, _CV, _CV2) + _melted("unique_id", {"wis": f"avg((0.5::double * abs(y - yhat) + 0.1::double * {_W}) / 1.5::double)"}, "(select * "
+    "from c2 where model = 'naive')"))
 def _(s, d):
     return _scores(M.evaluate(_cv(s, d, ["naive"]), ["wis"]))
 
 
-@query("metrics_by_cutoff", views("panel_d", _POS, _CV, _CV2, ("k", "select * replace (strftime(cutoff, '%Y-%m-%d') as cutoff) from c2")) + _melted("unique_id, cutoff", {k: _POINT_SQL[k] for k in ("mae", "bias")}, "k"))
+@query("metrics_by_cutoff", views("panel_d", _POS, _CV, _CV2, ("k", "select * replace (strftime(cutoff, '%Y-%m-%d') as cutoff) "
+    "from c2")) + _melted("unique_id, cutoff", {k: _POINT_SQL[k] for k in ("mae", "bias")}, "k"))
 def _(s, d):
     return _scores(M.evaluate(_cv(s, d), ["mae", "bias"], by="cutoff"))
 
 
-@query("leaderboard", views("panel_d", _POS, _CV, _CV2) + f"select model, round(avg(mae), 4) as mae, round(avg(rmse), 4) as rmse, round(avg(smape), 4) as smape from (select unique_id, model, {_POINT_SQL['mae']} as mae, {_POINT_SQL['rmse']} as rmse, {_POINT_SQL['smape']} as smape from c2 group by all) group by model")
+@query("leaderboard", views("panel_d", _POS, _CV, _CV2) + f"select model, round(avg(mae), 4) as mae, round(avg(rmse), 4) as rmse, round(avg(smape), "
+    f"4) as smape from (select unique_id, model, {_POINT_SQL['mae']} as mae, {_POINT_SQL['rmse']} as rmse, {_POINT_SQL['smape']} as smape from c2 "
+    f"group by all) group by model")
 def _(s, d):
     e = engine.Engine(["naive", ("seasonal_naive", {"season_length": 7})])
     return e.compare(V.panel_d(s, d), 7, 3)[0].select("model", *rnd("mae", "rmse", "smape"))
 
 
-@query("seasonal_naive_scored", views("panel_d", _POS, ("f", "select t.unique_id, t.y, h.y as yhat, t.n from q t join q h on h.unique_id = t.unique_id and h.p = t.p - 7 where t.p > t.n - 7"),
-       ("s", "select unique_id, sqrt(sum((y - b7) * (y - b7)) / (count(b7) - 1)) as s, avg(abs(y - b7)) as sc from q where p <= n - 7 group by unique_id")) +
-       f"select unique_id, count(*) as n, round({_POINT_SQL['mae']}, 4) as mae, round({_POINT_SQL['smape']}, 6) as smape, round({_POINT_SQL['mae']} / any_value(sc), 6) as mase, round(avg((abs(y - yhat) <= {Z80!r} * s)::int), 6) as coverage from f join s using (unique_id) group by unique_id")
+@query("seasonal_naive_scored", views("panel_d", _POS, ("f", "select t.unique_id, t.y, h.y as yhat, t.n from q t "
+    "join q h on h.unique_id = t.unique_id and h.p = t.p - 7 where t.p > t.n - 7"),
+       ("s", "select unique_id, sqrt(sum((y - b7) * (y - b7)) / (count(b7) - 1)) as s, avg(abs(y - b7)) as sc from q where p <= n - 7 "
+           "group by unique_id")) +
+       f"select unique_id, count(*) as n, round({_POINT_SQL['mae']}, 4) as mae, round({_POINT_SQL['smape']}, 6) as smape, "
+           f"round({_POINT_SQL['mae']} / any_value(sc), 6) as mase, round(avg((abs(y - yhat) <= {Z80!r} * s)::int), 6) as coverage from f "
+           f"join s using (unique_id) group by unique_id")
 def _(s, d):
     p = positions(V.panel_d(s, d))
     train, held = p.filter("pos < n - 7").drop("pos", "n"), p.filter("pos >= n - 7")
@@ -531,33 +602,42 @@ def _three(s, d):
 
 for _mode, _f in (("mean", "avg"), ("median", "median")):
 
-    @query(f"ensemble_{_mode}", _THREE + f" select unique_id, step, ds, round({_f}(yhat), 2) as yhat, round({_f}(lo_80), 2) as lo_80, round({_f}(hi_80), 2) as hi_80 from u group by all")
+    @query(f"ensemble_{_mode}", _THREE + f" select unique_id, step, ds, round({_f}(yhat), 2) as yhat, round({_f}(lo_80), 2) as lo_80, "
+        f"round({_f}(hi_80), 2) as hi_80 from u group by all")
     def _(s, d, mode=_mode):
         return meta.ensemble(_three(s, d), mode, levels=[80]).select(ID, F.col("step").cast("int").alias("step"), day(), *rnd("yhat", "lo_80", "hi_80", n=2))
 
 
-@query("ensemble_weighted", _THREE + " select unique_id, step, ds, round(sum(w * yhat), 2) as yhat, round(sum(w * yhat) - sum(w * (hi_80 - lo_80) / 2), 2) as lo_80, round(sum(w * yhat) + sum(w * (hi_80 - lo_80) / 2), 2) as hi_80 from u group by all")
+@query("ensemble_weighted", _THREE + " select unique_id, step, ds, round(sum(w * yhat), 2) as yhat, "
+    "round(sum(w * yhat) - sum(w * (hi_80 - lo_80) / 2), 2) as lo_80, round(sum(w * yhat) + sum(w * (hi_80 - lo_80) / 2), 2) as hi_80 from u "
+    "group by all")
 def _(s, d):
     return meta.ensemble(_three(s, d), "weighted", {"naive": 5, "drift": 3, "window_average": 2}, [80]).select(ID, F.col("step").cast("int").alias("step"), day(), *rnd("yhat", "lo_80", "hi_80", n=2))
 
 
-@query("conformal_bands", views("panel_d", _POS, ("r", "select unique_id, abs(y - first_value(y) over (partition by unique_id order by p)) as r, p from q where p >= n - 8"), ("k", "select unique_id, list_sort(list(r)) as s from (select q.unique_id, abs(q.y - h.y) as r from q join q h on h.unique_id = q.unique_id and h.p = q.n - 8 where q.p > q.n - 8) group by all")) +
+@query("conformal_bands", views("panel_d", _POS, ("r", "select unique_id, abs(y - first_value(y) over (partition by unique_id order by p)) as r, p "
+    "from q where p >= n - 8"), ("k", "select unique_id, list_sort(list(r)) as s from (select q.unique_id, abs(q.y - h.y) as r from q "
+    "join q h on h.unique_id = q.unique_id and h.p = q.n - 8 where q.p > q.n - 8) group by all")) +
        "select unique_id, round(s[1 + ceil(round(least(1, 9 * 0.8::double / 8) * 7, 9))::int], 3) as half from k")
 def _(s, d):
     f = meta.conformal(V.panel_d(s, d), "naive", 1, [80], 0.25, 8)
     return f.select(ID, F.round((F.col("hi_80") - F.col("lo_80")) / 2, 3).alias("half"))
 
 
-@query("auto_select_baselines", views("panel_d", _POS, _CV, _CV2) + f"select unique_id, case when max(case when model = 'naive' then m end) <= max(case when model = 'seasonal_naive' then m end) then 'naive' else 'seasonal_naive' end as model, round(min(m), 3) as score from (select unique_id, model, {_POINT_SQL['mae']} as m from c2 group by all) group by unique_id")
+@query("auto_select_baselines", views("panel_d", _POS, _CV, _CV2) + f"select unique_id, case when max(case "
+    f"when model = 'naive' then m end) <= max(case when model = 'seasonal_naive' then m end) then 'naive' else 'seasonal_naive' end as model, "
+    f"round(min(m), 3) as score from (select unique_id, model, {_POINT_SQL['mae']} as m from c2 group by all) group by unique_id")
 def _(s, d):
     pool = ["naive", ("seasonal_naive", {"season_length": 7})]
     return meta.auto_select(V.panel_d(s, d), pool, 7, metric="mae", val_h=7, n_windows=3)[1].select(ID, "model", *rnd("score", n=3))
 
 
-_TREE = ("tree", "select unique_id as leaf, unnest(['total', split_part(unique_id, '/', 1), unique_id]) as node from (select distinct unique_id from hier_m)")
+_TREE = ("tree", "select unique_id as leaf, unnest(['total', split_part(unique_id, '/', 1), unique_id]) as node from (select distinct unique_id "
+    "from hier_m)")
 
 
-@query("aggregate_panel", views("hier_m", _TREE) + f"select node as unique_id, {sday()}, round(sum(y), 2) as y from hier_m join tree on leaf = unique_id group by node, hier_m.ds")
+@query("aggregate_panel", views("hier_m", _TREE) + f"select node as unique_id, {sday()}, round(sum(y), 2) as y from hier_m "
+    f"join tree on leaf = unique_id group by node, hier_m.ds")
 def _(s, d):
     return out(meta.aggregate_panel(V.hier_m(s, d)), n=2)
 
@@ -565,13 +645,16 @@ def _(s, d):
 _LEAF = ("lf", "select unique_id, arg_max(y, ds) as yhat from hier_m group by all")
 
 
-@query("reconcile_bottom_up", views("hier_m", _TREE, _LEAF) + "select node as unique_id, round(sum(yhat), 2) as yhat from lf join tree on leaf = unique_id group by node")
+@query("reconcile_bottom_up", views("hier_m", _TREE, _LEAF) + "select node as unique_id, round(sum(yhat), 2) as yhat from lf "
+    "join tree on leaf = unique_id group by node")
 def _(s, d):
     h = V.hier_m(s, d)
     return meta.reconcile(N.naive(h, 1).select(ID, "step", "yhat"), h, "bottom_up").select(ID, *rnd("yhat", n=2))
 
 
-@query("reconcile_top_down", views("hier_m", _TREE, _LEAF, ("tp", "select sum(y) as top from hier_m group by ds order by ds desc limit 1 offset 1"), ("x", "select unique_id, yhat / (select sum(yhat) from lf) * (select top from tp) as yhat from lf")) + "select node as unique_id, round(sum(yhat), 2) as yhat from x join tree on leaf = unique_id group by node")
+@query("reconcile_top_down", views("hier_m", _TREE, _LEAF, ("tp", "select sum(y) as top from hier_m group by ds "
+    "order by ds desc limit 1 offset 1"), ("x", "select unique_id, yhat / (select sum(yhat) from lf) * (select top from tp) as yhat "
+    "from lf")) + "select node as unique_id, round(sum(yhat), 2) as yhat from x join tree on leaf = unique_id group by node")
 def _(s, d):
     h = V.hier_m(s, d)
     before = h.filter(F.col(TIME) < h.agg(F.max(TIME)).first()[0])
@@ -586,7 +669,8 @@ _MINT = (
     ("b", "select unique_id, k::int as step, l + k * (l - f) / (n - 1) as yhat from st, range(1, 3) t(k)"),
     ("lv", "select unique_id, split_part(unique_id, '/', 1) as r, step, yhat from b where contains(unique_id, '/')"),
     ("rg", "select r, step, sum(yhat) as sm, count(*)::double as k from lv group by all"),
-    ("rm", "select rg.r, rg.step, sm, k, (b.yhat + sm / k) / (1 + 1 / k) as m, 1 + 1 / k as a from rg join b on b.unique_id = rg.r and b.step = rg.step"),
+    ("rm", "select rg.r, rg.step, sm, k, (b.yhat + sm / k) / (1 + 1 / k) as m, 1 + 1 / k as a from rg join b on b.unique_id = rg.r "
+        "and b.step = rg.step"),
     ("tt", "select step, sum(m) as sm, sum(1 / a) as sl from rm group by all"),
     ("top", "select tt.step, sm, sl, (b.yhat + sm / sl) / (1 + 1 / sl) as x from tt join b on b.unique_id = 'total' and b.step = tt.step"),
     ("rx", "select r, rm.step, rm.sm, k, m + (x - top.sm) / sl / a as x from rm join top on top.step = rm.step"),
@@ -594,7 +678,8 @@ _MINT = (
 )
 
 
-@query("reconcile_mint_ols", views("hier_m", _TREE, *_MINT) + "select unique_id, step, round(x, 2) as yhat from lx union all select r, step, round(x, 2) from rx union all select 'total', step, round(x, 2) from top")
+@query("reconcile_mint_ols", views("hier_m", _TREE, *_MINT) + "select unique_id, step, round(x, 2) as yhat from lx union all select r, step, "
+    "round(x, 2) from rx union all select 'total', step, round(x, 2) from top")
 def _(s, d):
     return meta.reconciled(V.hier_m(s, d), "drift", 2, "mint_ols").select(ID, F.col("step").cast("int").alias("step"), *rnd("yhat", n=2))
 
@@ -602,12 +687,18 @@ def _(s, d):
 # ---- deals -------------------------------------------------------------------------------------------------------
 
 
-@query("anomaly_zscore", views("panel_d", ("a", "select *, avg(y) over w as e, stddev_pop(y) over w as sd, count(*) over w as n from panel_d window w as (partition by unique_id order by ds rows between 6 preceding and 1 preceding)")) + f"select unique_id, {sday()}, round(case when n = 6 then e end, 3) as expected, round(case when n = 6 then (y - e) / sd end, 3) as score, coalesce(n = 6 and abs((y - e) / sd) >= 2, false) as is_anomaly from a")
+@query("anomaly_zscore", views("panel_d", ("a", "select *, avg(y) over w as e, stddev_pop(y) over w as sd, count(*) over w as n from panel_d "
+    "window w as (partition by unique_id order by ds rows between 6 preceding and 1 preceding)")) + f"select unique_id, {sday()}, round(case "
+    f"when n = 6 then e end, 3) as expected, round(case when n = 6 then (y - e) / sd end, 3) as score, coalesce(n = 6 and abs((y - e) / sd) >= 2, "
+    f"false) as is_anomaly from a")
 def _(s, d):
     return deals.detect_anomalies(V.panel_d(s, d), threshold=2.0).select(ID, day(), *rnd("expected", "score", n=3), "is_anomaly")
 
 
-@query("anomaly_iqr", views("panel_d", ("a", "select *, quantile_cont(y, 0.5) over w as e, (quantile_cont(y, 0.75) over w - quantile_cont(y, 0.25) over w) / 1.349::double as sd, count(*) over w as n from panel_d window w as (partition by unique_id order by ds rows between 6 preceding and 1 preceding)")) + f"select unique_id, {sday()}, round(case when n = 6 then e end, 3) as expected, round(case when n = 6 then (y - e) / sd end, 3) as score, coalesce(n = 6 and abs((y - e) / sd) >= 2, false) as is_anomaly from a")
+@query("anomaly_iqr", views("panel_d", ("a", "select *, quantile_cont(y, 0.5) over w as e, (quantile_cont(y, 0.75) over w - quantile_cont(y, "
+    "0.25) over w) / 1.349::double as sd, count(*) over w as n from panel_d window w as (partition by unique_id "
+    "order by ds rows between 6 preceding and 1 preceding)")) + f"select unique_id, {sday()}, round(case when n = 6 then e end, 3) as expected, "
+    f"round(case when n = 6 then (y - e) / sd end, 3) as score, coalesce(n = 6 and abs((y - e) / sd) >= 2, false) as is_anomaly from a")
 def _(s, d):
     return deals.detect_anomalies(V.panel_d(s, d), method="iqr", threshold=2.0).select(ID, day(), *rnd("expected", "score", n=3), "is_anomaly")
 
@@ -620,7 +711,9 @@ def _with_p(s, d):
     return V.deals(s, d).withColumn("proba", 0.1 + 0.08 * (F.col("opp_id") % 10))
 
 
-@query("weighted_pipeline", views("deals") + f"select {_WP}, round(greatest(sum({_P} * amount) - {Z80!r} * sqrt(sum({_P} * (1 - {_P}) * amount * amount)), 0), 2) as lo_80, round(least(sum({_P} * amount) + {Z80!r} * sqrt(sum({_P} * (1 - {_P}) * amount * amount)), sum(amount)), 2) as hi_80 from deals")
+@query("weighted_pipeline", views("deals") + f"select {_WP}, "
+    f"round(greatest(sum({_P} * amount) - {Z80!r} * sqrt(sum({_P} * (1 - {_P}) * amount * amount)), 0), 2) as lo_80, "
+    f"round(least(sum({_P} * amount) + {Z80!r} * sqrt(sum({_P} * (1 - {_P}) * amount * amount)), sum(amount)), 2) as hi_80 from deals")
 def _(s, d):
     return deals.weighted_pipeline(_with_p(s, d), level=80).select("n_deals", *rnd("total", "expected", "std", "lo_80", "hi_80", n=2))
 
@@ -639,7 +732,8 @@ _CLASS = ("k", """select case when a.opp_id is null then 'removed' when a.stage
     from deals_before b full join deals_after a using (opp_id), (select ['prospect', 'proposal', 'review'] as st)""")
 
 
-@query("waterfall", views("deals_before deals_after", _CLASS) + "select category, count(*) as n_deals, round(sum(amount), 4) as amount from k group by category")
+@query("waterfall", views("deals_before deals_after", _CLASS) + "select category, count(*) as n_deals, round(sum(amount), 4) as amount from k "
+    "group by category")
 def _(s, d):
     return deals.waterfall(V.deals_before(s, d), V.deals_after(s, d), _STAGES, **_COLS).select("category", "n_deals", *rnd("amount", n=4))
 
@@ -647,8 +741,11 @@ def _(s, d):
 _ORDER = "list_position(['opening_pipeline', '" + "', '".join(deals.CATEGORIES) + "', 'closing_pipeline'], category)"
 
 
-@query("waterfall_summary", views("deals_before deals_after", _CLASS, ("r", "select 'opening_pipeline' as category, count(*) as n_deals, sum(amount) as amount from deals_before where stage <> 'won' union all select category, count(*), sum(amount) from k group by category union all select 'closing_pipeline', count(*), sum(amount) from deals_after where stage not in ('won', 'lost')")) +
-       f"select category, n_deals, round(amount, 4) as amount, round(case when category = 'closing_pipeline' then amount else sum(amount) over (order by {_ORDER}) end, 4) as running_total from r")
+@query("waterfall_summary", views("deals_before deals_after", _CLASS, ("r", "select 'opening_pipeline' as category, count(*) as n_deals, "
+    "sum(amount) as amount from deals_before where stage <> 'won' union all select category, count(*), sum(amount) from k group by category "
+    "union all select 'closing_pipeline', count(*), sum(amount) from deals_after where stage not in ('won', 'lost')")) +
+       f"select category, n_deals, round(amount, 4) as amount, round(case when category = 'closing_pipeline' then amount else sum(amount) "
+           f"over (order by {_ORDER}) end, 4) as running_total from r")
 def _(s, d):
     return deals.waterfall_summary(V.deals_before(s, d), V.deals_after(s, d), _STAGES, **_COLS).select("category", "n_deals", *rnd("amount", "running_total", n=4))
 
@@ -662,7 +759,8 @@ def _(s, d):
     return deals.compare_scenarios(rows, base).select("label", *rnd("projection", "delta"), *rnd("pct_delta", n=6))
 
 
-@query("pipeline_coverage", views("deals") + "select segment as unique_id, round(sum(amount) / (100000.0::double * (1 + length(segment))), 6) as coverage from deals where stage <> 'closed' group by segment")
+@query("pipeline_coverage", views("deals") + "select segment as unique_id, round(sum(amount) / (100000.0::double * (1 + length(segment))), "
+    "6) as coverage from deals where stage <> 'closed' group by segment")
 def _(s, d):
     x = V.deals(s, d)
     v = x.filter("stage <> 'closed'").groupBy(F.col("segment").alias(ID)).agg(F.sum("amount").alias("value"))
@@ -673,7 +771,8 @@ def _(s, d):
 _QUOTA = "with f as (" + _SQL["naive_bands"] + f"), g as (select unique_id, sum(yhat) as e, sqrt(sum(((hi_80 - lo_80) / (2 * {Z80!r})) * ((hi_80 - lo_80) / (2 * {Z80!r})))) as sg from f group by all)"
 
 
-@query("quota_attainment", _QUOTA + f" select unique_id, round(e, 2) as expected, round(sg, 2) as sigma, round({normal_cdf_sql('((e - 3000.0::double) / sg)')}, 4) as probability from g")
+@query("quota_attainment", _QUOTA + f" select unique_id, round(e, 2) as expected, round(sg, 2) as sigma, "
+    f"round({normal_cdf_sql('((e - 3000.0::double) / sg)')}, 4) as probability from g")
 def _(s, d):
     f = _banded(N.naive(V.panel_d(s, d), H))
     return deals.attainment(f, 3000.0, 80).select(ID, *rnd("expected", "sigma", n=2), *rnd("probability"))
@@ -682,24 +781,30 @@ def _(s, d):
 # ---- snapshots ---------------------------------------------------------------------------------------------------
 
 
-@query("forecast_vs_actual", views("fc_history") + "select strftime(as_of, '%Y-%m-%d') as as_of, unique_id, strftime(h.ds, '%Y-%m-%d') as ds, round(yhat - y, 2) as error, round(abs(yhat - y), 2) as abs_error, round((yhat - y) / y, 4) as pct_error from fc_history h join panel_m using (unique_id, ds)")
+@query("forecast_vs_actual", views("fc_history") + "select strftime(as_of, '%Y-%m-%d') as as_of, unique_id, strftime(h.ds, '%Y-%m-%d') as ds, "
+    "round(yhat - y, 2) as error, round(abs(yhat - y), 2) as abs_error, round((yhat - y) / y, 4) as pct_error from fc_history h "
+    "join panel_m using (unique_id, ds)")
 def _(s, d):
     f = snapshots.forecast_vs_actual(V.fc_history(s, d), V.panel_m(s, d))
     return f.select(day("as_of"), ID, day(), *rnd("error", "abs_error", n=2), *rnd("pct_error"))
 
 
-@query("accuracy_over_time", views("fc_history") + "select strftime(as_of, '%Y-%m-%d') as as_of, count(*) as n, round(avg(abs(yhat - y)), 2) as mae, round(avg(yhat - y), 2) as bias, round(sum(yhat - y) / sum(abs(y)), 6) as pct_bias from fc_history join panel_m using (unique_id, ds) group by 1")
+@query("accuracy_over_time", views("fc_history") + "select strftime(as_of, '%Y-%m-%d') as as_of, count(*) as n, round(avg(abs(yhat - y)), "
+    "2) as mae, round(avg(yhat - y), 2) as bias, round(sum(yhat - y) / sum(abs(y)), 6) as pct_bias from fc_history join panel_m using (unique_id, "
+    "ds) group by 1")
 def _(s, d):
     f = snapshots.accuracy_over_time(snapshots.forecast_vs_actual(V.fc_history(s, d), V.panel_m(s, d)))
     return f.select(day("as_of"), "n", *rnd("mae", "bias", n=2), *rnd("pct_bias", n=6))
 
 
-@query("snapshot_evolution", views("fc_history") + f"select strftime(as_of, '%Y-%m-%d') as as_of, unique_id, {sday()}, round(yhat, 2) as yhat from fc_history where ds = timestamp '2000-04-01'")
+@query("snapshot_evolution", views("fc_history") + f"select strftime(as_of, '%Y-%m-%d') as as_of, unique_id, {sday()}, round(yhat, 2) as yhat "
+    f"from fc_history where ds = timestamp '2000-04-01'")
 def _(s, d):
     return snapshots.evolution(V.fc_history(s, d), "2000-04-01 00:00:00", "yhat").select(day("as_of"), ID, day(), *rnd("yhat", n=2))
 
 
-@query("history_latest_only", views("fc_history") + "select strftime(as_of, '%Y-%m-%d') as as_of, (case when month(as_of) < 6 then 1 else 0 end)::int as revision, count(*) as n from fc_history group by all")
+@query("history_latest_only", views("fc_history") + "select strftime(as_of, '%Y-%m-%d') as as_of, (case "
+    "when month(as_of) < 6 then 1 else 0 end)::int as revision, count(*) as n from fc_history group by all")
 def _(s, d):
     h = V.fc_history(s, d)
     both = h.withColumn("revision", F.lit(0)).unionByName(h.filter(F.month("as_of") < 6).withColumn("revision", F.lit(1)))
@@ -718,15 +823,20 @@ def _(s, d):
     return r.select(ID, *rnd("total_return", n=6), *rnd("annualized_vol", "sharpe", "sortino"), *rnd("hit_rate", "var", n=6))
 
 
-_EQ = ("e", "select *, product(1 + y) over (partition by unique_id order by ds rows between unbounded preceding and current row) as equity from returns_d")
+_EQ = ("e", "select *, product(1 + y) over (partition by unique_id order by ds rows between unbounded preceding and current row) as equity "
+    "from returns_d")
 
 
-@query("drawdown", views("returns_d", _EQ, ("p", "select *, greatest(max(equity) over (partition by unique_id order by ds rows between unbounded preceding and current row), 1) as peak from e")) + f"select unique_id, {sday()}, round(equity, 6) as equity, round(equity / peak - 1, 6) as drawdown from p")
+@query("drawdown", views("returns_d", _EQ, ("p", "select *, greatest(max(equity) over (partition by unique_id "
+    "order by ds rows between unbounded preceding and current row), 1) as peak from e")) + f"select unique_id, {sday()}, round(equity, "
+    f"6) as equity, round(equity / peak - 1, 6) as drawdown from p")
 def _(s, d):
     return finance.equity(V.returns_d(s, d)).select(ID, day(), *rnd("equity", "drawdown", n=6))
 
 
-@query("var_cvar", views("returns_d", ("q5", "select unique_id, quantile_cont(y, 0.05) as q, max(abs(y)) as m from returns_d group by all")) + "select unique_id, round(greatest(-any_value(q), 0), 6) as var, round(greatest(-avg(y), 0), 6) as cvar from returns_d join q5 using (unique_id) where y <= q + 1e-12 * m group by unique_id")
+@query("var_cvar", views("returns_d", ("q5", "select unique_id, quantile_cont(y, 0.05) as q, max(abs(y)) as m from returns_d "
+    "group by all")) + "select unique_id, round(greatest(-any_value(q), 0), 6) as var, round(greatest(-avg(y), 0), 6) as cvar from returns_d "
+    "join q5 using (unique_id) where y <= q + 1e-12 * m group by unique_id")
 def _(s, d):
     return finance.risk_metrics(V.returns_d(s, d)).select(ID, *rnd("var", "cvar", n=6))
 
@@ -735,7 +845,10 @@ _SIG = ("sg", "select unique_id, ds, y, lag(y) over (partition by unique_id orde
 
 
 def _strategy_sql(position: str) -> str:
-    return views("returns_d", _SIG, ("ps", f"select *, {position} as pos from sg where yhat is not null"), ("tr", "select *, abs(pos - coalesce(lag(pos) over (partition by unique_id order by ds), 0)) as moved from ps"), ("sr", "select *, pos * y - 0.0001::double * moved as r from tr")) + f"select unique_id, {sday()}, {pos('pos', 6)} as position, {pos('r', 6)} as strategy_return, round(product(1 + r) over (partition by unique_id order by sr.ds rows between unbounded preceding and current row), 6) as equity from sr"
+    return views("returns_d", _SIG, ("ps", f"select *, {position} as pos from sg where yhat is not null"), ("tr", "select *, "
+        "abs(pos - coalesce(lag(pos) over (partition by unique_id order by ds), 0)) as moved from ps"), ("sr", "select *, "
+        "pos * y - 0.0001::double * moved as r "
+        "from tr")) + f"select unique_id, {sday()}, {pos('pos', 6)} as position, {pos('r', 6)} as strategy_return, round(product(1 + r) over (partition by unique_id order by sr.ds rows between unbounded preceding and current row), 6) as equity from sr"
 
 
 def _strategy(s, d, **sizing):
@@ -762,11 +875,13 @@ def _(s, d):
 
 
 _BT = (
-    ("sg", "select *, avg(y) over (partition by unique_id order by ds rows between 7 preceding and 1 preceding) as yhat, row_number() over (partition by unique_id order by ds desc) as back from returns_d"),
+    ("sg", "select *, avg(y) over (partition by unique_id order by ds rows between 7 preceding and 1 preceding) as yhat, row_number() "
+        "over (partition by unique_id order by ds desc) as back from returns_d"),
     ("ps", "select *, (yhat > 0)::int as pos from sg where back <= 10"),
     ("tr", "select *, abs(pos - coalesce(lag(pos) over (partition by unique_id order by ds), 0)) as moved, pos * y as r from ps"),
     ("eq", "select *, product(1 + r) over (partition by unique_id order by ds rows between unbounded preceding and current row) as equity from tr"),
-    ("pk", "select *, equity / greatest(max(equity) over (partition by unique_id order by ds rows between unbounded preceding and current row), 1) - 1 as dd from eq"),
+    ("pk", "select *, equity / greatest(max(equity) over (partition by unique_id order by ds rows between unbounded preceding and current row), "
+        "1) - 1 as dd from eq"),
     ("qt", "select unique_id, quantile_cont(r, 0.05) as q, max(abs(r)) as mx from pk group by all"),
     ("su", """select unique_id, product(1 + r) - 1 as total_return, ln(case when min(equity) <= 0 then 0 else pow(product(1 + r), 252.0::double / count(*)) end) as log_annual, stddev_samp(r) * sqrt(252) as annualized_vol,
         case when stddev_samp(r) >= 1e-12 then avg(r) / stddev_samp(r) * sqrt(252) end as sharpe, case when sqrt(avg(least(r, 0) * least(r, 0))) >= 1e-12 then avg(r) / sqrt(avg(least(r, 0) * least(r, 0))) * sqrt(252) end as sortino,
@@ -782,14 +897,18 @@ def _(s, d):
     return out.withColumn("log_annual", F.ln(1 + F.col("annualized_return"))).select(ID, "n_trades", *rnd(*_BT_COLS))
 
 
-@query("risk_annualized", views("returns_d", _EQ, ("pk", "select *, equity / greatest(max(equity) over (partition by unique_id order by ds rows between unbounded preceding and current row), 1) - 1 as dd from e")) +
-       f"select unique_id, {pos('ln(pow(product(1 + y), 252.0::double / count(*)))', 4)} as log_annual, {pos('least(min(dd), 0)', 6)} as max_drawdown, round(1 / abs(min(dd)), 4) as calmar_per_return from pk group by unique_id having abs(min(dd)) >= 1e-12")
+@query("risk_annualized", views("returns_d", _EQ, ("pk", "select *, equity / greatest(max(equity) over (partition by unique_id "
+    "order by ds rows between unbounded preceding and current row), 1) - 1 as dd from e")) +
+       f"select unique_id, {pos('ln(pow(product(1 + y), 252.0::double / count(*)))', 4)} as log_annual, "
+           f"{pos('least(min(dd), 0)', 6)} as max_drawdown, round(1 / abs(min(dd)), 4) as calmar_per_return from pk "
+           f"group by unique_id having abs(min(dd)) >= 1e-12")
 def _(s, d):
     r = finance.risk_metrics(V.returns_d(s, d)).filter("calmar is not null").withColumn("log_annual", F.ln(1 + F.col("annualized_return")))
     return r.withColumn("calmar_per_return", F.col("calmar") / F.col("annualized_return")).select(ID, *rnd("log_annual"), *rnd("max_drawdown", n=6), *rnd("calmar_per_return"))
 
 
-@query("directional_accuracy", views("returns_d", _SIG) + "select unique_id, round(avg((sign(y) = sign(yhat))::int), 6) as directional_accuracy from sg where yhat is not null group by unique_id")
+@query("directional_accuracy", views("returns_d", _SIG) + "select unique_id, round(avg((sign(y) = sign(yhat))::int), 6) as directional_accuracy "
+    "from sg where yhat is not null group by unique_id")
 def _(s, d):
     sig = V.returns_d(s, d).withColumn("yhat", F.lag(TARGET).over(C.by_time())).filter("yhat is not null")
     return finance.directional_accuracy(sig).select(ID, *rnd("directional_accuracy", n=6))
@@ -797,12 +916,15 @@ def _(s, d):
 
 _UNIFORM = "(('0x' || substr(md5(concat_ws(':', '1', p, k)), {}, 13))::bigint + 0.5::double) / 4503599627370496.0::double"
 _GBM = (
-    ("z", f"select p, k, sqrt(-2 * ln({_UNIFORM.format(1)})) * cos(2 * pi() * ({_UNIFORM.format(17)})) as z from range(2000) a(p), range(1, 21) b(k)"),
-    ("v", "select k, 100.0::double * exp(sum((0.0005::double - 0.01::double * 0.01::double / 2) + 0.01::double * z) over (partition by p order by k)) as v from z"),
+    ("z", f"select p, k, sqrt(-2 * ln({_UNIFORM.format(1)})) * cos(2 * pi() * ({_UNIFORM.format(17)})) as z from range(2000) a(p), range(1, "
+        f"21) b(k)"),
+    ("v", "select k, 100.0::double * exp(sum((0.0005::double - 0.01::double * 0.01::double / 2) + 0.01::double * z) over (partition by p "
+        "order by k)) as v from z"),
 )
 
 
-@query("gbm_summary", "with " + ", ".join(f"{n} as ({q})" for n, q in _GBM) + " select k::int as step, round(avg(v), 4) as mean, " + ", ".join(f"round(quantile_cont(v, {x}), 4) as q{round(100 * x):02d}" for x in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from v group by k")
+@query("gbm_summary", "with " + ", ".join(f"{n} as ({q})" for n, q in _GBM) + " select k::int as step, round(avg(v), 4) as mean, " + ", "
+    "".join(f"round(quantile_cont(v, {x}), 4) as q{round(100 * x):02d}" for x in (0.05, 0.25, 0.5, 0.75, 0.95)) + " from v group by k")
 def _(s, d):
     f = finance.simulation_summary(finance.simulate(s, 100.0, 0.0005, 0.01, 20, 2000, seed=1))
     return f.select(F.col("step").cast("int").alias("step"), *rnd("mean", "q05", "q25", "q50", "q75", "q95"))
@@ -816,19 +938,23 @@ def _(s, d):
 # ---- surfaces ----------------------------------------------------------------------------------------------------
 
 
-@query("preview", views("panel_d") + "select count(*) as n_rows, count(distinct unique_id) as n_series, min(ds) as first, max(ds) as last from panel_d")
+@query("preview", views("panel_d") + "select count(*) as n_rows, count(distinct unique_id) as n_series, min(ds) as first, max(ds) as last "
+    "from panel_d")
 def _(s, d):
     return tools.preview(V.panel_d(s, d))
 
 
-@query("alerts", "with f as (" + _SQL["naive_bands"] + ") select unique_id, 'forecast_below' as kind, t::double as threshold, yhat as value from f, (values ('*', 500), ('click', 100000)) r(series, t) where step = 1 and (series = '*' or series = unique_id) and yhat < t")
+@query("alerts", "with f as (" + _SQL["naive_bands"] + ") select unique_id, 'forecast_below' as kind, t::double as threshold, yhat as value from f, "
+    "(values ('*', 500), ('click', 100000)) r(series, t) where step = 1 and (series = '*' or series = unique_id) and yhat < t")
 def _(s, d):
     f = _banded(N.naive(V.panel_d(s, d), H))
     rules = s.createDataFrame([("*", "forecast_below", 500.0), ("click", "forecast_below", 100000.0)], "series string, kind string, threshold double")
     return engine.alerts(f, None, rules)
 
 
-@query("governance", views("panel_d", _POS, _CV, _CV2) + f"select unique_id, strftime(cutoff, '%Y-%m-%d') as cutoff, round(sum(yhat - y) / sum(abs(y)), 4) as pct_bias, round(avg((y between lo and hi)::int), 4) as coverage, sum(yhat - y) / sum(abs(y)) < -0.05 as biased, avg((y between lo and hi)::int) < 0.65 as uncovered from c2 where model = 'naive' group by 1, 2")
+@query("governance", views("panel_d", _POS, _CV, _CV2) + f"select unique_id, strftime(cutoff, '%Y-%m-%d') as cutoff, "
+    f"round(sum(yhat - y) / sum(abs(y)), 4) as pct_bias, round(avg((y between lo and hi)::int), 4) as coverage, "
+    f"sum(yhat - y) / sum(abs(y)) < -0.05 as biased, avg((y between lo and hi)::int) < 0.65 as uncovered from c2 where model = 'naive' group by 1, 2")
 def _(s, d):
     return engine.governance(V.panel_d(s, d), "naive", 7, 3).select(ID, day("cutoff"), *rnd("pct_bias", "coverage"), "biased", "uncovered")
 
@@ -858,7 +984,8 @@ Z95 = z_of(95)
 
 def _intermittent(name: str, start: str, step: str, rate: str, residuals: str) -> str:
     """Forecasts of a recursion with the root of its squared one-step errors, or of the differences where those are fewer than two."""
-    bands = ", ".join(f"round(yhat {sign} {z!r} * sigma, 3) as {side}_{x}" for x, z in ((80, Z80), (95, Z95)) for side, sign in (("lo", "-"), ("hi", "+")))
+    bands = ", ".join(f"round(yhat {sign} {z!r} * sigma, "
+        f"3) as {side}_{x}" for x, z in ((80, Z80), (95, Z95)) for side, sign in (("lo", "-"), ("hi", "+")))
     final = f"""select unique_id, '{name}' as model, step, strftime(last_ds + to_days(step), '%Y-%m-%d') as ds, round(yhat, 3) as yhat, {bands} from
         (select x.unique_id, k::int as step, last_ds, {rate} as yhat, greatest(case when {residuals} >= 2 then sqrt(sse / ({residuals} - 1)) when n >= 3 then sqrt(s2 / (n - 2)) else 1 end, 1e-12) as sigma
          from x join (select unique_id, sum(e * e) as s2, max(ds) as last_ds from (select unique_id, ds, y - lag(y) over (partition by unique_id order by panel_u.ds) as e from panel_u) group by all) using (unique_id), range(1, 7) t(k) where p = n)"""
@@ -867,11 +994,18 @@ def _intermittent(name: str, start: str, step: str, rate: str, residuals: str) -
 
 _SEEN = "x.size is not null"
 _INTERMITTENT = {
-    "croston": _intermittent("croston", "case when y > 0 then y end as size, case when y > 0 then 1::double end as gap, case when y > 0 then 1 else 2 end::double as since, 0::double as sse, 0 as cnt",
-        f"case when r.y > 0 then case when {_SEEN} then 0.1::double * r.y + 0.9::double * x.size else r.y end else x.size end, case when r.y > 0 then case when {_SEEN} then 0.1::double * x.since + 0.9::double * x.gap else x.since end else x.gap end, case when r.y > 0 then 1 else x.since + 1 end::double, x.sse + case when {_SEEN} then (r.y - x.size / x.gap) * (r.y - x.size / x.gap) else 0 end, x.cnt + ({_SEEN})::int",
+    "croston": _intermittent("croston", "case when y > 0 then y end as size, case when y > 0 then 1::double end as gap, case "
+        "when y > 0 then 1 else 2 end::double as since, 0::double as sse, 0 as cnt",
+        f"case when r.y > 0 then case when {_SEEN} then 0.1::double * r.y + 0.9::double * x.size else r.y end else x.size end, case "
+            f"when r.y > 0 then case when {_SEEN} then 0.1::double * x.since + 0.9::double * x.gap else x.since end else x.gap end, case "
+            f"when r.y > 0 then 1 else x.since + 1 end::double, x.sse + case "
+            f"when {_SEEN} then (r.y - x.size / x.gap) * (r.y - x.size / x.gap) else 0 end, x.cnt + ({_SEEN})::int",
         "coalesce(size / gap, 0)", "cnt"),
-    "tsb": _intermittent("tsb", "0.1::double * (y > 0)::int + 0.9::double * hit_share as pr, case when y > 0 then 0.1::double * y + 0.9::double * hit_mean else coalesce(hit_mean, 0) end as size, (y - hit_share * coalesce(hit_mean, 0)) * (y - hit_share * coalesce(hit_mean, 0)) as sse",
-        "0.1::double * (r.y > 0)::int + 0.9::double * x.pr, case when r.y > 0 then 0.1::double * r.y + 0.9::double * x.size else x.size end, x.sse + (r.y - x.pr * x.size) * (r.y - x.pr * x.size)",
+    "tsb": _intermittent("tsb", "0.1::double * (y > 0)::int + 0.9::double * hit_share as pr, case "
+        "when y > 0 then 0.1::double * y + 0.9::double * hit_mean else coalesce(hit_mean, 0) end as size, (y - hit_share * coalesce(hit_mean, "
+        "0)) * (y - hit_share * coalesce(hit_mean, 0)) as sse",
+        "0.1::double * (r.y > 0)::int + 0.9::double * x.pr, case when r.y > 0 then 0.1::double * r.y + 0.9::double * x.size else x.size end, "
+            "x.sse + (r.y - x.pr * x.size) * (r.y - x.pr * x.size)",
         "pr * size", "n"),
 }
 
@@ -914,24 +1048,31 @@ def _even(s, d):
 
 for _name, _word, _of in (("union", "union", C.index_union), ("intersection", "intersect", C.index_intersection), ("difference", "except", C.index_difference)):
 
-    @query(f"index_{_name}", views("panel_d") + f"select unique_id, {sday()} from (select unique_id, ds from panel_d where day(ds) % 2 = 0 {_word} select unique_id, ds from panel_d where day(ds) % 3 = 0)")
+    @query(f"index_{_name}", views("panel_d") + f"select unique_id, {sday()} from (select unique_id, ds from panel_d where day(ds) % 2 = 0 {_word} "
+        f"select unique_id, ds from panel_d where day(ds) % 3 = 0)")
     def _(s, d, of=_of):
         return of(*_even(s, d)).select(ID, day())
 
 
-@query("lag_features", views("panel_d") + f"select unique_id, {sday()}, round(lag(y, 1) over w, 4) as lag_1, round(lag(y, 7) over w, 4) as lag_7 from panel_d window w as (partition by unique_id order by panel_d.ds)")
+@query("lag_features", views("panel_d") + f"select unique_id, {sday()}, round(lag(y, 1) over w, 4) as lag_1, round(lag(y, 7) over w, 4) as lag_7 "
+    f"from panel_d window w as (partition by unique_id order by panel_d.ds)")
 def _(s, d):
     return dates.lag_features(V.panel_d(s, d), (1, 7)).select(ID, day(), *rnd("lag_1", "lag_7"))
 
 
-@query("seasonal_index", views("panel_d", ("q", "select unique_id, y, (row_number() over (partition by unique_id order by ds) - 1) % 7 as place from panel_d"), ("w", "select unique_id, avg(y) as a, min(y) > 0 as mul from q group by all"), ("b", "select unique_id, place, avg(y) as b from q group by all")) +
-       "select unique_id, place::int as place, round(case when mul then b / a else b - a end, 6) as index, mul as multiplicative from b join w using (unique_id)")
+@query("seasonal_index", views("panel_d", ("q", "select unique_id, y, (row_number() over (partition by unique_id order by ds) - 1) % 7 as place "
+    "from panel_d"), ("w", "select unique_id, avg(y) as a, min(y) > 0 as mul from q group by all"), ("b", "select unique_id, place, avg(y) as b "
+    "from q group by all")) +
+       "select unique_id, place::int as place, round(case when mul then b / a else b - a end, 6) as index, mul as multiplicative from b "
+           "join w using (unique_id)")
 def _(s, d):
     return P.seasonal_index(V.panel_d(s, d), 7).select(ID, "place", *rnd("index", n=6), "multiplicative")
 
 
-@query("business_steps", views("panel_d", ("b", "select unique_id, max(ds) as last_ds from panel_d where isodow(ds) < 6 group by all"), ("f", "select unique_id, last_ds + to_days(k::int) as ds from b, range(1, 15) t(k)"),
-       ("r", "select *, row_number() over (partition by unique_id order by ds) as step from f where isodow(ds) < 6")) + f"select unique_id, step::int as step, {sday('r.ds').replace('as r.ds', 'as ds')} from r where step <= 6")
+@query("business_steps", views("panel_d", ("b", "select unique_id, max(ds) as last_ds from panel_d where isodow(ds) < 6 "
+    "group by all"), ("f", "select unique_id, last_ds + to_days(k::int) as ds from b, range(1, 15) t(k)"),
+       ("r", "select *, row_number() over (partition by unique_id order by ds) as step from f where isodow(ds) < 6")) + f"select unique_id, "
+           f"step::int as step, {sday('r.ds').replace('as r.ds', 'as ds')} from r where step <= 6")
 def _(s, d):
     p = V.panel_d(s, d).filter(F.weekday(TIME) < 5)
     return dates.future(dates.with_step(p), 6).select(ID, "step", day())
@@ -950,7 +1091,8 @@ def _(s, d):
     return s.createDataFrame([(k, dates.season_of(dates.with_step(p))) for k, p in found], "panel string, season int")
 
 
-@query("zoned_buckets", "select event_type as unique_id, strftime(date_trunc('day', ts - interval 5 hours) + interval 5 hours, '%Y-%m-%d %H:%M') as ds, count(*) as n from events group by all")
+@query("zoned_buckets", "select event_type as unique_id, strftime(date_trunc('day', ts - interval 5 hours) + interval 5 hours, "
+    "'%Y-%m-%d %H:%M') as ds, count(*) as n from events group by all")
 def _(s, d):
     at = dates.bucket_zoned(F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col("ts")).cast("timestamp"), "D", "America/New_York")
     e = V.table(s, d, "events").select(F.col("event_type").alias(ID), F.convert_timezone(F.current_timezone(), F.lit("UTC"), at).alias(TIME))
@@ -963,7 +1105,8 @@ def _(s, d):
     return deals.weighted_pipeline(V.deals(s, d), by="segment", proba=proba).select("segment", "n_deals", *rnd("total", "expected", "std", n=2))
 
 
-@query("deal_log_loss", "select o_orderkey as opp_id, round(greatest(z, 0) + ln(1 + exp(-abs(z))) - y * z, 6) as loss from (select o_orderkey, (o_orderkey % 2000 - 1000)::double as z, (o_orderkey % 3 = 0)::int as y from orders)")
+@query("deal_log_loss", "select o_orderkey as opp_id, round(greatest(z, 0) + ln(1 + exp(-abs(z))) - y * z, 6) as loss from (select o_orderkey, "
+    "(o_orderkey % 2000 - 1000)::double as z, (o_orderkey % 3 = 0)::int as y from orders)")
 def _(s, d):
     z, y = (F.col("o_orderkey") % 2000 - 1000).cast("double"), (F.col("o_orderkey") % 3 == 0).cast("double")
     return V.table(s, d, "orders").select(F.col("o_orderkey").alias("opp_id"), deals.log_loss(z, y).alias("loss")).select("opp_id", *rnd("loss", n=6))
@@ -972,7 +1115,8 @@ def _(s, d):
 @query("sql_scan", "select o_orderpriority as p, count(*) as n from orders where o_totalprice > 1000 group by 1")
 def _(s, d):
     V.table(s, d, "orders").createOrReplaceTempView("tidemark_orders")
-    return readers.SQLSource(s, "select o_orderpriority as p, count(*) as n from tidemark_orders where o_totalprice > :least group by 1", {"least": 1000.0}).fetch()
+    return readers.SQLSource(s, "select o_orderpriority as p, count(*) as n from tidemark_orders where o_totalprice > :least "
+        "group by 1", {"least": 1000.0}).fetch()
 
 
 @query("parquet_scan", "select * from region")
@@ -990,7 +1134,8 @@ def _(s, d):
     return out(workspace.Workspace(watch=["click", "view"]).watched(V.panel_d(s, d)))
 
 
-@query("engine_baselines", " union all ".join(f"select unique_id, '{n}' as model, step, ds, yhat, lo_80, hi_80 from (" + _SQL[f"{n}_bands"] + ")" for n in ("naive", "seasonal_naive", "drift", "window_average")))
+@query("engine_baselines", " union all ".join(f"select unique_id, '{n}' as model, step, ds, yhat, lo_80, hi_80 "
+    f"from (" + _SQL[f"{n}_bands"] + ")" for n in ("naive", "seasonal_naive", "drift", "window_average")))
 def _(s, d):
     f = engine.Engine(["naive", "seasonal_naive", "drift", "window_average"], [80]).forecast(V.panel_d(s, d), H)
     return f.select(ID, "model", F.col("step").cast("int").alias("step"), day(), *rnd("yhat", "lo_80", "hi_80", n=3))

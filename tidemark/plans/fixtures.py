@@ -64,7 +64,8 @@ def hier_m(s, d) -> DataFrame:
 def rates(s, d) -> DataFrame:
     """A rate a region (as currency) and quarter."""
     r = table(s, d, "region")
-    q = s.range(28).select(F.col("id").alias("q"), F.expr("make_date(1995 + cast(id div 4 as int), cast(1 + 3 * (id % 4) as int), 1)").cast("timestamp_ntz").alias("as_of"))
+    q = s.range(28).select(F.col("id").alias("q"), F.expr("make_date(1995 + cast(id div 4 as int), cast(1 + 3 * (id % 4) as int), "
+        "1)").cast("timestamp_ntz").alias("as_of"))
     return r.crossJoin(F.broadcast(q)).select(F.col("r_name").alias("currency"), "as_of", (1.0 + F.col("r_regionkey") * 0.1 + F.col("q") * 0.01).alias("rate"))
 
 
@@ -94,13 +95,15 @@ def fc_history(s, d) -> DataFrame:
 
 SQL = {
     "panel_d": "select event_type as unique_id, date_trunc('day', ts)::timestamp as ds, sum(value) as y from events group by all",
-    "panel_m": "select o_orderpriority as unique_id, date_trunc('month', o_orderdate)::timestamp as ds, sum(o_totalprice) as y from orders group by all",
+    "panel_m": "select o_orderpriority as unique_id, date_trunc('month', o_orderdate)::timestamp as ds, sum(o_totalprice) as y from orders "
+        "group by all",
     "panel_u": """select k.unique_id, g.ds, coalesce(c.y, 0)::double as y from
         (select distinct event_type || '/' || user_id as unique_id from events) k,
         (select unnest(generate_series(min(date_trunc('day', ts))::timestamp, max(date_trunc('day', ts))::timestamp, interval 1 day)) as ds from events) g
         left join (select event_type || '/' || user_id as unique_id, date_trunc('day', ts)::timestamp as ds, count(*)::double as y from events group by all) c
         on c.unique_id = k.unique_id and c.ds = g.ds""",
-    "returns_d": "select unique_id, ds, y / b - 1 as y from (select *, lag(y) over (partition by unique_id order by ds) as b from panel_d) where b is not null",
+    "returns_d": "select unique_id, ds, y / b - 1 as y from (select *, lag(y) over (partition by unique_id order by ds) as b from panel_d) "
+        "where b is not null",
     "deals": """select o_orderkey as opp_id, o_totalprice as amount, case o_orderstatus when 'O' then 'prospect' when 'P' then 'proposal' else 'closed' end as stage,
         o_orderpriority as segment, o_orderdate as close_date, o_custkey as custkey from orders""",
     "deals_before": """select opp_id, amount, case opp_id % 5 when 0 then 'prospect' when 1 then 'proposal' when 2 then 'review' when 3 then 'won' else 'prospect' end as stage, close_date

@@ -97,9 +97,11 @@ def _compare(spark, level=None, models=("naive", "theta", "auto_ets"), metrics=(
 
 
 OPERATIONS = {
-    "list_models": Operation("The models that the other tools can run, with family and description.", {}, lambda spark: tools.list_models_tool(spark)),
+    "list_models": Operation("The models that the other tools can run, with family "
+        "and description.", {}, lambda spark: tools.list_models_tool(spark)),
     "list_mappings": Operation("The recipes that shape platforms' exports into panels.", {}, lambda spark: tools.list_mappings_tool(spark)),
-    "preview_panel": Operation("What a file or records become as a panel: rows, series, range and first rows.", SOURCE, lambda spark, **more: tools.preview_panel(spark, **more)),
+    "preview_panel": Operation("What a file or records become as a panel: rows, series, range "
+        "and first rows.", SOURCE, lambda spark, **more: tools.preview_panel(spark, **more)),
     "forecast": Operation(
         "Forecasts of every series, with bounds of each level.",
         {**SOURCE, "model": "text", "model_params": "object", "h": "whole", "level": "wholes"}, _forecast,

@@ -44,8 +44,10 @@ _money("salesforce_opportunities", "closed-won amount by close month",
        {"Close Date": "close_date", "CloseDate": "close_date", "Amount": "amount", "Stage": "stage", "StageName": "stage", "Opportunity Owner": "owner", "Owner": "owner"}, {"stage": ("Closed Won",)})
 _money("hubspot_deals", "closedwon amount by close month", {"closedate": "close_date", "hs_close_date": "close_date", "dealstage": "stage", "hubspot_owner_id": "owner"}, {"stage": ("closedwon",)})
 _money("pipedrive_deals", "won value by month", {"won_time": "close_date", "value": "amount", "owner_name": "owner"}, {"status": ("won",)})
-_money("stripe_invoices", "paid invoices by month, in minor units", {"created": "created_at", "amount_paid": "amount"}, {"status": ("paid",)}, "created_at", date_unit="s")
-_money("stripe_charges", "succeeded charges by month, in minor units", {"created": "created_at"}, {"status": ("succeeded",)}, "created_at", date_unit="s")
+_money("stripe_invoices", "paid invoices by month, "
+    "in minor units", {"created": "created_at", "amount_paid": "amount"}, {"status": ("paid",)}, "created_at", date_unit="s")
+_money("stripe_charges", "succeeded charges by month, "
+    "in minor units", {"created": "created_at"}, {"status": ("succeeded",)}, "created_at", date_unit="s")
 _events("posthog_events", "rows a day and event", {"timestamp": "ts"})
 _events("ga4_events", "rows a day and event_name", {"event_date": "ts", "event_name": "event"}, date_format="%Y%m%d")
 _events("mixpanel_events", "rows a day and event", {"time": "ts"}, date_unit="s")

@@ -43,4 +43,5 @@ def smoothed(periods: DataFrame, alpha: float = 0.3) -> DataFrame:
         state.update((level,))
         yield pd.DataFrame(out, columns=[ID, TIME, TARGET, "level"])
 
-    return periods.groupBy(ID).applyInPandasWithState(advance, f"{ID} string, {TIME} timestamp_ntz, {TARGET} double, level double", "level double", "append", GroupStateTimeout.NoTimeout)
+    return periods.groupBy(ID).applyInPandasWithState(advance, f"{ID} string, {TIME} timestamp_ntz, {TARGET} double, "
+        f"level double", "level double", "append", GroupStateTimeout.NoTimeout)
