@@ -335,7 +335,8 @@ def near_vectors(coded: DataFrame, rest: np.ndarray, place: np.ndarray) -> tuple
 
     sums = coded.select("ids").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
     column = F.struct((F.col("key") % (2 * COMMON)).alias("column"), "n")
-    rows = sums.groupBy(F.expr(f"key div {2 * COMMON}").alias("id")).agg(F.collect_list(column).alias("near")).mapInArrow(scale, "id long, near binary").collect()  # at most IDS
+    rows = sums.groupBy(F.expr(f"key div {2 * COMMON}").alias("id")).agg(F.collect_list(column).alias("near")).mapInArrow(scale, "id long, "
+        "near binary").collect()  # at most IDS
     met = np.array([x[0] for x in rows], np.int64)
     return met, np.array([np.frombuffer(x[1], np.float16) for x in rows], np.float32).reshape(len(rows), 2 * COMMON)
 

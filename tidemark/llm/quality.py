@@ -150,7 +150,8 @@ def concentrated(rows: DataFrame, fit: DataFrame, fits: int) -> DataFrame:
     counts = near.groupBy("grp", "start", _bin().alias("bin")).agg(F.count("*").alias("k"))
     # at most a few hundred bins a fit
     order = "partition by grp, start order by bin rows between unbounded preceding and current row"
-    upto = counts.withColumn("upto", F.expr(f"sum(k) over ({order})")).join(fit.select("grp", "start", F.floor((F.col("n") + P + 1) / 2).alias("h")), ["grp", "start"])
+    upto = counts.withColumn("upto", F.expr(f"sum(k) "
+        f"over ({order})")).join(fit.select("grp", "start", F.floor((F.col("n") + P + 1) / 2).alias("h")), ["grp", "start"])
     last = upto.filter("upto >= h").groupBy("grp", "start").agg(F.min("bin").alias("last"), F.min_by((F.col("h") - F.col("upto") + F.col("k")) / F.col("k"), "bin").alias("part"))
     cut = common.staged(fit.join(last, ["grp", "start"]), "mcd", fits)
     weight = F.when(F.col("bin") < F.col("last"), 1.0).when(F.col("bin") == F.col("last"), F.col("part"))
