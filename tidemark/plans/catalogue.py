@@ -1087,7 +1087,8 @@ def _(s, d):
 
 @query("modal_season", views("panel_d panel_m") + "select 'days' as panel, 7 as season union all select 'months', 12 union all select 'weekdays', 5")
 def _(s, d):
-    found = [("days", V.panel_d(s, d)), ("months", V.panel_m(s, d)), ("weekdays", V.panel_d(s, d).filter(F.weekday(TIME) < 5))]
+    d_, m = P.densify(V.panel_d(s, d), "D"), P.densify(V.panel_m(s, d), "MS")
+    found = [("days", d_), ("months", m), ("weekdays", d_.filter(F.weekday(TIME) < 5))]
     return s.createDataFrame([(k, dates.season_of(dates.with_step(p))) for k, p in found], "panel string, season int")
 
 
