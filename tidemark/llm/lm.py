@@ -250,8 +250,9 @@ def _vectors(ids: np.ndarray, columns: np.ndarray, n: np.ndarray) -> tuple[np.nd
 # ---- what training gathers from the whole fold -------------------------------------------------------------------
 
 
-CODED = "rid long, doc_id long, held_out boolean, text string, ids binary, word binary, c long"
-_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.binary(), pa.binary(), pa.int64())
+#: given: the text is not null. Passes over the ids leave the texts unread.
+CODED = "rid long, doc_id long, held_out boolean, given boolean, text string, ids binary, word binary, c long"
+_KINDS = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.string(), pa.binary(), pa.binary(), pa.int64())
 
 
 def _mixed(n: int, schema: str, kinds, cols: dict) -> pa.RecordBatch:
@@ -282,7 +283,8 @@ def _encoded(batches):
             more[: len(counts)] += counts
             counts = more
             ids = [memo.ids_of(x).astype(np.uint16).tobytes() + END_BYTES for x in places]
-            yield _mixed(b - a, CODED, _KINDS, {c: batch.column(i).slice(a, b - a) for i, c in enumerate(("rid", "doc_id", "held_out", "text"))} | {"ids": pa.array(ids, pa.binary())})
+            head = {c: batch.column(i).slice(a, b - a) for i, c in enumerate(("rid", "doc_id", "held_out", "text"))}
+            yield _mixed(b - a, CODED, _KINDS, head | {"ids": pa.array(ids, pa.binary()), "given": head["text"].is_valid()})
     yield from table()
     common.freed()
 
@@ -407,7 +409,7 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, fold: int = FOLD) ->
 
 def trained(mixed: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """The model of the training rows of encoded()."""
-    coded = mixed.filter("ids is not null and text is not null and not held_out").select("doc_id", "ids")
+    coded = mixed.filter("given and not held_out").select("doc_id", "ids")
     counts = id_counts(coded)
     classes = classes_of(counts, lambda rest, place: near_vectors(coded, rest, place))
     few = common.drawn(coded.withColumnRenamed("ids", "text"), sample_docs, 29).orderBy("doc_id", "text").toArrow()
