@@ -74,7 +74,8 @@ def count_tokens(docs: DataFrame, cache_path: str, vocabulary: str = "piece_bpe_
     counted = found.select("digest", "text").mapInArrow(_counter(vocabulary), "digest binary, n_tokens long")
     counted = counted.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))  # a row that is repeated with its id comes once
     counted.select("digest", F.lit(version).alias("version"), "n_tokens").write.mode("append").parquet(cache_path)
-    full = read_cache(spark, cache_path, version)
+    # a table of this batch's counts: joined as it is read, so that the rows of a hot digest can be split
+    full = common.settled(distinct.select("digest").join(read_cache(spark, cache_path, version), "digest"), "counts")
     return digests.join(full, "digest", "left").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
