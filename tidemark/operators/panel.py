@@ -208,3 +208,14 @@ def seasonal_index(panel: DataFrame, m: int) -> DataFrame:
     whole = rows.groupBy(ID).agg(F.avg(TARGET).alias("all"), ((F.min(TARGET) > 0) & (F.avg(TARGET) > 1e-12)).alias("multiplicative"))
     index = F.when(F.col("multiplicative"), F.try_divide("by", "all")).otherwise(F.col("by") - F.col("all"))
     return means.join(whole, ID).select(ID, "place", index.alias("index"), "multiplicative")
+
+
+def centred_average(panel: DataFrame, m: int) -> DataFrame:
+    """panel with y as the mean of the m rows around each (m odd; for even m the outermost two count half); null where they are not all there."""
+    half = m // 2
+    w = Window.partitionBy(ID).orderBy(TIME).rowsBetween(-half, half)
+    total = F.sum(TARGET).over(w)
+    if m % 2 == 0:
+        at = Window.partitionBy(ID).orderBy(TIME)
+        total = total - (F.lag(TARGET, half).over(at) + F.lead(TARGET, half).over(at)) / 2
+    return panel.withColumn(TARGET, F.when(F.count(TARGET).over(w) == 2 * half + 1, total / m))

@@ -22,10 +22,13 @@ _SQL: dict[str, str] = {}
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import catalogue_edges  # noqa: F401  registers more
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_SQL)
 
 
@@ -454,12 +457,12 @@ def _(s, d):
     return N.tsb(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
 
-@query("croston_users")
+@query("croston_users", _SQL["croston"])
 def _(s, d):
     return N.croston(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
 
-@query("tsb_users")
+@query("tsb_users", _SQL["tsb"])
 def _(s, d):
     return N.tsb(V.panel_u(s, d), 1).select(ID, *rnd("yhat", n=6))
 
