@@ -67,6 +67,13 @@ def staged(df: DataFrame, name: str, rows: int | None = None, rows_a_file: int =
     return out
 
 
+def cleaned(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished jobs now: it does so only once the driver has collected the frames that made
+    them, and a job of many steps would keep those of all its steps on the executors' disks till then."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def dropped(*tables: DataFrame) -> None:
     """Removes staged tables that nothing will read again."""
     for t in tables:
