@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import json
+import re
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -129,9 +131,17 @@ def _(s, d):
 # ---- snapshots ---------------------------------------------------------------------------------------------------
 
 
+def _scratch(s: SparkSession) -> str:
+    """A folder that all executors share: that of checkpoints, or the warehouse; a temporary one where all is one process."""
+    named = s.conf.get("spark.checkpoint.dir", None) or s.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    return tempfile.gettempdir() if re.match(r"local(\[|$)", s.sparkContext.master) else s.conf.get("spark.sql.warehouse.dir")
+
+
 def _store(s: SparkSession, d: str) -> snapshots.SnapshotStore:
-    """panel_m as it was known at three dates, one of them taken twice, in a folder of the warehouse that goes when the driver ends."""
-    store = snapshots.SnapshotStore(s, f"{s.conf.get('spark.sql.warehouse.dir')}/tidemark-snapshots-{uuid.uuid4().hex}")
+    """panel_m as it was known at three dates, one of them taken twice, in a folder that goes when the driver ends."""
+    store = snapshots.SnapshotStore(s, f"{_scratch(s)}/tidemark-snapshots-{uuid.uuid4().hex}")
 
     def remove():
         at, fs = store._path(store.root)
