@@ -193,21 +193,24 @@ def _mint(forecasts: DataFrame, tree: DataFrame) -> DataFrame:
     Upwards, a subtree's least squared change for a total x is a (x - m)^2 + constant: a leaf has a = 1 and its forecast as m, and a node
     adds its own square to what its children cost together, (x - sum m)^2 / sum(1 / a). Downwards, each child gets its m and its share of
     what the parent's value has over the sum of these. So the work is linear in the nodes, one join a level."""
+    keep = lambda frame: frame.persist(StorageLevel.DISK_ONLY)
     depth = tree.agg(F.max("depth")).first()[0]
-    rows = tree.join(forecasts.select(F.col(ID).alias("node"), "step", "yhat"), "node")
+    rows = keep(tree.join(forecasts.select(F.col(ID).alias("node"), "step", "yhat"), "node"))
     at = lambda d: rows.filter(F.col("depth") == d).select("node", "parent", "step", "yhat")
-    solved = {depth: at(depth).select("node", "parent", "step", F.lit(1.0).alias("a"), F.col("yhat").alias("m"), F.lit(None).cast("double").alias("sum_m"), F.lit(None).cast("double").alias("slack"))}
+    none = F.lit(None).cast("double")
+    solved = {depth: at(depth).select("node", "parent", "step", F.lit(1.0).alias("a"), F.col("yhat").alias("m"), none.alias("sum_m"), none.alias("slack"))}
     for d in range(depth - 1, -1, -1):
         below = solved[d + 1].groupBy(F.col("parent").alias("node"), "step").agg(F.sum("m").alias("sum_m"), F.sum(1 / F.col("a")).alias("slack"))
         own = at(d).join(below, ["node", "step"], "left")
         a = F.coalesce(1 + 1 / F.col("slack"), F.lit(1.0))
         m = F.coalesce((F.col("yhat") + F.col("sum_m") / F.col("slack")) / (1 + 1 / F.col("slack")), F.col("yhat"))
-        solved[d] = own.select("node", "parent", "step", a.alias("a"), m.alias("m"), "sum_m", "slack")
+        solved[d] = keep(own.select("node", "parent", "step", a.alias("a"), m.alias("m"), "sum_m", "slack"))
     now = solved[0].select("node", "step", F.col("m").alias("x"), "sum_m", "slack")
     out = now.select("node", "step", "x")
     for d in range(1, depth + 1):
         above = now.select(F.col("node").alias("parent"), "step", ((F.col("x") - F.col("sum_m")) / F.col("slack")).alias("each"))
-        now = solved[d].join(above, ["parent", "step"]).select("node", "step", (F.col("m") + F.col("each") / F.col("a")).alias("x"), "sum_m", "slack")
+        below = solved[d].join(above, ["parent", "step"]).select("node", "step", (F.col("m") + F.col("each") / F.col("a")).alias("x"), "sum_m", "slack")
+        now = keep(below) if d < depth else below
         out = out.unionByName(now.select("node", "step", "x"))
     return out
 
@@ -235,7 +238,8 @@ def reconciled(panel: DataFrame, model, h: int, method: str = "mint_ols", sep: s
     """Forecasts every node and reconciles point and bounds; bounds are then put in order around the point."""
     h, levels = check_horizon(h), check_levels(level)
     check_tree(panel, sep, total)
-    f = forecaster.forecast(aggregate_panel(panel, sep, total), [model], h, levels, validate=False)
+    # each column's sweeps read them: kept on the executors' disks until the session clears its cache
+    f = forecaster.forecast(aggregate_panel(panel, sep, total), [model], h, levels, validate=False).persist(StorageLevel.DISK_ONLY)
     out = reconcile(f, panel, method, sep, total)
     for x in reversed(levels):
         for s in ("lo", "hi"):
