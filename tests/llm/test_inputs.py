@@ -3,6 +3,7 @@ pipeline against plain versions of its stages."""
 
 import hashlib
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -193,10 +194,10 @@ def test_pipeline_equals_plain_stages(spark, tmp_path):
 
     net = toxicity.train(now, spark.read.parquet(f"{d}/labels.parquet"))
     plain = {"toxicity": [x for x in kept if plain_toxicity(net, text(x[1])) < 0]}
-    assert {x[0] for x in kept} - {x[0] for x in plain["toxicity"]} >= {i for i in range(0, 70, 5)} - {0, 5, 10, 15, 20, 25, 30, 35, 40, 45, 50, 55, 60, 65} and len(plain["toxicity"]) < len(kept)
+    assert len(plain["toxicity"]) < len(kept)
 
     langs = {x[0]: x[2] for x in rows}
-    learned = [(langs[i], t) for i, t in plain["toxicity"] if langs[i] and t is not None and common.hashlib is not None and __import__("zlib").crc32(str(i).encode()) % 5]
+    learned = [(langs[i], t) for i, t in plain["toxicity"] if langs[i] and t is not None and zlib.crc32(str(i).encode()) % 5]
     trees = language_id.train(spark.createDataFrame([x for x in rows if (x[0], x[1]) in plain["toxicity"]], SCHEMA))
     plains = [PlainPPM([text(t) for g, t in learned if g == lang], trees.least) for lang in trees.langs]
 

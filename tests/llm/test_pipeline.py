@@ -31,7 +31,7 @@ def test_stages_one_by_one(spark, tmp_path):
 
     one = stages["toxicity"](spark, docs, d)
     bad = {x.doc_id for x in toxicity.score(docs, toxicity.train(docs, spark.read.parquet(f"{d}/labels.parquet"))).filter("predicted = 1").collect()}
-    assert one.columns == docs.columns and ids(one) == keep(docs, bad) and {i for i in range(0, 240, 6)} <= bad | {i for i in range(0, 240, 6) if i not in bad}
+    assert one.columns == docs.columns and ids(one) == keep(docs, bad)
     assert sum(i % 6 == 0 for i in bad if i is not None and i < 240) >= 36 and sum(1 for i in bad if i is not None and i % 6 and i < 240) <= 2
     two = stages["language_id"](spark, docs, d)
     named = {x.doc_id: x for x in language_id.identify(docs, language_id.train(docs)).collect()}
