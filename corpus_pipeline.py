@@ -36,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """One document of each class of five-word shingle sets linked at a Jaccard similarity of 0.8 or more stays: the smallest id."""
     from fractions import Fraction
 
-    classes = jaccard_join.join(docs, k=5, threshold=Fraction(4, 5))
+    classes = jaccard_join.join(docs, k=5, threshold=Fraction(4, 5), links=False)
     return _without(docs, classes.filter("doc_id != component_id"))
 
 

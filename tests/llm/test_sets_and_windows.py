@@ -51,6 +51,30 @@ def test_hot_group_of_loose_near_copies(spark):
     assert sorted(map(tuple, got)) == sorted(brute_classes([x[:2] for x in rows], 3, 9, 10))
 
 
+def brute_links(rows, k, num, den):
+    sets = [shingles(t, k) for _, t in rows]
+    linked = lambda a, b: bool(a and b) and den * len(a & b) >= num * len(a | b)
+    return sorted((rows[i][0], sum(linked(a, b) for j, b in enumerate(sets) if j != i)) for i, a in enumerate(sets))
+
+
+@pytest.mark.parametrize("k, t", [(3, Fraction(9, 10)), (5, Fraction(4, 5))])
+def test_numbers_of_links_equal_brute_force(docs, corpus, k, t):
+    got = jaccard_join.join(docs, k, t).select("doc_id", "n_links").collect()
+    assert sorted(map(tuple, got)) == brute_links([r[:2] for r in corpus], k, t.numerator, t.denominator)
+
+
+def test_links_between_followers_of_one_and_of_two_leaders_are_counted(spark, monkeypatch):
+    r = random.Random(4)
+    base, passage = prose(r, 120), prose(r, 40)
+    rows = [(i, edited(r, base, r.randint(0, 3))) for i in range(120)] + [(200 + i, edited(r, base + " " + passage[:30], r.randint(0, 2))) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_links(rows, 3, 9, 10)
+    small = jaccard_join.link_counts
+    monkeypatch.setattr(jaccard_join, "link_counts", lambda *a: small(*a, block=16))  # groups of several blocks
+    got = jaccard_join.join(frame)
+    assert sorted(map(tuple, got.select("doc_id", "n_links").collect())) == want and len({n for _, n in want}) > 10
+
+
 def test_empty_and_null_ids(spark, none):
     assert jaccard_join.join(none).count() == 0
     t = prose(random.Random(2), 50)

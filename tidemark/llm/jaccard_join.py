@@ -19,11 +19,17 @@ A pair of leaders is verified exactly. Where it is no link and the distances of
 (d(A, B) <= 1 - threshold + d(Y, A) + d(Z, B)), pairs of followers are derived from it: those that share enough shingles of their
 own in their prefixes, from index lists, and those that may link by their frequent ones, from blocks of followers of like distance and
 size that are skipped whole by both sides' bounds. They are verified too. So no link between different classes is lost and
-no list or group of copies is expanded into all its pairs. Links inside a class are not all derived: the result is classes.
+no list or group of copies is expanded into all its pairs.
 
 Every verified link goes into connected components by alternating large and small stars, on the executors.
 
-Result: one row per document row. A null, empty or wordless text has no shingles and is alone in its class. Repeated rows and ids
+Number of links. A set is in the group of its leader, or alone in its own, and what it differs by from the group's leader (the symmetric
+difference) is kept from verification. Any two linked sets are in one group or in two whose leaders were verified, and their symmetric
+difference follows from the kept ones: |Y ^ Z| = |(Y ^ A) ^ (A ^ C) ^ (Z ^ C)|. Blocks of members are compared as matrices, so the links
+inside classes are counted one by one and exactly without becoming rows; blocks whose sizes decide are not compared. Time is quadratic
+in the sets of a group that sizes leave open.
+
+Result: one row per document row, with its class and its number of links: the other rows whose set links to its own, copies too. A null, empty or wordless text has no shingles and is alone in its class. Repeated rows and ids
 are further copies. Texts of any length are read whole, hashed in pieces of about a megabyte. Extra columns are not read. An empty table
 gives an empty result.
 """
@@ -170,13 +176,14 @@ def _packer(k: int, bits):
     return run
 
 
-def _verifier(k: int):
-    """Rows (key, salt, role, digest, packed) in order: a leader (role 0), then its followers (role 1)."""
+def _verifier(k: int, reach: float):
+    """Rows (key, salt, role, digest, packed) in order: a leader (role 0), then its followers (role 1). delta: the symmetric difference
+    of pairs at most reach apart."""
 
     def run(batches):
         lead, own = None, None
         for batch in batches:
-            a, b, d = [], [], []
+            a, b, d, deltas = [], [], [], []
             keys, roles, digests = (batch.column(i).to_pylist() for i in (0, 2, 3))
             texts = [zlib.decompress(x) for x in batch.column(4).to_pylist()]
             for key, role, digest, s in zip(keys, roles, digests, common.shingle_sets(texts, k)):
@@ -186,16 +193,19 @@ def _verifier(k: int):
                     both = len(np.intersect1d(own, s, assume_unique=True))
                     a.append(key)
                     b.append(digest)
-                    d.append((both, len(own) + len(s) - both))
-            columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64())]
-            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "both", "either"])
+                    either = len(own) + len(s) - both
+                    d.append((both, either))
+                    deltas.append(np.setxor1d(own, s, assume_unique=True).tobytes() if either - both <= reach * either else None)
+            columns = [pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array([x[0] for x in d], pa.int64()), pa.array([x[1] for x in d], pa.int64()), pa.array(deltas, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "both", "either", "delta"])
         common.freed()
 
     return run
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> DataFrame:
-    """(a, b, both, either) of each distinct pair of digests: sizes of intersection and union, from the texts themselves. A table."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int, reach: float = -1.0) -> DataFrame:
+    """(a, b, both, either, delta) of each distinct pair of digests: sizes of intersection and union, from the texts themselves, and
+    the symmetric difference where they are at most reach apart. A table."""
     spark = docs.sparkSession
     pairs = common.settled(pairs.distinct(), "pairs")
     ids = pairs.select(F.explode(F.array("a", "b")).alias("digest")).distinct()
@@ -215,7 +225,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, k: int) -> Dat
     salt = F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt")
     followers = followers.select("a", salt, F.lit(1).alias("role"), "digest", "packed")
     both = leaders.unionByName(followers).repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "digest")
-    out = common.settled(both.mapInArrow(_verifier(k), "a binary, b binary, both long, either long"), "verified")
+    out = common.settled(both.mapInArrow(_verifier(k, reach), "a binary, b binary, both long, either long, delta binary"), "verified")
     packed.unpersist(), wanted.unpersist()
     common.dropped(pairs)
     return out
@@ -436,6 +446,120 @@ def follower_pairs(open_: DataFrame, chosen: DataFrame, full: DataFrame, num: in
     return listed.unionByName(crossed).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
+# ---- numbers of links --------------------------------------------------------------------------------------------
+
+
+def _common_counts(one: list[np.ndarray], two: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of one with each of two."""
+    out = np.zeros((len(one), len(two)), np.float32)
+    flats = [np.concatenate(side) for side in (one, two)]
+    both = np.intersect1d(*flats)
+    if not len(both):
+        return out
+    at = []
+    for side, flat in zip((one, two), flats):
+        column = np.minimum(np.searchsorted(both, flat), len(both) - 1)
+        fits = both[column] == flat
+        row = np.repeat(np.arange(len(side)), [len(x) for x in side])[fits]
+        order = np.argsort(column[fits], kind="stable")
+        at.append((row[order], column[fits][order]))
+    for first in range(0, len(both), 2048):
+        parts = []
+        for side, (row, column) in zip((one, two), at):
+            a, b = np.searchsorted(column, (first, first + 2048))
+            dense = np.zeros((len(side), min(2048, len(both) - first)), np.float32)
+            dense[row[a:b], column[a:b] - first] = 1
+            parts.append(dense)
+        out += parts[0] @ parts[1].T
+    return out
+
+
+def linked_members(one: list[np.ndarray], two: list[np.ndarray], n: np.ndarray, m: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which sets of sizes n and m link, from their symmetric differences with one and the same set."""
+    a, b = (np.array([len(x) for x in side], np.int64) for side in (one, two))
+    sizes = n[:, None] + m[None, :]
+    near = lambda x: den * (sizes - x) >= num * (sizes + x)  # noqa: E731  x: size of the symmetric difference
+    most, least = a[:, None] + b[None, :], np.abs(a[:, None] - b[None, :])
+    sure, possible = near(most), near(least)
+    if (sure == possible).all():
+        return sure
+    return near(most - 2 * _common_counts(one, two).astype(np.int64))
+
+
+def _counter(num: int, den: int):
+    """(lid, links) from rows of two blocks of members: whether they are one block, the difference of their leaders, and both blocks."""
+
+    def run(batches):
+        common.one_blas_thread()
+        for batch in batches:
+            lids, links = [], []
+            for r in range(batch.num_rows):
+                same, delta, *sides = (batch.column(i)[r] for i in range(10))
+                (i, n, c), (j, m, d) = ([np.array(x.as_py(), np.int64) for x in sides[at : at + 3]] for at in (0, 4))
+                one, two = ([np.frombuffer(x, np.uint64) for x in sides[at].as_py()] for at in (3, 7))
+                apart = np.frombuffer(delta.as_py(), np.uint64)
+                if len(apart):
+                    two = [np.setxor1d(x, apart, assume_unique=True) for x in two]
+                link = linked_members(one, two, n, m, num, den)
+                if same.as_py():
+                    np.fill_diagonal(link, False)
+                else:
+                    lids.append(j)
+                    links.append(c @ link)
+                lids.append(i)
+                links.append(link @ d)
+            lids, links = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (lids, links))
+            yield pa.RecordBatch.from_arrays([pa.array(lids[links > 0]), pa.array(links[links > 0])], names=["lid", "links"])
+        common.freed()
+
+    return run
+
+
+def link_counts(full: DataFrame, chosen: DataFrame, met: DataFrame, num: int, den: int, block: int = 512, most_bytes: int = 4 << 20) -> DataFrame:
+    """(digest, links): the rows of other sets that link to each set, of sets that have any. met: the verified pairs of leaders."""
+    room = 1 - num / den + SLACK
+    reach = chosen.groupBy("leader").agg(F.max("far").alias("radius"))
+    radius = lambda c: reach.select(F.col("leader").alias(c), F.col("radius").alias(f"r{c}"))
+    pairs = met.join(radius("a"), "a", "left").join(radius("b"), "b", "left")
+    alone = F.col("ra").isNull() & F.col("rb").isNull()
+    direct = pairs.filter(alone & (den * F.col("both") >= num * F.col("either"))).select("a", "b")
+    gap = 1 - F.col("both") / F.col("either")
+    zero = F.lit(0.0)
+    crossed = pairs.filter(~alone & (gap <= room + F.coalesce("ra", zero) + F.coalesce("rb", zero))).select("a", "b", "delta")
+    crossed = common.settled(crossed, "crossed", WIDE)
+    # members of the groups, their leaders too where they follow no other
+    none = F.lit(b"")
+    heads = reach.select("leader").unionByName(crossed.select(F.explode(F.array("a", "b")).alias("leader"))).distinct()
+    own = heads.join(chosen.select("digest"), F.col("leader") == F.col("digest"), "left_anti").select("leader", F.col("leader").alias("digest"), none.alias("delta"))
+    members = chosen.select("leader", "digest", "delta").unionByName(own).join(full.select("digest", "lid", "n", "copies"), "digest")
+    size = F.octet_length("delta")
+    counts = members.groupBy("leader").agg((F.count("*") > block).alias("many"))
+    bins = F.when(F.col("many"), F.floor(F.log2(size + 1))).otherwise(0).cast("int").alias("bin")
+    binned = members.join(counts, "leader").select("leader", "lid", "n", "copies", "delta", bins)
+    salts = binned.groupBy("leader", "bin").agg(F.ceil(F.greatest(F.count("*") / block, F.sum(size) / most_bytes)).alias("salts"))
+    part = (F.col("bin") + 64 * F.pmod(F.col("lid"), F.col("salts"))).alias("part")
+    parted = binned.join(salts, ["leader", "bin"]).select("leader", part, F.struct("lid", "n", "copies", "delta").alias("m"))
+    fields = ["lid", "n", "copies", "delta"]
+    blocks = parted.groupBy("leader", "part").agg(F.collect_list("m").alias("m")).select("leader", "part", *[F.col(f"m.{f}").alias(f"{f}s") for f in fields])
+    blocks = common.settled(blocks, "blocks", 500)
+    parts = lambda g, i: blocks.select(F.col("leader").alias(g), F.col("part").alias(i))
+    within = parts("a", "i").join(parts("b", "j"), (F.col("a") == F.col("b")) & (F.col("i") <= F.col("j"))).withColumn("delta", none)
+    across = crossed.join(parts("a", "i"), "a").join(parts("b", "j"), "b")
+    columns = ["a", "i", "b", "j", "delta"]
+    side = lambda c, g, i: blocks.select(F.col("leader").alias(g), F.col("part").alias(i), *[F.col(f"{f}s").alias(f"{c}_{f}") for f in fields])
+    both = within.select(columns).unionByName(across.select(columns)).join(side("x", "a", "i"), ["a", "i"]).join(side("y", "b", "j"), ["b", "j"])
+    one = ((F.col("a") == F.col("b")) & (F.col("i") == F.col("j"))).alias("same")
+    sides = [f"{c}_{f}" for c in "xy" for f in fields]
+    counted = both.select(one, "delta", *sides).mapInArrow(_counter(num, den), "lid long, links long")
+    sized = full.select("digest", "lid", "copies")
+    ends = direct.unionByName(direct.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    ends = ends.join(sized.select(F.col("digest").alias("b"), "copies"), "b").select(F.col("a").alias("digest"), F.col("copies").alias("links"))
+    counted = counted.groupBy("lid").agg(F.sum("links").alias("links")).join(sized, "lid").select("digest", "links")
+    out = common.settled(counted.unionByName(ends).groupBy("digest").agg(F.sum("links").alias("links")), "counts")
+    common.dropped(crossed, blocks)
+    return out
+
+
 # ---- classes -----------------------------------------------------------------------------------------------------
 
 
@@ -479,16 +603,16 @@ def signatures(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame,
     return sets, full
 
 
-def leaders_of(full: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
-    """Verified links from nodes to the heads of their bands, and the nearest head of each (digest, leader, far). The second is a table."""
+def leaders_of(full: DataFrame, docs: DataFrame, k: int, num: int, den: int, reach: float = -1.0) -> tuple[DataFrame, DataFrame]:
+    """Verified links from nodes to the heads of their bands, and the nearest head of each (digest, leader, far, delta). The second is a table."""
     banded = full.select("digest", "n", "rare", F.explode("bands").alias("band"))
     heads = banded.groupBy("band").agg(F.min(F.struct("rare", "digest", "n")).alias("head"), F.count("*").alias("c")).filter("c > 1").select("band", "head")
     sizes = den * F.least("n", "head.n") >= num * F.greatest("n", "head.n")
     near = banded.join(heads, "band").filter((F.col("digest") != F.col("head.digest")) & sizes)
-    stars = verified(near.select(F.col("head.digest").alias("a"), F.col("digest").alias("b")), full, docs, k)
+    stars = verified(near.select(F.col("head.digest").alias("a"), F.col("digest").alias("b")), full, docs, k, reach)
     stars = stars.filter(den * F.col("both") >= num * F.col("either"))
-    nearest = F.min(F.struct((1 - F.col("both") / F.col("either")).alias("far"), "a")).alias("l")
-    chosen = stars.groupBy("b").agg(nearest).select(F.col("b").alias("digest"), F.col("l.a").alias("leader"), F.col("l.far").alias("far"))
+    nearest = F.min(F.struct((1 - F.col("both") / F.col("either")).alias("far"), "a", "delta")).alias("l")
+    chosen = stars.groupBy("b").agg(nearest).select(F.col("b").alias("digest"), F.col("l.a").alias("leader"), F.col("l.far").alias("far"), F.col("l.delta").alias("delta"))
     return stars, common.settled(chosen, "leaders")
 
 
@@ -508,18 +632,19 @@ def leader_pairs(full: DataFrame, chosen: DataFrame, num: int, den: int) -> Data
     return pairs.filter("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 
-def join(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) -> DataFrame:
-    """doc_id, n_shingles, component_id, n_copies of each row of docs."""
+def join(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10), links: bool = True) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_copies, n_links of each row of docs. Without links: the same classes, and no n_links."""
     num, den = threshold.numerator, threshold.denominator
     room = 1 - num / den + SLACK
+    reach = lambda times: times * room if links else -1.0
     linked = den * F.col("both") >= num * F.col("either")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     clean = lambda: common.cleaned(docs.sparkSession)
     sets, full = signatures(docs, k, num, den)
     clean()
-    stars, chosen = leaders_of(full, docs, k, num, den)
+    stars, chosen = leaders_of(full, docs, k, num, den, reach(1))
     clean()
-    met = verified(leader_pairs(full, chosen, num, den), full, docs, k)
+    met = verified(leader_pairs(full, chosen, num, den), full, docs, k, reach(3))
     clean()
 
     # what the followers' distances leave open between leaders that do not link
@@ -528,8 +653,7 @@ def join(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) ->
     apart = met.filter(~linked).join(radius("a"), "a", "left").join(radius("b"), "b", "left")
     apart = apart.select("a", "b", (1 - F.col("both") / F.col("either")).alias("gap"), *[F.coalesce(c, F.lit(0.0)).alias(c) for c in ("ra", "rb")])
     open_ = common.settled(apart.filter((F.col("ra") + F.col("rb") > 0) & (F.col("gap") <= room + F.col("ra") + F.col("rb"))), "open")
-    links = stars.select("a", "b").unionByName(met.filter(linked).select("a", "b"))
-    roots = components(links)
+    roots = components(stars.select("a", "b").unionByName(met.filter(linked).select("a", "b")))
     clean()
     if open_.rows:
         # leaders that other links join already need no more
@@ -545,11 +669,18 @@ def join(docs: DataFrame, k: int = 3, threshold: Fraction = Fraction(9, 10)) ->
     ids = classes.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = classes.select("root", F.col("node").alias("digest")).join(ids, "root").select("digest", F.col("component_id").alias("joined"))
     labelled = full.select("digest", "doc_id", "copies").join(of_node, "digest", "left").select("digest", F.coalesce("joined", "doc_id").alias("class_id"), "copies")
+    if links:
+        others = link_counts(full, chosen, met, num, den)
+        labelled = labelled.join(others, "digest", "left").withColumn("links", F.col("copies") - 1 + F.coalesce("links", F.lit(0)))
+        clean()
     labelled = common.settled(labelled, "classes")
     common.dropped(full)
     size = F.col("n").cast("long").alias("n_shingles")
-    out = sets.filter("n > 0").join(labelled, "digest", "left").select("doc_id", size, F.col("class_id").alias("component_id"), F.col("copies").alias("n_copies"))
-    return out.unionByName(sets.filter("n = 0").select("doc_id", size, F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies")))
+    extra = lambda c: [c.cast("long").alias("n_links")] if links else []
+    out = sets.filter("n > 0").join(labelled, "digest", "left")
+    out = out.select("doc_id", size, F.col("class_id").alias("component_id"), F.col("copies").alias("n_copies"), *extra(F.col("links")))
+    wordless = sets.filter("n = 0").select("doc_id", size, F.col("doc_id").alias("component_id"), F.lit(1).cast("long").alias("n_copies"), *extra(F.lit(0)))
+    return out.unionByName(wordless)
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
