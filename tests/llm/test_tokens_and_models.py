@@ -200,3 +200,14 @@ def test_lm_windows_score_each_id_once():
     z = m.hidden(np.zeros((1, lm.WINDOW), np.int64))[0, 0] @ m.p["out"] + m.p["b"]
     q = np.exp(z - np.log(np.exp(z).sum()))[m.classes] * np.exp(m.share)
     assert q.sum() == pytest.approx(1, rel=1e-3)
+
+
+def test_passes_over_ids_give_the_word_memo_back():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array([0]), pa.array([1]), pa.array([False]), pa.array(["the cat sat"])], names=["rid", "doc_id", "held_out", "text"])
+    rows = list(lm._encoded(iter([batch])))
+    assert lm.VOCABULARY in WordMemo._own
+    ids = pa.RecordBatch.from_arrays([rows[0].column(5)], names=["ids"])
+    (counts,) = lm._id_counter(iter([ids]))
+    assert sum(counts.column(1).to_pylist()) == len(np.frombuffer(rows[0].column(5)[0].as_py(), np.uint16)) and not WordMemo._own

@@ -299,18 +299,20 @@ def _flat(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).astype(np.int64)
 
 
-def id_counts(coded: DataFrame) -> np.ndarray:
-    """Counts of each id and the end over all texts."""
+def _id_counter(batches):
+    WordMemo.forget()
+    counts = np.zeros(IDS + 1, np.int64)
+    for batch in batches:
+        counts += np.bincount(_flat(batch.column(0)), minlength=IDS + 1)
+    ids = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
+    common.freed()
 
-    def run(batches):
-        counts = np.zeros(IDS + 1, np.int64)
-        for batch in batches:
-            counts += np.bincount(_flat(batch.column(0)), minlength=IDS + 1)
-        ids = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(counts[ids])], names=["id", "n"])
 
+def id_counts(coded: DataFrame) -> np.ndarray:
+    """Counts of each id and the end over all texts."""
     out = np.zeros(IDS + 1)
-    for i, n in coded.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most IDS + 1 rows
+    for i, n in coded.select("ids").mapInArrow(_id_counter, "id long, n long").groupBy("id").agg(F.sum("n")).collect():  # at most IDS + 1 rows
         out[i] = n
     return out
 
@@ -319,6 +321,7 @@ def near_vectors(coded: DataFrame, rest: np.ndarray, place: np.ndarray) -> tuple
     """The neighbours of the ids of rest over all texts, as classes_of wants them: summed and scaled on the executors."""
 
     def count(batches):
+        WordMemo.forget()
         sums = np.zeros((IDS + 1) * 2 * COMMON, np.int32)
         for batch in batches:
             key, n = np.unique(neighbour_keys(_flat(batch.column(0)), rest, place), return_counts=True)
@@ -327,6 +330,8 @@ def near_vectors(coded: DataFrame, rest: np.ndarray, place: np.ndarray) -> tuple
         for i in range(0, len(keys), 200_000):
             part = keys[i : i + 200_000]
             yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(sums[part].astype(np.int64))], names=["key", "n"])
+        del sums, keys
+        common.freed()
 
     def scale(batches):
         for batch in batches:
@@ -356,6 +361,7 @@ def trained_on_all(model: Model, coded: DataFrame, batch: int = 64, rate: float
     names = [f"x{i}" for i in range(DIM)]
 
     def run(batches):
+        WordMemo.forget()
         common.one_blas_thread()
         own = copy.deepcopy(frozen.value)
         descent, r, left = Descent(own), np.random.default_rng(seed), np.zeros(0, np.int64)
@@ -462,6 +468,7 @@ def score(docs: DataFrame, fold: int = FOLD, sample_docs: int = SAMPLE_DOCS) ->
     frozen = docs.sparkSession.sparkContext.broadcast((model, [w for w, _ in often], base_of([c for _, c in often]), float(base_of(n_train)), n_train > 0))
 
     def run(batches):
+        WordMemo.forget()
         common.one_blas_thread()
         net, words, terms, end_term, end_known = frozen.value
         number = common.WordIndex(zip(words, range(len(words))))

@@ -46,6 +46,13 @@ class WordMemo:
             cls._own[vocabulary] = cls(vocabulary)
         return cls._own[vocabulary]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Gives the worker's memos back, in passes that need none: workers live on from stage to stage."""
+        if cls._own:
+            cls._own.clear()
+            common.freed()
+
     def _age(self) -> None:
         self.old = dict(zip(self.words, self.ids))
         self.index, self.ids, self.words, self.size = common.WordIndex(), [], [], 0
