@@ -22,32 +22,39 @@ def _without(docs: DataFrame, rejected: DataFrame) -> DataFrame:
     return docs.join(rejected.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id") == F.col(name), "left_anti")
 
 
+def _begun(docs: DataFrame) -> DataFrame:
+    """docs, once the driver has given back what it kept of the stage before: plans, broadcasts, shuffles and collected rows."""
+    common.cleaned(docs.sparkSession)
+    common.freed()
+    return docs
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents that the network predicts toxic; it learns from the labelled ones among docs."""
-    return toxicity.keep_clean(docs, toxicity.train(docs, common.read(spark, sf_dir, "labels")))
+    return toxicity.keep_clean(docs, toxicity.train(_begun(docs), common.read(spark, sf_dir, "labels")))
 
 
 def drop_unknown_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of no language (no letters) and those whose evidence is divided."""
-    return language_id.keep_known(docs, language_id.train(docs), LEAST_SCORE)
+    return language_id.keep_known(docs, language_id.train(_begun(docs)), LEAST_SCORE)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of five-word shingle sets linked at a Jaccard similarity of 0.8 or more stays: the smallest id."""
     from fractions import Fraction
 
-    classes = jaccard_join.join(docs, k=5, threshold=Fraction(4, 5), links=False)
+    classes = jaccard_join.join(_begun(docs), k=5, threshold=Fraction(4, 5), links=False)
     return _without(docs, classes.filter("doc_id != component_id"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents with a window that matches a benchmark item."""
-    return _without(docs, decontamination.find(docs, common.read(spark, sf_dir, "benchmark")))
+    return _without(docs, decontamination.find(_begun(docs), common.read(spark, sf_dir, "benchmark")))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens, as the packing operator gives them."""
-    return packing.pack(docs)
+    return packing.pack(_begun(docs))
 
 
 STAGES = [

@@ -211,3 +211,9 @@ def test_passes_over_ids_give_the_word_memo_back():
     ids = pa.RecordBatch.from_arrays([rows[0].column(5)], names=["ids"])
     (counts,) = lm._id_counter(iter([ids]))
     assert sum(counts.column(1).to_pylist()) == len(np.frombuffer(rows[0].column(5)[0].as_py(), np.uint16)) and not WordMemo._own
+
+
+def test_toxicity_holds_equal_words_of_its_sample_once():
+    split = toxicity.words_once([b"a long-enough word", b"A LONG-ENOUGH word word", b""])
+    assert split == [[b"a", b"long-enough", b"word"], [b"a", b"long-enough", b"word", b"word"], []]
+    assert len({id(w) for words in split for w in words}) == 3

@@ -36,6 +36,12 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def words_once(texts: list[bytes]) -> list[list[bytes]]:
+    """The words of each text, equal ones as one object: a sample has far fewer different words than words."""
+    one = {}.setdefault
+    return [[one(w, w) for w in words_of(t)] for t in texts]
+
+
 def trigrams(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the byte trigrams of each word between marks (one before, two after it), and where each word's begin. A word's are
     the same whatever stands beside it."""
@@ -197,7 +203,7 @@ def fit(texts: list[bytes], labels: np.ndarray, steps: int = 260, batch: int = 4
     if not 0 < labels.sum() < len(labels):
         return None
     common.one_blas_thread()
-    split = [words_of(t) for t in texts]
+    split = words_once(texts)
     often = Counter(w for words in split for w in {w.strip(EDGES) for w in words})
     net = Network({w: i + 1 for i, w in enumerate(sorted(w for w, n in often.items() if n >= 8))})
     r, p = np.random.default_rng(seed), net.p
@@ -297,8 +303,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: tuple[int, int] = SAMPLE,
     few = F.broadcast(common.drawn(marks.withColumn("text", F.lit(None).cast("string")), most, 23, "toxic").drop("text"))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(few, "doc_id").select("doc_id", "toxic", "text")
     rows = common.drawn(rows, most, 23, "toxic").orderBy("doc_id", "toxic", "text").toArrow()  # an id may name many documents
-    net = fit(common.texts_of(rows.column("text")), rows.column("toxic").to_numpy().astype(np.int64))
+    texts, toxic = common.texts_of(rows.column("text")), rows.column("toxic").to_numpy().astype(np.int64)
     del rows
+    net = fit(texts, toxic)
+    del texts
     common.freed()
     return net
 
