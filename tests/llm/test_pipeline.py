@@ -1,7 +1,9 @@
 import random
+import re
+from pathlib import Path
 
 import corpus_pipeline
-from tidemark.llm import decontamination, jaccard_join, language_id, packing, toxicity
+from tidemark.llm import common, decontamination, jaccard_join, language_id, packing, toxicity
 
 from .conftest import SCHEMA, edited, prose
 
@@ -47,3 +49,22 @@ def test_stages_one_by_one(spark, tmp_path):
     assert stages["packing"](spark, docs, d).columns == packing.pack(docs).columns
     out = corpus_pipeline.run(spark, d)
     assert 200 <= out.select("doc_id").distinct().count() <= 215
+
+
+def test_cleaning_gives_back_what_the_drivers_jvm_freed_outside_its_heap(spark):
+    jvm = spark._jvm
+    pid = jvm.java.lang.ProcessHandle.current().pid()
+    held = lambda: int(re.search(r"Pss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text())[1]) >> 10
+    common.cleaned(spark)
+    made = [jvm.java.util.zip.Deflater() for _ in range(400)]
+    for x in made:
+        x.setInput(bytearray(100_000))
+        x.deflate(bytearray(100_000))
+    for i, x in enumerate(made):
+        if i % 10:  # the others keep the allocator from shrinking at its end
+            x.end()
+    before = held()
+    common.cleaned(spark)
+    assert held() < before - 20
+    for x in made:
+        x.end()

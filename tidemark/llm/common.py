@@ -69,9 +69,34 @@ def staged(df: DataFrame, name: str, rows: int | None = None, rows_a_file: int =
 
 def cleaned(spark: SparkSession) -> None:
     """Lets Spark remove the shuffle files of finished jobs now: it does so only once the driver has collected the frames that made
-    them, and a job of many steps would keep those of all its steps on the executors' disks till then."""
+    them, and a job of many steps would keep those of all its steps on the executors' disks till then. The driver's JVM then hands
+    back what its compiler and others freed outside the heap."""
     gc.collect()
     spark._jvm.System.gc()
+    _trim_jvm(spark)
+
+
+def _trim_jvm(spark: SparkSession) -> None:
+    """malloc_trim in the driver's JVM, by its diagnostic command: else its allocator keeps freed pages, some 180 MB after a join of
+    many jobs. Called by reflection, as the server's own class is not exported. JVMs without the command are left as they are."""
+    from py4j.protocol import Py4JError
+
+    gateway, lang, of = spark.sparkContext._gateway, spark._jvm.java.lang, spark._jvm.java.lang.Class.forName
+
+    def array(kind, *values):
+        out = gateway.new_array(kind, len(values))
+        for i, x in enumerate(values):
+            out[i] = x
+        return out
+
+    kinds = array(lang.Class, *map(of, ("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")))
+    try:
+        call = of("javax.management.MBeanServer").getMethod("invoke", kinds)
+        name = spark._jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand")
+        server = lang.management.ManagementFactory.getPlatformMBeanServer()
+        call.invoke(server, array(lang.Object, name, "systemTrimNativeHeap", array(lang.Object), array(lang.String)))
+    except Py4JError:
+        pass
 
 
 def dropped(*tables: DataFrame) -> None:
