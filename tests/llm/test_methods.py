@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -247,6 +248,31 @@ def test_lm_gradients():
         assert (up - down) / (2 * h) == pytest.approx(g[k][at], rel=0.02, abs=1e-7), k
 
 
+def test_lm_gradients_of_blocks_of_rows():
+    r = np.random.default_rng(2)
+    m = lm.fit([r.integers(0, 400, 3000)], steps=3)
+    n = 5 * lm.ROWS // lm.WINDOW // 2  # two blocks and a half
+    grid, target = r.integers(0, 400, (n, lm.WINDOW)), r.integers(0, 400, (n, lm.WINDOW))
+    found, g = m.gradients(grid, target)
+    each = [m.gradients(grid[i : i + 1], target[i : i + 1]) for i in range(n)]
+    assert found == pytest.approx(np.concatenate([f for f, _ in each]), rel=1e-4)
+    for k in ("at", "qkv", "o", "out", "b"):
+        assert g[k] == pytest.approx(sum(x[k] for _, x in each) / n, rel=1e-3, abs=1e-6), k
+    assert g["e"][1] == pytest.approx(np.concatenate([x["e"][1] for _, x in each]) / n, rel=1e-3, abs=1e-7)
+
+
+def test_lm_holds_logits_of_a_block_of_rows_only():
+    r = np.random.default_rng(2)
+    m = lm.fit([r.integers(0, 400, 3000)], steps=3)
+    grid = r.integers(0, 400, (256, lm.WINDOW))
+    m.gradients(grid, grid)
+    tracemalloc.start()
+    m.gradients(grid, grid)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 11.5e6, peak  # the logits of all rows alone are 4.3 MB
+
+
 # ---- draws, fingerprints, hashes ----
 
 

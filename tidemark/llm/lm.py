@@ -39,6 +39,7 @@ SAMPLE_DOCS, TOP, FOLD = 2500, 200_000, 1
 STEPS, EPOCHS = 4500, 6
 HEAD = WINDOW - STRIDE
 BATCH, COMMON, RATE = 96, 192, 0.003
+ROWS = 512  # whose logits stay in the processor's cache
 END_BYTES = np.uint16(END).tobytes()
 TIED = ("at", "qkv", "o", "out", "b")
 
@@ -55,19 +56,28 @@ class Model:
 
     def hidden(self, grid: np.ndarray, keep: list | None = None) -> np.ndarray:
         """States after attention, (windows, WINDOW, DIM)."""
-        p = self.p
+        p, w = self.p, self.p["qkv"]
         n = len(grid)
-        x = p["e"].take(grid, axis=0) + p["at"]
-        q, k, v = (x.reshape(-1, DIM) @ p["qkv"]).reshape(n, WINDOW, 3, DIM).transpose(2, 0, 1, 3)
-        a = (q * np.float32(DIM**-0.5)) @ k.transpose(0, 2, 1)
+        x = p["e"].take(grid, axis=0)
+        x += p["at"]
+        flat = x.reshape(-1, DIM)
+        q = (flat @ (w[:, :DIM] * w.dtype.type(DIM**-0.5))).reshape(x.shape)
+        k = (flat @ w[:, DIM : 2 * DIM]).reshape(x.shape)
+        v = np.ones((n, WINDOW, DIM + 1), w.dtype)  # the ones sum the weights
+        v[..., :DIM] = (flat @ w[:, 2 * DIM :]).reshape(x.shape)
+        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
         np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
         a *= self.mask
-        z = a.sum(2, keepdims=True)
-        o = (a @ v) / z
-        h = np.tanh(x + (o.reshape(-1, DIM) @ p["o"]).reshape(o.shape))
+        o = a @ v
+        z = o[..., DIM:]
+        o = o[..., :DIM] / z
+        h = (o.reshape(-1, DIM) @ p["o"]).reshape(x.shape)
+        h += x
+        np.tanh(h, out=h)
         if keep is not None:
-            keep += [x, q, k, v, a / z, o, h]
+            a /= z
+            keep += [x, q, k, v[..., :DIM], a, o]
         return h
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -82,48 +92,61 @@ class Model:
         starts = np.concatenate([np.arange(w) * STRIDE for w in windows])
         first, left = starts + np.repeat(begins, windows), np.repeat(sizes, windows) - starts
         values = np.empty(len(flat))
-        ones, span = np.ones(len(self.p["b"]), np.float32), np.arange(WINDOW)
+        out, b, factor, span = self.p["out"], self.p["b"], np.exp(self.p["b"]), np.arange(WINDOW)
+        room = np.empty((ROWS, len(b)), out.dtype)
         for i in range(0, len(first), BATCH):  # small enough for the processor's cache
             part = slice(i, i + BATCH)
             place = first[part, None] + span
             wanted = (span < left[part, None]) & ((span >= HEAD) | (starts[part, None] == 0))
             h, at = self.hidden(inputs.take(np.minimum(place, len(flat) - 1)))[wanted], place[wanted]
-            logits = h @ self.p["out"]
-            logits += self.p["b"]
             ids = flat[at]
-            found = logits[np.arange(len(at)), self.classes[ids]]
-            np.exp(logits, out=logits)
-            values[at] = found - np.log(logits @ ones) + self.share[ids]
+            own = self.classes[ids]
+            for j in range(0, len(at), ROWS):
+                to = slice(j, j + ROWS)
+                logits = np.matmul(h[to], out, out=room[: len(h[to])])
+                found = logits[np.arange(len(logits)), own[to]] + b[own[to]]
+                np.exp(logits, out=logits)
+                values[at[to]] = found - np.log(logits @ factor) + self.share[ids[to]]
         return np.add.reduceat(values, begins) / np.log(10)
 
     def gradients(self, grid: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, dict]:
         """(probability of each target, gradients of the mean negative log of them); of the embeddings the inputs with a row each."""
         p, keep = self.p, []
         h = self.hidden(grid, keep)
-        x, q, k, v, a, o, _ = keep
+        x, q, k, v, a, o = keep
         n, flat = len(grid), h.reshape(-1, DIM)
-        s = flat @ p["out"]
-        s += p["b"]
-        np.minimum(s, 60, out=s)
-        np.exp(s, out=s)
-        s *= (1 / s.sum(1, keepdims=True)).astype(s.dtype)
         y = self.classes[target.ravel()]
-        rows = np.arange(len(y))
-        found = s[rows, y]
-        s[rows, y] -= 1
-        s *= s.dtype.type(1 / target.size)
-        g = {"out": flat.T @ s, "b": s.sum(0)}
-        d = ((s @ p["out"].T) * (1 - flat * flat)).reshape(h.shape)
-        flat_d = d.reshape(-1, DIM)
+        # exponents without the biases, whose factors go into small products; normalised by rows of the states
+        factor = np.exp(np.clip(p["b"], -60, 60))
+        wide = np.abs(p["out"]).sum(0).max() > 60
+        back = np.ascontiguousarray(p["out"].T) * factor[:, None]
+        found, d, out, bias = np.empty(len(y), h.dtype), np.empty_like(flat), np.zeros_like(p["out"]), np.zeros_like(p["b"])
+        room = np.empty((min(ROWS, len(y)), len(factor)), h.dtype)
+        for i in range(0, len(y), ROWS):
+            own, part = y[i : i + ROWS], flat[i : i + ROWS]
+            s = np.matmul(part, p["out"], out=room[: len(own)])
+            if wide:
+                np.minimum(s, 60, out=s)
+            np.exp(s, out=s)
+            z, rows = s @ factor, np.arange(len(own))
+            met = s[rows, own]
+            found[i : i + ROWS] = met * factor[own] / z
+            s[rows, own] = met - z / factor[own]
+            weight = 1 / (z * z.dtype.type(target.size))
+            out += (part * weight[:, None]).T @ s
+            bias += weight @ s
+            d[i : i + ROWS] = (s @ back) * weight[:, None]
+        g = {"out": out * factor, "b": bias * factor}
+        d *= 1 - flat * flat
+        flat_d, d = d, d.reshape(h.shape)
         g["o"] = o.reshape(-1, DIM).T @ flat_d
         do = (flat_d @ p["o"].T).reshape(o.shape)
-        da = do @ v.transpose(0, 2, 1)
-        dqkv = np.empty((n, WINDOW, 3, DIM), s.dtype)
+        da = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
+        dqkv = np.empty((n, WINDOW, 3, DIM), h.dtype)
         dqkv[:, :, 2] = a.transpose(0, 2, 1) @ do
         da -= np.einsum("nij,nij->ni", a, da)[..., None]
         da *= a
-        da *= s.dtype.type(DIM**-0.5)
-        dqkv[:, :, 0] = da @ k
+        dqkv[:, :, 0] = (da @ k) * h.dtype.type(DIM**-0.5)
         dqkv[:, :, 1] = da.transpose(0, 2, 1) @ q
         flat_qkv = dqkv.reshape(-1, 3 * DIM)
         g["qkv"] = x.reshape(-1, DIM).T @ flat_qkv
@@ -187,10 +210,10 @@ class Descent:
         self.n += 1
         _, g = self.model.gradients(grid, target)
         rows, change = g.pop("e")
-        order = np.argsort(rows, kind="stable")
+        order = np.argsort(rows.astype(np.uint16), kind="stable")  # ids fit, and short numbers sort by digits
         rows = rows[order]
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        ids, summed = rows[first], np.add.reduceat(change[order], first, axis=0)
+        ids, summed = rows[first], np.add.reduceat(change.take(order, axis=0), first, axis=0)
         self.seen[ids] += np.diff(np.append(first, len(rows)))
         m, v = self.moment["e"]
         own_m, own_v = m[ids], v[ids]
