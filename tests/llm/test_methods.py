@@ -227,6 +227,22 @@ def test_lm_equals_plain_attention():
     assert m.scores(texts).tolist() == pytest.approx([plain_lm(m, t.tolist()) for t in texts], rel=1e-3)
 
 
+def test_lm_scoring_asks_only_for_places_not_yet_scored(monkeypatch):
+    r = np.random.default_rng(3)
+    m = lm.fit([r.integers(0, 50, 300)], steps=30)
+    grid, whole, made = r.integers(0, 50, (5, lm.WINDOW)), lm.Model.hidden, []
+
+    def spy(self, *args, **kwargs):
+        made.append(whole(self, *args, **kwargs))
+        return made[-1]
+
+    monkeypatch.setattr(lm.Model, "hidden", spy)
+    text = np.append(r.integers(0, 50, lm.WINDOW + 4 * lm.STRIDE - 1), lm.END)
+    m.scores([text, text[-1:], text[-lm.WINDOW :]])
+    assert sum(h.shape[0] * h.shape[1] for h in made) == len(text) + 2 * lm.WINDOW
+    assert np.allclose(whole(m, grid, since=lm.HEAD), whole(m, grid)[:, lm.HEAD :], atol=1e-6)
+
+
 def test_lm_gradients():
     r = np.random.default_rng(1)
     m = lm.fit([r.integers(0, 40, 400)], steps=5)

@@ -54,30 +54,34 @@ class Model:
         self.p = {"e": f(IDS + 2, DIM, scale=0.1), "at": f(WINDOW, DIM, scale=0.05), "qkv": f(DIM, 3 * DIM, scale=0.25), "o": f(DIM, DIM, scale=0.2), "out": f(DIM, c, scale=0.1), "b": np.zeros(c, np.float32)}
         self.mask = np.tril(np.ones((WINDOW, WINDOW), np.float32))
 
-    def hidden(self, grid: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """States after attention, (windows, WINDOW, DIM)."""
-        p, w = self.p, self.p["qkv"]
-        n = len(grid)
-        x = p["e"].take(grid, axis=0)
-        x += p["at"]
-        flat = x.reshape(-1, DIM)
-        q = (flat @ (w[:, :DIM] * w.dtype.type(DIM**-0.5))).reshape(x.shape)
-        k = (flat @ w[:, DIM : 2 * DIM]).reshape(x.shape)
-        v = np.ones((n, WINDOW, DIM + 1), w.dtype)  # the ones sum the weights
-        v[..., :DIM] = (flat @ w[:, 2 * DIM :]).reshape(x.shape)
-        a = q @ np.ascontiguousarray(k.transpose(0, 2, 1))
+    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
+        """What turns a state into its query against states, and a mean of states into their output: products of weights."""
+        w = self.p["qkv"]
+        return w[:, :DIM] @ w[:, DIM : 2 * DIM].T * w.dtype.type(DIM**-0.5), w[:, 2 * DIM :] @ self.p["o"]
+
+    def hidden(self, grid: np.ndarray, keep: list | None = None, since: int = 0) -> np.ndarray:
+        """States after attention of the places from since on, (windows, WINDOW - since, DIM)."""
+        p, n = self.p, len(grid)
+        ask, give = self._folded()
+        wide = np.ones((n, WINDOW, DIM + 1), p["at"].dtype)  # the ones sum the weights
+        x = np.add(p["e"].take(grid, axis=0), p["at"], out=wide[..., :DIM])
+        turned = np.ones((n, DIM + 1, WINDOW), x.dtype)
+        turned[:, :DIM] = x.transpose(0, 2, 1)
+        x = np.ascontiguousarray(x[:, since:])
+        u = (x.reshape(-1, DIM) @ ask).reshape(x.shape)
+        both = np.empty((n, WINDOW - since if keep is None else 2 * WINDOW, WINDOW), x.dtype)  # gradients have room beside the weights
+        a = np.matmul(u, turned[:, :DIM], out=both[:, : WINDOW - since])
         np.clip(a, -30, 30, out=a)
         np.exp(a, out=a)
-        a *= self.mask
-        o = a @ v
+        a *= self.mask[since:]
+        o = a @ wide
         z = o[..., DIM:]
         o = o[..., :DIM] / z
-        h = (o.reshape(-1, DIM) @ p["o"]).reshape(x.shape)
+        h = (o.reshape(-1, DIM) @ give).reshape(x.shape)
         h += x
         np.tanh(h, out=h)
         if keep is not None:
-            a /= z
-            keep += [x, q, k, v[..., :DIM], a, o]
+            keep += [x, wide, turned, u, both, z, o, ask, give]
         return h
 
     def scores(self, texts: list[np.ndarray]) -> np.ndarray:
@@ -92,65 +96,73 @@ class Model:
         starts = np.concatenate([np.arange(w) * STRIDE for w in windows])
         first, left = starts + np.repeat(begins, windows), np.repeat(sizes, windows) - starts
         values = np.empty(len(flat))
-        out, b, factor, span = self.p["out"], self.p["b"], np.exp(self.p["b"]), np.arange(WINDOW)
-        room = np.empty((ROWS, len(b)), out.dtype)
-        for i in range(0, len(first), BATCH):  # small enough for the processor's cache
-            part = slice(i, i + BATCH)
-            place = first[part, None] + span
-            wanted = (span < left[part, None]) & ((span >= HEAD) | (starts[part, None] == 0))
-            h, at = self.hidden(inputs.take(np.minimum(place, len(flat) - 1)))[wanted], place[wanted]
-            ids = flat[at]
-            own = self.classes[ids]
-            for j in range(0, len(at), ROWS):
-                to = slice(j, j + ROWS)
-                logits = np.matmul(h[to], out, out=room[: len(h[to])])
-                found = logits[np.arange(len(logits)), own[to]] + b[own[to]]
-                np.exp(logits, out=logits)
-                values[at[to]] = found - np.log(logits @ factor) + self.share[ids[to]]
+        out, b, factor = self.p["out"], self.p["b"], np.exp(self.p["b"])
+        room, row = np.empty((ROWS, len(b)), out.dtype), np.arange(ROWS) * len(b)
+        for some, since in ((np.flatnonzero(starts == 0), 0), (np.flatnonzero(starts), HEAD)):
+            span = np.arange(WINDOW)
+            for i in range(0, len(some), BATCH):  # small enough for the processor's cache
+                part = some[i : i + BATCH]
+                place = first[part, None] + span
+                h = self.hidden(inputs.take(place, mode="clip"), since=since)
+                wanted = np.flatnonzero(span[since:] < left[part, None])
+                h, at = h.reshape(-1, DIM).take(wanted, axis=0), place[:, since:].ravel().take(wanted)
+                ids = flat.take(at)
+                own = self.classes.take(ids)
+                found, z = b.take(own), np.empty(len(at), out.dtype)
+                for j in range(0, len(at), ROWS):
+                    to = slice(j, j + ROWS)
+                    logits = np.matmul(h[to], out, out=room[: len(h[to])])
+                    found[to] += logits.ravel().take(row[: len(logits)] + own[to])
+                    np.exp(logits, out=logits)
+                    np.matmul(logits, factor, out=z[to])
+                values[at] = found - np.log(z) + self.share.take(ids)
         return np.add.reduceat(values, begins) / np.log(10)
 
     def gradients(self, grid: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, dict]:
         """(probability of each target, gradients of the mean negative log of them); of the embeddings the inputs with a row each."""
         p, keep = self.p, []
         h = self.hidden(grid, keep)
-        x, q, k, v, a, o = keep
-        n, flat = len(grid), h.reshape(-1, DIM)
-        y = self.classes[target.ravel()]
+        x, wide, turned, u, both, z, o, ask, give = keep
+        flat, kind = h.reshape(-1, DIM), h.dtype.type
+        y = self.classes.take(target.ravel())
         # exponents without the biases, whose factors go into small products; normalised by rows of the states
         factor = np.exp(np.clip(p["b"], -60, 60))
-        wide = np.abs(p["out"]).sum(0).max() > 60
+        large = np.abs(p["out"]).sum(0).max() > 60
         back = np.ascontiguousarray(p["out"].T) * factor[:, None]
-        found, d, out, bias = np.empty(len(y), h.dtype), np.empty_like(flat), np.zeros_like(p["out"]), np.zeros_like(p["b"])
-        room = np.empty((min(ROWS, len(y)), len(factor)), h.dtype)
+        found, d, out, bias = np.empty(len(y), h.dtype), np.empty_like(flat), np.zeros_like(p["out"].T), np.zeros_like(p["b"])
+        room, row = np.empty((min(ROWS, len(y)), len(factor)), h.dtype), np.arange(ROWS) * len(factor)
         for i in range(0, len(y), ROWS):
             own, part = y[i : i + ROWS], flat[i : i + ROWS]
             s = np.matmul(part, p["out"], out=room[: len(own)])
-            if wide:
+            if large:
                 np.minimum(s, 60, out=s)
             np.exp(s, out=s)
-            z, rows = s @ factor, np.arange(len(own))
-            met = s[rows, own]
-            found[i : i + ROWS] = met * factor[own] / z
-            s[rows, own] = met - z / factor[own]
-            weight = 1 / (z * z.dtype.type(target.size))
-            out += (part * weight[:, None]).T @ s
+            total, at, of_own = s @ factor, row[: len(own)] + own, factor.take(own)
+            met, cells = s.ravel().take(at), s.ravel()
+            found[i : i + ROWS] = met * of_own / total
+            cells[at] = met - total / of_own
+            weight = 1 / (total * kind(target.size))
+            out += s.T @ (part * weight[:, None])
             bias += weight @ s
-            d[i : i + ROWS] = (s @ back) * weight[:, None]
-        g = {"out": out * factor, "b": bias * factor}
+            np.multiply(s @ back, weight[:, None], out=d[i : i + ROWS])
+        g = {"out": out.T * factor, "b": bias * factor}
         d *= 1 - flat * flat
-        flat_d, d = d, d.reshape(h.shape)
-        g["o"] = o.reshape(-1, DIM).T @ flat_d
-        do = (flat_d @ p["o"].T).reshape(o.shape)
-        da = do @ np.ascontiguousarray(v.transpose(0, 2, 1))
-        dqkv = np.empty((n, WINDOW, 3, DIM), h.dtype)
-        dqkv[:, :, 2] = a.transpose(0, 2, 1) @ do
-        da -= np.einsum("nij,nij->ni", a, da)[..., None]
+        # through the weighted means of states, then the weights: both has them and, beside them, the gradients of their exponents
+        means = o.reshape(-1, DIM)
+        back = (d @ give.T).reshape(x.shape)
+        sent = np.empty_like(wide)
+        np.divide(back, z, out=sent[..., :DIM])
+        np.negative(np.einsum("nij,nij->ni", sent[..., :DIM], o), out=sent[..., DIM])
+        a, da = both[:, :WINDOW], both[:, WINDOW:]
+        np.matmul(sent, turned, out=da)
         da *= a
-        dqkv[:, :, 0] = (da @ k) * h.dtype.type(DIM**-0.5)
-        dqkv[:, :, 1] = da.transpose(0, 2, 1) @ q
-        flat_qkv = dqkv.reshape(-1, 3 * DIM)
-        g["qkv"] = x.reshape(-1, DIM).T @ flat_qkv
-        dx = d + (flat_qkv @ p["qkv"].T).reshape(x.shape)
+        du = (da @ wide[..., :DIM]).reshape(-1, DIM)
+        dx = both.transpose(0, 2, 1) @ np.concatenate((sent[..., :DIM], u), axis=1)
+        dx += (du @ ask.T + d).reshape(x.shape)
+        w, o = p["qkv"], p["o"]
+        of_ask, of_give = (x.reshape(-1, DIM).T @ du) * kind(DIM**-0.5), means.T @ d
+        g["qkv"] = np.concatenate((of_ask @ w[:, DIM : 2 * DIM], of_ask.T @ w[:, :DIM], of_give @ o.T), axis=1)
+        g["o"] = w[:, 2 * DIM :].T @ of_give
         g["at"] = dx.sum(0)
         g["e"] = (grid.ravel(), dx.reshape(-1, DIM))
         return found, g
@@ -198,34 +210,36 @@ def classes_of(counts: np.ndarray, near_of, seed: int = 4) -> tuple[np.ndarray,
 
 
 class Descent:
-    """Adaptive steps of a model; seen counts the inputs met."""
+    """Adaptive steps of a model, whose parameters besides the embeddings become parts of one array."""
 
     def __init__(self, model: Model):
-        self.model, self.n = model, 0
-        self.moment = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in model.p.items()}
-        self.seen = np.zeros(IDS + 2, np.int64)
+        self.model, self.n, p = model, 0, model.p
+        self.tied = np.concatenate([p[k].ravel() for k in TIED])
+        at = 0
+        for k in TIED:
+            p[k] = self.tied[at : at + p[k].size].reshape(p[k].shape)
+            at += p[k].size
+        self.m, self.v = np.zeros_like(self.tied), np.zeros_like(self.tied)
+        self.moments = np.zeros((len(p["e"]), 2, DIM), p["e"].dtype)
 
     def step(self, grid: np.ndarray, target: np.ndarray, now: float) -> None:
-        p = self.model.p
+        p, m, v = self.model.p, self.m, self.v
         self.n += 1
         _, g = self.model.gradients(grid, target)
         rows, change = g.pop("e")
         order = np.argsort(rows.astype(np.uint16), kind="stable")  # ids fit, and short numbers sort by digits
-        rows = rows[order]
+        rows = rows.take(order)
         first = np.flatnonzero(np.concatenate(([True], rows[1:] != rows[:-1])))
-        ids, summed = rows[first], np.add.reduceat(change.take(order, axis=0), first, axis=0)
-        self.seen[ids] += np.diff(np.append(first, len(rows)))
-        m, v = self.moment["e"]
-        own_m, own_v = m[ids], v[ids]
-        own_v += 0.05 * (summed * summed - own_v)
-        own_m += 0.1 * (summed - own_m)
-        m[ids], v[ids] = own_m, own_v
-        p["e"][ids] -= now * own_m / (np.sqrt(own_v) + 1e-5)
-        for k, x in g.items():
-            m, v = self.moment[k]
-            m += 0.1 * (x - m)
-            v += 0.02 * (x * x - v)
-            p[k] -= now * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.98**self.n)) + 1e-6)
+        ids, summed = rows.take(first), np.add.reduceat(change.take(order, axis=0), first, axis=0)
+        own = self.moments.take(ids, axis=0)
+        own[:, 0] += 0.1 * (summed - own[:, 0])
+        own[:, 1] += 0.05 * (summed * summed - own[:, 1])
+        self.moments[ids] = own
+        p["e"][ids] -= now * own[:, 0] / (np.sqrt(own[:, 1]) + 1e-5)
+        x = np.concatenate([g[k].ravel() for k in TIED])
+        m += 0.1 * (x - m)
+        v += 0.02 * (x * x - v)
+        self.tied -= now * (m / (1 - 0.9**self.n)) / (np.sqrt(v / (1 - 0.98**self.n)) + 1e-6)
 
 
 def _bounded(model: Model) -> Model:
@@ -387,26 +401,29 @@ def trained_on_all(model: Model, coded: DataFrame, batch: int = 64, rate: float
         WordMemo.forget()
         common.one_blas_thread()
         own = copy.deepcopy(frozen.value)
-        descent, r, left = Descent(own), np.random.default_rng(seed), np.zeros(0, np.int64)
+        descent, r, left, seen = Descent(own), np.random.default_rng(seed), np.zeros(0, np.int64), np.zeros(IDS + 2, np.int64)
 
-        def learn(flat, at):
-            inputs, at = _inputs(flat), r.permutation(at)
+        def learn(flat):
+            inputs, flat = _inputs(flat).reshape(-1, WINDOW), flat.reshape(-1, WINDOW)
+            seen[:] += np.bincount(inputs.ravel(), minlength=len(seen))
+            at = r.permutation(len(flat))
             for i in range(0, len(at), batch):
-                place = at[i : i + batch, None] + np.arange(WINDOW)
-                descent.step(inputs[place], flat[place], rate)
+                place = at[i : i + batch]
+                descent.step(inputs.take(place, axis=0), flat.take(place, axis=0), rate)
 
         for part in batches:
             flat = np.concatenate((left, _flat(part.column(0))))
             cut = len(flat) - len(flat) % WINDOW
-            learn(flat, np.arange(0, cut, WINDOW))
+            if cut:
+                learn(flat[:cut])
             left = flat[cut:]
         if len(left):  # filled up with ends of empty texts
-            learn(np.append(left, np.full(WINDOW - len(left), END)), np.zeros(1, np.int64))
+            learn(np.append(left, np.full(WINDOW - len(left), END)))
         if not descent.n:
             return
-        met, tied = np.flatnonzero(descent.seen), _tied(own.p)
+        met, tied = np.flatnonzero(seen), _tied(own.p)
         rows = np.concatenate((own.p["e"][met], tied)).astype(np.float64)
-        weight = np.append(descent.seen[met], np.full(len(tied), descent.seen.sum()))
+        weight = np.append(seen[met], np.full(len(tied), seen.sum()))
         del descent, own
         keys = np.append(met, IDS + 2 + np.arange(len(tied)))
         columns = [pa.array(keys), pa.array(weight), *[pa.array(rows[:, i] * weight) for i in range(DIM)]]
